@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules
+from . import chat, decontamination, licenses, mixing, quality_rules, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": tokens.query,
+    "op2_license_scans": licenses.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_decontamination": decontamination.query,
     "op9_mixing": mixing.query,
+    "op10_chat_formatting": chat.query,
 }
 ORACLES: dict[str, str] = {
+    "op2_license_scans": licenses.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op8_decontamination": decontamination.SQL,
     "op9_mixing": mixing.SQL,
+    "op10_chat_formatting": chat.SQL,
 }
