@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,16 +57,25 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once.
+
+    An array column that a lambda refers to is worked out again for every element once the optimizer
+    has moved the lambda into the projection or filter that makes the array; a lambda's own variable
+    is not.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def shingle_hashes(word_hashes: Column, k: int = 5) -> Column:
     """Hash of each run of ``k`` words, from the words' hashes; empty below ``k`` words."""
-    last = F.size(word_hashes) - k
-    return F.when(
-        last >= 0,
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i: F.xxhash64(*[F.get(word_hashes, i + j) for j in range(k)]),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def runs(w: Column) -> Column:
+        last = F.size(w) - k
+        hashed = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+        return F.when(last >= 0, hashed).otherwise(F.array().cast("array<bigint>"))
+
+    return let(word_hashes, runs)
 
 
 def hash_masks(n: int) -> list[int]:

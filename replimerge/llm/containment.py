@@ -58,7 +58,8 @@ def _window_rows(df: DataFrame, keep: list[str], classes: list[tuple[SizeClass,
     """``keep, key, pos``: a row for each window and band of the shingles ``h``.
 
     One row generator over a counter, with the window's place and band worked out from it, keeps
-    this in generated code: no array of windows is ever built.
+    this in generated code: no array of windows is ever built. An outer generator, because the
+    filter that Spark derives from an inner one would work out ``h`` again below it.
     """
     n = F.size("h")
     counts, start, bases = [], F.lit(0), []
@@ -70,8 +71,9 @@ def _window_rows(df: DataFrame, keep: list[str], classes: list[tuple[SizeClass,
         bases.append(start)
         start = start + c
     bounded = df.select(*keep, "h", *[b.cast("int").alias(f"__b{i}") for i, b in enumerate(bases)], start.cast("int").alias("__all"))
-    ids = bounded.where(F.col("__all") > 0).select("*", F.explode(F.sequence(F.lit(0), F.col("__all") - 1)).alias("__i"))
-    pos, key = F.lit(None).cast("int"), F.lit(None).cast("long")
+    counter = F.when(F.col("__all") > 0, F.sequence(F.lit(0), F.col("__all") - 1))
+    ids = bounded.select(*keep, "h", *[f"__b{i}" for i in range(len(bases))], F.explode_outer(counter).alias("__i"))
+    pos, key = F.lit(0), F.lit(0).cast("long")
     for i, (c, bands) in enumerate(classes):  # the last class whose base is reached
         local = F.col("__i") - F.col(f"__b{i}")
         at = (F.floor(local / bands) * (1 if every_offset else c.step)).cast("int")
