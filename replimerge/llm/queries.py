@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licenses, mixing, quality_rules, secrets, tokens
+from . import chat, decontamination, licenses, mixing, quality_rules, secrets, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": tokens.query,
     "op2_license_scans": licenses.query,
+    "op3_simhash": simhash.query,
     "op5_secret_scans": secrets.query,
     "op7_quality_rules": quality_rules.query,
     "op8_decontamination": decontamination.query,
