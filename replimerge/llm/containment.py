@@ -61,9 +61,9 @@ def _window_rows(df: DataFrame, keep: list[str], classes: list[tuple[SizeClass,
     this in generated code: no array of windows is ever built. An outer generator, because the
     filter that Spark derives from an inner one would work out ``h`` again below it.
     """
-    n = F.size("h")
+    n, bands = F.size("h"), max(b for _, b in classes)
     counts, start, bases = [], F.lit(0), []
-    for c, bands in classes:
+    for c, _ in classes:
         step = 1 if every_offset else c.step
         fits = F.col("width") == c.width if every_offset else F.lit(True)
         counts.append(F.when(fits & (n >= c.width), (F.floor((n - c.width) / step) + 1) * bands).otherwise(0).cast("int"))
@@ -73,17 +73,19 @@ def _window_rows(df: DataFrame, keep: list[str], classes: list[tuple[SizeClass,
     bounded = df.select(*keep, "h", *[b.cast("int").alias(f"__b{i}") for i, b in enumerate(bases)], start.cast("int").alias("__all"))
     counter = F.when(F.col("__all") > 0, F.sequence(F.lit(0), F.col("__all") - 1))
     ids = bounded.select(*keep, "h", *[f"__b{i}" for i in range(len(bases))], F.explode_outer(counter).alias("__i"))
-    pos, key = F.lit(0), F.lit(0).cast("long")
-    for i, (c, bands) in enumerate(classes):  # the last class whose base is reached
-        local = F.col("__i") - F.col(f"__b{i}")
-        at = (F.floor(local / bands) * (1 if every_offset else c.step)).cast("int")
-        band = local % bands
-        masks = F.array(*[F.lit(m).cast("long") for m in hash_masks(bands)])
-        least = [F.get("h", at + j).bitwiseXOR(F.get(masks, band)) for j in range(c.width)]
+    base, wide, step = F.lit(0), F.lit(classes[0][0].width), F.lit(1 if every_offset else classes[0][0].step)
+    for i, (c, _) in enumerate(classes):  # the last class whose base is reached
         here = F.col("__i") >= F.col(f"__b{i}")
-        pos = F.when(here, at).otherwise(pos)
-        key = F.when(here, F.xxhash64(F.lit(c.width), band, F.least(*least) if c.width > 1 else least[0])).otherwise(key)
-    return ids.select(*keep, "h", pos.alias("pos"), key.alias("key"))
+        base, wide = F.when(here, F.col(f"__b{i}")).otherwise(base), F.when(here, F.lit(c.width)).otherwise(wide)
+        step = step if every_offset else F.when(here, F.lit(c.step)).otherwise(step)
+    masks = F.array(*[F.lit(m).cast("long") for m in hash_masks(bands)])
+    placed = ids.select(*keep, "h", (F.col("__i") - base).alias("__l"), wide.alias("__w"), step.alias("__step"))
+    placed = placed.select(*keep, "h", "__w", F.expr(f"(__l div {bands}) * __step").cast("int").alias("pos"), (F.col("__l") % bands).alias("__band"))
+    placed = placed.select(*keep, "h", "__w", "pos", "__band", F.get(masks, F.col("__band")).alias("__mask"))
+    at = lambda j: F.get("h", F.col("pos") + (F.least(F.lit(j), F.col("__w") - 1) if j else 0)).bitwiseXOR(F.col("__mask"))
+    values = [at(j) for j in range(max(c.width for c, _ in classes))]
+    least = F.least(*values) if len(values) > 1 else values[0]
+    return placed.select(*keep, "h", "pos", F.xxhash64("__w", "__band", least).alias("key"))
 
 
 def find_contained(
