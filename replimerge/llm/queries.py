@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licenses, mixing, quality_rules, secrets, simhash, tokens
+from . import chat, decontamination, licenses, mixing, pii, quality_model, quality_rules, secrets, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": tokens.query,
     "op2_license_scans": licenses.query,
     "op3_simhash": simhash.query,
+    "op4_quality_classifier": quality_model.query,
     "op5_secret_scans": secrets.query,
+    "op6_pii": pii.query,
     "op7_quality_rules": quality_rules.query,
     "op8_decontamination": decontamination.query,
     "op9_mixing": mixing.query,
