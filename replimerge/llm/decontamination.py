@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, materialize, table
 from .containment import block_classes, containment_sql, find_contained
 
 
@@ -22,7 +22,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs``, with their columns, of which no row of that doc_id contains a test item. Null doc_ids stay."""
     d = fresh(docs, "__leak")
-    bad = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias(d)).distinct()
+    bad = materialize(contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias(d)).distinct(), "leaks")
     return docs.join(bad, F.col("doc_id") == F.col(d), "left_anti")
 
 

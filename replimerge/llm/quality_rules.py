@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import fresh, materialize, shingle_hashes, table, words
+from .common import materialize, shingle_hashes, table, words
 
 #: Metric -> (absolute slack, whether low values fail too). Metrics are whole numbers, most of them per mille.
 METRICS = {"m_symbols": (100, False), "m_dup_lines": (300, False), "m_capitals": (300, False), "m_word_length": (4000, True)}
@@ -157,27 +157,37 @@ def apply_quality_rules(docs: DataFrame, spread: float = 4.0, min_rows: int = 10
     return judge(materialize(stats, "quality-stats"), spread, min_rows)
 
 
-def judge(stats: DataFrame, spread: float, min_rows: int) -> DataFrame:
-    fences = adaptive_fences(stats.where("not base_failed"), spread, min_rows)
+def verdict(stats: DataFrame, fences: DataFrame) -> DataFrame:
+    """``stats`` with the column ``verdict``: base, fence or kept. One expression over both sides of
+    the join, so that Spark does not work out the statistics again to filter earlier."""
     fences = fences.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "fences")
     beyond = F.lit(False)
     for m, (_, low) in METRICS.items():
         beyond = beyond | (F.col(m) > F.col(f"fences.{m}.high"))
         beyond = beyond | (F.col(m) < F.col(f"fences.{m}.low")) if low else beyond
     same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
-    joined = stats.join(fences, same, "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False))).drop("__lang", "__source", "fences")
+    told = F.when(F.col("base_failed"), F.lit("base")).when(beyond, F.lit("fence")).otherwise(F.lit("kept"))
+    return stats.join(fences, same, "left").withColumn("verdict", told).drop("__lang", "__source", "fences")
+
+
+def judge(stats: DataFrame, spread: float, min_rows: int) -> DataFrame:
+    fences = adaptive_fences(stats.where("not base_failed"), spread, min_rows)
+    return verdict(stats, fences).withColumn("kept", F.col("verdict") == "kept").drop("verdict")
 
 
 def filter_quality(docs: DataFrame, spread: float = 4.0, min_rows: int = 100) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns. Rows are told apart by the hash of doc_id, lang, source and text."""
-    k, n = fresh(docs, "__row"), fresh(docs, "__kept")
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in ("doc_id", "lang", "source")]
-    mark = F.sha2(F.concat_ws("\u0001", *parts, F.coalesce("text", F.lit("\u0000"))), 256)
-    stats = text_statistics(docs.withColumn(k, mark), [k, "lang", "source"])
-    stats = stats.withColumns({"base_failed": base_failed(), **_metrics()})
-    good = judge(materialize(stats, "quality-stats"), spread, min_rows).where("kept").select(F.col(k).alias(n)).distinct()
-    return docs.withColumn(k, mark).join(good, F.col(k) == F.col(n), "left_semi").drop(k)
+    """The rows of ``docs`` that pass, with their columns (any names, as they are kept in a struct meanwhile).
+
+    Texts are read twice and never shuffled: once for the fences, once to judge each row.
+    """
+
+    def measured(df: DataFrame, keep: list[str]) -> DataFrame:
+        return text_statistics(df, keep).withColumns({"base_failed": base_failed(), **_metrics()})
+
+    first = materialize(measured(docs.select("lang", "source", "text"), ["lang", "source"]), "quality-stats")
+    fences = materialize(adaptive_fences(first.where("not base_failed"), spread, min_rows), "quality-fences")
+    again = measured(docs.select(F.struct("*").alias("__doc"), "lang", "source", "text"), ["__doc", "lang", "source"])
+    return verdict(again, fences).where("verdict = 'kept'").select("__doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

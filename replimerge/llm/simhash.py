@@ -130,7 +130,7 @@ def allocate(costs: list[list[float]], total: int) -> list[int]:
     return best[total][1]
 
 
-def plan_masks(values: DataFrame, radius: int, parts: tuple[int, ...] = (3, 4), row_cost: float = 4.0) -> list[int]:
+def plan_masks(values: DataFrame, radius: int, row_cost: float = 4.0) -> list[int]:
     """Bit masks such that any two fingerprints within ``radius`` agree on all bits of at least one.
 
     General pigeonhole: if the thresholds of ``m`` parts sum to ``radius - m + 1``, such a pair is
@@ -138,6 +138,7 @@ def plan_masks(values: DataFrame, radius: int, parts: tuple[int, ...] = (3, 4),
     of t of its bits is masked out in turn. Candidates at 0 are counted exactly, over all values; at
     1 and more they are that count scaled by a model of independent bits.
     """
+    parts = (3 + radius // 6, 4 + radius // 6)
     n, together = bit_counts(values)
     p = np.diag(together) / max(n, 1)
     agree = p * p + (1 - p) * (1 - p)
@@ -323,7 +324,9 @@ def keep_one(docs: DataFrame, radius: int = 6, shingle: int = 3, similarity: flo
     share = F.size(F.array_intersect("hx", "hy")) / F.greatest(F.size(F.array_union("hx", "hy")), F.lit(1))
     near = sides.where(share >= similarity).select(F.col("x").alias(d))
     gone = others.where("fingerprint = f").select(F.col("doc_id").alias(d)).unionByName(near).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col(d), "left_anti")
+    left = docs.join(materialize(gone, "copies"), F.col("doc_id") == F.col(d), "left_anti")
+    if labels.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
     twice = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
     return left.withColumn(n, F.row_number().over(twice)).where((F.col(n) == 1) | F.col("doc_id").isNull()).drop(n)
 
