@@ -14,12 +14,12 @@ from ..schema import EMPTY
 def read_inventory(spark: SparkSession, root: str) -> DataFrame:
     """``path, kind, size, mtime_ns`` of the files beneath ``root``, on any file system that Spark reads.
 
-    The reader tells files only; a manifest written as Parquet (:func:`load_table`) also carries
+    The reader tells files that are not empty only; a manifest written as Parquet (:func:`load_table`) also carries
     directories, links, exec bits and ctimes.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace(F.lit(root), r"^file:/*|/*$", "")
-    path = F.regexp_replace(F.substring_index("path", F.concat(base, F.lit("/")), -1), "^/", "")
+    base = root.removeprefix("file:").strip("/")
+    path = F.regexp_replace("path", rf"^.*?\Q{base}\E/+", "")
     return files.select(path.alias("path"), F.lit("file").alias("kind"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
 
 
