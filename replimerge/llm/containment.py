@@ -110,7 +110,7 @@ def find_contained(
     band rows number ``broadcast_rows`` or fewer (checked); beyond that keys alone are joined by
     shuffle, and documents with a hit are hashed again for verification. Texts of under five words
     have no shingle: such items are not looked for and such documents contain nothing. Null texts
-    are empty; rows of equal id count as one; an empty side gives an empty result.
+    are empty; rows of equal id count as one, null being an id like others; an empty side gives an empty result.
     """
     by_size = sorted(classes, key=lambda c: c.least)
     width = F.lit(None).cast("int")
@@ -142,12 +142,12 @@ def find_contained(
         found = spans(windows.join(F.broadcast(keys), "key"))
         sets = F.broadcast(sized.select("__item", "__set"))
     else:
-        hits = windows.select(doc, "pos", "key").join(keys, "key").select(doc, "__item", "n", "off", "pos").distinct()
-        found = spans(hits.join(hashed, doc))
+        hits = windows.select(F.col(doc).alias("__doc"), "pos", "key").join(keys, "key").select("__doc", "__item", "n", "off", "pos").distinct()
+        found = spans(hits.join(hashed, F.col("__doc").eqNullSafe(F.col(doc))))
         sets = sized.select("__item", "__set")
     share = F.size(F.array_intersect("__set", "__span")) / F.size("__set")
     return (
-        found.join(sets, "__item")
+        found.join(sets.withColumnRenamed("__item", "__of"), F.col("__item").eqNullSafe(F.col("__of")))
         .select(doc, F.col("__item").alias(item), share.alias("containment"), "first_shingle")
         .where(F.col("containment") >= threshold)
         .groupBy(doc, item)

@@ -178,8 +178,8 @@ def _gradient(weights: np.ndarray, n: int, segments: list[tuple[int, int]], rows
     return out
 
 
-def train_crf(samples: list[str], epochs: int = 25, rate: float = 0.3, decay: float = 1e-3) -> np.ndarray:
-    """Weights (feature x kind) by AdaGrad ascent on texts labelled by the base patterns and their variants.
+def train_crf(samples: list[str], steps: int = 15_000, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
+    """Weights (feature x kind) by ``steps`` of AdaGrad ascent on texts labelled by the base patterns and their variants.
 
     Outside a segment a piece scores 0, so a kind's weights say how much likelier it is than none.
     """
@@ -196,7 +196,7 @@ def train_crf(samples: list[str], epochs: int = 25, rate: float = 0.3, decay: fl
     weights = np.full((N_FEATURES, len(KINDS)), -0.5)
     squares = np.full_like(weights, 1e-2)
     order = np.random.default_rng(5)
-    for _ in range(epochs):
+    for _ in range(-(-steps // max(len(cases), 1))):
         for c in order.permutation(len(cases)):
             g = _gradient(weights, *cases[c]) - decay * weights
             squares += g * g
@@ -216,7 +216,7 @@ def variants(text: str) -> Iterator[tuple[str, list[Span]]]:
             yield left + new + right, [(len(left), kind, len(left) + len(new))]
 
 
-def decode(text: str, weights: np.ndarray, margin: float = 2.0) -> list[Span]:
+def decode(text: str, weights: np.ndarray, margin: float = 0.5) -> list[Span]:
     """The best segmentation of each region; segments that beat no entity by ``margin`` (log odds) or more."""
     found: list[Span] = []
     for start, end in regions(text):
@@ -247,7 +247,7 @@ def decode(text: str, weights: np.ndarray, margin: float = 2.0) -> list[Span]:
     return found
 
 
-def all_spans(text: str, weights: np.ndarray, margin: float = 2.0) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, weights: np.ndarray, margin: float = 0.5) -> tuple[list[Span], list[Span]]:
     """Base spans, and base spans with the decoded ones that touch none of them."""
     base = base_spans(text)
     if not _TRIGGER.search(text):
@@ -287,7 +287,7 @@ def _weights(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw).reshape(N_FEATURES, len(KINDS))
 
 
-def find_personal_data(docs: DataFrame, weights: np.ndarray, margin: float = 2.0) -> DataFrame:
+def find_personal_data(docs: DataFrame, weights: np.ndarray, margin: float = 0.5) -> DataFrame:
     """``doc_id``, base counts, ``base_sha256`` and ``spans`` for each row of ``docs`` (``doc_id, text``).
 
     Base spans come from the patterns; the field adds segments that touch none of them. Null and

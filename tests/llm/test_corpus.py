@@ -1,0 +1,451 @@
+"""Each corpus operator against brute force, and on nulls, empty and long texts, repeats and empty tables."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+from itertools import product
+
+import numpy as np
+import pytest
+import xxhash
+from oracle import compare, connect
+from pyspark.sql import functions as F
+
+from replimerge.llm import chat, containment, decontamination, licenses, mixing, pii, quality_model, quality_rules, secrets, simhash, tokens
+from replimerge.llm.queries import ORACLES, QUERIES
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SPACE = "[\x20\x09-\x0d]+"
+
+
+def odd_docs(spark):
+    """Nulls everywhere, empty and wordless texts, a very long one, repeated rows."""
+    long_ = " ".join(f"w{i % 977}" for i in range(60_000))
+    rows = [
+        (1, None, "en", "a", None), (2, "", None, "a", 0), (3, " \t\n", "en", None, 3), (4, long_, "en", "b", len(long_)), (5, "one two three four five six seven eight nine ten eleven", "fr", "a", 1),
+        (5, "one two three four five six seven eight nine ten eleven", "fr", "a", 1), (None, "no id here but words enough to pass the base rule easily", "en", "b", 9), (7, "x", None, None, None),
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def clashing(df):
+    for c in ("size", "taken", "kept", "fingerprint", "h", "n_words", "key", "score", "spans", "__row"):
+        df = df.withColumn(c, F.lit("own"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return {r.doc_id: r.text or "" for r in documents.collect()}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle(name, spark, sf):
+    compare(connect(sf), QUERIES[name](spark, sf), ORACLES[name])
+
+
+# --- 1 token counts ---
+
+
+def test_tokens_against_whole_document_encoding(spark, documents, texts):
+    enc, lengths = tokens.encoder(tokens.VOCABULARY)
+    got = {}
+    for r in tokens.count_tokens(documents).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for d, text in texts.items():
+        rows = sorted(got[d], key=lambda r: r.section)
+        assert [text[r.start : r.end] for r in rows] == (text.splitlines(keepends=True) if "\n" in text else [text]) or "".join(text[r.start : r.end] for r in rows) == text
+        want, at, owner = Counter(), 0, [i for i, r in enumerate(rows) for _ in text[r.start : r.end].encode()]
+        for t in enc.encode_ordinary(text):
+            n = int(lengths[t])
+            c = Counter(owner[at : at + n])
+            want[min(c, key=lambda s: (-c[s], s))] += 1
+            at += n
+        assert [r.n_tokens for r in rows] == [want[i] for i in range(len(rows))]
+
+
+def test_boundary_tokens_go_to_the_larger_share():
+    assert tokens.attribute(np.array([2, 4, 2]), np.array([3, 8])).tolist() == [1, 2]
+    assert tokens.attribute(np.array([2, 2, 4]), np.array([3, 8])).tolist() == [2, 1]
+    assert tokens.attribute(np.array([6]), np.array([1, 4, 6])).tolist() == [0, 1, 0]
+
+
+def test_tokens_odd(spark):
+    rows = tokens.count_tokens(clashing(odd_docs(spark))).collect()
+    assert Counter(r.doc_id for r in rows)[5] == 2 and all(r.n_tokens == 0 for r in rows if r.doc_id in (1, 2))
+    assert tokens.count_tokens(odd_docs(spark).limit(0)).count() == 0
+
+
+# --- 2 and 8 containment ---
+
+
+def contained(doc, item, threshold=0.8):
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    grams = lambda t: [tuple(w[i : i + 5]) for w in [words(t)] for i in range(len(w) - 4)]
+    d, q = grams(doc), grams(item)
+    best, at = 0.0, {}
+    for i, g in enumerate(q):
+        at.setdefault(g, []).append(i)
+    slack = -(-len(q) // 4) + 5
+    for p, g in enumerate(d):
+        for o in at.get(g, ()):
+            span = d[max(p - o - slack, 0) : max(p - o + len(q) + slack, 0)]
+            best = max(best, len(set(q) & set(span)) / len(set(q)))
+    return best if best >= threshold else None
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([5, 6, 8, 11, 12, 18, 19, 25, 40, 59, 120, 4])]
+    docs = []
+    for k in range(60):
+        i, text = items[k % len(items)]
+        w = text.split()
+        if k % 3 == 1 and len(w) > 30:
+            w[len(w) // 2] = "changed"
+        if k % 3 == 2:
+            w = w[: int(len(w) * rnd.choice([0.5, 0.7, 0.95]))]
+        docs.append((k, " ".join([*(word() for _ in range(rnd.randint(0, 50))), *w, *(word() for _ in range(rnd.randint(0, 50)))]).upper()))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), docs, items
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("classes", [containment.block_classes, containment.overlapping_classes])
+def test_containment_against_brute_force(spark, planted, classes, limit):
+    d, b, docs, items = planted
+    want = {(k, i): c for k, t in docs for i, q in items if (c := contained(t, q))}
+    got = {(r.doc_id, r.item_id): r.containment for r in containment.find_contained(d, b, classes(), broadcast_rows=limit).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_band_settings_hold_the_promise():
+    for c in containment.block_classes() + containment.overlapping_classes():
+        s = containment.worst_similarity(c, 0.8)
+        n = containment.bands_needed(s, 0.01)
+        assert (1 - s) ** n <= 0.01 and (n == 1 or (1 - s) ** (n - 1) > 0.01)
+
+
+def test_containment_odd(spark):
+    docs = clashing(odd_docs(spark))
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four five six seven eight"), (3, "one two three four five six seven eight"), (None, "no id here but words enough to pass")], "item_id long, text string")
+    got = [tuple(r)[:3] for r in decontamination.contaminated(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted([(5, 3, 1.0), (None, None, 1.0)], key=str)
+    left = decontamination.remove_contaminated(docs, bench)
+    assert left.columns == docs.columns and left.count() == 6
+    assert decontamination.contaminated(docs, bench.limit(0)).count() == 0 and decontamination.contaminated(docs.limit(0), bench).count() == 0
+    assert licenses.scan_licenses(docs, licenses.template_table(spark)).count() == 0
+
+
+def test_licenses_in_other_case_and_wrapping(spark):
+    docs = spark.createDataFrame([(1, "foo\n# LICENSED under the\n#  Apache license, version 2.0!\nbar"), (2, "licensed under the apache")], "doc_id long, text string")
+    assert [(r.doc_id, r.license) for r in licenses.scan_licenses(docs, licenses.template_table(spark)).collect()] == [(1, "Apache-2.0")]
+
+
+# --- 3 simhash ---
+
+
+def slow_fingerprint(text):
+    w = [x for x in re.split(SPACE, re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    runs = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def groups(values, radius):
+    root = {v: v for v in values}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    vs = sorted(values)
+    for i, a in enumerate(vs):
+        for b in vs[i + 1 :]:
+            if (a ^ b).bit_count() <= radius:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {v: find(v) for v in vs}
+
+
+def test_simhash_against_brute_force(spark, documents, texts):
+    fp = {d: slow_fingerprint(t) for d, t in texts.items()}
+    of = groups(set(fp.values()), 2)
+    least = {}
+    for d, v in fp.items():
+        least[of[v]] = min(least.get(of[v], d), d)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(documents).collect()}
+    assert got == {d: (f"{v:016x}", least[of[v]]) for d, v in fp.items()}
+
+
+@pytest.mark.parametrize("radius, bucket", [(2, 4096), (2, 3), (6, 8)])
+def test_links_lose_no_pair(spark, radius, bucket):
+    rnd = random.Random(radius)
+    values = set()
+    for _ in range(12):
+        v = rnd.getrandbits(64)
+        for _ in range(25):
+            values.add(v)
+            for b in rnd.sample(range(64), rnd.randint(1, radius + 1)):
+                v ^= 1 << b
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(signed(v),) for v in values], "fingerprint long")
+    found = simhash.components(simhash.find_links(df, radius, bucket)).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.root, set()).add(r.node & (2**64 - 1))
+    want = {}
+    for v, g in groups(values, radius).items():
+        want.setdefault(g, set()).add(v)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def test_thresholds_sum_to_the_pigeonhole_bound():
+    costs = [[0, 5, 50, 500], [0, 1, 10, 100], [0, 90, 95, 99], [0, 2, 3, 4]]
+    for total in (-1, 0, 1):
+        t = simhash.allocate(costs, total)
+        assert sum(t) == total and all(-1 <= x <= 2 for x in t)
+        cost = lambda ts: sum(c[x + 1] for c, x in zip(costs, ts, strict=True))
+        assert cost(t) == min(cost(ts) for ts in product(range(-1, 3), repeat=4) if sum(ts) == total)
+
+
+def test_simhash_odd(spark):
+    rows = simhash.near_duplicates(clashing(odd_docs(spark))).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == 8 and {by[i].component_id for i in (1, 2, 3)} == {1} and by[1].fingerprint == "0" * 16 and by[None].component_id is None
+    assert simhash.near_duplicates(odd_docs(spark).limit(0)).count() == 0
+    kept = simhash.keep_one(clashing(odd_docs(spark)))
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 4, 5, 7, None], key=str)
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rnd = random.Random(3)
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(600)]
+    near = [*base[:300], "changed", *base[301:]]
+    other = [f"w{rnd.randint(0, 5000)}" for _ in range(600)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base)), (4, " ".join(other))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 4]
+
+
+# --- 4 quality classifier ---
+
+
+def test_classifier_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    r = quality_model.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert len(r) > 40 and sum(x.predicted == x.quality for x in r) >= 0.95 * len(r)
+
+
+def test_paths_become_rules():
+    text = "  If (feature 0 <= 0.5)\n   If (feature 1 > 2.0)\n    Predict: 1.0\n   Else (feature 1 <= 2.0)\n    Predict: 0.0\n  Else (feature 0 > 0.5)\n   Predict: 0.0\n"
+    assert quality_model.tree_paths(text) == [[(0, "<=", 0.5)], [(0, "<=", 0.5), (1, ">", 2.0)], [(0, "<=", 0.5), (1, "<=", 2.0)], [(0, ">", 0.5)]]
+    assert quality_model.simplify([(0, "<=", 3.0), (0, "<=", 1.0), (0, ">", 0.0)], ["a"]) == (("a", "<=", 1.0), ("a", ">", 0.0))
+
+
+def test_classifier_odd(spark):
+    docs = clashing(odd_docs(spark))
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = quality_model.score_quality(docs, none).collect()
+    assert len(rows) == 8 and all(r.score == 0.5 and r.predicted == 1 for r in rows)
+    one = spark.createDataFrame([(5, 1, 0), (7, None, 0), (99, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality_model.score_quality(docs, one).count() == 8 and quality_model.score_quality(docs.limit(0), one).count() == 0
+
+
+# --- 5 secrets ---
+
+
+def base_secrets(t):
+    assign = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
+
+
+def test_secrets_against_python(spark, documents):
+    rnd = random.Random(4)
+    parts = ["secret", "Token", "API_KEY", "apikey", "passwd", '"', "'", " ", ":", "=", "abc", "abcdef", "AKIA", "ABCDEFGH12345678", "deadbeef" * 3, "é", "😀", "\n", ".", "-"]
+    fuzz = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40)))) for i in range(400)]
+    docs = spark.createDataFrame(fuzz, "doc_id long, text string").unionByName(documents.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    model = secrets.train_markov(secrets.labelled_samples(documents))
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan_secrets(docs, model, ["doc_id"]), ["doc_id"]).collect()}
+    for r in docs.collect():
+        want = base_secrets(r.text or "")
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(got[r.doc_id].spans.split(","))
+
+
+def test_models_tell_random_strings_from_identifiers(spark, documents):
+    rnd = random.Random(7)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(rnd.choice(alphabet) for _ in range(32)) for _ in range(200)]
+    words = [w for t in documents.select("text").collect() for w in re.findall(r"\b[A-Za-z]{4,}\b", t.text or "")][:4000]
+    names = ["_".join(rnd.sample(words, 3)) for _ in range(200)]
+    train = spark.createDataFrame([(k, 1) for k in keys[:100]] + [(n, 0) for n in names[:100]] + [(w, 0) for w in words], "token string, label int")
+    model = secrets.train_markov(train)
+    df = spark.createDataFrame([(k, 1) for k in keys[100:]] + [(n, 0) for n in names[100:]], "token string, label int")
+    got = df.select("label", (secrets.likelihood_ratio(F.col("token"), model) >= 16).alias("found")).collect()
+    assert sum(r.found for r in got if r.label) >= 97 and sum(r.found for r in got if not r.label) <= 2
+
+
+def test_secrets_odd_and_redaction(spark):
+    docs = clashing(odd_docs(spark))
+    model = secrets.train_markov(secrets.labelled_samples(docs))
+    assert secrets.digest(secrets.scan_secrets(docs, model, ["doc_id"]), ["doc_id"]).where("spans <> ''").count() == 0
+    assert secrets.scan_secrets(docs.limit(0), model, ["doc_id"]).count() == 0
+    assert secrets.redact_secrets(docs, model).select("text").exceptAll(docs.select("text")).count() == 0
+    many = " ".join(f"token=abcdef{i}" for i in range(3000))
+    x = spark.createDataFrame([(1, many, 3), (2, 'a token = "abcdefgh" $1 secret=ab', 3)], "doc_id long, text string, n_chars long")
+    out = {r.doc_id: r for r in secrets.redact_secrets(x, model).collect()}
+    assert out[1].text == " ".join(["token=[SECRET]"] * 3000) and out[2].text == 'a token = "[SECRET]" $1 secret=ab' and out[2].n_chars == len(out[2].text)
+    spans = secrets.digest(secrets.scan_secrets(x, model, ["doc_id"]), ["doc_id"]).where("doc_id = 1").first()
+    assert spans.base_sha256 == hashlib.sha256(base_secrets(many).encode()).hexdigest()
+
+
+# --- 6 PII ---
+
+NAIVE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def naive_pii(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    ok = {"email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")), "card": pii.is_card, "phone": lambda s: 9 <= len(digits(s)) <= 15}
+    found = [(m.start(), list(NAIVE).index(k), m.end()) for k, p in NAIVE.items() for m in p.finditer(t) if ok[k](m[0])]
+    return [(s, pii.KINDS[k], e) for s, k, e in sorted(found)]
+
+
+def test_pii_base_spans(texts):
+    rnd = random.Random(1)
+    for _ in range(5000):
+        t = "".join(rnd.choice("a1.@+- (9%)2é") for _ in range(rnd.randint(0, 40)))
+        assert pii.base_spans(t) == naive_pii(t), t
+    for t in texts.values():
+        assert pii.base_spans(t) == naive_pii(t)
+
+
+def test_field_finds_what_the_patterns_do_and_more(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    weights = pii.train_crf(pii.training_samples(docs))
+    hit = total = extra = 0
+    for r in docs.select("text").collect():
+        base, found = pii.base_spans(r.text or ""), set(pii.decode(r.text or "", weights))
+        total, hit, extra = total + len(base), hit + len(found & set(base)), extra + len(found - set(base))
+    assert hit >= 0.9 * total > 0 and extra <= 0.2 * total
+    assert (5, "phone") in {(s, k) for s, k, _ in pii.decode("call (743) 555-3824 today", weights)}
+
+
+def test_forward_sums_count_every_segmentation():
+    segments, scores = [(0, 2), (1, 3), (2, 3)], np.array([[0.3, -0.2], [0.1, 0.0], [0.5, 0.4]])
+    e = np.exp(scores).sum(axis=1)
+    want = np.log(1 + e[0] + e[1] + e[2] + e[0] * e[2])
+    assert abs(pii._forward(3, segments, scores)[3] - want) < 1e-9 and abs(pii._forward(3, segments, scores, True)[0] - want) < 1e-9
+
+
+def test_pii_odd(spark):
+    weights = pii.train_crf([])
+    docs = clashing(odd_docs(spark))
+    assert pii.find_personal_data(docs, weights).where("spans <> ''").count() == 0
+    assert pii.find_personal_data(docs.limit(0), weights).count() == 0
+    for t in ("a" * 200_000 + "@", "1" * 200_000, "1." * 50_000, "+1(" * 50_000, "a@" * 50_000):
+        pii.base_spans(t)
+
+
+# --- 7 quality rules ---
+
+
+def test_sketch_cells_and_quantiles(spark):
+    rnd = random.Random(2)
+    values = [rnd.randint(0, 5000) for _ in range(3000)]
+    df = spark.createDataFrame([("a", v) for v in values], "k string, m long")
+    halves = quality_rules.quantile_sketch(df.where("m % 2 = 0"), ["k"], ["m"]).unionByName(quality_rules.quantile_sketch(df.where("m % 2 = 1"), ["k"], ["m"]))
+    merged = quality_rules.merge_sketches(halves, ["k"])
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, quality_rules.quantile_sketch(df, ["k"], ["m"]).collect()))
+    q = quality_rules.sketch_quantiles(merged, ["k"], {"q": 0.75}).first().q
+    exact = sorted(values)[int(0.75 * 3000) - 1]
+    assert exact * (1 - 1 / 32) - 1 <= q <= exact
+
+
+def test_quality_odd(spark):
+    docs = clashing(odd_docs(spark))
+    rows = quality_rules.apply_quality_rules(docs).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == 8 and not by[1].kept and by[1].n_words == 0 and by[5].kept and by[4].n_repeat_words == 60_000 and by[4].base_failed and by[None].kept
+    kept = quality_rules.filter_quality(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([5, 5, None], key=str)
+    assert quality_rules.apply_quality_rules(docs.limit(0)).count() == 0 and quality_rules.filter_quality(docs.limit(0)).count() == 0
+
+
+# --- 9 mixing ---
+
+
+def test_mix_meets_its_targets(spark, documents):
+    for piece in (10**6, 3):
+        rows = mixing.mix_sources(documents, range_rows=piece).collect()
+        by = {}
+        for r in rows:
+            assert 0 <= r.taken <= 2 * r.size
+            t = by.setdefault(r.source, [r.target, r.source_size, 0])
+            t[2] += r.taken
+        assert all(taken == int(target) and target <= 2 * size for target, size, taken in by.values())
+        assert abs(sum(t[0] for t in by.values()) - 1.5 * sum(t[1] for t in by.values())) < 1e-3
+    again = mixing.mix_sources(documents.repartition(5), range_rows=3).collect()
+    assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
+
+
+def test_mix_odd(spark):
+    docs = clashing(odd_docs(spark))
+    rows = mixing.mix_sources(docs, range_rows=1).collect()
+    assert len(rows) == 8 and {r.kept for r in rows} == {"own"} and sum(r.taken for r in rows if r.source == "b") == int(next(r.target for r in rows if r.source == "b"))
+    assert mixing.mix_sources(docs.limit(0)).count() == 0
+    assert sum(r.taken for r in mixing.mix_sources(docs.where("doc_id < 4")).collect()) == 0
+
+
+# --- 10 chat ---
+
+
+def test_turns_come_back():
+    rnd = random.Random(9)
+    bits = ["###", "### User:\n", "</turn>", "\\", "\\\\", "\n", " ", "a", "é😀", "role=", ":", "\n</turn>\n", "%41"]
+    for _ in range(4000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 8)))
+        role = rnd.choice(["user", "assistant", "system", "", "tool", "a:b\n###", "User"])
+        piece = chat.render_turn(role, text)
+        got = chat.parse_turn(piece + "### User:\nnext\n</turn>\n")
+        assert got[0] == role and chat.unescape(piece[got[1] : got[2]]) == text and got[3] == len(piece)
+
+
+def test_reader_takes_any_cut():
+    text = "".join(chat.render_turn(r, t) for r, t in [("user", "a"), ("assistant", chat.PROBE), ("assistant", "</turn>")])
+    whole = chat.Reader()
+    whole.feed(text)
+    for cut in range(1, len(text)):
+        r = chat.Reader()
+        r.feed(text[:cut])
+        r.feed(text[cut:])
+        assert r.row(1) == whole.row(1)
+
+
+def test_chat_odd(spark):
+    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "x"), (None, 3, "assistant", "y"), (2, 1, "tool", ""), (2, 0, "assistant", "z" * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("own"))
+    got = {r.conv_id: r for r in chat.read_back(df).collect()}
+    assert {k: v.n_turns for k, v in got.items()} == {1: 3, None: 1, 2: 2}
+    assert got[1].turns_sha256 == hashlib.sha256(b"\nx\nuser\n\nuser\n\n").hexdigest() and got[2].loss_chars == 300_000
+    assert chat.format_turns(df).count() == 6 and chat.read_back(df.limit(0)).count() == 0
+    joined = {}
+    for r in chat.format_turns(df).where("conv_id = 2").orderBy("turn").collect():
+        joined[2] = joined.get(2, "") + r.formatted
+    assert len(joined[2]) == got[2].formatted_chars
