@@ -100,5 +100,16 @@ def bands_needed(similarity: float, miss: float, rows: int = 1) -> int:
     return n
 
 
+def thinned(df: DataFrame, key: str, rows: float) -> DataFrame:
+    """About ``rows`` rows of ``df``, all if it has no more: those whose hash of ``key`` is low enough.
+
+    For fits with a bound. A plain top-k by hash has every task send k rows, which grows with the
+    number of tasks; after this the whole job sends about ``rows``.
+    """
+    n = df.count()
+    uniform = F.xxhash64(key).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    return df if n <= rows else df.where(uniform < rows / n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, words
+from .common import materialize, table, thinned, words
 from .quality_rules import text_statistics
 
 #: Statistic -> its column over the counts; labels, lang, source and doc_id are no inputs.
@@ -113,7 +113,7 @@ def held_out() -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """Statistics and label of labelled documents that are not held out: at most ``max_rows``, least hash of doc_id first."""
     pick = labels.where(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    pick = pick.orderBy(F.xxhash64("doc_id"), "quality").limit(max_rows)
+    pick = thinned(pick, "doc_id", 2.0 * max_rows).orderBy(F.xxhash64("doc_id"), "quality").limit(max_rows)
     return statistics(docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id"), ["quality"])
 
 
