@@ -173,7 +173,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def oracle(body: str) -> str:
     """DuckDB SQL: the fixtures that ``body`` names as ``{name}``, and ``body``."""
     names = [n for n in SQL if re.search(rf"\bfx_{n}\b", body)]
-    return render("WITH " + ", ".join(f"fx_{n} AS ({SQL[n]})" for n in names) + ("," if body.lstrip().startswith(",") else "") + body.lstrip().lstrip(","), "duckdb")
+    return render("WITH RECURSIVE " + ", ".join(f"fx_{n} AS ({SQL[n]})" for n in names) + ("," if body.lstrip().startswith(",") else "") + body.lstrip().lstrip(","), "duckdb")
 
 
 def with_version(df: DataFrame, nodes: tuple[str, ...] = ("n0", "n1", "n2"), out: str = "version") -> DataFrame:

@@ -349,7 +349,14 @@ def _(spark, sf):
 # --- batches -------------------------------------------------------------------------------------
 
 
-@query("batch_windows")
+_WINDOWS = """, o AS (SELECT folder, node, at_us, row_number() OVER (PARTITION BY folder, node ORDER BY at_us) AS rn FROM fx_changes),
+w AS (SELECT folder, node, rn, at_us AS opened_us, at_us AS last_us FROM o WHERE rn = 1
+      UNION ALL SELECT o.folder, o.node, o.rn, CASE WHEN o.at_us >= least(w.opened_us + 10000000, w.last_us + 2000000) THEN o.at_us ELSE w.opened_us END, o.at_us
+      FROM w JOIN o ON o.folder = w.folder AND o.node = w.node AND o.rn = w.rn + 1),
+closed AS (SELECT folder, node, opened_us, least(opened_us + 10000000, max(last_us) + 2000000) AS due_us, count(*) AS n FROM w GROUP BY folder, node, opened_us)"""
+
+
+@query("batch_windows", _WINDOWS + " SELECT * FROM closed")
 def _(spark, sf):
     return batches.batch_windows(fixture(spark, sf, "changes"))
 
@@ -373,7 +380,13 @@ def _(spark, sf):
     return batches.split_batches(b, most=50).select("folder", "source", "seq", "batch_no")
 
 
-@query("split_batches_by_size")
+@query(
+    "split_batches_by_size",
+    """, o AS (SELECT folder, source, seq, strlen(path) + 256 AS cost FROM fx_batch_entries),
+w AS (SELECT folder, source, seq, CAST(0 AS BIGINT) AS batch_no, 1 AS n, cost AS used FROM o WHERE seq = 1
+      UNION ALL SELECT o.folder, o.source, o.seq, w.batch_no + CAST(w.n = 50 OR w.used + o.cost > 12000 AS BIGINT), CASE WHEN w.n = 50 OR w.used + o.cost > 12000 THEN 1 ELSE w.n + 1 END, CASE WHEN w.n = 50 OR w.used + o.cost > 12000 THEN o.cost ELSE w.used + o.cost END
+      FROM w JOIN o ON o.folder = w.folder AND o.source = w.source AND o.seq = w.seq + 1) SELECT folder, source, seq, batch_no FROM w""",
+)
 def _(spark, sf):
     b = fixture(spark, sf, "batch_entries").select("folder", "source", "path", "seq")
     return batches.split_batches(b, most=50, room=12_000).select("folder", "source", "seq", "batch_no")
@@ -588,7 +601,17 @@ def _(spark, sf):
     return transfer.want_sources(w, r)
 
 
-@query("plan_fetches")
+@query(
+    "plan_fetches",
+    _SRC
+    + """, l AS (SELECT folder, path, bool_or(allowed AND source = 'n0') AS a0, bool_or(allowed AND source = 'n1') AS a1, bool_or(allowed AND source = 'n2') AS a2 FROM c GROUP BY folder, path HAVING bool_or(allowed)),
+k AS (SELECT *, row_number() OVER (PARTITION BY folder, a0, a1, a2 ORDER BY path) AS q FROM l),
+o AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY CASE WHEN a2 THEN 0 WHEN a1 THEN 1 ELSE 2 END, path) AS rn FROM k WHERE q <= 16),
+w AS (SELECT DISTINCT folder, CAST(0 AS BIGINT) AS rn, 0 AS u0, 0 AS u1, 0 AS u2, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS source FROM o
+      UNION ALL SELECT folder, rn, u0 + CAST(coalesce(pick = 'n0', FALSE) AS INTEGER), u1 + CAST(coalesce(pick = 'n1', FALSE) AS INTEGER), u2 + CAST(coalesce(pick = 'n2', FALSE) AS INTEGER), path, pick
+      FROM (SELECT o.folder, o.rn, o.path, u0, u1, u2, CASE WHEN u0 + u1 + u2 >= 16 THEN NULL WHEN a2 AND u2 < 4 THEN 'n2' WHEN a1 AND u1 < 4 THEN 'n1' WHEN a0 AND u0 < 4 THEN 'n0' END AS pick
+            FROM w JOIN o ON o.folder = w.folder AND o.rn = w.rn + 1) p) SELECT folder, path, source FROM w WHERE source IS NOT NULL""",
+)
 def _(spark, sf):
     return transfer.plan_fetches(transfer.source_choices(*_wanted(spark, sf)))
 

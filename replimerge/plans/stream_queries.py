@@ -11,7 +11,7 @@ from ..sources.shared import shared_dir
 from ..streaming import events
 from ..streaming.run import brake_stream, drain, read_stream, schema_of
 from .fixtures import fixture
-from .queries import _CLASS, _DOES, _EVAL, _RS, _two, query
+from .queries import _CLASS, _DOES, _EVAL, _RS, _WINDOWS, _sessions, _two, query
 
 _BRAKE = _CLASS + _DOES + f", s0 AS (SELECT * FROM (SELECT folder, 'b' || k % 3 AS batch, {_RS} FROM q GROUP BY ALL) a JOIN (SELECT folder, count(*) FILTER (NOT deleted) AS tracked FROM fx_replicas WHERE node = 'n0' GROUP BY folder) b USING (folder)), s1 AS ({_EVAL} SELECT folder, batch, adds, mods, dels, bytes, tracked, held, reason FROM s"
 
@@ -24,16 +24,21 @@ def _(spark, sf):
     return drain(events.stale_filter_stream(stream)).select("folder", "path", "at_ns", "stale")
 
 
-@query("stream_batch_windows")
+#: A stream gives what the watermark has passed; it is kept in whole milliseconds.
+_MARK = "(SELECT max(at_us) // 1000 - {late_ms} FROM fx_changes) * 1000"
+
+
+@query("stream_batch_windows", _WINDOWS + f" SELECT * FROM closed WHERE due_us <= {_MARK.format(late_ms=10_000)}")
 def _(spark, sf):
     c = fixture(spark, sf, "changes").select("folder", "node", F.timestamp_micros("at_us").alias("ts"), "at_us")
     return drain(events.batch_window_stream(read_stream(spark, c)))
 
 
-@query("stream_debounce")
+@query("stream_debounce", _sessions("folder, path", 2000000, "kind <> 'open'") + f", g AS (SELECT folder, path, min(at_us) AS first_us, max(at_us) AS last_us, count(*) AS n FROM s GROUP BY folder, path, session) SELECT * FROM g WHERE last_us + 1999999 <= {_MARK.format(late_ms=60_000)}")
 def _(spark, sf):
     c = fixture(spark, sf, "changes").select("folder", "path", "kind", F.timestamp_micros("at_us").alias("ts"))
-    return drain(events.debounce_paths(read_stream(spark, c)))
+    d = drain(events.debounce_paths(read_stream(spark, c)))
+    return d.select("folder", "path", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "n")
 
 
 @query("stream_brake", _BRAKE)
