@@ -318,8 +318,9 @@ def keep_one(docs: DataFrame, radius: int = 6, shingle: int = 3, similarity: flo
     labels = materialize(near_duplicates(docs, radius, shingle), "near-duplicates").where("doc_id is not null")
     first = labels.where("doc_id = component_id").select("component_id", F.col("fingerprint").alias("f")).distinct()
     others = labels.where("doc_id <> component_id").join(first, "component_id").distinct()
-    text = shingled(docs.where("doc_id is not null"), "doc_id").groupBy("doc_id").agg(F.first("h").alias("h"))
-    pairs = others.where("fingerprint <> f").select(F.col("doc_id").alias("x"), F.col("component_id").alias("y"))
+    pairs = materialize(others.where("fingerprint <> f").select(F.col("doc_id").alias("x"), F.col("component_id").alias("y")), "near-pairs")
+    named = materialize(pairs.select(F.explode(F.array("x", "y")).alias(d)).distinct(), "near-ids")
+    text = shingled(docs.join(named, F.col("doc_id") == F.col(d), "left_semi"), "doc_id").groupBy("doc_id").agg(F.first("h").alias("h"))
     sides = pairs.join(text.select(F.col("doc_id").alias("x"), F.col("h").alias("hx")), "x").join(text.select(F.col("doc_id").alias("y"), F.col("h").alias("hy")), "y")
     share = F.size(F.array_intersect("hx", "hy")) / F.greatest(F.size(F.array_union("hx", "hy")), F.lit(1))
     near = sides.where(share >= similarity).select(F.col("x").alias(d))
