@@ -169,19 +169,17 @@ def plan_masks(values: DataFrame, radius: int, row_cost: float = 4.0) -> list[in
 
 def links_in_bucket(values: np.ndarray, radius: int) -> np.ndarray:
     """For each of the (distinct, unsigned, sorted) values the least value of its component within the bucket."""
-    label = np.arange(len(values))
-    near = [np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ v) <= radius) + i + 1 for i, v in enumerate(values)]
-    changed = True
-    while changed:
-        before = label.copy()
-        for i, js in enumerate(near):
-            if len(js):
-                least = min(label[i], label[js].min())
-                label[i] = least
-                label[js] = np.minimum(label[js], least)
-        label = label[label]
-        changed = bool((label != before).any())
-    return values[label]
+    root, left = values.copy(), np.arange(len(values))
+    while left.size:
+        first, left = left[0], left[1:]
+        queue = [first]
+        while queue and left.size:
+            near = np.bitwise_count(values[left] ^ values[queue.pop()]) <= radius
+            if near.any():
+                found, left = left[near], left[~near]
+                root[found] = values[first]
+                queue += found.tolist()
+    return root
 
 
 def _bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
