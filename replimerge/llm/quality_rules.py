@@ -133,14 +133,13 @@ def adaptive_fences(stats: DataFrame, spread: float = 4.0, min_rows: int = 100)
 
     own = fences(sketch, ["lang", "source"])
     lang = fences(merge_sketches(sketch, ["lang"]), ["lang"]).select(F.col("lang").alias("__lang"), F.col("f").alias("g"))
-    every = fences(merge_sketches(sketch.withColumn("__one", F.lit(1)), ["__one"]), ["__one"]).select("__one", F.col("f").alias("a"))
+    row = fences(merge_sketches(sketch.withColumn("__one", F.lit(1)), ["__one"]), ["__one"]).select("f.*").first()
+    every = F.col("f")
+    if row is not None:  # one row, of as many numbers as metrics: it becomes part of the expression
+        every = F.struct(F.lit(row["rows"]).cast("long").alias("rows"), *[F.struct(*[F.lit(row[m][k]).alias(k) for k in ("low", "high")]).alias(m) for m in names])
     big = lambda f: F.col(f"{f}.rows") >= min_rows
-    return (
-        own.join(lang, F.col("lang").eqNullSafe(F.col("__lang")))
-        .withColumn("__one", F.lit(1))
-        .join(every, "__one")
-        .select("lang", "source", F.when(big("f"), F.col("f")).when(big("g"), F.col("g")).otherwise(F.col("a")).alias("fences"))
-    )
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("__lang")))
+    return joined.select("lang", "source", F.when(big("f"), F.col("f")).when(big("g"), F.col("g")).otherwise(every).alias("fences"))
 
 
 def apply_quality_rules(docs: DataFrame, spread: float = 4.0, min_rows: int = 100) -> DataFrame:
