@@ -304,30 +304,69 @@ def hex16(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
+def _several(cells: DataFrame) -> DataFrame:
+    """``cell, node, n, lead``: the rows of cells of two or more nodes, their number and the least of them."""
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
+    return materialize(cells.join(sizes, "cell"), "cells")
+
+
+def similar_links(docs: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links a > b between doc_ids of one cell whose shingles have Jaccard ``similarity`` or more.
+
+    ``cells`` has distinct ``cell, node`` rows. All pairs of a cell are compared while these are few
+    for the number of rows. Else each cell's nodes are first compared with its least one; those alike
+    leave the cell and so does the least, until few pairs are left or a round takes out few of them,
+    and then all the pairs left are compared. Of two nodes of a cell that both begin no link, each
+    was compared with the other: no cell keeps two that are alike.
+    """
+    left = _several(cells)
+    named = materialize(left.select(F.col("node").alias("__node")).distinct(), "near-ids")
+    text = shingled(docs.join(named, F.col("doc_id") == F.col("__node"), "left_semi"), "doc_id")
+    text = materialize(text.select(F.col("doc_id").cast("long").alias("node"), F.array_distinct("h").alias("h")), "near-shingles")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(text.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(text.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
+        share = F.size(F.array_intersect("ha", "hb")) / F.greatest(F.size(F.array_union("ha", "hb")), F.lit(1))
+        return materialize(sides.where(share >= similarity).select("a", "b"), "near-pairs")
+
+    found, few, was = None, None, float("inf")
+    while True:
+        rows, pairs = left.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("n").cast("double") - 1) / 2), F.lit(0.0))).first()
+        few = 4 * rows if few is None else few
+        last = pairs <= few or pairs > 0.9 * was
+        if last:
+            other = left.select("cell", F.col("node").alias("b"))
+            asked = left.select("cell", F.col("node").alias("a")).join(other, "cell").where("a > b")
+        else:
+            asked = left.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        near = alike(asked.select("a", "b").distinct())
+        found = near if found is None else found.unionByName(near)
+        if last:
+            return found
+        rest = left.where("node <> lead").join(near.select(F.col("a").alias("node"), F.col("b").alias("lead")), ["node", "lead"], "left_anti")
+        left, was = _several(rest.select("cell", "node")), pairs
+
+
 def keep_one(docs: DataFrame, radius: int = 6, shingle: int = 3, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, with their columns, less those near the first document of their component.
+    """The rows of ``docs``, with their columns, less all but one of those alike.
 
-    The row of the least doc_id stays. Others go if they share its fingerprint, or if the Jaccard
-    similarity of their five-word shingles to its own is ``similarity`` or more: at a radius of 6 a
-    component can hold documents that are less alike, and those stay. Of rows that share a doc_id
-    the one with the least text hash stays; rows without doc_id stay.
+    Equal fingerprints count as one document, that of the least doc_id. Of these, documents of one
+    component at ``radius`` are linked if the Jaccard similarity of their own five-word shingles is
+    ``similarity`` or more (see :func:`similar_links`), whichever of them is the first; the least
+    doc_id of what the links reach stays. Of rows that share a doc_id the one with the least text
+    hash counts; rows without doc_id stay.
     """
     d, n = fresh(docs, "__gone"), fresh(docs, "__nth")
-    labels = materialize(near_duplicates(docs, radius, shingle), "near-duplicates").where("doc_id is not null")
-    first = labels.where("doc_id = component_id").select("component_id", F.col("fingerprint").alias("f")).distinct()
-    others = labels.where("doc_id <> component_id").join(first, "component_id").distinct()
-    pairs = materialize(others.where("fingerprint <> f").select(F.col("doc_id").alias("x"), F.col("component_id").alias("y")), "near-pairs")
-    named = materialize(pairs.select(F.explode(F.array("x", "y")).alias(d)).distinct(), "near-ids")
-    text = shingled(docs.join(named, F.col("doc_id") == F.col(d), "left_semi"), "doc_id").groupBy("doc_id").agg(F.first("h").alias("h"))
-    sides = pairs.join(text.select(F.col("doc_id").alias("x"), F.col("h").alias("hx")), "x").join(text.select(F.col("doc_id").alias("y"), F.col("h").alias("hy")), "y")
-    share = F.size(F.array_intersect("hx", "hy")) / F.greatest(F.size(F.array_union("hx", "hy")), F.lit(1))
-    near = sides.where(share >= similarity).select(F.col("x").alias(d))
-    gone = others.where("fingerprint = f").select(F.col("doc_id").alias(d)).unionByName(near).distinct()
-    left = docs.join(materialize(gone, "copies"), F.col("doc_id") == F.col(d), "left_anti")
-    if labels.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    twice = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
-    return left.withColumn(n, F.row_number().over(twice)).where((F.col(n) == 1) | F.col("doc_id").isNull()).drop(n)
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        twice = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
+        docs = docs.withColumn(n, F.row_number().over(twice)).where((F.col(n) == 1) | F.col("doc_id").isNull()).drop(n)
+    own = docs.where("doc_id is not null").select("doc_id", "text")
+    labels = materialize(near_duplicates(own, radius, shingle), "near-duplicates")
+    nodes = materialize(labels.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("component_id").alias("cell")), "near-nodes")
+    lost = components(similar_links(own, nodes.select("cell", "node"), similarity)).where("node <> root")
+    first = nodes.join(lost.select("node", F.lit(True).alias("lost")), "node", "left").select("fingerprint", "node", "lost")
+    gone = labels.join(first, "fingerprint").where("doc_id <> node or lost").select(F.col("doc_id").alias(d))
+    return docs.join(materialize(gone, "copies"), F.col("doc_id") == F.col(d), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

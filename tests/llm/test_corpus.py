@@ -235,6 +235,38 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 4]
 
 
+def shingle_set(text):
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def jaccard(a, b):
+    return len(a & b) / max(len(a | b), 1)
+
+
+def edited(rnd, text, n):
+    w = text.split()
+    for i in rnd.sample(range(len(w)), n):
+        w[i] = f"x{rnd.randint(0, 10**6)}"
+    return " ".join(w)
+
+
+def test_copies_of_another_than_the_first_go(spark):
+    rnd = random.Random(11)
+    while True:
+        a = " ".join(f"w{rnd.randint(0, 5000)}" for _ in range(400))
+        b = edited(rnd, a, 12)
+        near = edited(rnd, b, 1)
+        bits = [(slow_fingerprint(x) ^ slow_fingerprint(y)).bit_count() for x, y in ((a, b), (b, near))]
+        if bits[0] <= 6 and 0 < bits[1] <= 6 and max(jaccard(shingle_set(a), shingle_set(x)) for x in (b, near)) < 0.8 < jaccard(shingle_set(b), shingle_set(near)):
+            break
+    docs = [(1, a), (2, b), (3, b), (4, near), (5, b)]
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == [1, 2]
+    many = [*docs, *((i, edited(rnd, b, 1)) for i in range(6, 60))]  # more pairs than rows: rounds against the least
+    kept = {r.doc_id: shingle_set(r.text) for r in simhash.keep_one(spark.createDataFrame(many, "doc_id long, text string")).collect()}
+    assert {1, 2} <= set(kept) and all(jaccard(kept[x], kept[y]) < 0.8 for x in kept for y in kept if x < y) and len(kept) < 20
+
+
 # --- 4 quality classifier ---
 
 
