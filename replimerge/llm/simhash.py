@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, table
+from .common import bands_needed, fresh, materialize, table
 from .containment import shingled
 
 BITS = 64
@@ -20,6 +20,8 @@ SEED = 42
 BUCKET = 4096
 #: Shingles whose bits are summed at a time.
 _CHUNK = 1 << 16
+#: MinHashes of a band of :func:`band_cells`.
+BAND = 4
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -304,6 +306,34 @@ def hex16(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
+def band_keys(h: np.ndarray, bands: int) -> np.ndarray:
+    """A key for each of ``bands`` groups of ``BAND`` MinHashes of the shingle hashes ``h`` (unsigned, not empty)."""
+    draw = np.random.default_rng(SEED).integers(0, 1 << 64, size=(3, bands * BAND), dtype=np.uint64)
+    flip, times, weight = draw[0][:, None], draw[1][:, None] | np.uint64(1), draw[2] | np.uint64(1)
+    low = np.full(bands * BAND, np.iinfo(np.uint64).max)
+    for i in range(0, len(h), 1024):
+        low = np.minimum(low, ((h[None, i : i + 1024] ^ flip) * times).min(axis=1))
+    return (low * weight).reshape(bands, BAND).sum(axis=1, dtype=np.uint64)
+
+
+def band_cells(docs: DataFrame, similarity: float, miss: float) -> DataFrame:
+    """``node, keys``: the bands' keys of each text of five words or more.
+
+    Two texts of this Jaccard similarity share none with probability ``miss`` at most, taking the
+    minima as independent. The keys of a text do not depend on the others.
+    """
+    bands = bands_needed(similarity, miss, BAND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [x.values.to_numpy(zero_copy_only=False).astype("<i8").view(np.uint64) for x in b.column(1)]
+            keys = pa.array([band_keys(h, bands).view(np.int64) for h in hashes], pa.list_(pa.int64()))
+            yield pa.record_batch([b.column(0), keys], names=["node", "keys"])
+
+    some = shingled(docs, "doc_id").where(F.size("h") > 0).select(F.col("doc_id").cast("long"), "h")
+    return some.mapInArrow(run, "node long, keys array<long>")
+
+
 def _several(cells: DataFrame) -> DataFrame:
     """``cell, node, n, lead``: the rows of cells of two or more nodes, their number and the least of them."""
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
@@ -347,13 +377,14 @@ def similar_links(docs: DataFrame, cells: DataFrame, similarity: float) -> DataF
         left, was = _several(rest.select("cell", "node")), pairs
 
 
-def keep_one(docs: DataFrame, radius: int = 6, shingle: int = 3, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 6, shingle: int = 3, similarity: float = 0.8, miss: float = 0.001) -> DataFrame:
     """The rows of ``docs``, with their columns, less all but one of those alike.
 
     Equal fingerprints count as one document, that of the least doc_id. Of these, documents of one
-    component at ``radius`` are linked if the Jaccard similarity of their own five-word shingles is
-    ``similarity`` or more (see :func:`similar_links`), whichever of them is the first; the least
-    doc_id of what the links reach stays. Of rows that share a doc_id the one with the least text
+    component at ``radius``, or that share a key of :func:`band_cells` (texts at ``similarity`` often
+    differ in more bits than any radius that can be searched), are linked if the Jaccard similarity
+    of their own five-word shingles is ``similarity`` or more (see :func:`similar_links`), whichever
+    of them is the first; the least doc_id of what the links reach stays. Of rows that share a doc_id the one with the least text
     hash counts; rows without doc_id stay.
     """
     d, n = fresh(docs, "__gone"), fresh(docs, "__nth")
@@ -362,8 +393,10 @@ def keep_one(docs: DataFrame, radius: int = 6, shingle: int = 3, similarity: flo
         docs = docs.withColumn(n, F.row_number().over(twice)).where((F.col(n) == 1) | F.col("doc_id").isNull()).drop(n)
     own = docs.where("doc_id is not null").select("doc_id", "text")
     labels = materialize(near_duplicates(own, radius, shingle), "near-duplicates")
-    nodes = materialize(labels.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("component_id").alias("cell")), "near-nodes")
-    lost = components(similar_links(own, nodes.select("cell", "node"), similarity)).where("node <> root")
+    nodes = materialize(labels.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("component_id").alias("component")), "near-nodes")
+    keys = band_cells(own, similarity, miss).join(nodes.select("node"), "node").select("node", F.posexplode("keys").alias("band", "key"))
+    cells = nodes.select(F.xxhash64(F.lit(-1), "component").alias("cell"), "node").unionByName(keys.select(F.xxhash64("band", "key").alias("cell"), "node"))
+    lost = components(similar_links(own, materialize(cells, "near-cells"), similarity)).where("node <> root")
     first = nodes.join(lost.select("node", F.lit(True).alias("lost")), "node", "left").select("fingerprint", "node", "lost")
     gone = labels.join(first, "fingerprint").where("doc_id <> node or lost").select(F.col("doc_id").alias(d))
     return docs.join(materialize(gone, "copies"), F.col("doc_id") == F.col(d), "left_anti")

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
-from itertools import product
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -267,6 +267,30 @@ def test_copies_of_another_than_the_first_go(spark):
     assert {1, 2} <= set(kept) and all(jaccard(kept[x], kept[y]) < 0.8 for x in kept for y in kept if x < y) and len(kept) < 20
 
 
+def test_no_two_kept_are_alike(spark):
+    """Recall of the near pairs by brute force: all pairs with a shingle in common."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rnd = random.Random(12)
+    base = [" ".join(f"w{rnd.randint(0, 5000)}" for _ in range(300)) for _ in range(40)]
+    pairs = [(10**6 + 2 * i + k, t) for i, b in enumerate(base) for k, t in enumerate((b, edited(rnd, b, 5)))]
+    sets = {r.doc_id: shingle_set(r.text) for r in docs.collect()} | {d: shingle_set(t) for d, t in pairs}
+    common, alike = {}, set()
+    for d, s in sets.items():
+        for g in s:
+            common.setdefault(g, []).append(d)
+    for a, b in {(min(p), max(p)) for ds in common.values() for p in combinations(ds, 2)}:
+        if jaccard(sets[a], sets[b]) >= 0.8:
+            alike.add((a, b))
+    far = [(slow_fingerprint(x) ^ slow_fingerprint(y)).bit_count() for (_, x), (_, y) in zip(pairs[::2], pairs[1::2], strict=True)]
+    assert len(alike) >= 80 and sum(x > 6 for x in far) >= 3
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(pairs, "doc_id long, text string"))
+    kept = {r.doc_id for r in simhash.keep_one(more).collect()}
+    assert not [p for p in alike if kept.issuperset(p)]
+    fp = Counter(slow_fingerprint(r.text) for r in more.collect())
+    linked = {d for p in alike for d in p}
+    assert all(d in kept or d in linked or fp[slow_fingerprint(t)] > 1 for d, t in more.collect())
+
+
 # --- 4 quality classifier ---
 
 
