@@ -76,8 +76,16 @@ MAX_PIECES = 14
 _CONTEXT = 24
 
 
+#: What ends a region: between two of its words lie white space in one line and punctuation only.
+_SOLID = re.compile(r"[^\W_]|[\n\r\v\f]")
+_WORD_AFTER = re.compile(r"[\x20\t]+\S+")
+
+
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of white-space separated words that hold a digit or @, neighbours joined."""
+    """Runs of white-space separated words that hold a digit or @, neighbours joined.
+
+    Words of punctuation only don't part neighbours; an @ at either end of a word takes in the next word there.
+    """
     start, end = -1, 0
     for m in _TRIGGER.finditer(text):
         if m.start() < end:
@@ -86,7 +94,16 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
         left = max(left + 1, end)
         stop = _SPACE.search(text, m.end())
         right = stop.start() if stop else len(text)
-        if start >= 0 and left - end <= 1:
+        if text[left] == "@":
+            at = left
+            while at > end and text[at - 1] in " \t":
+                at -= 1
+            while at > end and not text[at - 1].isspace():
+                at -= 1
+            left = at
+        if text[right - 1] == "@" and (after := _WORD_AFTER.match(text, right)):
+            right = after.end()
+        if start >= 0 and (left - end <= 1 or not _SOLID.search(text, end, left)):
             end = right
             continue
         if start >= 0:
@@ -186,7 +203,9 @@ def train_crf(samples: list[str], steps: int = 15_000, rate: float = 0.3, decay:
     cases = []
     for text in samples:
         for variant, spans in variants(text):
-            for start, end in regions(variant):
+            found = list(regions(variant))
+            assert all(any(a <= s and e <= b for a, b in found) for s, _, e in spans), "a labelled span lies outside the regions"
+            for start, end in found:
                 cuts, segments, rows = candidates(variant, start, end)
                 if not segments or len(cuts) > 400:
                     continue
@@ -205,15 +224,22 @@ def train_crf(samples: list[str], steps: int = 15_000, rate: float = 0.3, decay:
 
 
 def variants(text: str) -> Iterator[tuple[str, list[Span]]]:
-    """The text with its base spans, and with forms that the base patterns miss: no country code, spaces about the @."""
+    """The text with its base spans, and with forms that the base patterns miss: no country code, spaces about @, - and dots; e-mails also with plain names and short hosts."""
     spans = base_spans(text)
     yield text, spans
     for s, kind, e in spans[:4]:
         old = text[s:e]
-        new = re.sub(r"^\+[0-9]{1,3}[ .-]", "", old) if kind == "phone" else old.replace("@", " @ ") if kind == "email" else old
-        if new != old:
-            left, right = text[max(0, s - _CONTEXT) : s], text[e : e + _CONTEXT]
-            yield left + new + right, [(len(left), kind, len(left) + len(new))]
+        short = re.sub(r"^\+[0-9]{1,3}[ .-]", "", old)
+        name, _, host = old.partition("@")
+        plain, last = re.sub("[._]?[0-9]+", "", name) or name, ".".join(host.split(".")[-2:])
+        emails = [f"{name} @ {host}", f"{plain} @ {last}", f"{plain}.{plain} @ {last}"]
+        forms = {"phone": [short, re.sub("[.-]", r" \g<0> ", short)], "email": emails, "ip": [old.replace(".", " . ")]}
+        for new in dict.fromkeys(forms.get(kind, [])):
+            if new != old:
+                left, right = text[max(0, s - _CONTEXT) : s], text[e : e + _CONTEXT]
+                yield left + new + right, [(len(left), kind, len(left) + len(new))]
+        if kind == "email":  # two words about an @, and no host
+            yield f"{text[max(0, s - _CONTEXT) : s]}{plain} @ {host.partition('.')[0]} {text[e : e + _CONTEXT]}", []
 
 
 def decode(text: str, weights: np.ndarray, margin: float = 0.5) -> list[Span]:

@@ -403,6 +403,18 @@ def test_field_finds_what_the_patterns_do_and_more(spark):
     assert (5, "phone") in {(s, k) for s, k, _ in pii.decode("call (743) 555-3824 today", weights)}
 
 
+def test_spaced_forms(spark):
+    forms = ["john.smith @ example.com", "415 - 555 - 0199", "10 . 20 . 30 . 40"]
+    for t in forms:
+        assert list(pii.regions(f"see {t} for more")) == [(4, 4 + len(t))]
+    assert list(pii.regions("anna@ example.com or anna @example.com")) == [(0, 17), (21, 38)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    weights = pii.train_crf(pii.training_samples(docs))
+    for t, kind in zip(forms, ("email", "phone", "ip"), strict=True):
+        assert (4, kind, 4 + len(t)) in pii.decode(f"see {t} for more", weights), t
+    assert pii.decode("nothing @ all here", weights) == []
+
+
 def test_forward_sums_count_every_segmentation():
     segments, scores = [(0, 2), (1, 3), (2, 3)], np.array([[0.3, -0.2], [0.1, 0.0], [0.5, 0.4]])
     e = np.exp(scores).sum(axis=1)
