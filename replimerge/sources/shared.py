@@ -1,19 +1,54 @@
-"""The folder that all executors share."""
+"""The folder that all executors share, and what the library writes there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 _own: list[str] = []
+_inner: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a fresh folder only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``, else what ``SparkContext.setCheckpointDir`` set, else a fresh folder.
+
+    The last only where driver and executors are one process: on a cluster a folder of one machine
+    would lose its rows, so there the setting must be there.
+    """
+    if _inner:
+        return _inner[-1]
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if found:
         return found
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="spark-shared-"))
     return _own[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder from whatever file system it is on."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A shared folder for intermediate tables, removed at the end with all that was written inside the ``with``.
+
+    Rows that are still needed then must have been written elsewhere.
+    """
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _inner.append(path)
+    try:
+        yield path
+    finally:
+        _inner.remove(path)
+        delete(spark, path)
