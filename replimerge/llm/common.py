@@ -2,39 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: White space is these six code points; a word is a run of anything else.
 SPACE_CHARS = " \t\n\u000b\u000c\r"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a fresh one only where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="spark-shared-"))
-    return _own_dir[0]
+def written(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    """Write ``df`` as Parquet in the shared folder: its path, and the rows read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage without tying it to an executor: a lost executor costs only the tasks it ran.
+    The files stay while the rows may be read; :func:`..sources.shared.scratch` bounds that.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)[1]
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, n: str = "n", how: str = "inner", total: int | None = None, share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``per_key``, which has one row a ``key`` and ``n``, the number of ``rows`` of that key.
+
+    Fewer than ``share`` keys can have more than a ``share``-th of all rows each. These are broadcast,
+    so that no task gets the rows of a hot key; the others are joined by shuffle. Both tables are
+    read twice then. ``total``: the number of ``rows``, if it is known.
+    """
+    total = (per_key.agg(F.sum(n)).first()[0] or 0) if total is None else total
+    hot = per_key.where(F.col(n) > total / share)
+    if hot.isEmpty():
+        return rows.join(per_key, key, how)
+    few = F.broadcast(hot)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.where(F.col(n) <= total / share), key, how)
+    return rows.join(few, key).unionByName(cold)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -100,14 +111,14 @@ def bands_needed(similarity: float, miss: float, rows: int = 1) -> int:
     return n
 
 
-def thinned(df: DataFrame, key: str, rows: float) -> DataFrame:
-    """About ``rows`` rows of ``df``, all if it has no more: those whose hash of ``key`` is low enough.
+def thinned(df: DataFrame, keys: list[str], rows: float) -> DataFrame:
+    """About ``rows`` rows of ``df``, all if it has no more: those whose hash of ``keys`` is low enough.
 
     For fits with a bound. A plain top-k by hash has every task send k rows, which grows with the
     number of tasks; after this the whole job sends about ``rows``.
     """
     n = df.count()
-    uniform = F.xxhash64(key).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    uniform = F.xxhash64(*keys).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     return df if n <= rows else df.where(uniform < rows / n)
 
 

@@ -12,6 +12,8 @@ from .common import bands_needed, hash_masks, materialize, shingle_hashes
 SHINGLE = 5
 #: Band rows of the searched items that are broadcast at most (about 60 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Tasks that the windows of one key are dealt to where keys are joined by shuffle.
+SALTS = 8
 
 
 @dataclass(frozen=True)
@@ -108,7 +110,7 @@ def find_contained(
 
     Retrieved spans are all verified exactly. Nothing of a document is shuffled while the items'
     band rows number ``broadcast_rows`` or fewer (checked); beyond that keys alone are joined by
-    shuffle, and documents with a hit are hashed again for verification. Texts of under five words
+    shuffle, and only documents with a hit are read and hashed again for verification. Texts of under five words
     have no shingle: such items are not looked for and such documents contain nothing. Null texts
     are empty; rows of equal id count as one, null being an id like others; an empty side gives an empty result.
     """
@@ -142,8 +144,14 @@ def find_contained(
         found = spans(windows.join(F.broadcast(keys), "key"))
         sets = F.broadcast(sized.select("__item", "__set"))
     else:
-        hits = windows.select(F.col(doc).alias("__doc"), "pos", "key").join(keys, "key").select("__doc", "__item", "n", "off", "pos").distinct()
-        found = spans(hits.join(hashed, F.col("__doc").eqNullSafe(F.col(doc))))
+        # A passage that very many documents share is one key: its windows are dealt to SALTS tasks.
+        salted = windows.select(F.col(doc).alias("__doc"), "pos", "key", F.pmod(F.xxhash64(F.col(doc), "pos"), F.lit(SALTS)).alias("__salt"))
+        every = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        hits = materialize(salted.join(every, ["key", "__salt"]).select("__doc", "__item", "n", "off", "pos").distinct(), "contained-hits")
+        ids = materialize(hits.select("__doc").distinct(), "contained-docs")
+        ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+        some = shingled(docs.join(ids, F.col(doc).eqNullSafe(F.col("__doc")), "left_semi"), doc)
+        found = spans(hits.join(some, F.col("__doc").eqNullSafe(F.col(doc))))
         sets = sized.select("__item", "__set")
     share = F.size(F.array_intersect("__set", "__span")) / F.size("__set")
     return (

@@ -8,11 +8,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
+#: Where the rank file of the vocabulary is, unless the session's setting ``replimerge.vocabulary`` says otherwise.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern of that vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -61,20 +63,25 @@ def section_rows(text: str, enc, byte_lengths: np.ndarray) -> tuple[list[int], l
     return [0, *ends[:-1].tolist()], ends.tolist(), counts.tolist()
 
 
-def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, section, start, end, n_tokens``: one row for each line of each ``text``.
 
     The whole document is encoded once, so counts add up to the document's own number of tokens;
     encoding lines apart would not. Sections are lines with their ``\\n``; offsets are code points,
     end exclusive. Boundary rule: see :func:`attribute`. Null and empty texts have one section of no
     tokens; a repeated row repeats its sections; an empty table gives an empty result. Work is per
-    row and streams through Arrow batches: nothing is shuffled, and no prefix is cut off.
+    row and streams through Arrow batches: nothing is shuffled, and no prefix is cut off. The rank
+    file ``vocabulary`` (a path that the driver reads) goes with the job to its executors.
     """
+    spark = docs.sparkSession
+    vocabulary = vocabulary or spark.conf.get("replimerge.vocabulary", VOCABULARY)
+    spark.sparkContext.addFile(vocabulary)
+    name = vocabulary.rpartition("/")[2]
     schema = "doc_id long, section int, start long, end long, n_tokens long"
     arrow = pa.schema([("doc_id", pa.int64()), ("section", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, lengths = encoder(vocabulary)
+        enc, lengths = encoder(SparkFiles.get(name))
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
