@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch
 from .common import materialize, table, thinned, words
 from .quality_rules import text_statistics
 
@@ -49,17 +49,34 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     return counted.select(*keep, *[F.expr(e).cast("double").alias(n) for n, e in STATISTICS.items()])
 
 
-def tree_paths(debug: str) -> list[list[tuple[int, str, float]]]:
-    """The paths from the root to every node below it, from a Spark tree model's description."""
-    found, path = [], []
-    for line in debug.splitlines():
-        m = re.match(r"( *)(?:If|Else) \(feature (\d+) (<=|>) ([-+.\dEe]+)\)", line)
-        if m:
-            path = [p for p in path if p[0] < len(m[1])] + [(len(m[1]), (int(m[2]), m[3], float(m[4])))]
-            found.append([c for _, c in path])
+def tree_paths(nodes: list[dict]) -> list[list[tuple[int, str, float]]]:
+    """The paths from the root (id 0) to every node below it, from a tree's rows of ``id, leftChild, rightChild, split``."""
+    by, found = {n["id"]: n for n in nodes}, []
+
+    def walk(at: int, path: list[tuple[int, str, float]]) -> None:
+        n = by[at]
+        if n["leftChild"] < 0:
+            return
+        feature, value = n["split"]["featureIndex"], n["split"]["leftCategoriesOrThreshold"][0]
+        for child, op in ((n["leftChild"], "<="), (n["rightChild"], ">")):
+            found.append([*path, (feature, op, value)])
+            walk(child, found[-1])
+
+    walk(0, [])
     return found
 
 
+def forest_paths(spark: SparkSession, forest: RandomForestClassificationModel) -> list[list[tuple[int, str, float]]]:
+    """:func:`tree_paths` of all trees, from the node table that Spark saves a forest as; at most trees x 2**(depth + 1) rows."""
+    with scratch(spark) as folder:
+        forest.save(f"{folder}/forest")
+        rows = spark.read.parquet(f"{folder}/forest/data").select("treeID", "nodeData.*").collect()
+    trees: dict[int, list[dict]] = {}
+    for r in rows:
+        trees.setdefault(r["treeID"], []).append(r.asDict(recursive=True))
+    return [p for t in sorted(trees) for p in tree_paths(trees[t])]
+
+
 def simplify(path: list[tuple[int, str, float]], names: list[str]) -> tuple[Condition, ...]:
     """The tightest bound of each statistic and side, in a fixed order."""
     best: dict[tuple[str, str], float] = {}
@@ -80,19 +97,20 @@ def fit_rules(labelled: DataFrame, trees: int = 20, depth: int = 3, penalty: flo
     """Fit the ensemble on rows of statistics and ``quality`` (0 or 1; others are left out).
 
     A random forest proposes rules, the paths to all its nodes; logistic regression with an L1
-    penalty keeps few of them. Without rows of both labels the model is the smoothed share of 1.
+    penalty keeps few of them. Without rows of both labels, or where no statistic tells them apart,
+    the model is the smoothed share of 1.
     """
     rows = labelled.where(F.col("quality").isin(0, 1)).select(*STATISTICS, F.col("quality").cast("double").alias("label"))
     n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    share = RuleModel(math.log((n.get(1.0, 0) + 1) / (n.get(0.0, 0) + 1)))
     if len(n) < 2:
-        good, bad = n.get(1.0, 0) + 1, n.get(0.0, 0) + 1
-        return RuleModel(math.log(good / bad))
+        return share
     names = list(STATISTICS)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", cacheNodeIds=False)
     grown = forest.fit(rows.select("label", array_to_vector(F.array(*names)).alias("features")))
-    rules = sorted({simplify(p, names) for p in tree_paths(grown.toDebugString)})
+    rules = sorted({simplify(p, names) for p in forest_paths(rows.sparkSession, grown)})
     if not rules:
-        return fit_rules(labelled.where("quality = 1"))
+        return share
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60)
     weights = lasso.fit(rows.select("label", array_to_vector(F.array(*[holds(r) for r in rules])).alias("features")))
     kept = [(float(w), list(r)) for w, r in zip(weights.coefficients, rules, strict=True) if w]
@@ -113,7 +131,7 @@ def held_out() -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """Statistics and label of labelled documents that are not held out: at most ``max_rows``, least hash of doc_id first."""
     pick = labels.where(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    pick = thinned(pick, "doc_id", 2.0 * max_rows).orderBy(F.xxhash64("doc_id"), "quality").limit(max_rows)
+    pick = thinned(pick, ["doc_id"], 2.0 * max_rows).orderBy(F.xxhash64("doc_id"), "quality").limit(max_rows)
     return statistics(docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id"), ["quality"])
 
 
