@@ -72,7 +72,7 @@ _TRIGGER = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"\s")
 _PIECE = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
 #: Pieces of an entity at most: what bounds the dynamic program to n * MAX_PIECES segments.
-MAX_PIECES = 14
+MAX_PIECES = 18
 _CONTEXT = 24
 
 
@@ -199,6 +199,7 @@ def train_crf(samples: list[str], steps: int = 15_000, rate: float = 0.3, decay:
     """Weights (feature x kind) by ``steps`` of AdaGrad ascent on texts labelled by the base patterns and their variants.
 
     Outside a segment a piece scores 0, so a kind's weights say how much likelier it is than none.
+    Regions with a labelled span of more than ``MAX_PIECES`` pieces teach nothing and are left out.
     """
     cases = []
     for text in samples:
@@ -207,11 +208,10 @@ def train_crf(samples: list[str], steps: int = 15_000, rate: float = 0.3, decay:
             assert all(any(a <= s and e <= b for a, b in found) for s, _, e in spans), "a labelled span lies outside the regions"
             for start, end in found:
                 cuts, segments, rows = candidates(variant, start, end)
-                if not segments or len(cuts) > 400:
-                    continue
-                at = {c: i for i, c in enumerate(cuts)}
-                gold = {(at[s], at[e]): KINDS.index(k) for s, k, e in spans if s in at and e in at}
-                cases.append((len(cuts) - 1, segments, rows, gold))
+                at, known = {c: i for i, c in enumerate(cuts)}, set(segments)
+                gold = {(at.get(s), at.get(e)): KINDS.index(k) for s, k, e in spans if start <= s and e <= end}
+                if segments and known.issuperset(gold):
+                    cases.append((len(cuts) - 1, segments, rows, gold))
     weights = np.full((N_FEATURES, len(KINDS)), -0.5)
     squares = np.full_like(weights, 1e-2)
     order = np.random.default_rng(5)
@@ -223,56 +223,74 @@ def train_crf(samples: list[str], steps: int = 15_000, rate: float = 0.3, decay:
     return weights
 
 
+def other_forms(kind: str, old: str) -> list[str]:
+    """Ways to write what a base pattern found that the patterns miss."""
+    name, _, host = old.partition("@")
+    plain, last = re.sub("[._]?[0-9]+", "", name) or name, ".".join(host.split(".")[-2:])
+    short = re.sub(r"^\+[0-9]{1,3}[ .-]", "", old)
+    digits = _digits(old)
+    fours = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+    forms = {
+        "email": [f"{name} @ {host}", f"{plain} @ {last}", f"{plain}.{plain} @ {last}"],
+        "ip": [old.replace(".", " . "), old.replace(".", "[.]")],
+        "card": [" - ".join(fours), ".".join(fours), "  ".join(fours)],
+        "phone": [short, re.sub("[.-]", r" \g<0> ", short), re.sub(r"^([0-9]{3})[ .-]", r"(\1) ", short), re.sub("[ -]", ".", short)],
+    }
+    return [f for f in dict.fromkeys(forms[kind]) if f != old and not any(s == 0 and e == len(f) for s, _, e in base_spans(f))]
+
+
 def variants(text: str) -> Iterator[tuple[str, list[Span]]]:
-    """The text with its base spans, and with forms that the base patterns miss: no country code, spaces about @, - and dots; e-mails also with plain names and short hosts."""
+    """The text with its base spans, and the surroundings of each span with it in :func:`other_forms`."""
     spans = base_spans(text)
     yield text, spans
-    for s, kind, e in spans[:4]:
-        old = text[s:e]
-        short = re.sub(r"^\+[0-9]{1,3}[ .-]", "", old)
-        name, _, host = old.partition("@")
-        plain, last = re.sub("[._]?[0-9]+", "", name) or name, ".".join(host.split(".")[-2:])
-        emails = [f"{name} @ {host}", f"{plain} @ {last}", f"{plain}.{plain} @ {last}"]
-        forms = {"phone": [short, re.sub("[.-]", r" \g<0> ", short)], "email": emails, "ip": [old.replace(".", " . ")]}
-        for new in dict.fromkeys(forms.get(kind, [])):
-            if new != old:
-                left, right = text[max(0, s - _CONTEXT) : s], text[e : e + _CONTEXT]
-                yield left + new + right, [(len(left), kind, len(left) + len(new))]
+    for s, kind, e in spans:
+        old, left, right = text[s:e], text[max(0, s - _CONTEXT) : s], text[e : e + _CONTEXT]
+        for new in other_forms(kind, old):
+            yield left + new + right, [(len(left), kind, len(left) + len(new))]
+        if kind == "card":  # the pattern runs the number before it into the card and then drops both
+            yield f"{left}12 {old}{right}", [(len(left) + 3, kind, len(left) + 3 + len(old))]
         if kind == "email":  # two words about an @, and no host
-            yield f"{text[max(0, s - _CONTEXT) : s]}{plain} @ {host.partition('.')[0]} {text[e : e + _CONTEXT]}", []
+            name, _, host = old.partition("@")
+            yield f"{left}{re.sub('[._]?[0-9]+', '', name) or name} @ {host.partition('.')[0]} {right}", []
 
 
 def decode(text: str, weights: np.ndarray, margin: float = 0.5) -> list[Span]:
-    """The best segmentation of each region; segments that beat no entity by ``margin`` (log odds) or more."""
+    """The best segmentation of each region, where a segment counts ``margin`` (log odds) less than its score.
+
+    Boundaries and kinds are chosen jointly by that sum; all pieces in no segment count 0.
+    """
     found: list[Span] = []
     for start, end in regions(text):
         cuts, segments, rows = candidates(text, start, end)
         if not segments:
             continue
-        scores = weights[rows].sum(axis=1)
-        kind, best = scores.argmax(axis=1), scores.max(axis=1)
-        ends: dict[int, list[int]] = {}
-        for k, (_, j) in enumerate(segments):
-            if best[k] > 0:
-                ends.setdefault(j, []).append(k)
-        total, back = [0.0] * len(cuts), [-1] * len(cuts)
-        for b in range(1, len(cuts)):
-            total[b] = total[b - 1]
-            for k in ends.get(b, ()):
-                if (t := total[segments[k][0]] + best[k]) > total[b]:
-                    total[b], back[b] = t, k
-        b = len(cuts) - 1
-        while b > 0:
-            if back[b] < 0:
-                b -= 1
-                continue
-            k = back[b]
-            if best[k] >= margin:
-                found.append((cuts[segments[k][0]], KINDS[kind[k]], cuts[segments[k][1]]))
-            b = segments[k][0]
+        scores = weights[rows].sum(axis=1) - margin
+        found += [(cuts[segments[k][0]], KINDS[int(scores[k].argmax())], cuts[segments[k][1]]) for k in best_segments(len(cuts) - 1, segments, scores.max(axis=1))]
     return found
 
 
+def best_segments(n: int, segments: list[tuple[int, int]], gains: np.ndarray) -> list[int]:
+    """Indices of the ``segments`` of ``n`` pieces that don't overlap and of which the ``gains`` sum to the most."""
+    ends: dict[int, list[int]] = {}
+    for k, (_, j) in enumerate(segments):
+        if gains[k] > 0:
+            ends.setdefault(j, []).append(k)
+    total, back = [0.0] * (n + 1), [-1] * (n + 1)
+    for b in range(1, n + 1):
+        total[b] = total[b - 1]
+        for k in ends.get(b, ()):
+            if (t := total[segments[k][0]] + gains[k]) > total[b]:
+                total[b], back[b] = t, k
+    out, b = [], n
+    while b > 0:
+        if back[b] < 0:
+            b -= 1
+        else:
+            out.append(back[b])
+            b = segments[back[b]][0]
+    return out[::-1]
+
+
 def all_spans(text: str, weights: np.ndarray, margin: float = 0.5) -> tuple[list[Span], list[Span]]:
     """Base spans, and base spans with the decoded ones that touch none of them."""
     base = base_spans(text)
@@ -305,7 +323,7 @@ def training_samples(docs: DataFrame, max_texts: int = 400, max_chars: int = 300
     """
     near = F.regexp_extract("text", rf"(?s)(.{{0,{_CONTEXT}}}(?:\+[0-9]|[0-9@]).{{0,{max_chars - _CONTEXT}}})", 1)
     plus = F.regexp_extract("text", rf"(?s)(.{{0,{_CONTEXT}}}(?:\+[0-9]|[A-Za-z]@|[0-9]\.[0-9]|[0-9]{{4}}).{{0,{max_chars - _CONTEXT}}})", 1)
-    some = thinned(docs, "doc_id", 100.0 * max_texts)
+    some = thinned(docs, ["doc_id", "text"], 100.0 * max_texts)
     found = some.where(F.col("text").rlike("[0-9@]")).select(F.when(plus != "", plus).otherwise(near).alias("t"))
     return [r[0] for r in found.orderBy(F.xxhash64("t"), "t").limit(max_texts).collect()]
 
