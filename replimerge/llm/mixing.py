@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, n_words, table
+from .common import fresh, join_per_key, materialize, n_words, table
 
 #: Hex digits of the key that tell its range.
 _RANGE_DIGITS = 8
+#: Sources whose cuts are broadcast at most (about 200 bytes each); more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
@@ -39,6 +41,50 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     )
 
 
+def with_source(rows: DataFrame, per_source: DataFrame, source: str, n: str, broadcast_sources: int) -> DataFrame:
+    """``rows`` with the columns of the one ``per_source`` row of its source, null being a source like others.
+
+    ``per_source`` has the source in the column ``source`` and the number of its rows in ``n``; both are dropped.
+    """
+    if per_source.count() <= broadcast_sources:
+        return rows.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col(source))).drop(source, n)
+    key = fresh(rows, "__of")
+    named = lambda c: F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c), F.lit("")))
+    kept = materialize(per_source.withColumn(key, named(source)).drop(source), "mix-sources")
+    return join_per_key(rows.withColumn(key, named("source")), kept, key, n).drop(key, n)
+
+
+def source_cuts(rows: DataFrame, weights: tuple[int, ...], share: float, epochs: int, range_rows: int, broadcast_sources: int) -> DataFrame:
+    """Where each source of ``rows`` (``source, size, key, salt``) is cut: ``s, rows, source_size, target, whole, at, part``.
+
+    A source's rows, in the order of (key, size, salt), are taken ``whole`` times each; those before
+    ``at`` once more, and at ``at`` ``part`` words of each row. The rows of a source are summed by
+    ranges of the uniform key, about ``range_rows`` each; the sums tell the range in which the cut
+    lies, and only that range is sorted. So no source, however large, is sorted in one task.
+    """
+    targets = source_targets(rows.select("source", "size"), weights, share, epochs).withColumnRenamed("source", "s")
+    budget = F.floor("target").cast("long")
+    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
+    targets = targets.withColumn("whole", whole).withColumn("rest", budget - F.col("whole") * F.col("source_size"))
+    targets = materialize(targets.withColumn("pieces", F.ceil(F.col("source_rows") / range_rows)), "mix-targets")
+    piece = F.floor(F.conv(F.substring("key", 1, _RANGE_DIGITS), 16, 10).cast("long") * F.col("pieces") / F.lit(16**_RANGE_DIGITS)).cast("long")
+    ranged = with_source(rows, targets.select("s", "source_rows", "pieces"), "s", "source_rows", broadcast_sources).withColumn("range", piece)
+    ranged = materialize(ranged.select("source", "range", "size", "key", "salt"), "mix-ranges")
+    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("n"))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    own = F.col("source").eqNullSafe(F.col("s"))
+    cut_range = sums.join(targets.select("s", "rest"), own).where("rest > before and rest <= before + n").select("s", "range", "rest", "before")
+    cut_range = materialize(cut_range.withColumnRenamed("range", "r"), "mix-cuts")
+    near = ranged.join(F.broadcast(cut_range) if cut_range.count() <= broadcast_sources else cut_range, own & (F.col("range") == F.col("r")))
+    equal = near.groupBy("s", "rest", "before", F.struct("key", "size", "salt").alias("at")).agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("n"))
+    so_far = Window.partitionBy("s").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    equal = equal.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+    cut = equal.where("rest > before and rest <= before + n").select(F.col("s").alias("c"), "at", F.floor((F.col("rest") - F.col("before")) / F.col("m")).cast("long").alias("part"))
+    joined = targets.join(cut, F.col("s").eqNullSafe(F.col("c")), "left")
+    return materialize(joined.select("s", F.col("source_rows").alias("rows"), "source_size", "target", "whole", "at", "part"), "mix-cuts")
+
+
 def mix_sources(
     docs: DataFrame,
     size: Column | None = None,
@@ -47,57 +93,34 @@ def mix_sources(
     epochs: int = 2,
     seed: str = "mix",
     range_rows: int = 5_000,
+    broadcast_sources: int = BROADCAST_SOURCES,
 ) -> DataFrame:
     """Cut every source of ``docs`` (``doc_id, source, text``) to its target number of words.
 
-    Each row gets a key, the MD5 of seed and doc_id. Rows of a source are dealt by ranges of that
-    uniform key, about ``range_rows`` each, so a source of any size is sorted and summed in many
-    tasks; sums of the ranges before give the offset. A source runs whole epochs while its target
+    Each row gets a key, the MD5 of seed and doc_id. A source runs whole epochs while its target
     lasts, then takes rows in key order, the one on the boundary in part: its taken words are
-    exactly ``floor(target)``.
+    exactly ``floor(target)``. Where a source is cut is worked out from narrow rows (see
+    :func:`source_cuts`); ``taken`` is then a column over ``docs``, of which nothing is shuffled.
 
     Adds ``size, source_size, target, taken`` (columns of those names are replaced) and keeps all
-    rows. Null text has size 0; null source is a source of its own; rows that repeat count each,
-    and which of several equal rows is cut is immaterial; an empty table gives an empty result.
+    rows and other columns, whatever their names. Null text has size 0; null source is a source of
+    its own; rows without doc_id share a key and are told apart by their text's hash; rows that repeat
+    count each, and equal rows on the boundary share its words evenly, rounded down; an empty table
+    gives an empty result.
     """
     own = [c for c in docs.columns if c.lower() not in {"size", "source_size", "target", "taken"}]
-    size = n_words(F.col("text")) if size is None else size
-    rows = docs.withColumn("__size", size.cast("long")).select(*own, F.col("__size").alias("size"))
-    key, rng, pre, run = (fresh(rows, n) for n in ("__key", "__range", "__before", "__run"))
-    rows = rows.withColumn(key, F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
-    share_of = F.conv(F.substring(key, 1, _RANGE_DIGITS), 16, 10).cast("long")
-    s = fresh(rows, "__source")
-    targets = source_targets(rows.select("source", "size"), weights, share, epochs).withColumnRenamed("source", s)
-
-    def ranged(df: DataFrame) -> DataFrame:
-        pieces = F.ceil(F.col("source_rows") / range_rows)
-        return (
-            df.join(targets, F.col("source").eqNullSafe(F.col(s)))
-            .drop(s)
-            .withColumn(rng, F.floor(share_of * pieces / F.lit(16**_RANGE_DIGITS)).cast("long"))
-            .drop("source_rows")
-        )
-
-    in_source = Window.partitionBy(s).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    sums = (
-        ranged(rows.select("source", "size", key))
-        .groupBy(F.col("source").alias(s), F.col(rng).alias("__r"))
-        .agg(F.sum("size").alias("__n"))
-        .withColumn(pre, F.coalesce(F.sum("__n").over(in_source), F.lit(0)))
-        .select(s, "__r", pre)
-    )
-    in_range = Window.partitionBy("source", rng).orderBy(key, "size").rowsBetween(Window.unboundedPreceding, -1)
-    budget = F.floor("target").cast("long")
-    full = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - full * F.col("source_size")
-    part = F.least(F.greatest(rest - F.col(pre) - F.col(run), F.lit(0)), F.col("size"))
-    return (
-        ranged(rows)
-        .withColumn(run, F.coalesce(F.sum("size").over(in_range), F.lit(0)))
-        .join(sums, F.col("source").eqNullSafe(F.col(s)) & (F.col(rng) == F.col("__r")))
-        .withColumn("taken", full * F.col("size") + part)
-        .select(*own, "size", "source_size", "target", "taken")
-    )
+    words = (n_words(F.col("text")) if size is None else size).cast("long")
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
+    salt = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+    row = F.struct(key.alias("key"), words.alias("size"), salt.alias("salt"))
+    narrow = materialize(docs.select("source", row.alias("row")).select("source", "row.*"), "mix-rows")
+    cuts = source_cuts(narrow, weights, share, epochs, range_rows, broadcast_sources).withColumnsRenamed({"source_size": "total"})
+    # The rows' own columns stay in a struct, so that none of their names can clash.
+    kept = docs.select(F.struct(*own).alias("doc"), "source", row.alias("row"))
+    part = F.when(F.col("row") < F.col("at"), F.col("row.size")).when(F.col("row") == F.col("at"), F.col("part")).otherwise(0)
+    taken = F.col("whole") * F.col("row.size") + part
+    found = with_source(kept, cuts, "s", "rows", broadcast_sources)
+    return found.select("doc.*", F.col("row.size").alias("size"), F.col("total").alias("source_size"), "target", taken.cast("long").alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
