@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, shingle_hashes, table, words
-
-#: Metric -> (absolute slack, whether low values fail too). Metrics are whole numbers, most of them per mille.
-METRICS = {"m_symbols": (100, False), "m_dup_lines": (300, False), "m_capitals": (300, False), "m_word_length": (4000, True)}
+from .common import join_per_key, materialize, shingle_hashes, table, words
+
+#: Metric -> (lower quantile, upper quantile, spreads beyond them, whether low values fail too).
+#: Metrics are whole numbers per mille; all else about a fence comes from the sketches.
+METRICS = {
+    "m_symbols": (0.25, 0.75, 20, False),
+    "m_dup_lines": (0.5, 0.99, 1, False),
+    "m_capitals": (0.05, 0.95, 3, False),
+    "m_word_length": (0.25, 0.75, 6, True),
+}
+_LEVELS = sorted({q for low, high, _, _ in METRICS.values() for q in (low, high)})
+#: Groups whose fences are broadcast at most (about 100 bytes each); more are joined by shuffle.
+BROADCAST_GROUPS = 100_000
 BASE_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Values below 2**_EXACT_BITS have a cell of their own; above, cells are 1/2**(_EXACT_BITS - 1) of the value wide.
 _EXACT_BITS = 6
@@ -76,18 +85,17 @@ def _metrics() -> dict[str, Column]:
     }
 
 
-def sketch_cell(value: Column) -> Column:
-    """Lowest value of the cell of a log-linear histogram that holds ``value`` (>= 0)."""
-    shift = F.greatest(F.length(F.bin(value)) - _EXACT_BITS, F.lit(0))
-    return F.when(shift == 0, value).otherwise(value - F.pmod(value, F.pow(F.lit(2), shift).cast("long")))
+def cell_width(value: Column) -> Column:
+    """Width of the cell of a log-linear histogram that holds ``value`` (>= 0)."""
+    return F.pow(F.lit(2), F.greatest(F.length(F.bin(value)) - _EXACT_BITS, F.lit(0))).cast("long")
 
 
-def quantile_sketch(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """``keys, metric, cell, n``: a log-linear histogram of each metric and key.
+def sketch_cell(value: Column) -> Column:
+    """Lowest value of that cell."""
+    return value - F.pmod(value, cell_width(value))
 
-    Its rows merge by adding ``n``, in any order, to the same result; cells are within 1/32 of their
-    values, so their number is bounded whatever the number of rows.
-    """
+
+def _sketch(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])
     return (
         df.select(*keys, F.explode(pairs).alias("__p"))
@@ -97,6 +105,16 @@ def quantile_sketch(df: DataFrame, keys: list[str], metrics: list[str]) -> DataF
     )
 
 
+def quantile_sketch(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """``keys, metric, cell, n``: a log-linear histogram of each metric and key.
+
+    Its rows merge by adding ``n``, in any order, to the same result; cells are within 1/32 of their
+    values, so their number is bounded whatever the number of rows. The metrics are written out
+    first: as expressions they would be worked out again for each of them.
+    """
+    return _sketch(materialize(df.select(*keys, *metrics), "sketch-input"), keys, metrics)
+
+
 def merge_sketches(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "cell").agg(F.sum("n").alias("n"))
 
@@ -112,22 +130,31 @@ def sketch_quantiles(sketch: DataFrame, keys: list[str], quantiles: dict[str, fl
     )
 
 
-def adaptive_fences(stats: DataFrame, spread: float = 4.0, min_rows: int = 100) -> DataFrame:
-    """``lang, source`` and, for each metric, its lowest and highest accepted value.
+def adaptive_fences(stats: DataFrame, min_rows: int = 100) -> DataFrame:
+    """``lang, source, rows`` and, in ``fences``, each metric's lowest and highest accepted value.
 
-    A fence lies ``spread`` interquartile ranges, and the metric's slack, beyond the quartiles of the
-    rows of that language and source. Groups of under ``min_rows`` rows take the fences of their
-    language, those of a small language the fences of all rows; both are merged from the same sketch.
+    A fence lies some spreads beyond a quantile of the rows of that language and source
+    (``METRICS``); the spread is the distance of the upper from the lower quantile. A sketch tells
+    values no closer than a cell apart, so the spread is that of the upper quantile's cell at least:
+    this is the rule for groups of which most rows have one value. Groups of under ``min_rows`` rows
+    take the fences of their language, those of a small language the fences of all rows; both are
+    merged from the same sketch.
     """
-    quarters = {"q1": 0.25, "q3": 0.75}
     names = list(METRICS)
     sketch = materialize(quantile_sketch(stats, ["lang", "source"], names), "quality-sketch")
+    level = lambda q: f"q{round(1000 * q)}"
+
+    def chosen(i: int) -> Column:
+        out = F.lit(None).cast("long")
+        for m, row in METRICS.items():
+            out = F.when(F.col("metric") == m, F.col(level(row[i])) if i < 2 else F.lit(row[i])).otherwise(out)
+        return out
 
     def fences(df: DataFrame, keys: list[str]) -> DataFrame:
-        slack = F.create_map(*[F.lit(x) for m, (s, _) in METRICS.items() for x in (m, s)])[F.col("metric")]
-        q = sketch_quantiles(df, keys, quarters)
-        reach = F.lit(spread) * (F.col("q3") - F.col("q1")) + slack
-        q = q.withColumn("fence", F.struct((F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high")))
+        q = sketch_quantiles(df, keys, {level(x): x for x in _LEVELS})
+        q = q.select(*keys, "metric", "rows", chosen(0).alias("a"), chosen(1).alias("b"), chosen(2).alias("spreads"))
+        reach = F.col("spreads") * F.greatest(F.col("b") - F.col("a"), cell_width(F.col("b")))
+        q = q.withColumn("fence", F.struct((F.col("a") - reach).alias("low"), (F.col("b") + reach).alias("high")))
         of = lambda m: F.max(F.when(F.col("metric") == m, F.col("fence")))
         return q.groupBy(*keys).agg(F.struct(F.max("rows").alias("rows"), *[of(m).alias(m) for m in names]).alias("f"))
 
@@ -136,13 +163,14 @@ def adaptive_fences(stats: DataFrame, spread: float = 4.0, min_rows: int = 100)
     row = fences(merge_sketches(sketch.withColumn("__one", F.lit(1)), ["__one"]), ["__one"]).select("f.*").first()
     every = F.col("f")
     if row is not None:  # one row, of as many numbers as metrics: it becomes part of the expression
-        every = F.struct(F.lit(row["rows"]).cast("long").alias("rows"), *[F.struct(*[F.lit(row[m][k]).alias(k) for k in ("low", "high")]).alias(m) for m in names])
+        every = F.struct(F.lit(row["rows"]).cast("long").alias("rows"), *[F.struct(*[F.lit(row[m][k]).cast("long").alias(k) for k in ("low", "high")]).alias(m) for m in names])
     big = lambda f: F.col(f"{f}.rows") >= min_rows
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("__lang")))
-    return joined.select("lang", "source", F.when(big("f"), F.col("f")).when(big("g"), F.col("g")).otherwise(every).alias("fences"))
+    best = F.when(big("f"), F.col("f")).when(big("g"), F.col("g")).otherwise(every)
+    return joined.select("lang", "source", F.col("f.rows").alias("rows"), best.alias("fences"))
 
 
-def apply_quality_rules(docs: DataFrame, spread: float = 4.0, min_rows: int = 100) -> DataFrame:
+def apply_quality_rules(docs: DataFrame, min_rows: int = 100) -> DataFrame:
     """Statistics, ``base_failed`` and ``kept`` for each row of ``docs`` (``doc_id, lang, source, text``).
 
     ``base_failed``: under 10 words, or over a fifth of the words in repeated five-word windows.
@@ -152,39 +180,45 @@ def apply_quality_rules(docs: DataFrame, spread: float = 4.0, min_rows: int = 10
     an empty table gives an empty result. Columns other than those named are not carried.
     """
     stats = text_statistics(docs.select("doc_id", "lang", "source", "text"), ["doc_id", "lang", "source"])
-    stats = stats.withColumns({"base_failed": base_failed(), **_metrics()})
-    return judge(materialize(stats, "quality-stats"), spread, min_rows)
+    stats = materialize(stats.withColumns({"base_failed": base_failed(), **_metrics()}), "quality-stats")
+    fences = materialize(adaptive_fences(stats.where("not base_failed"), min_rows), "quality-fences")
+    return verdict(stats, fences).withColumn("kept", F.col("verdict") == "kept").drop("verdict")
 
 
-def verdict(stats: DataFrame, fences: DataFrame) -> DataFrame:
+def verdict(stats: DataFrame, fences: DataFrame, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """``stats`` with the column ``verdict``: base, fence or kept. One expression over both sides of
-    the join, so that Spark does not work out the statistics again to filter earlier."""
-    fences = fences.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "fences")
+    the join, so that Spark does not work out the statistics again to filter earlier.
+
+    ``fences`` (written out) are broadcast if they are few, and no row of ``stats`` is shuffled; else joined by shuffle, hot groups apart.
+    """
     beyond = F.lit(False)
-    for m, (_, low) in METRICS.items():
+    for m, (*_, low) in METRICS.items():
         beyond = beyond | (F.col(m) > F.col(f"fences.{m}.high"))
         beyond = beyond | (F.col(m) < F.col(f"fences.{m}.low")) if low else beyond
-    same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
     told = F.when(F.col("base_failed"), F.lit("base")).when(beyond, F.lit("fence")).otherwise(F.lit("kept"))
-    return stats.join(fences, same, "left").withColumn("verdict", told).drop("__lang", "__source", "fences")
-
-
-def judge(stats: DataFrame, spread: float, min_rows: int) -> DataFrame:
-    fences = adaptive_fences(stats.where("not base_failed"), spread, min_rows)
-    return verdict(stats, fences).withColumn("kept", F.col("verdict") == "kept").drop("verdict")
-
-
-def filter_quality(docs: DataFrame, spread: float = 4.0, min_rows: int = 100) -> DataFrame:
+    if fences.count() <= broadcast_groups:
+        named = F.broadcast(fences.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "fences"))
+        same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
+        return stats.join(named, same, "left").withColumn("verdict", told).drop("__lang", "__source", "fences")
+    one = lambda c: F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.length(F.coalesce(c, F.lit(""))), F.lit(":"), F.coalesce(c, F.lit("")))
+    group = F.concat(one("lang"), one("source"))
+    per_group = fences.select(group.alias("__group"), F.col("rows").alias("__rows"), "fences")
+    joined = join_per_key(stats.withColumn("__group", group), per_group, "__group", "__rows", "left")
+    return joined.withColumn("verdict", told).drop("__group", "__rows", "fences")
+
+
+def filter_quality(docs: DataFrame, min_rows: int = 100) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns (any names, as they are kept in a struct meanwhile).
 
-    Texts are read twice and never shuffled: once for the fences, once to judge each row.
+    Nulls, repeats and empty tables as in :func:`apply_quality_rules`. Texts are read twice and
+    never shuffled: once for the fences, once to judge each row.
     """
 
     def measured(df: DataFrame, keep: list[str]) -> DataFrame:
         return text_statistics(df, keep).withColumns({"base_failed": base_failed(), **_metrics()})
 
     first = materialize(measured(docs.select("lang", "source", "text"), ["lang", "source"]), "quality-stats")
-    fences = materialize(adaptive_fences(first.where("not base_failed"), spread, min_rows), "quality-fences")
+    fences = materialize(adaptive_fences(first.where("not base_failed"), min_rows), "quality-fences")
     again = measured(docs.select(F.struct("*").alias("__doc"), "lang", "source", "text"), ["__doc", "lang", "source"])
     return verdict(again, fences).where("verdict = 'kept'").select("__doc.*")
 
@@ -224,12 +258,14 @@ grouped AS (
 ranked AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total,
          sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY cell) AS up_to FROM grouped),
-quarters AS (
-  SELECT level, lang, source, metric, max(total) AS total, min(cell) FILTER (up_to >= 0.25 * total) AS q1, min(cell) FILTER (up_to >= 0.75 * total) AS q3
-  FROM ranked GROUP BY ALL),
+levels AS (
+  SELECT * FROM (VALUES ('m_symbols', 0.25, 0.75, 20), ('m_dup_lines', 0.5, 0.99, 1), ('m_capitals', 0.05, 0.95, 3), ('m_word_length', 0.25, 0.75, 6)) AS v(metric, p, q, spreads)),
+quantiles AS (
+  SELECT level, lang, source, r.metric, max(total) AS total, min(cell) FILTER (up_to >= p * total) AS a, min(cell) FILTER (up_to >= q * total) AS b, max(spreads) AS spreads
+  FROM ranked r JOIN levels l ON l.metric = r.metric GROUP BY level, lang, source, r.metric),
 fences AS (
-  SELECT *, q3 + 4 * (q3 - q1) + CASE metric WHEN 'm_symbols' THEN 100 WHEN 'm_word_length' THEN 4000 ELSE 300 END AS high,
-         CASE WHEN metric = 'm_word_length' THEN q1 - 4 * (q3 - q1) - 4000 ELSE -1 END AS low FROM quarters),
+  SELECT level, lang, source, metric, total, b + spreads * greatest(b - a, CAST(pow(2, greatest(length(bin(b)) - 6, 0)) AS BIGINT)) AS high,
+         CASE WHEN metric = 'm_word_length' THEN a - spreads * greatest(b - a, CAST(pow(2, greatest(length(bin(b)) - 6, 0)) AS BIGINT)) ELSE -1 END AS low FROM quantiles),
 chosen AS (
   SELECT a.lang, a.source, a.metric,
          CASE WHEN a.total >= 100 THEN a.high WHEN b.total >= 100 THEN b.high ELSE c.high END AS high,
