@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bands_needed, fresh, materialize, table
-from .containment import shingled
+from ..sources.shared import delete
+from .common import bands_needed, fresh, join_per_key, materialize, shingle_hashes, table, written
+from .containment import SHINGLE, norm_words, shingled
 
 BITS = 64
 SEED = 42
@@ -20,16 +22,24 @@ SEED = 42
 BUCKET = 4096
 #: Shingles whose bits are summed at a time.
 _CHUNK = 1 << 16
-#: MinHashes of a band of :func:`band_cells`.
-BAND = 4
+#: MinHashes of a text in :func:`marked`, and of a band of them; MinHashes by which groups are compared.
+MINHASHES, BAND, WIDE = 48, 3, 512
+#: Nodes of a cell that are compared at a time.
+CHUNK = 512
+#: Ids of candidates that are broadcast at most (about 30 bytes each); beyond that their texts are found by shuffle.
+BROADCAST_IDS = 4_000_000
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Signed 64-bit SimHash of the word shingles of ``text``; A-Z count as a-z. 0 without a word.
+def text_words(text: str | None) -> list[bytes]:
+    """The words of ``text``, A-Z as a-z."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
+
+
+def fingerprint(w: list[bytes], shingle: int = 3) -> int:
+    """Signed 64-bit SimHash of the shingles of the words ``w``; 0 without a word.
 
     A bit is 1 if set in over half of the shingles' XXH64 values, repeats included.
     """
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
     if not w:
         return 0
     runs = [b" ".join(x) for x in zip(*(w[i:] for i in range(shingle)), strict=False)] if len(w) >= shingle else [b" ".join(w)]
@@ -48,7 +58,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = 3) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], pa.int64())
+            found = pa.array([fingerprint(text_words(t.as_py()), shingle) for t in b.column(1)], pa.int64())
             yield pa.record_batch([b.column(0), found], names=[key, "fingerprint"])
 
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, fingerprint long")
@@ -260,24 +270,28 @@ def find_links(values: DataFrame, radius: int = 2, bucket: int = BUCKET) -> Data
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (``a, b``): the least node that it reaches.
 
-    Alternating large-star and small-star rounds, each written to the shared folder; a chain of n
-    nodes takes about log n of them. A node with many links is summed in parts, never gathered.
+    Alternating large-star and small-star rounds, each written to the shared folder in place of the
+    one before; a chain of n nodes takes about log n of them. A node with many links is summed in
+    parts and joined by broadcast, never gathered.
     """
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first())
 
     def least(df: DataFrame) -> DataFrame:
-        return df.groupBy("a").agg(F.min("b").alias("m"))
+        return df.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
 
-    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links")
+    path, edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links")
     now = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(least(both), "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-        pairs = large.join(least(large), "a")
+        large = join_per_key(both, least(both), "a", total=2 * now[0]).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        middle, large = written(large, "links")
+        pairs = join_per_key(large, least(large), "a", total=now[0])
         stars = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
-        edges = materialize(pairs.select(stars.alias("e")).select("e.a", "e.b").where("a > b").distinct(), "links")
+        last, (path, edges) = path, written(pairs.select(stars.alias("e")).select("e.a", "e.b").where("a > b").distinct(), "links")
+        for old in (last, middle):
+            delete(edges.sparkSession, old)
         was, now = now, state(edges)
         if was == now:
             roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
@@ -294,111 +308,227 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, bucket:
     or null if it has none; an empty table gives an empty result.
     """
     rows = materialize(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), shingle=shingle), "fingerprints")
-    values = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "fingerprint-values")
+    values = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-values")
     roots = materialize(components(find_links(values, radius, bucket)), "fingerprint-roots")
-    rooted = values.join(roots, values["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(ids, "root").select("fingerprint", "component_id")
-    return rows.join(labels, "fingerprint").select("doc_id", hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
+    rooted = values.join(roots, values["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.col("n").alias("rows"), F.coalesce("root", "fingerprint").alias("root"))
+    rooted = materialize(rooted, "fingerprint-roots")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    labels = materialize(join_per_key(rooted, ids, "root").select("fingerprint", "component_id", F.col("rows").alias("n")), "fingerprint-labels")
+    return join_per_key(rows, labels, "fingerprint").select("doc_id", hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
 def hex16(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def band_keys(h: np.ndarray, bands: int) -> np.ndarray:
-    """A key for each of ``bands`` groups of ``BAND`` MinHashes of the shingle hashes ``h`` (unsigned, not empty)."""
-    draw = np.random.default_rng(SEED).integers(0, 1 << 64, size=(3, bands * BAND), dtype=np.uint64)
-    flip, times, weight = draw[0][:, None], draw[1][:, None] | np.uint64(1), draw[2] | np.uint64(1)
-    low = np.full(bands * BAND, np.iinfo(np.uint64).max)
-    for i in range(0, len(h), 1024):
-        low = np.minimum(low, ((h[None, i : i + 1024] ^ flip) * times).min(axis=1))
-    return (low * weight).reshape(bands, BAND).sum(axis=1, dtype=np.uint64)
+# --- One document of each group of near copies ----------------------------------------------------
+
+
+def least_agreement(similarity: float, miss: float, of: int = MINHASHES) -> int:
+    """MinHashes of ``of`` in which a pair of this Jaccard similarity agrees, or in more, with probability ``1 - miss`` at least."""
+    below, m = 0.0, 0
+    while below <= miss:
+        below += comb(of, m) * similarity**m * (1 - similarity) ** (of - m)
+        m += 1
+    return m - 1
+
+
+def minhashes(h: np.ndarray, n: int = MINHASHES) -> np.ndarray:
+    """``n`` minima of the shingle hashes ``h`` (unsigned, not empty)."""
+    draw = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, n), dtype=np.uint64)
+    flip, times = draw[0][:, None], draw[1][:, None] | np.uint64(1)
+    low = np.full(n, np.iinfo(np.uint64).max)
+    step = max(1, (1 << 16) // n)
+    for i in range(0, len(h), step):
+        low = np.minimum(low, ((h[None, i : i + step] ^ flip) * times).min(axis=1))
+    return low
+
+
+def wide_signs(hashed: DataFrame) -> DataFrame:
+    """``node, sign``: a byte of each of ``WIDE`` MinHashes of the shingle hashes ``h``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = (x.values.to_numpy(zero_copy_only=False).astype("<i8").view(np.uint64) for x in b.column(1))
+            signs = pa.array([minhashes(h, WIDE).astype(np.uint8).tobytes() for h in hashes], pa.binary())
+            yield pa.record_batch([b.column(0), signs], names=["node", "sign"])
+
+    return hashed.select("node", "h").mapInArrow(run, "node long, sign binary")
 
 
-def band_cells(docs: DataFrame, similarity: float, miss: float) -> DataFrame:
-    """``node, keys``: the bands' keys of each text of five words or more.
+def marked(docs: DataFrame, bands: int, shingle: int) -> DataFrame:
+    """``doc_id, same, fingerprint, keys, sign`` of each row, in one pass over the texts.
 
-    Two texts of this Jaccard similarity share none with probability ``miss`` at most, taking the
-    minima as independent. The keys of a text do not depend on the others.
+    ``same``: 128-bit hash of the words; ``keys``: one of each of ``bands`` groups of ``BAND``
+    MinHashes of the five-word shingles; ``sign``: a byte of each MinHash. The last two are null for
+    texts without a shingle. Nothing here depends on other rows.
     """
-    bands = bands_needed(similarity, miss, BAND)
+    weight = np.random.default_rng(SEED + 1).integers(0, 1 << 64, size=BAND, dtype=np.uint64) | np.uint64(1)
+    schema = "doc_id long, same binary, fingerprint long, keys array<long>, sign binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [x.values.to_numpy(zero_copy_only=False).astype("<i8").view(np.uint64) for x in b.column(1)]
-            keys = pa.array([band_keys(h, bands).view(np.int64) for h in hashes], pa.list_(pa.int64()))
-            yield pa.record_batch([b.column(0), keys], names=["node", "keys"])
+            same, prints, keys, signs = [], [], [], []
+            for text, hashes in zip(b.column(1), b.column(2), strict=True):
+                w = text_words(text.as_py())
+                same.append(xxhash.xxh3_128_digest(b" ".join(w)))
+                prints.append(fingerprint(w, shingle))
+                h = hashes.values.to_numpy(zero_copy_only=False).astype("<i8").view(np.uint64)
+                low = minhashes(h) if len(h) else None
+                keys.append(None if low is None else (low[: bands * BAND].reshape(bands, BAND) * weight).sum(axis=1, dtype=np.uint64).view(np.int64))
+                signs.append(None if low is None else low.astype(np.uint8).tobytes())
+            cols = [b.column(0), pa.array(same, pa.binary()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())]
+            yield pa.record_batch(cols, names=["doc_id", "same", "fingerprint", "keys", "sign"])
+
+    hashed = docs.select(F.col("doc_id").cast("long"), "text", F.transform(norm_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+    return hashed.select("doc_id", "text", shingle_hashes(F.col("w"), SHINGLE).alias("h")).mapInArrow(run, schema)
+
+
+def spanning_pairs(ids: np.ndarray, signs: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Pairs that join all that agree in ``least`` MinHashes or more, most alike first (Prim's trees)."""
+    left, out = np.ones(len(ids), dtype=bool), []
+    best, parent = np.full(len(ids), -1), np.zeros(len(ids), dtype=np.int64)
+    for _ in range(len(ids)):
+        reach = np.where(left, best, -2)
+        at = int(reach.argmax())
+        if best[at] >= least:
+            out.append((int(ids[at]), int(ids[parent[at]])))
+        left[at] = False
+        agree = (signs == signs[at]).sum(axis=1)
+        closer = left & (agree > best)
+        best[closer], parent[closer] = agree[closer], at
+    return out
+
 
-    some = shingled(docs, "doc_id").where(F.size("h") > 0).select(F.col("doc_id").cast("long"), "h")
-    return some.mapInArrow(run, "node long, keys array<long>")
+def crossing_pairs(ids: np.ndarray, signs: np.ndarray, least: int, group: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of different groups that agree in ``least`` MinHashes or more."""
+    out = []
+    for i in range(len(ids) - 1):
+        near = (group[i + 1 :] != group[i]) & ((signs[i + 1 :] == signs[i]).sum(axis=1) >= least)
+        out += [(int(ids[i]), int(ids[i + 1 + j])) for j in np.flatnonzero(near)]
+    return out
 
 
-def _several(cells: DataFrame) -> DataFrame:
-    """``cell, node, n, lead``: the rows of cells of two or more nodes, their number and the least of them."""
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
-    return materialize(cells.join(sizes, "cell"), "cells")
+def _pairs(blocks: DataFrame, find: Callable[..., list[tuple[int, int]]]) -> DataFrame:
+    """``a, b`` (a > b) that ``find(ids, signs, groups)`` gives for each block (``cell, i, j``) of ``node, sign, comp``; few rows each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, signs, groups = None, [], [], []
 
-def similar_links(docs: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: links a > b between doc_ids of one cell whose shingles have Jaccard ``similarity`` or more.
+        def found() -> list[tuple[int, int]]:
+            if len(ids) < 2:
+                return []
+            return find(np.array(ids), np.frombuffer(b"".join(signs), dtype=np.uint8).reshape(len(ids), -1), np.array(groups))
 
-    ``cells`` has distinct ``cell, node`` rows. All pairs of a cell are compared while these are few
-    for the number of rows. Else each cell's nodes are first compared with its least one; those alike
-    leave the cell and so does the least, until few pairs are left or a round takes out few of them,
-    and then all the pairs left are compared. Of two nodes of a cell that both begin no link, each
-    was compared with the other: no cell keeps two that are alike.
+        def rows(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            cols = [pa.array([f(p) for p in pairs], pa.int64()) for f in (max, min)]
+            return pa.record_batch(cols, names=["a", "b"])
+
+        for b in batches:
+            done: list[tuple[int, int]] = []
+            for *now, node, sign, comp in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now != key:
+                    done += found()
+                    key, ids, signs, groups = now, [], [], []
+                ids.append(node)
+                signs.append(sign)
+                groups.append(comp)
+            yield rows(done)
+        yield rows(found())
+
+    dealt = blocks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "node")
+    return dealt.select("cell", "i", "j", "node", "sign", "comp").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, cells: DataFrame, signs: DataFrame, similarity: float, miss: float) -> DataFrame:
+    """``node, root``: each doc_id that is linked to others, and the least one that its links reach.
+
+    Linked are doc_ids that share a cell and whose shingles have Jaccard ``similarity`` or more;
+    ``cells`` has distinct ``cell, node`` rows. Only pairs that agree in enough MinHashes are
+    verified; a pair at ``similarity`` does with probability ``1 - miss`` at least. In a first round
+    trees of the most alike of each cell are verified, which makes one group of most that belong
+    together; then pairs of different groups are, if they agree in enough of ``WIDE`` MinHashes,
+    which leaves few but the pairs close to ``similarity``. Cells are compared in chunks of about
+    ``CHUNK`` nodes, so no task gets a large one; what is sent on are pairs that agree, not all pairs.
     """
-    left = _several(cells)
-    named = materialize(left.select(F.col("node").alias("__node")).distinct(), "near-ids")
+    least = least_agreement(similarity, miss)
+    several = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"), "cells")
+    members = materialize(join_per_key(cells, several, "cell").join(signs, "node"), "near-members")
+    named = materialize(members.select(F.col("node").alias("__node")).distinct(), "near-ids")
+    named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
     text = shingled(docs.join(named, F.col("doc_id") == F.col("__node"), "left_semi"), "doc_id")
     text = materialize(text.select(F.col("doc_id").cast("long").alias("node"), F.array_distinct("h").alias("h")), "near-shingles")
 
     def alike(pairs: DataFrame) -> DataFrame:
         sides = pairs.join(text.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(text.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
-        share = F.size(F.array_intersect("ha", "hb")) / F.greatest(F.size(F.array_union("ha", "hb")), F.lit(1))
-        return materialize(sides.where(share >= similarity).select("a", "b"), "near-pairs")
-
-    found, few, was = None, None, float("inf")
-    while True:
-        rows, pairs = left.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("n").cast("double") - 1) / 2), F.lit(0.0))).first()
-        few = 4 * rows if few is None else few
-        last = pairs <= few or pairs > 0.9 * was
-        if last:
-            other = left.select("cell", F.col("node").alias("b"))
-            asked = left.select("cell", F.col("node").alias("a")).join(other, "cell").where("a > b")
-        else:
-            asked = left.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-        near = alike(asked.select("a", "b").distinct())
-        found = near if found is None else found.unionByName(near)
-        if last:
-            return found
-        rest = left.where("node <> lead").join(near.select(F.col("a").alias("node"), F.col("b").alias("lead")), ["node", "lead"], "left_anti")
-        left, was = _several(rest.select("cell", "node")), pairs
-
-
-def keep_one(docs: DataFrame, radius: int = 6, shingle: int = 3, similarity: float = 0.8, miss: float = 0.001) -> DataFrame:
+        both = F.size(F.array_intersect("ha", "hb"))
+        return materialize(sides.where(both >= similarity * (F.size("ha") + F.size("hb") - both)).select("a", "b"), "near-links")
+
+    parts = F.ceil(F.col("n") / CHUNK).cast("int")
+    chunk = F.pmod(F.xxhash64("node", F.lit(SEED)), parts).cast("int")
+    dealt = members.select("cell", chunk.alias("i"), F.lit(0).alias("j"), "node", "sign", F.lit(0).cast("long").alias("comp"))
+    heads = members.where(F.col("n") > CHUNK).groupBy("cell", chunk.alias("i")).agg(F.min("node").alias("a"), F.min("lead").alias("b")).where("a > b").select("a", "b")
+    first = materialize(_pairs(dealt, lambda ids, s, _: spanning_pairs(ids, s, least)).unionByName(heads).distinct(), "near-pairs")
+    roots = materialize(components(alike(first)), "near-roots")
+    grouped = members.join(roots, "node", "left").select("cell", "n", "node", F.coalesce("root", "node").alias("comp"))
+    grouped = materialize(grouped, "near-members")
+    open_ = grouped.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("cell", "n")
+    rest = join_per_key(grouped.drop("n"), materialize(open_, "cells"), "cell")
+    signs = wide_signs(text.join(rest.select("node").distinct(), "node", "left_semi"))
+    rest = rest.join(signs, "node").withColumn("c", chunk)
+    rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
+    blocks = rest.select("cell", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "sign", "comp")
+    agree = least_agreement(similarity, miss, WIDE)
+    second = _pairs(blocks, lambda ids, s, g: crossing_pairs(ids, s, agree, g)).join(first, ["a", "b"], "left_anti")
+    more = alike(materialize(second, "near-pairs"))
+    if more.isEmpty():
+        return roots
+    at = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    across = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    joined = materialize(components(across).select(F.col("node").alias("root"), F.col("root").alias("first")), "near-roots")
+    known = roots.join(joined, "root", "left").select("node", F.coalesce("first", "root").alias("root"))
+    alone = joined.select(F.col("root").alias("node"), F.col("first").alias("root")).join(roots, "node", "left_anti")
+    return known.unionByName(alone)
+
+
+def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, similarity: float = 0.8, miss: float = 0.001) -> DataFrame:
     """The rows of ``docs``, with their columns, less all but one of those alike.
 
-    Equal fingerprints count as one document, that of the least doc_id. Of these, documents of one
-    component at ``radius``, or that share a key of :func:`band_cells` (texts at ``similarity`` often
-    differ in more bits than any radius that can be searched), are linked if the Jaccard similarity
-    of their own five-word shingles is ``similarity`` or more (see :func:`similar_links`), whichever
-    of them is the first; the least doc_id of what the links reach stays. Of rows that share a doc_id the one with the least text
-    hash counts; rows without doc_id stay.
+    Texts of the same words (A-Z as a-z) are one text, that of the least doc_id. Of these, texts
+    whose SimHashes are linked within ``radius`` bits are candidates, and so are texts with a
+    common band of MinHashes: at ``similarity`` SimHashes often differ in more bits than any radius
+    that can be searched; a pair at ``similarity`` has no common band with probability ``miss`` at
+    most, taking the minima as independent. Candidates are linked if the Jaccard similarity of their
+    own five-word shingles (runs of letters and digits, in lower case) is ``similarity`` or more,
+    whichever of them is the first (see :func:`similar_groups`); the least doc_id of what the links
+    reach stays.
+
+    Null, empty and wordless texts are copies of each other; texts of under five words have no
+    shingle and are copies only if equal. Of rows that share a doc_id one counts, the one of the
+    least text hash; rows without doc_id stay; an empty table gives an empty result.
     """
     d, n = fresh(docs, "__gone"), fresh(docs, "__nth")
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         twice = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
         docs = docs.withColumn(n, F.row_number().over(twice)).where((F.col(n) == 1) | F.col("doc_id").isNull()).drop(n)
     own = docs.where("doc_id is not null").select("doc_id", "text")
-    labels = materialize(near_duplicates(own, radius, shingle), "near-duplicates")
-    nodes = materialize(labels.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("component_id").alias("component")), "near-nodes")
-    keys = band_cells(own, similarity, miss).join(nodes.select("node"), "node").select("node", F.posexplode("keys").alias("band", "key"))
-    cells = nodes.select(F.xxhash64(F.lit(-1), "component").alias("cell"), "node").unionByName(keys.select(F.xxhash64("band", "key").alias("cell"), "node"))
-    lost = components(similar_links(own, materialize(cells, "near-cells"), similarity)).where("node <> root")
-    first = nodes.join(lost.select("node", F.lit(True).alias("lost")), "node", "left").select("fingerprint", "node", "lost")
-    gone = labels.join(first, "fingerprint").where("doc_id <> node or lost").select(F.col("doc_id").alias(d))
+    bands = bands_needed(similarity, miss, BAND)
+    rows = materialize(marked(own, bands, shingle), "near-marks")
+    same = rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    same = materialize(same, "near-texts")
+    copies = join_per_key(rows.select("doc_id", "same"), same.where("n > 1"), "same").where("doc_id <> node").select(F.col("doc_id").alias(d))
+    copies = materialize(copies, "copies")
+    texts = rows.where(F.col("sign").isNotNull()).join(copies, F.col("doc_id") == F.col(d), "left_anti").withColumnRenamed("doc_id", "node")
+
+    values = materialize(texts.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")), "fingerprint-values")
+    stars = find_links(values, radius).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), "b"))).alias("e"))
+    near = values.where("n > 1").select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b")).unionByName(stars.select("e.a", "e.b"))
+    near = near.distinct().withColumnRenamed("a", "fingerprint")
+    by_bits = texts.select("node", "fingerprint").join(near, "fingerprint").select(F.xxhash64(F.lit(-1), "b").alias("cell"), "node")
+    by_band = texts.select("node", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("cell"), "node")
+    cells = materialize(by_band.unionByName(by_bits), "near-cells")
+    groups = similar_groups(own, cells, texts.select("node", "sign"), similarity, miss)
+    gone = groups.where("node <> root").select(F.col("node").alias(d)).unionByName(copies)
     return docs.join(materialize(gone, "copies"), F.col("doc_id") == F.col(d), "left_anti")
 
 
