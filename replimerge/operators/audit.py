@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.entries import is_live, winner_key
-from ..functions.paths import conflict_copy_name, name_of
-from ..functions.vectors import vv_compare, vv_dominates, vv_dominates_or_equals, vv_key
+from ..functions.entries import is_live, same_content, winner_key
+from ..functions.paths import ancestors, conflict_copy_name, name_of
+from ..functions.vectors import vv_compare, vv_dominates_or_equals, vv_key
 from ..schema import EMPTY
 
 
-def convergence(entries: DataFrame, n_members: int) -> DataFrame:
-    """A1: paths that are live somewhere and whose (kind, hash, exec) is not the same on all members."""
-    state = F.when(is_live(), F.struct("kind", "hash", "exec"))
-    g = entries.groupBy("folder", "path").agg(F.count_distinct(state).alias("states"), F.count_if(is_live()).alias("holders"))
-    return g.where(f"states > 1 or (holders > 0 and holders < {int(n_members)})")
+def convergence(entries: DataFrame, n_members: int, listing: DataFrame | None = None, held_dirs: DataFrame | None = None) -> DataFrame:
+    """A1: paths whose live (kind, hash, exec) is not the same on all members, or differs from a member's ``listing``.
+
+    ``listing`` (``folder, node, path, kind, hash, exec``) is what is on disk. ``held_dirs`` (``folder,
+    node, path``): directories that a node keeps only for ignored files in them; they count as gone
+    from its index, but must be on its disk like others.
+    """
+    keys = ["folder", "node", "path"]
+    live = entries.where(is_live()).select(*keys, F.struct("kind", "hash", "exec").alias("state"))
+    shown = live if held_dirs is None else live.join(held_dirs.select(*keys), keys, "left_anti")
+    g = shown.groupBy("folder", "path").agg(F.count_distinct("state").alias("states"), F.count(F.lit(1)).alias("holders"))
+    g = g.where(f"states > 1 or holders < {int(n_members)}")
+    if listing is None:
+        return g
+    disk = listing.select(*keys, F.struct("kind", "hash", "exec").alias("disk"))
+    off = live.join(disk, keys, "full_outer").where(~F.col("state").eqNullSafe(F.col("disk"))).groupBy("folder", "path").agg(F.count(F.lit(1)).alias("off_disk"))
+    return g.join(off, ["folder", "path"], "full_outer").fillna(0)
 
 
 def lost_content(adopted: DataFrame, files: DataFrame, trash: DataFrame) -> DataFrame:
@@ -25,29 +37,68 @@ def lost_content(adopted: DataFrame, files: DataFrame, trash: DataFrame) -> Data
 
 
 def _versions(entries: DataFrame) -> DataFrame:
-    """One row for each distinct vector of a path: what the pair audits compare."""
-    e = entries.withColumn("__vk", vv_key(F.col("version")))
-    rest = [c for c in e.columns if c not in ("folder", "path", "__vk")]
-    return e.groupBy("folder", "path", "__vk").agg(F.min_by(F.struct(*rest), "node").alias("z")).select("folder", "path", "__vk", "z.*")
-
-
-def resurrections(entries: DataFrame) -> DataFrame:
-    """A3: paths live on a node although another node has a tombstone that dominates the live version."""
-    v = _versions(entries)
-    dead = v.where("deleted").select("folder", "path", F.col("version").alias("__d"))
-    alive = v.where(is_live()).select("folder", "path", "version")
-    return alive.join(dead, ["folder", "path"]).where(vv_dominates(F.col("__d"), F.col("version"))).select("folder", "path").distinct()
-
-
-def unexplained_conflicts(entries: DataFrame) -> DataFrame:
-    """A4: live ``.conflict-`` files whose name and content are those of no losing version."""
-    v = _versions(entries.where(~name_of(F.col("path")).contains(".conflict-")))
-    top = v.groupBy("folder", "path").agg(F.max(winner_key()).alias("__w"))
-    losers = v.join(top, ["folder", "path"]).where(winner_key() < F.col("__w"))
-    name = conflict_copy_name(F.col("path"), F.col("kind"), F.col("mtime_ns"), F.col("author_host"), F.col("modified_by"))
-    known = losers.select("folder", name.alias("path"), "hash").distinct()
-    copies = entries.where(is_live() & name_of(F.col("path")).contains(".conflict-")).select("folder", "path", "hash").distinct()
-    return copies.join(known, ["folder", "path", "hash"], "left_anti")
+    """``folder, path, version, stamp`` of each distinct vector of a path: what :func:`non_monotone_changes` compares."""
+    e = entries.select("folder", "path", "node", "version", "stamp").withColumn("__vk", vv_key(F.col("version")))
+    return e.groupBy("folder", "path", "__vk").agg(F.min_by(F.struct("version", "stamp"), "node").alias("z")).select("folder", "path", "z.*")
+
+
+def resurrections(entries: DataFrame, held_dirs: DataFrame | None = None) -> DataFrame:
+    """A3: paths live on a node although a tombstone of theirs was never contradicted: no other version dominates it or is concurrent with it.
+
+    Directories that a node keeps for ignored files (``held_dirs``: ``folder, node, path``) are not live there.
+    """
+    v = entries.select("folder", "path", "version", "deleted").withColumn("k", vv_key(F.col("version")))
+    v = v.groupBy("folder", "path", "k").agg(F.first("version").alias("version"), F.bool_or("deleted").alias("deleted"))
+    dead = v.where("deleted").select("folder", "path", F.col("k").alias("dk"), F.col("version").alias("d"))
+    against = v.join(dead, ["folder", "path"]).where((F.col("k") != F.col("dk")) & ~vv_dominates_or_equals(F.col("d"), F.col("version"))).select("folder", "path", "dk").distinct()
+    gone = dead.join(against, ["folder", "path", "dk"], "left_anti").select("folder", "path").distinct()
+    keys = ["folder", "node", "path"]
+    alive = entries.where(is_live()).select(*keys)
+    alive = alive if held_dirs is None else alive.join(held_dirs.select(*keys), keys, "left_anti")
+    return alive.select("folder", "path").join(gone, ["folder", "path"], "left_semi").distinct()
+
+
+def places_made(copies: DataFrame, displaced: DataFrame) -> DataFrame:
+    """``folder, path, place``: every place at which a conflict copy may have been made: where it is, and back along directories that were displaced with it.
+
+    ``displaced`` (``folder, copy, path``): names that displaced directories got. Each step maps the
+    deepest such directory above the place back, so there are no more steps than the deepest copy has tags.
+    """
+    at = copies.select("folder", "path", F.col("path").alias("place"))
+    every = at
+    tags = copies.agg(F.max(F.size(F.split("path", r"\.conflict-")) - 1)).first()[0] or 0
+    for _ in range(tags):
+        up = at.withColumn("copy", F.explode(ancestors(F.col("place"))))
+        deepest = up.join(displaced.select("folder", "copy", F.col("path").alias("was")), ["folder", "copy"]).groupBy("folder", "path", "place").agg(F.max_by(F.struct("copy", "was"), F.length("copy")).alias("z"))
+        at = deepest.select("folder", "path", F.concat("z.was", F.substr("place", F.length("z.copy") + 1, F.length("place"))).alias("place"))
+        every = every.unionByName(at)
+    return every.distinct()
+
+
+def unexplained_conflicts(entries: DataFrame, edited: DataFrame | None = None) -> DataFrame:
+    """A4: live ``.conflict-`` entries that are no copy of a losing version, at any place they may have been made (:func:`places_made`).
+
+    A version lost if it is live and ranks below a concurrent one of other content. A copy must have
+    its name and (kind, hash, exec), unless a user edited it since (``edited``: ``folder, path``).
+    """
+    tag = F.col("path").contains(".conflict-")
+    e = entries.where(~name_of(F.col("path")).contains(".conflict-")).withColumn("k", vv_key(F.col("version")))
+    rest = [c for c in e.columns if c not in ("folder", "path", "k")]
+    v = e.groupBy("folder", "path", "k").agg(F.min_by(F.struct(*rest), "node").alias("z")).select("folder", "path", "k", "z.*")
+    side = lambda p: v.select("folder", "path", *[F.col(c).alias(f"{p}{c}") for c in v.columns if c not in ("folder", "path")])
+    pairs = side("a_").join(side("b_"), ["folder", "path"]).where((F.col("a_k") != F.col("b_k")) & (vv_compare(F.col("a_version"), F.col("b_version")) == "concurrent"))
+    lost = pairs.where(~same_content("a_", "b_") & (winner_key("a_") < winner_key("b_")) & ~F.col("a_deleted"))
+    name = conflict_copy_name(F.col("path"), F.col("a_kind"), F.col("a_mtime_ns"), F.col("a_author_host"), F.col("a_modified_by"))
+    losers = lost.select("folder", "path", name.alias("copy"), F.col("a_kind").alias("kind"), F.col("a_hash").alias("hash"), F.col("a_exec").alias("exec")).distinct()
+    copies = entries.where(is_live() & tag & name_of(F.col("path")).contains(".conflict-")).select("folder", "path", "kind", "hash", "exec").distinct()
+    places = places_made(copies, losers.where("kind = 'dir'").select("folder", "copy", "path"))
+    named = places.join(losers.select("folder", F.col("copy").alias("place"), *[F.col(c).alias(f"l_{c}") for c in ("kind", "hash", "exec")]), ["folder", "place"])
+    same = (F.col("kind") == F.col("l_kind")) & (F.col("hash") == F.col("l_hash")) & ((F.col("kind") != "file") | (F.col("exec") == F.col("l_exec")))
+    good = copies.join(named, ["folder", "path"]).where(same).select("folder", "path", "kind", "hash", "exec")
+    if edited is not None:
+        own = named.join(places.join(edited.select("folder", F.col("path").alias("place")).distinct(), ["folder", "place"], "left_semi").select("folder", "path").distinct(), ["folder", "path"], "left_semi")
+        good = good.unionByName(copies.join(own.select("folder", "path").distinct(), ["folder", "path"], "left_semi"))
+    return copies.join(good.distinct(), ["folder", "path", "kind", "hash", "exec"], "left_anti").select("folder", "path", "hash")
 
 
 def held_commits(commits: DataFrame, held: DataFrame, approved: DataFrame) -> DataFrame:
@@ -56,10 +107,15 @@ def held_commits(commits: DataFrame, held: DataFrame, approved: DataFrame) -> Da
     return commits.join(still, ["folder", "batch"], "left_semi")
 
 
-def vector_content(entries: DataFrame) -> DataFrame:
-    """Paths where equal vectors stand for different (kind, hash, exec, deleted)."""
-    g = entries.groupBy("folder", "path", vv_key(F.col("version")).alias("vv_key")).agg(F.count_distinct("kind", "hash", "exec", "deleted").alias("contents"))
-    return g.where("contents > 1")
+def vector_content(entries: DataFrame, discarded: DataFrame | None = None) -> DataFrame:
+    """Paths where equal vectors stand for different (kind, hash, exec, deleted).
+
+    ``discarded`` (``folder, node, path, vv_key``): versions that their author took back by a revert
+    before anyone saw them; their vectors may be issued again.
+    """
+    e = entries.withColumn("vv_key", vv_key(F.col("version")))
+    e = e if discarded is None else e.join(discarded.select("folder", "node", "path", "vv_key"), ["folder", "node", "path", "vv_key"], "left_anti")
+    return e.groupBy("folder", "path", "vv_key").agg(F.count_distinct("kind", "hash", "exec", "deleted").alias("contents")).where("contents > 1")
 
 
 def adopt_dominance(landed: DataFrame) -> DataFrame:
@@ -68,11 +124,16 @@ def adopt_dominance(landed: DataFrame) -> DataFrame:
 
 
 def readmitted_changes(entries: DataFrame, reverted: DataFrame, user_changes: DataFrame) -> DataFrame:
-    """Own versions above the mark of a reverted path (``folder, path, node, mark``), with ``user_changed``: a change by a user since explains them."""
+    """Own versions (``written_ns``) above the mark of a reverted path (``folder, path, node, mark, reverted_ns``), with ``user_changed``.
+
+    Only a change by the node's user (``folder, path, node, changed_ns``) after the revert and before the version explains it.
+    """
+    keys = ["folder", "path", "node"]
     own = F.coalesce(F.try_element_at("version", F.col("node")), F.lit(0))
-    e = entries.join(reverted.select("folder", "path", "node", "mark"), ["folder", "path", "node"]).where(own > F.col("mark"))
-    u = user_changes.select("folder", "path", F.lit(True).alias("__u")).distinct()
-    return e.join(u, ["folder", "path"], "left").withColumn("user_changed", F.coalesce("__u", F.lit(False))).drop("__u")
+    e = entries.join(reverted.select(*keys, "mark", "reverted_ns"), keys).where((own > F.col("mark")) & (F.col("written_ns") > F.col("reverted_ns")))
+    near = e.select(*keys, "written_ns", "reverted_ns").join(user_changes.select(*keys, "changed_ns"), keys).where("changed_ns > reverted_ns and changed_ns <= written_ns")
+    u = near.select(*keys, "written_ns").distinct().withColumn("user_changed", F.lit(True))
+    return e.join(u, [*keys, "written_ns"], "left").fillna(False, ["user_changed"])
 
 
 def non_monotone_changes(entries: DataFrame) -> DataFrame:
@@ -95,10 +156,16 @@ def frozen_sends(batch_entries: DataFrame, pending: DataFrame, paused: DataFrame
     return batch_entries.join(p, ["folder", "node", "path"], "left_semi")
 
 
-def broken_chain(batches: DataFrame) -> DataFrame:
-    """Batches whose ``seq_low`` is not the ``seq_high`` before, or that are empty ranges."""
+def broken_chain(batches: DataFrame, batch_entries: DataFrame | None = None) -> DataFrame:
+    """Batches whose ``seq_low`` is not the ``seq_high`` before, that are empty ranges, or of whose entries (``folder, source, batch_no, seq``) ``outside`` lie beyond the range."""
     w = Window.partitionBy("folder", "source").orderBy("seq_high")
-    return batches.withColumn("expected_low", F.lag("seq_high", 1, 0).over(w)).where("seq_low <> expected_low or seq_low >= seq_high")
+    linked = batches.withColumn("expected_low", F.lag("seq_high", 1, 0).over(w))
+    if batch_entries is None:
+        return linked.where("seq_low <> expected_low or seq_low >= seq_high")
+    keys = ["folder", "source", "batch_no"]
+    off = batch_entries.select(*keys, "seq").join(batches.select(*keys, "seq_low", "seq_high"), keys).where("seq <= seq_low or seq > seq_high")
+    linked = linked.join(off.groupBy(*keys).agg(F.count(F.lit(1)).alias("outside")), keys, "left").fillna(0, ["outside"])
+    return linked.where("seq_low <> expected_low or seq_low >= seq_high or outside > 0")
 
 
 def unsafe_tombstones(diff: DataFrame, skips: DataFrame) -> DataFrame:

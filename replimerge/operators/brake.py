@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +36,8 @@ def evaluate_brake(summary: DataFrame, count: Column | int = BRAKE_COUNT, percen
     many = (c > 0) & (F.col("tracked") > 0) & (d >= c) & (d * 100 >= p * F.col("tracked"))
     large = F.col("bytes") > s
     share = F.expr("(mods + dels) * 100 div greatest(tracked, 1)")
-    by_count = F.format_string("count: %d deletes and modifies = %d%% of %d tracked", d, share, F.col("tracked"))
-    by_size = F.format_string("size: %d bytes of adds and modifies", F.col("bytes"))
+    by_count = F.format_string("would delete or modify %d of %d tracked files (%d%%)", d, F.col("tracked"), share)
+    by_size = F.format_string("would write %d bytes", F.col("bytes"))
     return summary.withColumn("held", many | large).withColumn("reason", F.when(many, by_count).when(large, by_size))
 
 
@@ -62,22 +65,54 @@ def quarantine_match(incoming: DataFrame, held_versions: DataFrame) -> DataFrame
     return j.groupBy(*keys).agg(F.min("__z").alias("__z")).select(*keys, F.col("__z.__b").alias("held_batch"), F.col("__z.__a").alias("arrival"))
 
 
+def _stored(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, arrival`` of the version of each group that is kept as its entry: the first, then each that dominates or equals the one kept so far.
+
+    Folded along sorted rows with one vector of state; a group is never gathered.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in versions.schema.fields}
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, vector, arrival = None, {}, 0
+        columns = [*keys, "arrival"]
+        for b in batches:
+            out = []
+            for *now, v, n in zip(*(b[c] for c in (*keys, "version", "arrival")), strict=True):
+                if now != key:
+                    out += [] if key is None else [(*key, arrival)]
+                    key, vector, arrival = now, dict(v), n
+                elif all(dict(v).get(k, 0) >= c for k, c in vector.items()):
+                    vector, arrival = dict(v), n
+            yield pd.DataFrame(out, columns=columns)
+        if key is not None:
+            yield pd.DataFrame([(*key, arrival)], columns=columns)
+
+    dealt = versions.select(*keys, "version", "arrival").repartition(*keys).sortWithinPartitions(*keys, "arrival")
+    return dealt.mapInPandas(fold, ", ".join(f"`{k}` {kind[k]}" for k in keys) + ", arrival long")
+
+
 def hold(held_versions: DataFrame, joining: DataFrame) -> DataFrame:
     """K6: held versions with those that join (``folder, batch, path, version, stamp, at``) behind them, by arrival number.
 
-    Every version stays; ``stored`` marks the one of each batch and path that is kept as its entry:
-    the last that dominates or equals the one before it.
+    Tables with a ``node`` are of many machines, each of which has its own numbers. Every version
+    stays; ``stored`` marks the one of each batch and path that is its entry: the first, replaced by
+    each later one that dominates or equals the one stored so far.
     """
-    top = held_versions.groupBy("folder").agg(F.max("arrival").alias("__top"))
-    order = Window.partitionBy("folder").orderBy("at", "batch", "path")
-    late = joining.withColumn("__n", F.row_number().over(order)).join(top, "folder", "left")
+    owner = _owner(held_versions, joining)
+    top = held_versions.groupBy(*owner).agg(F.max("arrival").alias("__top"))
+    order = Window.partitionBy(*owner).orderBy("at", "batch", "path")
+    late = joining.withColumn("__n", F.row_number().over(order)).join(top, owner, "left")
     late = late.withColumn("arrival", F.coalesce("__top", F.lit(0)) + F.col("__n"))
-    cols = ["folder", "batch", "path", "version", "stamp", "arrival"]
+    keys = [*owner, "batch", "path"]
+    cols = [*keys, "version", "stamp", "arrival"]
     every = held_versions.select(*cols).unionByName(late.select(*cols))
-    at = Window.partitionBy("folder", "batch", "path").orderBy("arrival")
-    grows = F.coalesce(vv_dominates_or_equals(F.col("version"), F.lag("version").over(at)), F.lit(True))
-    mark = every.withColumn("__g", F.when(grows, F.col("arrival")))
-    return mark.withColumn("stored", F.col("arrival") == F.max("__g").over(Window.partitionBy("folder", "batch", "path"))).drop("__g")
+    kept = _stored(every, keys).withColumn("__s", F.lit(True))
+    return every.join(kept, [*keys, "arrival"], "left").withColumn("stored", F.coalesce("__s", F.lit(False))).drop("__s")
+
+
+def _owner(*tables: DataFrame) -> list[str]:
+    """What tells whose rows these are: folder and node, where all the tables have a node."""
+    return ["folder", "node"] if all("node" in t.columns for t in tables) else ["folder"]
 
 
 def approve(held: DataFrame, entries: DataFrame, batches: DataFrame) -> DataFrame:
@@ -85,27 +120,42 @@ def approve(held: DataFrame, entries: DataFrame, batches: DataFrame) -> DataFram
     return classify_batch(held.join(batches.select("batch").distinct(), "batch", "left_semi"), entries)
 
 
-def review_report(held: DataFrame, samples: int = 5) -> DataFrame:
-    """K9: per held batch: entries, bytes, deletions, first sample paths, deepest common top directory, most common extension."""
+def common_directory(least: Column, greatest: Column) -> Column:
+    """The deepest directory above all paths between the least and the greatest of them; null if that is the top.
+
+    What begins both begins every path between them.
+    """
+    a, b = F.split(least, "/"), F.split(greatest, "/")
+    n = F.least(F.size(a), F.size(b)) - 1
+    equal = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & (F.slice(a, 1, i + 1) == F.slice(b, 1, i + 1)))
+    return F.when(F.size(equal) > 0, F.array_join(F.slice(a, 1, F.size(equal)), "/"))
+
+
+def review_report(held: DataFrame, items: DataFrame, now_ns: Column, samples: int = 5) -> DataFrame:
+    """K9: per held batch: source, ``age_s``, reason, entries, bytes, deletions, the first ``sample_paths``, their deepest
+    ``common_dir`` and ``extensions`` (``n``, ``ext``; most common first).
+
+    ``held`` has ``folder, batch, path, size, deleted``, ``items`` ``folder, batch, source, held_at_ns, reason``.
+    """
+    keys = ["folder", "batch"]
     ext = F.regexp_extract("path", r"[^/.]\.([^/.]+)\z", 1)
-    top = F.get(F.split("path", "/"), 0)
-    counts = held.groupBy("batch", ext.alias("ext")).agg(F.count(F.lit(1)).alias("n"))
-    common = counts.groupBy("batch").agg(F.max(F.struct(F.col("n"), F.col("ext"))).alias("z")).select("batch", F.col("z.ext").alias("top_ext"), F.col("z.n").alias("top_ext_n"))
-    ranked = held.select("batch", "path").withColumn("r", F.row_number().over(Window.partitionBy("batch").orderBy("path"))).where(F.col("r") <= samples)
-    shown = ranked.groupBy("batch").agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("sample_paths"))
-    g = held.groupBy("batch").agg(
-        F.count(F.lit(1)).alias("n_entries"),
-        F.sum("size").alias("bytes"),
-        F.count_if("deleted").alias("n_deleted"),
-        F.when(F.min(top) == F.max(top), F.min(top)).alias("common_dir"),
+    kinds = held.groupBy(*keys, ext.alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+    most = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "ext", "n"))), lambda x: F.struct(x["n"].alias("n"), x["ext"].alias("ext")))
+    kinds = kinds.groupBy(*keys).agg(most.alias("extensions"))
+    ranked = held.select(*keys, "path").withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("path"))).where(F.col("r") <= samples)
+    shown = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list("path")).alias("sample_paths"))
+    g = held.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_entries"), F.sum("size").alias("bytes"), F.count_if("deleted").alias("n_deleted"), common_directory(F.min("path"), F.max("path")).alias("common_dir")
     )
-    return g.join(shown, "batch").join(common, "batch")
+    age = F.floor((now_ns - F.col("held_at_ns")) / F.lit(1_000_000_000)).cast("long")
+    return g.join(shown, keys).join(kinds, keys).join(items.select(*keys, "source", age.alias("age_s"), "reason"), keys, "left")
 
 
 def freeze(incoming: DataFrame, pending: DataFrame, paused: DataFrame) -> DataFrame:
-    """Adds ``frozen``: the folder is paused and the path has a pending change; such entries wait in arrival order."""
-    p = pending.join(paused.select("folder").distinct(), "folder", "left_semi").select("folder", "path").distinct().withColumn("__f", F.lit(True))
-    return incoming.join(p, ["folder", "path"], "left").withColumn("frozen", F.coalesce("__f", F.lit(False))).drop("__f")
+    """Adds ``frozen``: the folder is paused (on that node) and the path has a pending change there; such entries wait in arrival order."""
+    owner = _owner(incoming, pending, paused)
+    p = pending.join(paused.select(*owner).distinct(), owner, "left_semi").select(*owner, "path").distinct().withColumn("__f", F.lit(True))
+    return incoming.join(p, [*owner, "path"], "left").withColumn("frozen", F.coalesce("__f", F.lit(False))).drop("__f")
 
 
 def unfreeze(frozen: DataFrame, entries: DataFrame) -> DataFrame:
@@ -153,7 +203,31 @@ def rules_recheck(summaries: DataFrame, rules: DataFrame) -> DataFrame:
     return out.withColumn("would_pass", ~F.col("held"))
 
 
-def received_report(classified: DataFrame, batch: str = "batch") -> DataFrame:
-    """Per batch, how many entries were applied, merged, conflicts or ignored."""
-    n = lambda d: F.count_if(F.col("decision") == d)
-    return classified.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), n("apply").alias("applied"), n("merge").alias("merged"), n("conflict").alias("conflicts"), n("ignore").alias("ignored"))
+def route_batch(incoming: DataFrame, entries: DataFrame, held_versions: DataFrame, wants: DataFrame, pending: DataFrame, paused: DataFrame) -> DataFrame:
+    """What receiving does with each path of each batch: :func:`.merge.classify_batch` with ``repeats``, ``held_batch`` and ``route``.
+
+    ``incoming`` has ``folder, batch, path, position`` and the entry; of a path that a batch repeats
+    the last counts. ``route``: ignored (equal or older); already wanted (``wants`` has that version
+    or a newer one); joined (equals or exceeds a version in quarantine: joins that item, the
+    earliest if several); frozen (pending in a paused folder); kept: what the brake judges.
+    """
+    keys = ["folder", "batch", "path"]
+    rest = [c for c in incoming.columns if c not in keys]
+    last = incoming.groupBy(*keys).agg(F.max_by(F.struct(*rest), "position").alias("z"), (F.count(F.lit(1)) - 1).alias("repeats")).select(*keys, "z.*", "repeats")
+    c = classify_batch(last, entries)
+    w = wants.select("folder", "path", F.col("version").alias("wanted"))
+    c = c.join(w, ["folder", "path"], "left").withColumn("wanted", F.coalesce(vv_dominates_or_equals(F.col("wanted"), F.col("in_version")), F.lit(False)))
+    h = held_versions.withColumn("k", vv_key(F.col("version"))).groupBy("folder", "path", "k").agg(F.first("version").alias("v"), F.min(F.struct("arrival", "batch")).alias("first"))
+    near = c.select(*keys, "in_version").join(h, ["folder", "path"]).where(vv_dominates_or_equals(F.col("in_version"), F.col("v")))
+    c = c.join(near.groupBy(*keys).agg(F.min("first").alias("first")), keys, "left").withColumn("held_batch", F.col("first.batch")).drop("first")
+    c = freeze(c, pending.select("folder", "path"), paused.select("folder"))
+    route = F.when(F.col("decision") == "ignore", "ignored").when(F.col("wanted"), "already wanted").when(F.col("held_batch").isNotNull(), "joined").when(F.col("frozen"), "frozen").otherwise("kept")
+    return c.withColumn("route", route).drop("wanted", "frozen")
+
+
+def received_report(routed: DataFrame) -> DataFrame:
+    """Per batch, from :func:`route_batch`: paths, repeats, where they went, and of the kept ones what becomes of them."""
+    at = lambda r: F.count_if(F.col("route") == r)
+    kept = lambda d: F.count_if((F.col("route") == "kept") & (F.col("decision") == d))
+    counts = {"ignored": at("ignored"), "already_wanted": at("already wanted"), "joined": at("joined"), "frozen": at("frozen"), "kept": at("kept"), "applied": kept("apply"), "merged": kept("merge"), "conflicts": kept("conflict")}
+    return routed.groupBy("folder", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("repeats").alias("repeats"), *[v.alias(k) for k, v in counts.items()])

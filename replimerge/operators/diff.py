@@ -5,10 +5,10 @@ Everything joins on ``(folder, node, path)``, never on ``folder`` alone, so a gi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.entries import is_live, is_tracked, next_stamp, unchanged_by_stat
+from ..functions.entries import is_live, is_tracked, next_stamp, normalise_observation, unchanged_by_stat
 from ..functions.paths import ancestors
 from ..functions.vectors import vv_increment
 from ..schema import EMPTY
@@ -50,21 +50,24 @@ def root_guard(observations: DataFrame, brackets: DataFrame) -> DataFrame:
     return observations.join(marked, ["folder", "node", "bracket_id"], "left").withColumn("may_delete", F.coalesce("__ok", F.lit(False))).drop("__ok")
 
 
-def snapshot_diff(entries: DataFrame, observations: DataFrame, hosts: DataFrame | None = None, sound: DataFrame | None = None) -> DataFrame:
+def snapshot_diff(entries: DataFrame, observations: DataFrame, hosts: DataFrame | None = None, sound: DataFrame | None = None, now_ns: Column | None = None) -> DataFrame:
     """Every path of the index or the scan with its ``change`` and the entry that results.
 
     ``change``: add, modify, touch, chmod, delete, unchanged or skipped. Observations are one a path
-    (``state``: observed, unchanged, skipped, absent). A live record that the scan did not see
-    becomes a tombstone unless a skip covers it, or ``sound`` (folder, node) lacks its tree (see
-    :func:`root_guard`). Entries are columns; the new one has prefix ``new_``. Its ``prev_hash`` is
-    ``announced_hash`` of the record if that column is there, else the record's hash.
+    (``state``: observed, unchanged, skipped, absent) and taken by the field rules of their kind. A
+    live record that the scan did not see becomes a tombstone unless a skip covers it, or ``sound``
+    (folder, node) lacks its tree (see :func:`root_guard`); it is dated by the observation that found
+    the path absent, else ``now_ns``, the end of the scan (by default the time of the query). Entries
+    are columns; the new one has prefix ``new_``. Its ``prev_hash`` is ``announced_hash`` of the record
+    if that column is there, else the record's hash.
     """
+    now = F.unix_micros(F.current_timestamp()) * 1000 if now_ns is None else now_ns
     e = entries if "announced_hash" in entries.columns else entries.withColumn("announced_hash", F.col("hash"))
     skips = observations.where("state = 'skipped'")
     e = covered_by_skip(e, skips)
     fields = [c for c in e.columns if c not in KEY]
     old = e.select(*KEY, *[F.col(c).alias(f"old_{c}") for c in fields], F.lit(True).alias("__has"))
-    obs = observations.select(*KEY, *[F.col(c).alias(f"obs_{c}") for c in ("state", "kind", "size", "mtime_ns", "exec", "hash", "at_ns")])
+    obs = normalise_observation(observations).select(*KEY, *[F.col(c).alias(f"obs_{c}") for c in ("state", "kind", "size", "mtime_ns", "exec", "hash", "at_ns")])
     j = obs.join(old, KEY, "full_outer")
     live = F.coalesce(~F.col("old_deleted"), F.lit(False))
     if sound is not None:
@@ -90,18 +93,18 @@ def snapshot_diff(entries: DataFrame, observations: DataFrame, hosts: DataFrame
     j = j.withColumn("change", change).where(F.col("obs_state").isNotNull() | live)
     dele, written = F.col("change") == "delete", F.col("change").isin("add", "modify", "touch", "chmod", "delete")
     take = lambda c, gone_value: F.when(dele, gone_value).otherwise(F.col(f"obs_{c}"))
-    content = F.col("change").isin("add", "modify", "chmod")
+    before = F.coalesce("old_announced_hash", F.lit(EMPTY))
     nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     new = {
         "new_kind": take("kind", F.col("old_kind")),
         "new_size": take("size", F.lit(0)).cast("long"),
-        "new_mtime_ns": take("mtime_ns", F.coalesce("obs_at_ns", F.lit(0))).cast("long"),
+        "new_mtime_ns": take("mtime_ns", F.coalesce(F.col("obs_at_ns"), now)).cast("long"),
         "new_exec": take("exec", F.lit(False)),
         "new_hash": take("hash", F.lit(EMPTY)),
         "new_deleted": dele,
-        "new_prev_hash": F.coalesce("old_announced_hash", F.lit(EMPTY)),
+        "new_prev_hash": before,
         "new_version": vv_increment(F.coalesce("old_version", nothing), F.col("node")),
-        "new_stamp": next_stamp(F.col("old_stamp"), F.col("obs_kind"), F.col("obs_mtime_ns"), content & ~dele).cast("long"),
+        "new_stamp": next_stamp(F.col("old_stamp"), F.col("obs_kind"), F.col("obs_mtime_ns"), ~dele & (F.col("obs_hash") != before)).cast("long"),
         "new_modified_by": F.col("node"),
     }
     if hosts is not None:
@@ -113,9 +116,10 @@ def snapshot_diff(entries: DataFrame, observations: DataFrame, hosts: DataFrame
 
 def apply_mtime_shim(observations: DataFrame, shim: DataFrame) -> DataFrame:
     """Report the requested mtime while the disk still has the one that was stored for it."""
-    s = shim.select("folder", "path", "requested_ns", "stored_ns")
+    keys = [k for k in KEY if k in shim.columns]
+    s = shim.select(*keys, "requested_ns", "stored_ns")
     fixed = F.when(F.col("mtime_ns") == F.col("stored_ns"), F.col("requested_ns")).otherwise(F.col("mtime_ns"))
-    return observations.join(s, ["folder", "path"], "left").withColumn("mtime_ns", fixed).drop("requested_ns", "stored_ns")
+    return observations.join(s, keys, "left").withColumn("mtime_ns", fixed).drop("requested_ns", "stored_ns")
 
 
 def shim_delta(before: DataFrame, after: DataFrame) -> DataFrame:

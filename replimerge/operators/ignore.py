@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +16,42 @@ from ..functions.paths import ancestors
 DEFAULT_RULES = [".DS_Store", "._*", "*.swp", "*~", ".#*", ".Trash*"]
 
 
+class Malformed(ValueError):
+    """The line is no rule and no comment."""
+
+
+def _class(line: str, i: int) -> tuple[str, int]:
+    """Regex of the character class that opens at ``i``, and the place after it. A ``]`` that comes first stands for itself."""
+    start = i + 2 if line[i + 1 : i + 2] in ("!", "^") else i + 1
+    end = line.find("]", start + 1)
+    if end < 0:
+        raise Malformed("open character class")
+    out, k = "", start
+    while k < end:
+        low, ranged = line[k], k + 2 < end and line[k + 1] == "-"
+        high = line[k + 2] if ranged else low
+        if low > high:
+            raise Malformed(f"range {low}-{high} is reversed")
+        out += _literal(low) + (f"-{_literal(high)}" if ranged else "")
+        k += 3 if ranged else 1
+    return (f"[^/{out}]" if start == i + 2 else f"[{out}&&[^/]]"), end + 1
+
+
+def _literal(c: str) -> str:
+    return re.sub(r"([^\w/])", r"\\\1", c)
+
+
 def rule_regex(rule: str) -> tuple[str, bool, bool] | None:
     """Regex of the paths that a rule names, whether it re-includes, whether it is for directories only.
 
-    None for blank lines, comments and malformed rules.
+    None for blank lines and comments; :class:`Malformed` for what cannot be a rule.
     """
-    line = re.sub(r"(?<!\\)[ \t]+$", "", rule)
+    line = unicodedata.normalize("NFC", re.sub(r"(?<!\\)[ \t]+$", "", rule))
     if not line or line.startswith("#"):
         return None
     negated = line.startswith("!")
     line = line[1:] if negated else line
-    line = line[1:] if line.startswith("\\") and line[1:2] in "#!" else line
+    line = line[1:] if line.startswith("\\") and line[1:2] in ("#", "!") else line
     dirs = line.endswith("/")
     line = line.rstrip("/")
     if not line:
@@ -44,25 +72,41 @@ def rule_regex(rule: str) -> tuple[str, bool, bool] | None:
         elif c == "?":
             out, i = out + "[^/]", i + 1
         elif c == "[":
-            end = line.find("]", i + 2)
-            if end < 0:
-                return None
-            body = line[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
-            out, i = out + "[" + ("^/" + body[1:] if body[0] in "!^" else body) + "]", end + 1
+            piece, i = _class(line, i)
+            out += piece
         elif c == "\\":
             if i + 1 == len(line):
-                return None
-            out, i = out + re.sub(r"([^\w/])", r"\\\1", line[i + 1]), i + 2
+                raise Malformed("nothing after the last backslash")
+            out, i = out + _literal(line[i + 1]), i + 2
         else:
-            out, i = out + re.sub(r"([^\w/])", r"\\\1", c), i + 1
+            out, i = out + _literal(c), i + 1
     return ("^" if anchored else "^(?:.*/)?") + out + "$", negated, dirs
 
 
 def compile_rules(lines: list[str], defaults: bool = True) -> list[tuple[str, str, bool, bool]]:
-    """``(source, pattern, negated, dirs_only)`` in order: the defaults, then the given lines. Lines that are no rule are left out."""
+    """``(source, pattern, negated, dirs_only)`` in order: the defaults, then the given lines. Lines that are no rule are left out (see :func:`invalid_rules`)."""
     every = [("default", r) for r in DEFAULT_RULES if defaults] + [(f"line {n}", r) for n, r in enumerate(lines, 1)]
-    compiled = [(source, rule_regex(rule.removesuffix("\r"))) for source, rule in every]
-    return [(source, *got) for source, got in compiled if got]
+    out = []
+    for source, rule in every:
+        try:
+            got = rule_regex(rule.removesuffix("\r"))
+        except Malformed:
+            continue
+        out += [(source, *got)] if got else []
+    return out
+
+
+def rule_fault(raw: bytes, first: bool) -> str | None:
+    """Why the bytes of a line are no rule; None if they are one, a comment or blank. A BOM on the first line and a CR are no fault."""
+    try:
+        line = raw.decode()
+    except UnicodeDecodeError:
+        return "not UTF-8"
+    try:
+        rule_regex((line.lstrip("\ufeff") if first else line).removesuffix("\r"))
+    except Malformed:
+        return "malformed"
+    return None
 
 
 def deciding_rule(path: Column, is_dir: Column, rules: list[tuple[str, str, bool, bool]]) -> Column:
@@ -88,13 +132,11 @@ def apply_ignore_rules(df: DataFrame, rules: list[tuple[str, str, bool, bool]])
 
 
 def invalid_rules(lines: DataFrame) -> DataFrame:
-    """P5: ``folder, line_no, reason`` of dropped rules from ``folder, line_no, bytes`` (from 1; a BOM or CR is no fault)."""
-    raw = F.when(F.col("line_no") == 1, F.when(F.hex(F.substring("bytes", 1, 3)) == "EFBBBF", F.substring("bytes", 4, 1 << 20)).otherwise(F.col("bytes"))).otherwise(F.col("bytes"))
-    text = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-    body = F.regexp_replace(text, r"\r$", "")
-    open_class = body.rlike(r"(?<!\\)\[[^\]]*$")
-    dangling = body.rlike(r"(?<!\\)(\\\\)*\\$")
-    reason = F.when(text.isNull(), "not UTF-8").when(~F.startswith(body, F.lit("#")) & (open_class | dangling), "malformed")
-    return lines.select("folder", "line_no", reason.alias("reason")).where("reason is not null")
+    """P5: ``folder, line_no, reason`` of the lines (``folder, line_no`` from 1, ``bytes``) that :func:`compile_rules` leaves out: the same parser judges them."""
 
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = b[["folder", "line_no"]].assign(reason=[rule_fault(bytes(x), n == 1) for x, n in zip(b["bytes"], b["line_no"], strict=True)])
+            yield out[out["reason"].notna()]
 
+    return lines.select("folder", F.col("line_no").cast("long"), "bytes").where("bytes is not null").mapInPandas(judge, "folder string, line_no long, reason string")

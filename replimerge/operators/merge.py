@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.entries import is_live, rank, same_content, winner_key
+from ..functions.entries import is_live, next_stamp, rank, same_content, winner_key
 from ..functions.paths import ancestors, conflict_copy_name, folded
 from ..functions.vectors import vv_compare, vv_dominates_or_equals, vv_increment, vv_merge, vv_merge_agg
-from ..schema import KIND_RANK
+from ..schema import EMPTY, KIND_RANK
+from .diff import assign_seq
 
 FIELDS = ["kind", "size", "mtime_ns", "stamp", "exec", "hash", "prev_hash", "deleted", "modified_by", "author_host"]
 
@@ -85,24 +86,49 @@ def classify_batch(incoming: DataFrame, local: DataFrame, keys: tuple[str, ...]
     return j.withColumn("mode", mode.when(F.col("incoming_wins"), merged_mode).when(F.col("decision") == "conflict", "index only"))
 
 
-def conflict_copies(classified: DataFrame, entries: DataFrame, node: str) -> DataFrame:
-    """M7: where the local side of a conflict lost and was live: the ``copy_path`` it goes to, or ``to_trash`` if that is taken.
+def conflict_copies(classified: DataFrame, entries: DataFrame, node: str, host: str = "") -> DataFrame:
+    """M7: where the local side of a conflict lost and was live: the entry of its copy at ``copy_path``, or ``to_trash`` if something live is there.
 
-    A copy is a new entry of ``node``: fresh vector, stamp of its first version, no previous hash.
+    A copy is a change of ``node`` like any other: it goes on from the record at the copy path,
+    tombstone or none, in vector, stamp and ``prev_hash`` (its ``announced_hash`` if the column is there).
     """
     lost = classified.where((F.col("decision") == "conflict") & F.col("incoming_wins") & ~F.col("own_deleted"))
     name = conflict_copy_name(F.col("path"), F.col("own_kind"), F.col("own_mtime_ns"), F.col("own_author_host"), F.col("own_modified_by"))
-    taken = entries.where(is_live()).select("folder", F.col("path").alias("copy_path"), F.lit(True).alias("__taken")).distinct()
-    j = lost.withColumn("copy_path", name).join(taken, ["folder", "copy_path"], "left")
-    fresh = F.create_map(F.lit(node), F.lit(1).cast("long"))
-    stamp = F.when(F.col("own_kind") == "file", F.col("own_mtime_ns")).otherwise(1)
-    return j.select("folder", "path", "copy_path", F.coalesce("__taken", F.lit(False)).alias("to_trash"), F.col("own_hash").alias("hash"), F.col("own_size").alias("size"), stamp.alias("stamp"), fresh.alias("version"))
-
-
-def adopt(entries: DataFrame, committed: DataFrame, keys: tuple[str, ...] = ("folder", "path")) -> DataFrame:
-    """M8: committed entries with ``adopted``: the new version dominates or equals the record it lands on."""
-    j = paired(committed, entries, keys)
-    return j.withColumn("adopted", F.when(F.col("own_known"), vv_dominates_or_equals(F.col("in_version"), F.col("own_version"))).otherwise(True))
+    seen = F.col("announced_hash") if "announced_hash" in entries.columns else F.col("hash")
+    there = entries.select("folder", F.col("path").alias("copy_path"), F.struct("version", "stamp", "deleted", seen.alias("seen")).alias("there"))
+    j = lost.withColumn("copy_path", name).join(there, ["folder", "copy_path"], "left")
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    return j.select(
+        "folder", "path", "copy_path",
+        F.coalesce(~F.col("there.deleted"), F.lit(False)).alias("to_trash"),
+        *[F.col(f"own_{c}").alias(c) for c in ("kind", "size", "mtime_ns", "exec", "hash")],
+        next_stamp(F.col("there.stamp"), F.col("own_kind"), F.col("own_mtime_ns"), F.lit(True)).cast("long").alias("stamp"),
+        F.coalesce("there.seen", F.lit(EMPTY)).alias("prev_hash"),
+        vv_increment(F.coalesce("there.version", nothing), F.lit(node)).alias("version"),
+        F.lit(False).alias("deleted"),
+        F.lit(node).alias("modified_by"),
+        F.lit(host).alias("author_host"),
+    )
+
+
+def adopt(entries: DataFrame, committed: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M8: committed entries taken over: (entries, pending changes, refused entries) afterwards.
+
+    A committed entry (``folder, node, path``, one a path) is taken over unchanged if it dominates or
+    equals the record it lands on: it replaces that record under a new ``seq`` of its folder and node,
+    in the order of paths, and clears the path's pending change. Others are refused and change nothing.
+    """
+    keys = ["folder", "node", "path"]
+    j = paired(committed.select(*keys, *FIELDS, "version"), entries, tuple(keys))
+    ok = F.when(F.col("own_known"), vv_dominates_or_equals(F.col("in_version"), F.col("own_version"))).otherwise(True)
+    j = j.withColumn("ok", ok)
+    fields = [c for c in entries.columns if c not in (*keys, "seq")]
+    taken = j.where("ok").select(*keys, *[F.col(f"in_{c}").alias(c) for c in fields], F.lit(0).alias("at"))
+    last = entries.groupBy("folder", "node").agg(F.max("seq").alias("last_seq"))
+    taken = assign_seq(taken, last).select(*entries.columns)
+    after = entries.join(taken.select(*keys), keys, "left_anti").unionByName(taken)
+    refused = committed.join(j.where("not ok").select(*keys), keys, "left_semi")
+    return after, pending.join(taken.select(*keys), keys, "left_anti"), refused
 
 
 def case_collisions(entries: DataFrame) -> DataFrame:
@@ -118,18 +144,26 @@ def winner_fallbacks(classified: DataFrame) -> DataFrame:
     return classified.where((F.col("decision") == "conflict") & decided_late("in_", "own_"))
 
 
-def deny_versions(held: DataFrame, local: DataFrame, node: str) -> DataFrame:
-    """K8: the new local version at each held path: all vectors merged and one up on ``node``, stamp above all, content as it was.
+def deny_versions(held: DataFrame, local: DataFrame, node: str, host: str, now_ns: Column, batches: DataFrame | None = None) -> DataFrame:
+    """K8: the new local entry at each path of the denied ``batches`` (all held ones by default).
 
-    Without a local record it is a tombstone.
+    Its vector is that of the record and all held versions of the path, of whatever batch, merged
+    and one up on ``node``; its stamp is above all of theirs; the content stays. Without a local
+    record it is a tombstone dated ``now_ns``. ``prev_hash`` is what peers last saw: the record's
+    ``announced_hash`` if that column is there, else its hash.
     """
     keys = ["folder", "path"]
-    both = held.select(*keys, "version", "stamp").unionByName(local.join(held.select(*keys).distinct(), keys, "left_semi").select(*keys, "version", "stamp"))
+    denied = held if batches is None else held.join(batches.select("batch").distinct(), "batch", "left_semi")
+    at = denied.select(*keys).distinct()
+    over = held.join(at, keys, "left_semi").select(*keys, "version", "stamp")
+    own = local.join(at, keys, "left_semi")
+    both = over.unionByName(own.select(*keys, "version", "stamp"))
     merged = vv_merge_agg(both, keys).withColumn("version", vv_increment(F.col("version"), F.lit(node)))
     top = both.groupBy(*keys).agg((F.max("stamp") + 1).alias("stamp"))
-    own = local.select(*keys, "hash", "size", "deleted")
-    j = merged.join(top, keys).join(own, keys, "left")
-    return j.withColumn("deleted", F.coalesce("deleted", F.lit(True))).withColumn("hash", F.coalesce("hash", F.lit("0" * 64))).withColumn("size", F.coalesce("size", F.lit(0)))
+    seen = F.col("announced_hash") if "announced_hash" in local.columns else F.col("hash")
+    j = merged.join(top, keys).join(own.select(*keys, "kind", "size", "mtime_ns", "exec", "hash", "deleted", seen.alias("prev_hash")), keys, "left")
+    gone = {"kind": F.lit("file"), "size": F.lit(0).cast("long"), "mtime_ns": now_ns, "exec": F.lit(False), "hash": F.lit(EMPTY), "deleted": F.lit(True), "prev_hash": F.lit(EMPTY)}
+    return j.withColumns({c: F.coalesce(F.col(c), v) for c, v in gone.items()} | {"modified_by": F.lit(node), "author_host": F.lit(host)})
 
 
 def kind_rank(kind: Column) -> Column:

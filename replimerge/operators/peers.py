@@ -9,9 +9,9 @@ _PRIVATE = r"^(10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)"
 
 
 def classify_tier(peers: DataFrame) -> DataFrame:
-    """Adds ``tier``: a direct private or link-local IPv4 address is lan, any other direct one direct, else relay. IPv4-mapped addresses count as IPv4."""
+    """Adds ``tier``: a direct private IPv4 or link-local address (fe80::/10 too) is lan, any other direct one direct, else relay. IPv4-mapped addresses count as IPv4."""
     addr = F.regexp_replace("direct_addr", "(?i)^::ffff:", "")
-    tier = F.when(addr.isNull() | (addr == ""), "relay").when(addr.rlike(_PRIVATE) & addr.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "lan").otherwise("direct")
+    tier = F.when(addr.isNull() | (addr == ""), "relay").when(addr.rlike(_PRIVATE) & addr.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "lan").when(addr.rlike("(?i)^fe[89ab][0-9a-f]:"), "lan").otherwise("direct")
     return peers.withColumn("tier", tier)
 
 

@@ -74,16 +74,27 @@ def path_history(batch_entries: DataFrame, path: str | None = None) -> DataFrame
     return rows.withColumn("step_no", F.row_number().over(w)).withColumn("hash_before", F.lag("hash").over(w))
 
 
-def folder_status(entries: DataFrame, pending: DataFrame, held: DataFrame, paused: DataFrame) -> DataFrame:
-    """``folder, node, files, bytes, tombstones, pending, held, paused``."""
-    e = entries.groupBy("folder", "node").agg(
+def folder_status(entries: DataFrame, pending: DataFrame, held: DataFrame, paused: DataFrame, deferred: DataFrame, skipped: DataFrame) -> DataFrame:
+    """``folder, node, files, bytes, tombstones, pending, held, paused, deferred, deferred_reasons, skipped``.
+
+    ``deferred`` has ``folder, node, reason``; its reasons are listed as ``reason:n``, by name.
+    """
+    keys = ["folder", "node"]
+    e = entries.groupBy(*keys).agg(
         F.count_if(is_tracked()).alias("files"), F.sum(F.when(is_live(), F.col("size")).otherwise(0)).alias("bytes"), F.count_if(~is_live()).alias("tombstones")
     )
-    p = pending.groupBy("folder", "node").agg(F.count(F.lit(1)).alias("pending"))
-    h = held.groupBy("folder", "node").agg(F.count_distinct("batch").alias("held"))
-    z = paused.select("folder", "node").distinct().withColumn("paused", F.lit(True))
-    j = e.join(p, ["folder", "node"], "left").join(h, ["folder", "node"], "left").join(z, ["folder", "node"], "left")
-    return j.fillna(0, ["pending", "held"]).fillna(False, ["paused"])
+    d = deferred.groupBy(*keys, "reason").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys)
+    named = F.transform(F.sort_array(F.collect_list(F.struct("reason", "n"))), lambda x: F.concat_ws(":", x["reason"], x["n"]))
+    parts = [
+        pending.groupBy(*keys).agg(F.count(F.lit(1)).alias("pending")),
+        held.groupBy(*keys).agg(F.count_distinct("batch").alias("held")),
+        paused.select(*keys).distinct().withColumn("paused", F.lit(True)),
+        d.agg(F.sum("n").alias("deferred"), F.array_join(named, ",").alias("deferred_reasons")),
+        skipped.groupBy(*keys).agg(F.count(F.lit(1)).alias("skipped")),
+    ]
+    for p in parts:
+        e = e.join(p, keys, "left")
+    return e.fillna(0, ["pending", "held", "deferred", "skipped"]).fillna(False, ["paused"]).fillna("", ["deferred_reasons"])
 
 
 def change_rollup(history: DataFrame) -> DataFrame:

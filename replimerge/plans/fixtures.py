@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Z64 = "repeat('0', 64)"
+#: Some directories and links among the files.
+KIND = "CASE WHEN p_partkey % 23 = 5 THEN 'symlink' WHEN p_partkey % 23 = 6 THEN 'dir' ELSE 'file' END"
 
 SQL: dict[str, str] = {}
 USES: dict[str, tuple[str, ...]] = {}
@@ -25,13 +27,13 @@ _define(
     "replicas",
     ("orders",),
     f"""
-SELECT folder, path, node, k, r, e, 'file' AS kind, CASE WHEN deleted THEN 0 ELSE k % 1000 + 10 * e + 1 END AS size, mtime_ns, stamp,
-       k % 7 = 0 AND NOT deleted AS exec, CASE WHEN deleted THEN {Z64} ELSE h END AS hash, CASE WHEN e > 0 THEN SHA[[path]] ELSE {Z64} END AS prev_hash,
+SELECT folder, path, node, k, r, e, kind, CASE WHEN deleted OR kind = 'dir' THEN 0 ELSE k % 1000 + 10 * e + 1 END AS size, CASE WHEN deleted OR kind = 'file' THEN mtime_ns ELSE 0 END AS mtime_ns, stamp,
+       k % 7 = 0 AND NOT deleted AND kind = 'file' AS exec, CASE WHEN deleted OR kind = 'dir' THEN {Z64} ELSE h END AS hash, CASE WHEN e > 0 THEN SHA[[path]] ELSE {Z64} END AS prev_hash,
        deleted, CASE WHEN e > 0 THEN node ELSE 'n0' END AS modified_by, CASE WHEN e > 0 THEN 'host' || CAST(r AS STRING) ELSE 'host0' END AS author_host, c_n0, c_n1, c_n2
 FROM (
   SELECT *, CASE WHEN e = 0 THEN SHA[[path]] WHEN k % 5 = 0 THEN SHA[[path || '|' || CAST(e AS STRING)]]
                  ELSE SHA[[path || '|' || CAST(r AS STRING) || '|' || CAST(e AS STRING)]] END AS h,
-         e > 0 AND (k + r) % 11 = 0 AS deleted
+         e > 0 AND (k + r) % 11 = 0 AS deleted, CASE WHEN k % 20 = 17 AND NOT (e > 0 AND r = 1) THEN 'dir' WHEN k % 20 = 19 AND NOT (e > 0 AND r = 2) THEN 'symlink' ELSE 'file' END AS kind
   FROM (
     SELECT 'f' || CAST(o_custkey % 8 AS STRING) AS folder, 'o' || CAST(k % 100 AS STRING) || '/' || CAST(k AS STRING) AS path,
            'n' || CAST(r AS STRING) AS node, k, r, e,
@@ -56,8 +58,9 @@ _define(
     "parts_index",
     ("part",),
     f"""
-SELECT 'f' || CAST(p_partkey % 4 AS STRING) AS folder, 'n0' AS node, 'p' || CAST(p_size AS STRING) || '/' || CAST(p_partkey AS STRING) AS path, CAST(p_partkey AS BIGINT) AS k, 'file' AS kind,
-       CAST(p_size AS BIGINT) AS size, 1700000000000000000 + CAST(p_partkey AS BIGINT) * 1000 AS mtime_ns, CAST(5000 + p_partkey AS BIGINT) AS stamp, p_partkey % 2 = 0 AS exec, SHA[[p_name]] AS hash,
+SELECT 'f' || CAST(p_partkey % 4 AS STRING) AS folder, 'n0' AS node, 'p' || CAST(p_size AS STRING) || '/' || CAST(p_partkey AS STRING) AS path, CAST(p_partkey AS BIGINT) AS k, {KIND} AS kind,
+       CASE WHEN {KIND} = 'dir' THEN 0 ELSE CAST(p_size AS BIGINT) END AS size, CASE WHEN {KIND} = 'file' THEN 1700000000000000000 + CAST(p_partkey AS BIGINT) * 1000 ELSE 0 END AS mtime_ns, CAST(5000 + p_partkey AS BIGINT) AS stamp,
+       p_partkey % 2 = 0 AND {KIND} = 'file' AS exec, CASE WHEN {KIND} = 'dir' THEN {Z64} ELSE SHA[[p_name]] END AS hash,
        {Z64} AS prev_hash, p_partkey % 17 = 0 AS deleted, 'n0' AS modified_by, 'host0' AS author_host, CAST(p_partkey % 3 + 1 AS BIGINT) AS c_n0, CAST(0 AS BIGINT) AS c_n1, CAST(0 AS BIGINT) AS c_n2
 FROM part
 """,
@@ -65,11 +68,11 @@ FROM part
 _define(
     "parts_scan",
     ("part",),
-    """
+    f"""
 SELECT folder, 'n0' AS node, 'b' || CAST(k % 3 AS STRING) AS bracket_id, path, state, CASE WHEN state = 'skipped' THEN 'unreadable' END AS skip_reason, kind, size, mtime_ns, exec, hash, 1800000000000000000 + k AS at_ns, k AS arrival
 FROM (
   SELECT 'f' || CAST(p_partkey % 4 AS STRING) AS folder, 'p' || CAST(p_size AS STRING) || '/' || CAST(p_partkey AS STRING) AS path, CAST(p_partkey AS BIGINT) AS k,
-         CASE WHEN p_partkey % 10 = 4 THEN 'skipped' ELSE 'observed' END AS state, 'file' AS kind, CAST(p_size AS BIGINT) AS size,
+         CASE WHEN p_partkey % 10 = 4 THEN 'skipped' ELSE 'observed' END AS state, {KIND} AS kind, CAST(p_size AS BIGINT) AS size,
          1700000000000000000 + CAST(p_partkey AS BIGINT) * 1000 + CASE WHEN p_partkey % 10 = 2 THEN 1 ELSE 0 END AS mtime_ns,
          CASE WHEN p_partkey % 10 = 3 THEN p_partkey % 2 <> 0 ELSE p_partkey % 2 = 0 END AS exec,
          CASE WHEN p_partkey % 10 = 1 THEN SHA[[p_name || '!']] ELSE SHA[[p_name]] END AS hash

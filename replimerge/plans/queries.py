@@ -56,14 +56,14 @@ m AS (
   SELECT *, CASE WHEN decision IN ('apply', 'merge') THEN CASE WHEN same AND kind = 'file' AND NOT deleted THEN 'metadata only' WHEN same THEN 'index only' WHEN deleted OR kind = 'dir' THEN 'direct' ELSE 'fetch' END
                  WHEN incoming_wins THEN CASE WHEN deleted OR kind = 'dir' THEN 'direct' ELSE 'fetch' END WHEN decision = 'conflict' THEN 'index only' END AS mode FROM d)"""
 _MERGED = f""", z AS (
-  SELECT folder, path, arg_max({{'hash': hash, 'size': size, 'deleted': deleted, 'stamp': stamp, 'modified_by': modified_by}}, {_KEY}) AS w, max(c_n0) AS c_n0, max(c_n1) AS c_n1, max(c_n2) AS c_n2, count(*) AS replicas
+  SELECT folder, path, arg_max({{'hash': hash, 'size': size, 'deleted': deleted, 'stamp': stamp, 'modified_by': modified_by, 'kind': kind, 'mtime_ns': mtime_ns}}, {_KEY}) AS w, max(c_n0) AS c_n0, max(c_n1) AS c_n1, max(c_n2) AS c_n2, count(*) AS replicas
   FROM fx_replicas GROUP BY folder, path)"""
 
 
-@query("merge_replicas", _MERGED + " SELECT folder, path, w.hash AS hash, w.size AS size, w.deleted AS deleted, w.stamp AS stamp, w.modified_by AS modified_by, replicas, c_n0, c_n1, c_n2 FROM z")
+@query("merge_replicas", _MERGED + " SELECT folder, path, w.hash AS hash, w.size AS size, w.deleted AS deleted, w.stamp AS stamp, w.modified_by AS modified_by, w.kind AS kind, w.mtime_ns AS mtime_ns, replicas, c_n0, c_n1, c_n2 FROM z")
 def _(spark, sf):
     m = merge.merge_replicas(_replicas(spark, sf))
-    return m.select("folder", "path", "hash", "size", "deleted", "stamp", "modified_by", "replicas", *counters())
+    return m.select("folder", "path", "hash", "size", "deleted", "stamp", "modified_by", "kind", "mtime_ns", "replicas", *counters())
 
 
 @query("vv_compare", _PAIR + " SELECT folder, path, relation FROM p")
@@ -121,10 +121,23 @@ _STAMP = "strftime(make_timestamp(CAST(floor(b_mtime_ns / 1000000000) AS BIGINT)
 _COPY = f"regexp_extract(path, '^(.*/)?', 0) || regexp_extract(path, '[^/]*$', 0) || '.conflict-' || {_STAMP} || '-' || b_author_host"
 
 
-@query("conflict_copies", _CLASS + f", x AS (SELECT *, {_COPY} AS copy_path FROM m WHERE decision = 'conflict' AND incoming_wins AND NOT b_deleted) SELECT folder, path, copy_path, b_hash AS hash, b_size AS size, b_mtime_ns AS stamp, EXISTS (SELECT 1 FROM fx_replicas r WHERE r.node = 'n0' AND NOT r.deleted AND r.folder = x.folder AND r.path = x.copy_path) AS to_trash FROM x")
+@query(
+    "conflict_copies",
+    _CLASS
+    + f""", x AS (SELECT *, {_COPY} AS copy_path FROM m WHERE decision = 'conflict' AND incoming_wins AND NOT b_deleted),
+t AS (SELECT folder, path, k, {_COPY.replace('b_', '')} AS copy, mtime_ns + 5 AS s FROM fx_replicas WHERE node = 'n0' AND k % 4 < 2)
+SELECT x.folder, x.path, copy_path, coalesce(t.k % 4 = 1, FALSE) AS to_trash, b_kind AS kind, b_size AS size, b_mtime_ns AS mtime_ns, b_exec AS exec, b_hash AS hash,
+       CASE WHEN s IS NULL THEN CASE b_kind WHEN 'file' THEN b_mtime_ns ELSE 1 END WHEN b_kind = 'file' THEN greatest(b_mtime_ns, s + 1) ELSE s + 1 END AS stamp,
+       CASE WHEN s IS NULL THEN repeat('0', 64) ELSE 'h' END AS prev_hash, CASE WHEN s IS NULL THEN 1 ELSE 4 END AS c_n0, FALSE AS deleted, 'n0' AS modified_by, 'me' AS author_host
+FROM x LEFT JOIN t ON t.folder = x.folder AND t.copy = x.copy_path""",
+)
 def _(spark, sf):
     a, b = _two(spark, sf)
-    return merge.conflict_copies(merge.classify_batch(a, b), b, "n0").select("folder", "path", "copy_path", "hash", "size", "stamp", "to_trash")
+    name = fp.conflict_copy_name(F.col("path"), F.col("kind"), F.col("mtime_ns"), F.col("author_host"), F.col("modified_by"))
+    three = F.create_map(F.lit("n0"), F.lit(3).cast("long"))
+    there = b.where("k % 4 < 2").withColumns({"path": name, "stamp": F.col("mtime_ns") + 5, "version": three, "hash": F.lit("h"), "deleted": F.col("k") % 4 == 0})
+    copies = merge.conflict_copies(merge.classify_batch(a, b), b.unionByName(there), "n0", "me")
+    return copies.select("folder", "path", "copy_path", "to_trash", *merge.FIELDS, counters()[0])
 
 
 @query("conflict_copy_name", f"SELECT path, node, regexp_replace(path, '\\.txt$', '') || '.conflict-' || {_STAMP.replace('b_mtime_ns', 'mtime_ns')} || '-' || node || '.txt' AS copy FROM fx_files")
@@ -133,10 +146,24 @@ def _(spark, sf):
     return f.select("path", "node", fp.conflict_copy_name(F.col("path"), F.col("kind"), F.col("mtime_ns"), F.lit(""), F.col("node")).alias("copy"))
 
 
-@query("adopt", _PAIR + " SELECT folder, path, relation IN ('absent', 'dominates', 'equal') AS adopted FROM p")
+_ADOPT = _PAIR + ", s AS (SELECT folder, max(k) AS top FROM fx_replicas WHERE node = 'n0' GROUP BY folder), t AS (SELECT p.*, relation IN ('absent', 'dominates', 'equal') AS ok FROM p), n AS (SELECT t.*, coalesce(top, 0) + row_number() OVER (PARTITION BY t.folder ORDER BY path) AS seq FROM t LEFT JOIN s USING (folder) WHERE ok)"
+
+
+@query(
+    "adopt",
+    _ADOPT
+    + " SELECT 'entry' AS part, folder, path, hash, kind, seq, c_n0, c_n1, c_n2 FROM n UNION ALL SELECT 'entry', folder, path, hash, kind, k, c_n0, c_n1, c_n2 FROM fx_replicas r WHERE node = 'n0' AND NOT EXISTS (SELECT 1 FROM n WHERE n.folder = r.folder AND n.path = r.path)"
+    " UNION ALL SELECT 'pending', folder, path, NULL, NULL, NULL, NULL, NULL, NULL FROM fx_replicas r WHERE node = 'n0' AND k % 9 = 0 AND NOT EXISTS (SELECT 1 FROM n WHERE n.folder = r.folder AND n.path = r.path)"
+    " UNION ALL SELECT 'refused', folder, path, hash, kind, NULL, c_n0, c_n1, c_n2 FROM t WHERE NOT ok",
+)
 def _(spark, sf):
     a, b = _two(spark, sf)
-    return merge.adopt(b, a).select("folder", "path", "adopted")
+    own = b.select("folder", "node", "path", *merge.FIELDS, "version", F.col("k").alias("seq"))
+    after, pending, refused = merge.adopt(own, a.withColumn("node", F.lit("n0")), b.where("k % 9 = 0").select("folder", "node", "path"))
+    none = F.lit(None)
+    part = lambda df, name, seq: df.select(F.lit(name).alias("part"), "folder", "path", "hash", "kind", seq.cast("long").alias("seq"), *counters())
+    left = pending.select(F.lit("pending").alias("part"), "folder", "path", none.cast("string").alias("hash"), none.cast("string").alias("kind"), none.cast("long").alias("seq"), *[none.cast("long").alias(f"c_{n}") for n in C])
+    return part(after, "entry", F.col("seq")).unionByName(left).unionByName(part(refused, "refused", none))
 
 
 _CASES = ", every AS (SELECT folder, path FROM fx_files WHERE NOT deleted UNION SELECT folder, CASE WHEN k % 20 = 0 THEN upper(path) ELSE path END FROM fx_files WHERE k % 10 = 0 AND NOT deleted UNION SELECT folder, split_part(path, '/', 1) FROM fx_files WHERE NOT deleted UNION SELECT folder, upper(split_part(path, '/', 1)) FROM fx_files WHERE k % 20 = 0 AND NOT deleted)"
@@ -149,15 +176,18 @@ def _(spark, sf):
     return merge.case_collisions(f.unionByName(copies))
 
 
-@query("winner_fallbacks", _CLASS + " SELECT folder, path FROM m WHERE decision = 'conflict' AND stamp = b_stamp AND deleted = b_deleted AND (hash <> prev_hash) = (b_hash <> b_prev_hash) AND mtime_ns = b_mtime_ns AND modified_by = b_modified_by")
+@query("winner_fallbacks", _CLASS.replace("FROM fx_replicas a LEFT JOIN fx_replicas b", "FROM late a LEFT JOIN late b").replace(", p AS", ", late AS (SELECT * REPLACE (CASE WHEN k % 3 = 0 THEN 'nx' ELSE modified_by END AS modified_by, CASE WHEN k % 3 = 0 THEN k ELSE mtime_ns END AS mtime_ns, CASE WHEN k % 3 = 0 THEN k ELSE stamp END AS stamp) FROM fx_replicas), p AS", 1) + " SELECT folder, path FROM m WHERE decision = 'conflict' AND stamp = b_stamp AND deleted = b_deleted AND (hash <> prev_hash) = (b_hash <> b_prev_hash) AND mtime_ns = b_mtime_ns AND modified_by = b_modified_by")
 def _(spark, sf):
-    return merge.winner_fallbacks(merge.classify_batch(*_two(spark, sf))).select("folder", "path")
+    late = F.col("k") % 3 == 0
+    a, b = (x.withColumns({"modified_by": F.when(late, "nx").otherwise(F.col("modified_by")), "mtime_ns": F.when(late, F.col("k")).otherwise(F.col("mtime_ns")), "stamp": F.when(late, F.col("k")).otherwise(F.col("stamp"))}) for x in _two(spark, sf))
+    return merge.winner_fallbacks(merge.classify_batch(a, b)).select("folder", "path")
 
 
 # --- change detection -------------------------------------------------------------------------
 
 _COVER = "o.folder = e.folder AND (o.path = e.path OR starts_with(e.path, o.path || '/'))"
-_DIFF = f""", obs AS (SELECT * FROM fx_parts_scan), e AS (
+_DIFF = f""", obs AS (
+  SELECT * REPLACE (CASE kind WHEN 'dir' THEN 0 ELSE size END AS size, CASE kind WHEN 'dir' THEN repeat('0', 64) ELSE hash END AS hash, kind = 'file' AND exec AS exec, CASE kind WHEN 'file' THEN mtime_ns ELSE 0 END AS mtime_ns) FROM fx_parts_scan), e AS (
   SELECT *, EXISTS (SELECT 1 FROM obs o WHERE o.state = 'skipped' AND {_COVER}) AS covered FROM fx_parts_index e),
 j AS (
   SELECT coalesce(e.folder, o.folder) AS folder, coalesce(e.path, o.path) AS path, o.state, o.kind, o.size, o.mtime_ns, o.exec, o.hash, o.at_ns, e.folder IS NOT NULL AND NOT e.deleted AS live, e.covered, e.kind AS e_kind, e.size AS e_size, e.mtime_ns AS e_mtime, e.exec AS e_exec, e.hash AS e_hash, e.stamp AS e_stamp, coalesce(e.c_n0, 0) AS c0
@@ -171,13 +201,17 @@ d AS (
 @query(
     "snapshot_diff",
     _DIFF
-    + """ SELECT folder, path, change, CASE WHEN change IN ('add', 'modify', 'touch', 'chmod') THEN hash WHEN change = 'delete' THEN repeat('0', 64) END AS new_hash,
-  CASE WHEN change IN ('skipped', 'unchanged') THEN NULL WHEN e_stamp IS NULL THEN mtime_ns WHEN change IN ('add', 'modify', 'chmod') THEN greatest(mtime_ns, e_stamp + 1) ELSE e_stamp + 1 END AS new_stamp,
-  CASE WHEN change NOT IN ('skipped', 'unchanged') THEN c0 + 1 ELSE 0 END AS c_n0 FROM d""",
+    + """, w AS (SELECT *, change NOT IN ('skipped', 'unchanged') AS written, change = 'delete' AS gone FROM d)
+SELECT folder, path, change, CASE WHEN gone THEN e_kind WHEN written THEN kind END AS new_kind, CASE WHEN gone THEN 0 WHEN written THEN size END AS new_size,
+  CASE WHEN gone THEN coalesce(at_ns, 1900000000000000000) WHEN written THEN mtime_ns END AS new_mtime_ns, CASE WHEN written THEN NOT gone AND exec END AS new_exec,
+  CASE WHEN gone THEN repeat('0', 64) WHEN written THEN hash END AS new_hash, CASE WHEN written THEN gone END AS new_deleted, CASE WHEN written THEN coalesce(e_hash, repeat('0', 64)) END AS new_prev_hash,
+  CASE WHEN NOT written THEN NULL WHEN e_stamp IS NULL THEN CASE kind WHEN 'file' THEN mtime_ns ELSE 1 END WHEN kind = 'file' AND NOT gone AND hash <> e_hash THEN greatest(mtime_ns, e_stamp + 1) ELSE e_stamp + 1 END AS new_stamp,
+  CASE WHEN written THEN 'n0' END AS new_modified_by, CASE WHEN written THEN 'me' END AS new_author_host, CASE WHEN written THEN c0 + 1 ELSE 0 END AS c_n0 FROM w""",
 )
 def _(spark, sf):
-    d = diff.snapshot_diff(with_version(fixture(spark, sf, "parts_index")), fixture(spark, sf, "parts_scan"))
-    return d.select("folder", "path", "change", "new_hash", "new_stamp", counters("new_version")[0])
+    hosts = spark.range(1).select(F.lit("n0").alias("node"), F.lit("me").alias("host"))
+    d = diff.snapshot_diff(with_version(fixture(spark, sf, "parts_index")), fixture(spark, sf, "parts_scan"), hosts=hosts, now_ns=F.lit(1_900_000_000_000_000_000))
+    return d.select(*[c for c in d.columns if c not in ("node", "new_version")], counters("new_version")[0])
 
 
 @query("covered_by_skip", f"SELECT folder, path, EXISTS (SELECT 1 FROM fx_parts_scan o WHERE o.state = 'skipped' AND {_COVER}) AS covered FROM fx_parts_index e")
@@ -253,7 +287,7 @@ def _(spark, sf):
     return diff.assign_seq(c, last).select("folder", "node", "arrival", "seq")
 
 
-@query("next_stamp", "SELECT folder, path, CASE WHEN k % 5 = 0 THEN mtime_ns WHEN k % 2 = 0 THEN greatest(mtime_ns, stamp + 1) ELSE stamp + 1 END AS next FROM fx_parts_index")
+@query("next_stamp", "SELECT folder, path, CASE WHEN k % 5 = 0 THEN CASE kind WHEN 'file' THEN mtime_ns ELSE 1 END WHEN k % 2 = 0 AND kind = 'file' THEN greatest(mtime_ns, stamp + 1) ELSE stamp + 1 END AS next FROM fx_parts_index")
 def _(spark, sf):
     prev = F.when(F.col("k") % 5 != 0, F.col("stamp"))
     return fixture(spark, sf, "parts_index").select("folder", "path", fe.next_stamp(prev, F.col("kind"), F.col("mtime_ns"), F.col("k") % 2 == 0).alias("next"))
@@ -294,7 +328,8 @@ def _(spark, sf):
 @query("invalid_rules", "SELECT folder, k AS line_no, CASE WHEN k % 7 = 0 THEN 'not UTF-8' ELSE 'malformed' END AS reason FROM fx_files WHERE k % 7 = 0 OR k % 5 = 0")
 def _(spark, sf):
     f = fixture(spark, sf, "files")
-    raw = F.when(F.col("k") % 7 == 0, F.unhex(F.lit("FF61"))).when(F.col("k") % 5 == 0, F.encode(F.lit("[ab\r"), "utf-8")).otherwise(F.encode(F.concat("path", F.lit("\r")), "utf-8"))
+    bad = F.element_at(F.array(*map(F.lit, ["[ab\r", "[]", "![z-a]", "x\\"])), (F.col("k") / 5 % 4 + 1).cast("int"))
+    raw = F.when(F.col("k") % 7 == 0, F.unhex(F.lit("FF61"))).when(F.col("k") % 5 == 0, F.encode(bad, "utf-8")).otherwise(F.encode(F.concat("path", F.lit("\r")), "utf-8"))
     return ignore.invalid_rules(f.select("folder", F.col("k").alias("line_no"), raw.alias("bytes")))
 
 
@@ -304,7 +339,7 @@ def _(spark, sf):
     return fe.normalise_observation(f).select("k", "size", "hash", "exec", "mtime_ns")
 
 
-@query("same_content", _PAIR + f" SELECT folder, path, {_SAME} AS same, hash = prev_hash AS metadata_only, NOT b_deleted AND kind = b_kind AND size = b_size AND mtime_ns = b_mtime_ns AND exec = b_exec AS unchanged FROM p WHERE known")
+@query("same_content", _PAIR + f" SELECT folder, path, {_SAME} AS same, hash = prev_hash AS metadata_only, NOT b_deleted AND kind = b_kind AND CASE kind WHEN 'file' THEN size = b_size AND mtime_ns = b_mtime_ns AND exec = b_exec WHEN 'dir' THEN TRUE ELSE hash = b_hash END AS unchanged FROM p WHERE known")
 def _(spark, sf):
     p = merge.paired(*_two(spark, sf)).where("own_known")
     return p.select("folder", "path", fe.same_content("in_", "own_").alias("same"), fe.is_metadata_only("in_").alias("metadata_only"), fe.unchanged_by_stat("in_", "own_").alias("unchanged"))
@@ -453,7 +488,7 @@ def _(spark, sf):
 _RS = "count(*) FILTER (does AND NOT deleted AND NOT here) AS adds, count(*) FILTER (does AND NOT deleted AND here) AS mods, count(*) FILTER (does AND deleted AND here AND b_kind <> 'dir') AS dels, CAST(coalesce(sum(size) FILTER (does AND NOT deleted), 0) AS BIGINT) AS bytes"
 _DOES = ", q AS (SELECT *, coalesce(mode IN ('fetch', 'direct'), FALSE) AS does, coalesce(NOT b_deleted, FALSE) AS here FROM m)"
 _HOLD = "d >= 50 AND tracked > 0 AND d * 100 >= 25 * tracked"
-_EVAL = f"SELECT *, mods + dels AS d FROM s0), s AS (SELECT *, ({_HOLD}) OR bytes > 21474836480 AS held, CASE WHEN {_HOLD} THEN 'count: ' || d || ' deletes and modifies = ' || (d * 100 // greatest(tracked, 1)) || '% of ' || tracked || ' tracked' WHEN bytes > 21474836480 THEN 'size: ' || bytes || ' bytes of adds and modifies' END AS reason FROM s1)"
+_EVAL = f"SELECT *, mods + dels AS d FROM s0), s AS (SELECT *, ({_HOLD}) OR bytes > 21474836480 AS held, CASE WHEN {_HOLD} THEN 'would delete or modify ' || d || ' of ' || tracked || ' tracked files (' || (d * 100 // greatest(tracked, 1)) || '%)' WHEN bytes > 21474836480 THEN 'would write ' || bytes || ' bytes' END AS reason FROM s1)"
 
 
 @query("receiver_summary", _CLASS + _DOES + f" SELECT folder, {_RS} FROM q GROUP BY folder")
@@ -461,7 +496,7 @@ def _(spark, sf):
     return brake.receiver_summary(merge.classify_batch(*_two(spark, sf)), ["folder"])
 
 
-@query("evaluate_brake", _CLASS + _DOES + f", s0 AS (SELECT * FROM (SELECT folder, {_RS} FROM q GROUP BY folder) a JOIN (SELECT folder, count(*) FILTER (NOT deleted) AS tracked FROM fx_replicas WHERE node = 'n0' GROUP BY folder) b USING (folder)), s1 AS ({_EVAL} SELECT folder, adds, mods, dels, bytes, tracked, held, reason FROM s")
+@query("evaluate_brake", _CLASS + _DOES + f", s0 AS (SELECT * FROM (SELECT folder, {_RS} FROM q GROUP BY folder) a JOIN (SELECT folder, count(*) FILTER (NOT deleted AND kind <> 'dir') AS tracked FROM fx_replicas WHERE node = 'n0' GROUP BY folder) b USING (folder)), s1 AS ({_EVAL} SELECT folder, adds, mods, dels, bytes, tracked, held, reason FROM s")
 def _(spark, sf):
     a, b = _two(spark, sf)
     tracked = b.groupBy("folder").agg(F.count_if(fe.is_tracked()).alias("tracked"))
@@ -490,11 +525,18 @@ def _(spark, sf):
     return brake.quarantine_match(r.where("node <> 'n2'"), _held(r))
 
 
-@query("hold", _HELD + ", top AS (SELECT folder, max(arrival) AS t FROM h GROUP BY folder), l AS (SELECT folder, 'h' || k % 7 AS batch, path, stamp, k, c_n0, c_n1, c_n2 FROM fx_replicas WHERE node = 'n0' AND k % 20 = 0) SELECT folder, batch, path, stamp, arrival FROM h UNION ALL SELECT l.folder, l.batch, l.path, l.stamp, coalesce(t, 0) + row_number() OVER (PARTITION BY l.folder ORDER BY k, l.batch, l.path) FROM l LEFT JOIN top USING (folder)")
+_FOLD = (
+    ", f0 AS (SELECT folder, path, k % 7 AS b, bool_or(node = 'n0') AS p0, bool_or(node = 'n1') AS p1, CASE WHEN bool_or(node = 'n2') THEN 2 END AS s0, max(c_n0) FILTER (node = 'n0') AS v00, max(c_n1) FILTER (node = 'n0') AS v01, max(c_n2) FILTER (node = 'n0') AS v02, max(c_n0) FILTER (node = 'n1') AS v10, max(c_n1) FILTER (node = 'n1') AS v11, max(c_n2) FILTER (node = 'n1') AS v12, max(c_n0) FILTER (node = 'n2') AS v20, max(c_n1) FILTER (node = 'n2') AS v21, max(c_n2) FILTER (node = 'n2') AS v22 FROM fx_replicas WHERE k % 20 = 0 GROUP BY ALL)"
+    ", f1 AS (SELECT *, CASE WHEN p0 AND (s0 IS NULL OR (v00 >= v20 AND v01 >= v21 AND v02 >= v22)) THEN 0 ELSE s0 END AS s1 FROM f0)"
+    ", f2 AS (SELECT *, CASE WHEN p1 AND (s1 IS NULL OR (s1 = 0 AND v10 >= v00 AND v11 >= v01 AND v12 >= v02) OR (s1 = 2 AND v10 >= v20 AND v11 >= v21 AND v12 >= v22)) THEN 1 ELSE s1 END AS s2 FROM f1)"
+)
+
+
+@query("hold", _HELD + _FOLD + ", top AS (SELECT folder, max(arrival) AS t FROM h GROUP BY folder), l AS (SELECT * FROM fx_replicas WHERE node <> 'n2' AND k % 20 = 0), e AS (SELECT folder, batch, path, stamp, arrival, 2 AS who FROM h UNION ALL SELECT l.folder, 'h' || k % 7, l.path, l.stamp, coalesce(t, 0) + row_number() OVER (PARTITION BY l.folder ORDER BY k * 2 + r), r FROM l LEFT JOIN top USING (folder)) SELECT e.folder, batch, e.path, stamp, arrival, who = s2 AS stored FROM e JOIN f2 ON f2.folder = e.folder AND f2.path = e.path")
 def _(spark, sf):
     r = _replicas(spark, sf)
-    late = r.where("node = 'n0' and k % 20 = 0").select("folder", F.concat(F.lit("h"), F.col("k") % 7).alias("batch"), "path", "version", "stamp", F.col("k").alias("at"))
-    return brake.hold(_held(r), late).select("folder", "batch", "path", "stamp", "arrival")
+    late = r.where("node <> 'n2' and k % 20 = 0").select("folder", F.concat(F.lit("h"), F.col("k") % 7).alias("batch"), "path", "version", "stamp", (F.col("k") * 2 + F.col("r")).alias("at"))
+    return brake.hold(_held(r), late).select("folder", "batch", "path", "stamp", "arrival", "stored")
 
 
 @query("approve", _CLASS + " SELECT folder, path, decision, mode FROM m WHERE k % 5 = 1")
@@ -507,23 +549,35 @@ def _(spark, sf):
 @query(
     "deny",
     _HELD
-    + ", b AS (SELECT h.folder, h.path, greatest(h.c_n0, coalesce(o.c_n0, 0)) + 1 AS c_n0, greatest(h.c_n1, coalesce(o.c_n1, 0)) AS c_n1, greatest(h.c_n2, coalesce(o.c_n2, 0)) AS c_n2, greatest(h.stamp, coalesce(o.stamp, h.stamp)) + 1 AS stamp, coalesce(o.deleted, TRUE) AS deleted, coalesce(o.hash, repeat('0', 64)) AS hash, coalesce(o.size, 0) AS size FROM h LEFT JOIN fx_replicas o ON o.node = 'n0' AND o.folder = h.folder AND o.path = h.path) SELECT * FROM b",
+    + ", o AS (SELECT * FROM fx_replicas WHERE node = 'n0') SELECT h.folder, h.path, greatest(h.c_n0, coalesce(o.c_n0, 0)) + 1 AS c_n0, greatest(h.c_n1, coalesce(o.c_n1, 0)) AS c_n1, greatest(h.c_n2, coalesce(o.c_n2, 0)) AS c_n2, greatest(h.stamp, coalesce(o.stamp, h.stamp)) + 1 AS stamp, coalesce(o.deleted, TRUE) AS deleted, coalesce(o.hash, repeat('0', 64)) AS hash, coalesce(o.hash, repeat('0', 64)) AS prev_hash,"
+    " coalesce(o.size, 0) AS size, coalesce(o.kind, 'file') AS kind, coalesce(o.mtime_ns, 77) AS mtime_ns, coalesce(o.exec, FALSE) AS exec, 'n0' AS modified_by, 'me' AS author_host FROM h LEFT JOIN o ON o.folder = h.folder AND o.path = h.path WHERE batch <> 'h3'",
 )
 def _(spark, sf):
     r = _replicas(spark, sf)
-    return merge.deny_versions(_held(r), r.where("node = 'n0'"), "n0").select("folder", "path", "stamp", "deleted", "hash", "size", *counters())
+    held = _held(r)
+    d = merge.deny_versions(held, r.where("node = 'n0'"), "n0", "me", F.lit(77).cast("long"), held.where("batch <> 'h3'"))
+    return d.select("folder", "path", *merge.FIELDS, *counters())
 
 
-@query("review_report", _HELD + ", f AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY path) AS n FROM (SELECT batch, path || '.' || CASE WHEN k % 3 = 0 THEN 'md' ELSE 'txt' END AS path, size, deleted FROM h) x) SELECT batch, count(*) AS n_entries, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (deleted) AS n_deleted, CASE WHEN min(split_part(path, '/', 1)) = max(split_part(path, '/', 1)) THEN min(split_part(path, '/', 1)) END AS common_dir, string_agg(path, ',' ORDER BY path) FILTER (n <= 5) AS sample_paths, CASE WHEN count(*) FILTER (path LIKE '%.md') > count(*) FILTER (path LIKE '%.txt') THEN 'md' ELSE 'txt' END AS top_ext, greatest(count(*) FILTER (path LIKE '%.md'), count(*) FILTER (path LIKE '%.txt')) AS top_ext_n FROM f GROUP BY batch")
+@query(
+    "review_report",
+    _HELD
+    + ", f AS (SELECT *, row_number() OVER (PARTITION BY folder, batch ORDER BY path) AS n FROM (SELECT folder, batch, 'top/' || path || '.' || CASE WHEN k % 3 = 0 THEN 'md' ELSE 'txt' END AS path, size, deleted, k FROM h) x), g AS (SELECT folder, batch, count(*) AS n_entries, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (deleted) AS n_deleted,"
+    " CASE WHEN min(split_part(path, '/', 2)) = max(split_part(path, '/', 2)) THEN 'top/' || min(split_part(path, '/', 2)) ELSE 'top' END AS common_dir, string_agg(path, ',' ORDER BY path) FILTER (n <= 5) AS samples, count(*) FILTER (path LIKE '%.md') AS md, count(*) FILTER (path LIKE '%.txt') AS txt, min(k) AS held FROM f GROUP BY ALL)"
+    " SELECT folder, batch, n_entries, bytes, n_deleted, common_dir, samples, CASE WHEN txt = 0 THEN md || ' md' WHEN md = 0 THEN txt || ' txt' WHEN md >= txt THEN md || ' md,' || txt || ' txt' ELSE txt || ' txt,' || md || ' md' END AS extensions, 'n2' AS source, 1000000 - held AS age_s, 'why ' || batch AS reason FROM g",
+)
 def _(spark, sf):
     h = _held(_replicas(spark, sf))
-    return brake.review_report(h.withColumn("path", F.concat("path", F.lit("."), F.when(F.col("k") % 3 == 0, "md").otherwise("txt"))))
+    items = h.groupBy("folder", "batch").agg(F.lit("n2").alias("source"), (F.min("k") * 1_000_000_000).alias("held_at_ns")).withColumn("reason", F.concat(F.lit("why "), "batch"))
+    named = h.withColumn("path", F.concat(F.lit("top/"), "path", F.lit("."), F.when(F.col("k") % 3 == 0, "md").otherwise("txt")))
+    g = brake.review_report(named, items, F.lit(1_000_000 * 1_000_000_000))
+    return g.withColumn("samples", F.array_join("sample_paths", ",")).withColumn("extensions", F.array_join(F.transform("extensions", lambda x: F.concat_ws(" ", x["n"], x["ext"])), ",")).drop("sample_paths")
 
 
-@query("freeze", "SELECT folder, path, folder IN ('f1', 'f2') AND k % 10 = 9 AS frozen FROM fx_batch_entries")
+@query("freeze", "SELECT folder, node, path, folder IN ('f1', 'f2') AND node IN ('n0', 'n1') AND k % 10 = 9 AS frozen FROM fx_batch_entries")
 def _(spark, sf):
     b = fixture(spark, sf, "batch_entries")
-    return brake.freeze(b, b.where("k % 10 = 9"), b.where("folder in ('f1', 'f2')").select("folder")).select("folder", "path", "frozen")
+    return brake.freeze(b, b.where("k % 10 = 9"), b.where("folder in ('f1', 'f2') and node in ('n0', 'n1')").select("folder", "node")).select("folder", "node", "path", "frozen")
 
 
 @query("unfreeze", _CLASS + " SELECT folder, path, decision FROM m WHERE k % 10 = 9")
@@ -569,10 +623,25 @@ def _(spark, sf):
     return brake.rules_recheck(s, rules).select("batch", "would_pass")
 
 
-@query("received_report", _CLASS + " SELECT 'b' || k % 9 AS batch, count(*) AS n, count(*) FILTER (decision = 'apply') AS applied, count(*) FILTER (decision = 'merge') AS merged, count(*) FILTER (decision = 'conflict') AS conflicts, count(*) FILTER (decision = 'ignore') AS ignored FROM m GROUP BY ALL")
+_GE_H = " AND ".join(f"m.c_{n} >= h.c_{n}" for n in C)
+_LE_H = " AND ".join(f"m.c_{n} <= h.c_{n}" for n in C)
+_ROUTE = f", h AS (SELECT * FROM fx_replicas WHERE node = 'n2'), t AS (SELECT m.*, 'b' || m.k % 9 AS batch, CASE WHEN decision = 'ignore' THEN 'ignored' WHEN m.k % 6 = 0 AND coalesce({_LE_H}, FALSE) THEN 'already wanted' WHEN m.k % 20 = 0 AND coalesce({_GE_H}, FALSE) THEN 'joined' WHEN m.folder = 'f1' AND m.k % 10 = 9 THEN 'frozen' ELSE 'kept' END AS route FROM m LEFT JOIN h ON h.folder = m.folder AND h.path = m.path)"
+
+
+@query(
+    "received_report",
+    _CLASS
+    + _ROUTE
+    + " SELECT folder, batch, count(*) AS n, count(*) FILTER (k % 15 = 0) AS repeats, count(*) FILTER (route = 'ignored') AS ignored, count(*) FILTER (route = 'already wanted') AS already_wanted, count(*) FILTER (route = 'joined') AS joined, count(*) FILTER (route = 'frozen') AS frozen, count(*) FILTER (route = 'kept') AS kept,"
+    " count(*) FILTER (route = 'kept' AND decision = 'apply') AS applied, count(*) FILTER (route = 'kept' AND decision = 'merge') AS merged, count(*) FILTER (route = 'kept' AND decision = 'conflict') AS conflicts FROM t GROUP BY ALL",
+)
 def _(spark, sf):
-    a, b = _two(spark, sf)
-    return brake.received_report(merge.classify_batch(a.withColumn("batch", F.concat(F.lit("b"), F.col("k") % 9)), b))
+    r = _replicas(spark, sf)
+    a, b, h = (r.where(F.col("node") == n) for n in ("n1", "n0", "n2"))
+    a = a.withColumn("batch", F.concat(F.lit("b"), F.col("k") % 9)).withColumn("position", F.lit(2))
+    twice = a.where("k % 15 = 0").withColumns({"position": F.lit(1), "version": F.create_map(F.lit("n9"), F.lit(1).cast("long"))})
+    pending = r.where("k % 10 = 9").select("folder", "path")
+    return brake.received_report(brake.route_batch(a.unionByName(twice), b, _held(r), h.where("k % 6 = 0"), pending, r.where("folder = 'f1'").select("folder")))
 
 
 # --- transfers -----------------------------------------------------------------------------------
@@ -712,11 +781,16 @@ def _(spark, sf):
     return retention.path_history(b).select("folder", "p", "source", "seq", "step_no", "hash_before")
 
 
-@query("folder_status", "SELECT folder, node, count(*) FILTER (NOT deleted) AS files, CAST(coalesce(sum(size) FILTER (NOT deleted), 0) AS BIGINT) AS bytes, count(*) FILTER (deleted) AS tombstones, count(*) FILTER (k % 9 = 0) AS pending, count(DISTINCT CASE WHEN k % 20 = 0 THEN k % 7 END) AS held, folder = 'f1' AS paused FROM fx_replicas GROUP BY folder, node")
+@query(
+    "folder_status",
+    "SELECT folder, node, count(*) FILTER (NOT deleted AND kind <> 'dir') AS files, CAST(coalesce(sum(size) FILTER (NOT deleted), 0) AS BIGINT) AS bytes, count(*) FILTER (deleted) AS tombstones, count(*) FILTER (k % 9 = 0) AS pending, count(DISTINCT CASE WHEN k % 20 = 0 THEN k % 7 END) AS held, folder = 'f1' AS paused,"
+    " count(*) FILTER (k % 8 = 3) AS deferred, concat_ws(',', CASE WHEN count(*) FILTER (k % 16 = 3) > 0 THEN 'frozen:' || count(*) FILTER (k % 16 = 3) END, CASE WHEN count(*) FILTER (k % 16 = 11) > 0 THEN 'too large:' || count(*) FILTER (k % 16 = 11) END) AS deferred_reasons, count(*) FILTER (k % 30 = 1) AS skipped FROM fx_replicas GROUP BY folder, node",
+)
 def _(spark, sf):
     r = _replicas(spark, sf)
     held = r.where("k % 20 = 0").withColumn("batch", F.col("k") % 7)
-    return retention.folder_status(r, r.where("k % 9 = 0"), held, r.where("folder = 'f1'"))
+    deferred = r.where("k % 8 = 3").withColumn("reason", F.when(F.col("k") % 16 == 3, "frozen").otherwise("too large"))
+    return retention.folder_status(r, r.where("k % 9 = 0"), held, r.where("folder = 'f1'"), deferred, r.where("k % 30 = 1"))
 
 
 @query("change_rollup", "SELECT folder, source, day, count(*) FILTER (step = 'add') AS adds, count(*) FILTER (step = 'modify') AS mods, count(*) FILTER (step = 'delete') AS dels, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT folder, source, substr(day, 1, 7) AS day, step, size FROM fx_batch_entries) b GROUP BY ROLLUP (folder, source, day)")
@@ -738,9 +812,9 @@ def _(spark, sf):
     return peers.trusted_peers(p, "u1", p.where("k % 18 = 0")).select("node", "trusted")
 
 
-@query("binding_conflicts", "SELECT 'm' || k % 150 AS node, count(DISTINCT stable_id) AS platforms, min(stable_id) AS first_id FROM fx_peers GROUP BY 1 HAVING count(DISTINCT stable_id) > 1")
+@query("binding_conflicts", "SELECT 'm' || k % 40 AS node, count(DISTINCT stable_id) AS platforms, min(stable_id) AS first_id FROM fx_peers GROUP BY 1 HAVING count(DISTINCT stable_id) > 1")
 def _(spark, sf):
-    return peers.binding_conflicts(fixture(spark, sf, "peers").withColumn("node", F.concat(F.lit("m"), F.col("k") % 150)))
+    return peers.binding_conflicts(fixture(spark, sf, "peers").withColumn("node", F.concat(F.lit("m"), F.col("k") % 40)))
 
 
 @query("clock_skew", "SELECT node, peer_us - received_us AS skew_us FROM fx_peers WHERE abs(peer_us - received_us) > 300000000")
@@ -758,9 +832,16 @@ def _(spark, sf):
 # --- audits --------------------------------------------------------------------------------------
 
 
-@query("audit_convergence", ", g AS (SELECT folder, path, count(DISTINCT CASE WHEN NOT deleted THEN hash || exec END) AS states, count(*) FILTER (NOT deleted) AS holders FROM fx_replicas GROUP BY ALL) SELECT * FROM g WHERE states > 1 OR (holders > 0 AND holders < 3)")
+@query(
+    "audit_convergence",
+    ", l AS (SELECT folder, node, path, k, kind, hash, exec FROM fx_replicas WHERE NOT deleted), s AS (SELECT * FROM l WHERE NOT (kind = 'dir' AND node = 'n2' AND k % 40 = 17)), g AS (SELECT folder, path, count(DISTINCT kind || hash || exec) AS states, count(*) AS holders FROM s GROUP BY ALL HAVING count(DISTINCT kind || hash || exec) > 1 OR count(*) < 3),"
+    " o AS (SELECT folder, path, count(*) AS off_disk FROM l WHERE (node = 'n1' AND k % 50 = 0) OR (node = 'n0' AND k % 70 = 0) GROUP BY ALL) SELECT coalesce(g.folder, o.folder) AS folder, coalesce(g.path, o.path) AS path, coalesce(states, 0) AS states, coalesce(holders, 0) AS holders, coalesce(off_disk, 0) AS off_disk FROM g FULL JOIN o ON g.folder = o.folder AND g.path = o.path",
+)
 def _(spark, sf):
-    return audit.convergence(_replicas(spark, sf), 3)
+    r = _replicas(spark, sf)
+    live = r.where("not deleted")
+    disk = live.where("not (node = 'n1' and k % 50 = 0)").withColumn("hash", F.when((F.col("node") == "n0") & (F.col("k") % 70 == 0), "other").otherwise(F.col("hash")))
+    return audit.convergence(r, 3, disk, live.where("kind = 'dir' and node = 'n2' and k % 40 = 17"))
 
 
 @query("audit_lost_content", "SELECT DISTINCT a.folder, a.node, a.hash FROM fx_files a WHERE a.k % 3 = 0 AND NOT EXISTS (SELECT 1 FROM fx_files b WHERE b.folder = a.folder AND b.node = a.node AND b.hash = a.hash AND b.k % 4 < 2)")
@@ -772,12 +853,22 @@ def _(spark, sf):
 _PAIRS = "fx_replicas a JOIN fx_replicas b ON a.folder = b.folder AND a.path = b.path"
 
 
-@query("audit_resurrections", f"SELECT DISTINCT a.folder, a.path FROM {_PAIRS} WHERE a.deleted AND NOT b.deleted AND ({_MORE}) AND NOT ({_LESS})")
+@query("audit_resurrections", f", ag AS (SELECT DISTINCT a.folder, a.path, a.node FROM {_PAIRS} WHERE a.deleted AND ({_LESS})), gone AS (SELECT DISTINCT folder, path FROM fx_replicas d WHERE deleted AND NOT EXISTS (SELECT 1 FROM ag WHERE ag.folder = d.folder AND ag.path = d.path AND ag.node = d.node)) SELECT DISTINCT l.folder, l.path FROM fx_replicas l JOIN gone USING (folder, path) WHERE NOT l.deleted AND NOT (l.kind = 'dir' AND l.node = 'n2')")
 def _(spark, sf):
-    return audit.resurrections(_replicas(spark, sf))
+    r = _replicas(spark, sf)
+    return audit.resurrections(r, r.where("kind = 'dir' and node = 'n2'"))
+
 
+_AKEY, _BSIDE = (_KEY.replace("stamp", f"{t}.stamp", 1).replace("deleted", f"{t}.deleted").replace("prev_hash", "PREV").replace("hash", f"{t}.hash").replace("PREV", f"{t}.prev_hash").replace("mtime_ns", f"{t}.mtime_ns").replace("modified_by", f"{t}.modified_by").replace("CASE kind", f"CASE {t}.kind").replace("exec", f"{t}.exec").replace("size", f"{t}.size").replace("author_host", f"{t}.author_host") for t in "ab")
+_TAGGED = "{0}.path || '.conflict-' || strftime(make_timestamp(CAST(floor({0}.mtime_ns / 1000000000) AS BIGINT) * 1000000), '%Y%m%d-%H%M%S') || '-' || {0}.author_host"
 
-@query("audit_conflict_copies", ", c AS (SELECT folder, path, k, hash, path || '.conflict-' || strftime(make_timestamp(CAST(floor(mtime_ns / 1000000000) AS BIGINT) * 1000000), '%Y%m%d-%H%M%S') || '-' || author_host AS copy FROM fx_replicas WHERE node = 'n1' AND NOT deleted), losers AS (SELECT r.folder, r.path || '.conflict-' || strftime(make_timestamp(CAST(floor(r.mtime_ns / 1000000000) AS BIGINT) * 1000000), '%Y%m%d-%H%M%S') || '-' || r.author_host AS copy, r.hash FROM (SELECT *, " + _KEY + " AS w FROM fx_replicas) r JOIN (SELECT folder, path, max(" + _KEY + ") AS top FROM fx_replicas GROUP BY ALL) t ON t.folder = r.folder AND t.path = r.path AND r.w < t.top) SELECT DISTINCT folder, copy AS path, hash FROM c WHERE NOT EXISTS (SELECT 1 FROM losers l WHERE l.folder = c.folder AND l.copy = c.copy AND l.hash = c.hash)")
+
+@query(
+    "audit_conflict_copies",
+    f", c AS (SELECT folder, {_TAGGED.format('r')} AS copy, kind, hash, exec FROM fx_replicas r WHERE node = 'n1' AND NOT deleted),"
+    f" losers AS (SELECT DISTINCT a.folder, {_TAGGED.format('a')} AS copy, a.kind, a.hash, a.exec FROM {_PAIRS} WHERE ({_MORE}) AND ({_LESS}) AND NOT a.deleted AND NOT (NOT b.deleted AND a.kind = b.kind AND a.hash = b.hash AND a.exec = b.exec) AND {_AKEY} < {_BSIDE})"
+    " SELECT DISTINCT folder, copy AS path, hash FROM c WHERE NOT EXISTS (SELECT 1 FROM losers l WHERE l.folder = c.folder AND l.copy = c.copy AND l.kind = c.kind AND l.hash = c.hash AND l.exec = c.exec)",
+)
 def _(spark, sf):
     r = _replicas(spark, sf)
     name = fp.conflict_copy_name(F.col("path"), F.col("kind"), F.col("mtime_ns"), F.col("author_host"), F.col("node"))
@@ -791,10 +882,11 @@ def _(spark, sf):
     return audit.held_commits(b, b.where("batch_no % 5 = 0"), b.where("batch_no % 10 = 0")).select("folder", "path")
 
 
-@query("audit_vector_content", ", c AS (SELECT *, CASE WHEN k % 97 = 0 THEN 'x' || node ELSE hash END AS h FROM fx_replicas) SELECT folder, path, concat_ws(',', CASE WHEN c_n0 > 0 THEN 'n0:' || c_n0 END, CASE WHEN c_n1 > 0 THEN 'n1:' || c_n1 END, CASE WHEN c_n2 > 0 THEN 'n2:' || c_n2 END) AS vv_key, count(DISTINCT h || exec || deleted) AS contents FROM c GROUP BY ALL HAVING count(DISTINCT h || exec || deleted) > 1")
+@query("audit_vector_content", ", c AS (SELECT *, CASE WHEN k % 97 = 0 THEN 'x' || node ELSE hash END AS h FROM fx_replicas WHERE NOT (node = 'n2' AND k % 194 = 0)) SELECT folder, path, concat_ws(',', CASE WHEN c_n0 > 0 THEN 'n0:' || c_n0 END, CASE WHEN c_n1 > 0 THEN 'n1:' || c_n1 END, CASE WHEN c_n2 > 0 THEN 'n2:' || c_n2 END) AS vv_key, count(DISTINCT kind || h || exec || deleted) AS contents FROM c GROUP BY ALL HAVING count(DISTINCT kind || h || exec || deleted) > 1")
 def _(spark, sf):
     r = _replicas(spark, sf)
-    return audit.vector_content(r.withColumn("hash", F.when(F.col("k") % 97 == 0, F.concat(F.lit("x"), "node")).otherwise(F.col("hash"))))
+    back = r.where("node = 'n2' and k % 194 = 0").select("folder", "node", "path", fv.vv_key(F.col("version")).alias("vv_key"))
+    return audit.vector_content(r.withColumn("hash", F.when(F.col("k") % 97 == 0, F.concat(F.lit("x"), "node")).otherwise(F.col("hash"))), back)
 
 
 @query("audit_adopt_dominance", _PAIR + " SELECT folder, path FROM p WHERE known AND relation IN ('dominated', 'concurrent')")
@@ -803,11 +895,12 @@ def _(spark, sf):
     return audit.adopt_dominance(p.select("folder", "path", F.col("in_version").alias("new_version"), F.col("own_version").alias("old_version"))).select("folder", "path")
 
 
-@query("audit_readmitted_changes", "SELECT folder, path, k % 5 = 0 AS user_changed FROM fx_replicas WHERE node = 'n0' AND k % 30 = 0 AND c_n0 > 1")
+@query("audit_readmitted_changes", "SELECT folder, path, k % 20 = 1 AS user_changed FROM fx_replicas WHERE node = 'n0' AND k % 10 = 1 AND c_n0 > 1")
 def _(spark, sf):
-    r = _replicas(spark, sf).where("node = 'n0'")
-    reverted = r.where("k % 30 = 0").select("folder", "path", "node", F.lit(1).alias("mark"))
-    return audit.readmitted_changes(r, reverted, r.where("k % 5 = 0")).select("folder", "path", "user_changed")
+    r = _replicas(spark, sf).where("node = 'n0'").withColumn("written_ns", F.col("stamp"))
+    reverted = r.where("k % 10 = 1").select("folder", "path", "node", F.lit(1).alias("mark"), F.lit(1000).alias("reverted_ns"))
+    user = r.select("folder", "path", "node", F.when(F.col("k") % 20 == 1, 2000).otherwise(500).alias("changed_ns"))
+    return audit.readmitted_changes(r, reverted, user).select("folder", "path", "user_changed")
 
 
 @query("audit_non_monotone", f", s AS (SELECT *, stamp - CASE WHEN k % 91 = 0 AND e > 0 THEN 10000 ELSE 0 END AS st FROM fx_replicas) SELECT DISTINCT a.folder, a.path FROM s a JOIN s b ON a.folder = b.folder AND a.path = b.path WHERE a.st <= b.st AND ({_MORE}) AND NOT ({_LESS})")
@@ -827,11 +920,13 @@ def _(spark, sf):
     return audit.frozen_sends(b, b.where("k % 10 = 9"), b.where("folder = 'f1'")).select("folder", "node", "path")
 
 
-@query("audit_broken_chain", ", g AS (SELECT folder, source, batch_no, max(seq) AS seq_high, min(seq) - 1 AS low FROM fx_batch_entries GROUP BY ALL), h AS (SELECT folder, source, batch_no, seq_high, low + CASE WHEN batch_no % 3 = 2 THEN 1 ELSE 0 END AS seq_low FROM g), l AS (SELECT *, lag(seq_high, 1, 0) OVER (PARTITION BY folder, source ORDER BY seq_high) AS expected_low FROM h) SELECT folder, source, batch_no, seq_low, expected_low FROM l WHERE seq_low <> expected_low OR seq_low >= seq_high")
+@query("audit_broken_chain", ", g AS (SELECT folder, source, batch_no, max(seq) AS seq_high, min(seq) - 1 AS low FROM fx_batch_entries GROUP BY ALL), h AS (SELECT folder, source, batch_no, seq_high, low + CASE WHEN batch_no % 3 = 2 THEN 1 ELSE 0 END AS seq_low FROM g), l AS (SELECT *, lag(seq_high, 1, 0) OVER (PARTITION BY folder, source ORDER BY seq_high) AS expected_low, CAST((batch_no % 3 = 2) AS BIGINT) + CAST((batch_no % 5 = 1) AS BIGINT) AS outside FROM h) SELECT folder, source, batch_no, seq_low, expected_low, outside FROM l WHERE seq_low <> expected_low OR seq_low >= seq_high OR outside > 0")
 def _(spark, sf):
-    b = fixture(spark, sf, "batch_entries").groupBy("folder", "source", "batch_no").agg(F.max("seq").alias("seq_high"), (F.min("seq") - 1).alias("seq_low"))
+    e = fixture(spark, sf, "batch_entries")
+    b = e.groupBy("folder", "source", "batch_no").agg(F.max("seq").alias("seq_high"), (F.min("seq") - 1).alias("seq_low"))
     b = b.withColumn("seq_low", F.col("seq_low") + F.when(F.col("batch_no") % 3 == 2, 1).otherwise(0))
-    return audit.broken_chain(b).select("folder", "source", "batch_no", "seq_low", "expected_low")
+    late = b.where("batch_no % 5 = 1").select("folder", "source", "batch_no", (F.col("seq_high") + 1).alias("seq"))
+    return audit.broken_chain(b, e.select("folder", "source", "batch_no", "seq").unionByName(late)).select("folder", "source", "batch_no", "seq_low", "expected_low", "outside")
 
 
 @query("audit_unsafe_tombstones", f"SELECT folder, path FROM fx_parts_index e WHERE e.k % 3 = 0 AND EXISTS (SELECT 1 FROM fx_parts_scan o WHERE o.state = 'skipped' AND {_COVER})")

@@ -6,21 +6,32 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..sources.inventory import VersionedTable
+from ..schema import ENTRIES
+from ..sources import inventory
 from ..sources.shared import shared_dir
 from ..streaming import events
-from ..streaming.run import brake_stream, drain, read_stream, schema_of
+from ..streaming.run import brake_stream, drain, read_stream, schema_of, staged
 from .fixtures import fixture
-from .queries import _CLASS, _DOES, _EVAL, _RS, _WINDOWS, _sessions, _two, query
+from .queries import _CLASS, _DOES, _EVAL, _RS, _WINDOWS, C, _replicas, _sessions, query
 
-_BRAKE = _CLASS + _DOES + f", s0 AS (SELECT * FROM (SELECT folder, 'b' || k % 3 AS batch, {_RS} FROM q GROUP BY ALL) a JOIN (SELECT folder, count(*) FILTER (NOT deleted) AS tracked FROM fx_replicas WHERE node = 'n0' GROUP BY folder) b USING (folder)), s1 AS ({_EVAL} SELECT folder, batch, adds, mods, dels, bytes, tracked, held, reason FROM s"
+_BOTH = _CLASS.replace("a.node = 'n1'", "a.node IN ('n1', 'n2') AND a.k % 2 = 0")
+_REACHED = " AND ".join(f"y.c_{n} >= x.c_{n}" for n in C)
+_BRAKE = (
+    _BOTH + _DOES + ", tr AS (SELECT folder, count(*) FILTER (NOT deleted AND kind <> 'dir') AS tracked FROM fx_replicas WHERE node = 'n0' GROUP BY folder),"
+    f" one AS (SELECT * FROM (SELECT folder, 'b1' AS batch, {_RS}, CAST(0 AS BIGINT) AS joined FROM q WHERE node = 'n1' GROUP BY folder) a JOIN tr USING (folder)),"
+    " held AS (SELECT folder FROM one WHERE (mods + dels >= 50 AND tracked > 0 AND (mods + dels) * 100 >= 25 * tracked) OR bytes > 21474836480),"
+    f" z AS (SELECT y.*, y.decision <> 'ignore' AND x.path IS NOT NULL AS joins FROM q y LEFT JOIN (SELECT * FROM q JOIN held USING (folder) WHERE node = 'n1' AND decision <> 'ignore') x ON x.folder = y.folder AND x.path = y.path AND {_REACHED} WHERE y.node = 'n2'),"
+    f" two AS (SELECT * FROM (SELECT folder, 'b2' AS batch, {_RS.replace('does', 'does AND NOT joins')}, count(*) FILTER (joins) AS joined FROM z GROUP BY folder) a JOIN tr USING (folder)),"
+    f" s0 AS (SELECT * FROM one UNION ALL SELECT * FROM two), s1 AS ({_EVAL} SELECT folder, batch, adds, mods, dels, bytes, tracked, joined, held, reason FROM s"
+)
 
 
-@query("stream_stale_filter", ", s AS (SELECT *, max(at_us) FILTER (size % 4 <> 0) OVER o AS seen, max(at_us) FILTER (size % 4 = 0) OVER o AS report FROM fx_changes WINDOW o AS (PARTITION BY folder, path ORDER BY (arrival * 7919) % 10007, arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT folder, path, at_us AS at_ns, coalesce(at_us < seen, FALSE) OR coalesce(at_us < report, FALSE) AS stale FROM s WHERE size % 4 <> 0")
+@query("stream_stale_filter", ", s AS (SELECT *, max(at_us) FILTER (size % 4 <> 0) OVER o AS seen, max(at_us) FILTER (size % 4 = 0) OVER o AS report FROM fx_changes WINDOW o AS (PARTITION BY folder, path ORDER BY (arrival * 7919) % 10007, arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT folder, path, at_us AS at_ns, coalesce(at_us < seen, FALSE) OR coalesce(at_us < report, FALSE) OR (size % 2 = 0 AND coalesce(at_us < report + 50000000, FALSE)) AS stale FROM s WHERE size % 4 <> 0")
 def _(spark, sf):
-    c = fixture(spark, sf, "changes").withColumn("at_ns", F.col("at_us"))
-    c = c.withColumn("arrival", (F.col("arrival") * 7919) % 10007 * 100_000_000 + F.col("arrival")).withColumn("state", F.when(F.col("size") % 4 == 0, "report").otherwise("observed"))
-    stream = read_stream(spark, c.select("folder", "path", "state", "at_ns", "arrival"))
+    c = fixture(spark, sf, "changes").withColumn("at_ns", F.col("at_us")).withColumn("written_ns", F.when(F.col("size") % 4 == 0, F.col("at_us") + 50_000_000))
+    kind = F.when(F.col("size") % 4 == 0, "report").when(F.col("size") % 2 == 0, "unchanged").otherwise("observed")
+    c = c.withColumn("arrival", (F.col("arrival") * 7919) % 10007 * 100_000_000 + F.col("arrival")).withColumn("state", kind)
+    stream = read_stream(spark, c.select("folder", "path", "state", "at_ns", "written_ns", "arrival"))
     return drain(events.stale_filter_stream(stream)).select("folder", "path", "at_ns", "stale")
 
 
@@ -43,21 +54,32 @@ def _(spark, sf):
 
 @query("stream_brake", _BRAKE)
 def _(spark, sf):
-    a, b = _two(spark, sf)
-    a = a.withColumn("batch", F.concat(F.lit("b"), F.col("k") % 3)).withColumn("ordinal", (F.col("k") % 3 + 1).cast("int"))
-    out = f"{shared_dir(spark)}/verdicts-{uuid.uuid4().hex}"
-    brake_stream(read_stream(spark, a), b, out)
-    return spark.read.parquet(out).select("folder", "batch", "adds", "mods", "dels", "bytes", "tracked", "held", "reason")
+    r = _replicas(spark, sf)
+    a, b = r.where("node <> 'n0' and k % 2 = 0"), r.where("node = 'n0'")
+    a = a.withColumn("ordinal", F.when(F.col("node") == "n1", 1).otherwise(2)).withColumn("batch", F.concat(F.lit("b"), "ordinal")).withColumn("position", F.col("k"))
+    out = f"{shared_dir(spark)}/gate-{uuid.uuid4().hex}"
+    brake_stream(read_stream(spark, a), b, out, b.limit(0), b.limit(0), b.limit(0))
+    return spark.read.parquet(f"{out}/verdicts").select("folder", "batch", "adds", "mods", "dels", "bytes", "tracked", "joined", "held", "reason")
 
 
 @query("stream_upsert", "SELECT folder, path, CASE WHEN k % 5 = 1 THEN 'new' ELSE hash END AS hash FROM fx_files WHERE k % 5 <> 0")
 def _(spark, sf):
     f = fixture(spark, sf, "files").select("folder", "path", "hash", "k")
-    t = VersionedTable(spark, f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", schema_of(f.select("folder", "path", "hash")))
+    base = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     add = f.select("folder", "path", "hash", F.lit(False).alias("removed"), F.lit(1).alias("at"))
-    t.apply(add, -1, ["folder", "path"])
+    inventory.write_changes(add, base, -1)
     late = f.where("k % 5 < 2").select("folder", "path", F.lit("new").alias("hash"), (F.col("k") % 5 == 0).alias("removed"), F.lit(2).alias("at"))
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    q = read_stream(spark, late).writeStream.foreachBatch(lambda df, n: t.apply(df, n, ["folder", "path"]) and None).option("checkpointLocation", base).trigger(availableNow=True).start()
+    q = read_stream(spark, late).writeStream.foreachBatch(lambda df, n: inventory.write_changes(df, base, n)).option("checkpointLocation", f"{base}-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return t.read()
+    inventory.compact(spark, base, f"{base}-compact", schema_of(add), ["folder", "path"])
+    return inventory.read_state(spark, f"{base}-compact", schema_of(add), ["folder", "path"])
+
+
+@query("load_table", "SELECT folder, path, hash, seq, NOT k % 7 = 3 AND NOT deleted AND k % 5 <> 1 AS sound FROM (SELECT *, CASE WHEN k % 7 = 3 THEN -1 ELSE k END AS seq FROM fx_files) f")
+def _(spark, sf):
+    f = fixture(spark, sf, "files").withColumns({"seq": F.when(F.col("k") % 7 == 3, -1).otherwise(F.col("k")), "size": F.col("size") + 1})
+    f = f.withColumn("kind", F.when(F.col("k") % 5 == 1, "socket").otherwise(F.col("kind")))
+    table = inventory.load_table(spark, staged(f), ENTRIES)
+    good, bad = inventory.split_valid(table)
+    both = good.withColumn("sound", F.lit(True)).unionByName(bad.withColumn("sound", F.lit(False)))
+    return both.select("folder", "path", "hash", "seq", "sound")

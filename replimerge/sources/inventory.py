@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +12,9 @@ from ..schema import EMPTY
 def read_inventory(spark: SparkSession, root: str) -> DataFrame:
     """``path, kind, size, mtime_ns`` of the files beneath ``root``, on any file system that Spark reads.
 
-    The reader tells files that are not empty only; a manifest written as Parquet (:func:`load_table`) also carries
-    directories, links, exec bits and ctimes.
+    Spark's listing leaves out empty files and names that begin with ``.`` or ``_``, and tells no
+    directories, links, exec bits and ctimes: it is for trees that have none. The full form is a
+    manifest as Parquet (:func:`load_table`); do not diff an index of such files against this one.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.removeprefix("file:").strip("/")
@@ -89,38 +88,29 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: str = "
     return j.where("not coalesce(removed, false)").select(*keys, F.when(F.col("__c"), F.col("__n")).otherwise(F.col("__o")).alias("__r")).select(*keys, "__r.*")
 
 
-class VersionedTable:
-    """A Parquet table whose versions are whole directories and whose current one is the last in its log.
+def write_changes(changes: DataFrame, directory: str, batch_id: int) -> None:
+    """The changes of a micro-batch, for ``foreachBatch``: only they are written, by folder, whatever the table's size.
+
+    A micro-batch that runs again replaces its own files.
+    """
+    changes.write.mode("overwrite").partitionBy("folder").parquet(f"{directory}/changes/batch_id={batch_id}")
+
+
+def read_state(spark: SparkSession, directory: str, schema: T.StructType, keys: list[str], order: str = "at") -> DataFrame:
+    """The table after all changes: of each key the last change (by micro-batch, then ``order``), without removed ones.
 
-    A job cannot overwrite what it reads, so a new version is written beside the old one and the log
-    row that names it is written last; a micro-batch that the log already has is not applied again.
+    ``schema`` is that of the changes. A folder's rows are pruned by its partition. :func:`compact` keeps the number of files small.
     """
+    full = T.StructType([*[f for f in schema.fields if f.name not in ("batch_id", "folder")], T.StructField("batch_id", T.LongType()), T.StructField("folder", T.StringType())])
+    every = spark.read.schema(full).parquet(f"{directory}/changes")
+    last = last_changes(every.withColumn("nth", F.struct("batch_id", order)), keys, "nth")
+    return last.where(~F.col("removed")).select(*[f.name for f in schema.fields if f.name not in ("removed", order)])
+
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
-        self.spark, self.path, self.schema = spark, path, schema
-        self._log = T.StructType([T.StructField("n", T.LongType()), T.StructField("batch_id", T.LongType()), T.StructField("version", T.StringType())])
-
-    def log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self._log).parquet(f"{self.path}/log")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], self._log)
-
-    def read(self) -> DataFrame:
-        last = self.log().orderBy(F.desc("n")).select("version").first()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{last[0]}") if last else self.spark.createDataFrame([], self.schema)
-
-    def apply(self, changes: DataFrame, batch_id: int, keys: list[str], order: str = "at") -> bool:
-        """Upsert ``changes`` unless ``batch_id`` was applied before; for ``foreachBatch``."""
-        log = self.log()
-        if not log.where(F.col("batch_id") == batch_id).isEmpty():
-            return False
-        version, n = f"v-{uuid.uuid4().hex}", (log.agg(F.max("n")).first()[0] or 0) + 1
-        upsert(self.read(), changes, keys, order).write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(n, batch_id, version)], self._log).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
-        return True
+def compact(spark: SparkSession, directory: str, target: str, schema: T.StructType, keys: list[str], order: str = "at") -> None:
+    """A new directory ``target`` of the same form with one change a key: all that ``directory`` has now, as micro-batch -1."""
+    state = read_state(spark, directory, schema, keys, order)
+    write_changes(state.withColumn("removed", F.lit(False)).withColumn(order, F.lit(0).cast(schema[order].dataType)), target, -1)
 
 
 def table_diff(a: DataFrame, b: DataFrame) -> DataFrame:

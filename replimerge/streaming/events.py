@@ -18,6 +18,8 @@ from ..schema import CAP_S, LIVENESS_S, QUIET_S
 
 #: Event kinds that say nothing about content.
 READ_ONLY = ("open", "close", "read")
+#: How long staleness of a path is remembered.
+KEEP_S = 30 * 86_400
 
 
 def observation_stream(spark: SparkSession, directory: str, schema: T.StructType, per_trigger: int | None = None) -> DataFrame:
@@ -43,8 +45,9 @@ def debounce_paths(events: DataFrame, gap_s: int = QUIET_S, late: str = "1 minut
 def batch_window_stream(changes: DataFrame, quiet_s: int = QUIET_S, cap_s: int = CAP_S, late: str = "10 seconds") -> DataFrame:
     """R2: the windows of ``batch_windows`` live, over ``folder, node, ts, at_us``: 2 s quiet or 10 s after the first.
 
-    State is the open windows of a folder and node: a few numbers each. A window goes out once the
-    watermark has passed its end, so that late changes within the watermark still join it.
+    State is the times of a folder and node that the watermark has not passed: a window goes out once
+    it has passed its end, so that late changes within the watermark still join it. Set the source's
+    files a trigger, as a trigger's times of one folder and node are sorted together.
     """
     quiet, cap = quiet_s * 1_000_000, cap_s * 1_000_000
     out = "folder string, node string, opened_us long, due_us long, n long"
@@ -82,27 +85,37 @@ def batch_window_stream(changes: DataFrame, quiet_s: int = QUIET_S, cap_s: int =
     return grouped.applyInPandasWithState(step, out, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stale_filter_stream(observations: DataFrame) -> DataFrame:
-    """C4 live: ``folder, path, state, at_ns, stale``. Rows of ``state`` report are commit reports; they only move the mark.
+def stale_filter_stream(observations: DataFrame, keep_s: int = KEEP_S) -> DataFrame:
+    """C4 live: ``folder, path, state, at_ns, stale``.
 
-    Rows are taken in the order of ``arrival``; state is two numbers a path.
+    Rows of ``state`` report are commit reports; they only move the marks: ``at_ns``, and
+    ``written_ns``, when the record was last written, before which ``unchanged`` says nothing. Rows of
+    a micro-batch are taken in the order of ``arrival``; state is three numbers a path, and goes once
+    the newest times of all are ``keep_s`` seconds beyond the path's: rows older than that are dropped.
     """
     out = "folder string, path string, state string, at_ns long, stale boolean"
+    none = -(1 << 62)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, report = state.get if state.exists else (-(1 << 62), -(1 << 62))
-        rows = []
-        for at, kind in pd.concat(list(frames)).sort_values("arrival")[["at_ns", "state"]].itertuples(index=False):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, report, written = state.get if state.exists else (none, none, none)
+        rows, frame = [], pd.concat(list(frames)).sort_values("arrival")
+        for at, kind, wrote in frame[["at_ns", "state", "written_ns"]].itertuples(index=False):
             if kind == "report":
-                report = max(report, at)
+                report, written = max(report, at), written if pd.isna(wrote) else max(written, int(wrote))
                 continue
-            stale = at < seen or at < report
+            stale = at < seen or at < report or (kind == "unchanged" and at < written)
             seen = max(seen, at)
             rows.append((key[0], key[1], kind, at, stale))
-        state.update((int(seen), int(report)))
+        state.update((int(seen), int(report), int(written)))
+        state.setTimeoutTimestamp(max(int(max(seen, report)) // 1_000_000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(rows, columns=["folder", "path", "state", "at_ns", "stale"])
 
-    return observations.groupBy("folder", "path").applyInPandasWithState(step, out, "seen long, report long", "append", GroupStateTimeout.NoTimeout)
+    timed = observations.withColumn("ts", F.timestamp_micros(F.floor(F.col("at_ns") / 1000).cast("long"))).withWatermark("ts", f"{keep_s} seconds")
+    grouped = timed.groupBy("folder", "path")
+    return grouped.applyInPandasWithState(step, out, "seen long, report long, written long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rescan_requests(events: DataFrame) -> DataFrame:

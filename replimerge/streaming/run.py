@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.brake import evaluate_brake, receiver_summary
-from ..operators.merge import classify_batch
+from ..operators.brake import evaluate_brake, receiver_summary, route_batch
 from ..sources.shared import shared_dir
 from .events import in_arrival_order
 
@@ -31,23 +30,51 @@ def staged(df: DataFrame) -> str:
     return path
 
 
-def brake_stream(incoming: DataFrame, entries: DataFrame, out: str) -> None:
+#: Versions in quarantine, as :func:`brake_stream` writes them.
+HELD = "folder string, batch string, path string, version map<string,bigint>, stamp long, arrival long"
+
+
+def held_so_far(spark: SparkSession, out: str, batch_id: int, ordinal: int) -> DataFrame:
+    """Versions that went into quarantine before the given ordinal of a micro-batch."""
+    schema = T.StructType.fromDDL(HELD + ", micro_batch long, ordinal long")
+    staged_ = spark.createDataFrame([], schema)
+    try:
+        staged_ = spark.read.schema(schema).parquet(f"{out}/held")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    return staged_.where((F.col("micro_batch") < batch_id) | ((F.col("micro_batch") == batch_id) & (F.col("ordinal") < ordinal))).drop("micro_batch", "ordinal")
+
+
+def brake_stream(incoming: DataFrame, entries: DataFrame, out: str, wants: DataFrame, pending: DataFrame, paused: DataFrame) -> None:
     """The receiver's gate per micro-batch; batches of a folder strictly by ``ordinal``.
 
-    Entries of ``incoming`` have ``folder, batch, ordinal``. The verdict on each batch is appended to
-    ``out``: ``folder, batch, adds, mods, dels, bytes, tracked, held, reason``. Verdicts are written
-    under the micro-batch's id, so a micro-batch that is run again replaces its own.
+    ``incoming`` has ``folder, batch, ordinal, path, position`` and the entry. What earlier batches put
+    into quarantine is read back for each later one: entries that equal or exceed a held version join
+    its item and are not judged again (see :func:`..operators.brake.route_batch`). Below ``out``,
+    ``verdicts`` gets ``folder, batch, adds, mods, dels, bytes, tracked, joined, held, reason`` and
+    ``held`` the versions in quarantine. Both are written under the micro-batch's id and the ordinal,
+    so a micro-batch that is run again replaces its own.
     """
+    spark = incoming.sparkSession
     tracked = entries.groupBy("folder").agg(F.count_if(~F.col("deleted") & (F.col("kind") != "dir")).alias("tracked"))
 
     def each(df: DataFrame, batch_id: int) -> None:
-        summary = receiver_summary(classify_batch(df, entries), ["folder", "batch", "ordinal"])
-        verdicts = evaluate_brake(summary.join(tracked, "folder"))
-        ordinal = df.select("ordinal").first()
-        if ordinal is not None:
-            verdicts.drop("ordinal").write.mode("overwrite").parquet(f"{out}/micro_batch={batch_id}/ordinal={ordinal[0]}")
+        first = df.select("ordinal").first()
+        if first is None:
+            return
+        at = f"micro_batch={batch_id}/ordinal={first[0]}"
+        routed = route_batch(df.drop("ordinal"), entries, held_so_far(spark, out, batch_id, first[0]), wants, pending, paused)
+        summary = receiver_summary(routed.withColumn("mode", F.when(F.col("route") == "kept", F.col("mode"))), ["folder", "batch"])
+        joined = routed.groupBy("folder", "batch").agg(F.count_if(F.col("route") == "joined").alias("joined"))
+        evaluate_brake(summary.join(tracked, "folder").join(joined, ["folder", "batch"])).write.mode("overwrite").parquet(f"{out}/verdicts/{at}")
+        verdicts = spark.read.parquet(f"{out}/verdicts/{at}").where("held").select("folder", "batch", F.lit(True).alias("new"))
+        kept = routed.join(verdicts, ["folder", "batch"], "left").where("route = 'joined' or (route = 'kept' and new)")
+        arrival = F.lit(first[0]).cast("long")
+        held = kept.select("folder", F.coalesce(F.when(F.col("route") == "joined", F.col("held_batch")), F.col("batch")).alias("batch"), "path", F.col("in_version").alias("version"), F.col("in_stamp").alias("stamp"), arrival.alias("arrival"))
+        held.write.mode("overwrite").parquet(f"{out}/held/{at}")
 
-    base = f"{shared_dir(incoming.sparkSession)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = incoming.writeStream.foreachBatch(in_arrival_order(each)).option("checkpointLocation", base).trigger(availableNow=True).start()
     q.awaitTermination()
 

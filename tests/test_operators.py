@@ -4,7 +4,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from replimerge.functions import paths, vectors
-from replimerge.operators import batches, brake, diff, ignore, merge, peers, retention, transfer
+from replimerge.operators import audit, batches, brake, diff, ignore, merge, peers, retention, transfer
 from replimerge.plans.fixtures import fixture, with_version
 from replimerge.schema import EMPTY
 from replimerge.sources import inventory
@@ -27,7 +27,7 @@ def test_brake_size_is_strict_and_comes_second(spark):
     limit = 20 << 30
     df = spark.createDataFrame([(1, 0, 0, limit, 10), (2, 0, 0, limit + 1, 10), (3, 60, 0, limit + 1, 100)], "i int, mods long, dels long, bytes long, tracked long")
     got = {r.i: r.reason for r in brake.evaluate_brake(df).collect()}
-    assert got[1] is None and got[2].startswith("size: ") and got[3] == "count: 60 deletes and modifies = 60% of 100 tracked"
+    assert got[1] is None and got[2].startswith("would write ") and got[3] == "would delete or modify 60 of 100 tracked files (60%)"
 
 
 def test_conflict_names(spark):
@@ -158,7 +158,7 @@ def test_names_and_cases(spark):
 
 
 def test_tiers(spark):
-    cases = {"10.1.2.3": "lan", "172.15.0.1": "direct", "172.31.0.1": "lan", "::ffff:192.168.0.1": "lan", "169.254.9.9": "lan", "8.8.8.8": "direct", "fe80::1": "direct", None: "relay"}
+    cases = {"10.1.2.3": "lan", "172.15.0.1": "direct", "172.31.0.1": "lan", "::ffff:192.168.0.1": "lan", "169.254.9.9": "lan", "8.8.8.8": "direct", "fe80::1": "lan", "FEBF::2": "lan", "fec0::1": "direct", "2001:db8::1": "direct", None: "relay"}
     df = spark.createDataFrame([(k,) for k in cases], "direct_addr string")
     assert {r.direct_addr: r.tier for r in peers.classify_tier(df).collect()} == cases
 
@@ -212,13 +212,48 @@ def test_inventory_reads_files(spark, tmp_path):
     assert got == {"d/x.txt": 5, "y": 1}
 
 
-def test_versioned_table_applies_a_batch_once(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1, False, 1), ("b", 2, False, 1)], "k string, v long, removed boolean, at long")
-    t = inventory.VersionedTable(spark, str(tmp_path / "t"), schema_of(rows.select("k", "v")))
-    assert t.read().count() == 0
-    assert t.apply(rows, 7, ["k"]) and not t.apply(rows.withColumn("v", F.lit(9)), 7, ["k"])
-    assert t.apply(rows.where("k = 'a'").withColumn("removed", F.lit(True)), 8, ["k"])
-    assert [tuple(r) for r in t.read().collect()] == [("b", 2)]
+def test_changes_of_a_batch_replace_their_own(spark, tmp_path):
+    rows = spark.createDataFrame([("f", "a", 1, False, 1), ("f", "b", 2, False, 1)], "folder string, k string, v long, removed boolean, at long")
+    d, state = str(tmp_path / "t"), lambda d: sorted((r.k, r.v) for r in inventory.read_state(spark, d, schema_of(rows), ["folder", "k"]).collect())
+    inventory.write_changes(rows.withColumn("v", F.lit(9)), d, 7)
+    inventory.write_changes(rows, d, 7)
+    assert state(d) == [("a", 1), ("b", 2)]
+    inventory.write_changes(rows.where("k = 'a'").withColumn("removed", F.lit(True)), d, 8)
+    assert state(d) == [("b", 2)]
+    inventory.compact(spark, d, f"{d}2", schema_of(rows), ["folder", "k"])
+    inventory.write_changes(rows.withColumn("v", F.lit(5)), f"{d}2", 9)
+    assert state(f"{d}2") == [("a", 5), ("b", 5)]
+
+
+def test_stored_version_is_compared_with_the_stored_one(spark):
+    held = spark.createDataFrame([("f", "b", "p", {"a": 2}, 1, 1)], "folder string, batch string, path string, version map<string,bigint>, stamp long, arrival long")
+    late = spark.createDataFrame([("f", "b", "p", {"b": 1}, 2, 1), ("f", "b", "p", {"b": 2}, 3, 2), ("f", "b", "q", {"b": 1}, 3, 3), ("f", "b", "q", {"b": 1, "c": 1}, 3, 4)], "folder string, batch string, path string, version map<string,bigint>, stamp long, at long")
+    assert {(r.path, r.arrival) for r in brake.hold(held, late).where("stored").collect()} == {("p", 1), ("q", 5)}
+
+
+def test_rule_faults_and_the_compiler_agree(spark):
+    lines = [b"*.log", b"[", b"[]", b"[!]", b"[z-a]", b"[]a]", b"!", b"#[", b"", b"x\\", b"\xff", b"\xef\xbb\xbf*.txt\r", b"y" * (1 << 21) + b"["]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines, 1)], "folder string, line_no long, bytes binary").withColumn("line_no", F.when(F.col("line_no") == 12, 1).otherwise(F.col("line_no")))
+    got = {(r.line_no, r.reason) for r in ignore.invalid_rules(df).collect()}
+    assert got == {(2, "malformed"), (3, "malformed"), (4, "malformed"), (5, "malformed"), (10, "malformed"), (11, "not UTF-8"), (13, "malformed")}
+    rules = ignore.compile_rules(["[z-a]", "[]a]x", "[!b-d]y", "[+-9]z"], defaults=False)
+    cases = {"]x": "line 2", "ax": "line 2", "ay": "line 3", "cy": None, "5z": "line 4", "q/z": None}
+    paths_ = spark.createDataFrame([("f", p, "file") for p in cases], "folder string, path string, kind string")
+    assert {r.path: r.ignored_by for r in ignore.apply_ignore_rules(paths_, rules).collect()} == cases
+
+
+def test_copies_map_back_along_displaced_directories(spark):
+    copies = spark.createDataFrame([("f", "d.conflict-1/e.conflict-2/x.conflict-3",), ("f", "y.conflict-4",)], "folder string, path string")
+    displaced = spark.createDataFrame([("f", "d.conflict-1", "d"), ("f", "d.conflict-1/e.conflict-2", "d.conflict-1/e")], "folder string, copy string, path string")
+    got = {(r.path[0], r.place) for r in audit.places_made(copies, displaced).collect()}
+    assert got == {("d", "d.conflict-1/e.conflict-2/x.conflict-3"), ("d", "d.conflict-1/e/x.conflict-3"), ("d", "d/e/x.conflict-3"), ("y", "y.conflict-4")}
+
+
+def test_common_directory(spark):
+    cases = [(["a/b/c", "a/b/d"], "a/b"), (["a/b/c", "a/b"], "a"), (["a/b", "a-c/d"], None), (["x/y/z"], "x/y"), (["q"], None)]
+    rows = [(i, p) for i, (ps, _) in enumerate(cases) for p in ps]
+    g = spark.createDataFrame(rows, "i int, path string").groupBy("i").agg(brake.common_directory(F.min("path"), F.max("path")).alias("d"))
+    assert {r.i: r.d for r in g.collect()} == {i: d for i, (_, d) in enumerate(cases)}
 
 
 def test_first_difference(spark):
