@@ -38,7 +38,7 @@ def _class(line: str, i: int) -> tuple[str, int]:
 
 
 def _literal(c: str) -> str:
-    return re.sub(r"([^\w/])", r"\\\1", c)
+    return c if c.isalnum() or c in "_/" else f"\\{c}"
 
 
 def rule_regex(rule: str) -> tuple[str, bool, bool] | None:
@@ -58,29 +58,31 @@ def rule_regex(rule: str) -> tuple[str, bool, bool] | None:
         return None
     anchored = "/" in line
     line = line.lstrip("/")
-    out, i = "", 0
+    out, i = [], 0
     while i < len(line):
-        c = line[i]
-        if line[i : i + 3] == "**/" and (i == 0 or line[i - 1] == "/"):
-            out, i = out + "(?:.*/)?", i + 3
-        elif line[i:] == "**" and i and line[i - 1] == "/":
-            out, i = out + ".+", i + 2
+        c, step = line[i], 1
+        if line.startswith("**/", i) and (i == 0 or line[i - 1] == "/"):
+            piece, step = "(?:.*/)?", 3
+        elif line.startswith("**", i) and i + 2 == len(line) and i and line[i - 1] == "/":
+            piece, step = ".+", 2
         elif c == "*":
-            while line[i + 1 : i + 2] == "*":
-                i += 1
-            out, i = out + "[^/]*", i + 1
+            while line[i + step : i + step + 1] == "*":
+                step += 1
+            piece = "[^/]*"
         elif c == "?":
-            out, i = out + "[^/]", i + 1
+            piece = "[^/]"
         elif c == "[":
-            piece, i = _class(line, i)
-            out += piece
+            piece, end = _class(line, i)
+            step = end - i
         elif c == "\\":
             if i + 1 == len(line):
                 raise Malformed("nothing after the last backslash")
-            out, i = out + _literal(line[i + 1]), i + 2
+            piece, step = _literal(line[i + 1]), 2
         else:
-            out, i = out + _literal(c), i + 1
-    return ("^" if anchored else "^(?:.*/)?") + out + "$", negated, dirs
+            piece = _literal(c)
+        out.append(piece)
+        i += step
+    return ("^" if anchored else "^(?:.*/)?") + "".join(out) + "$", negated, dirs
 
 
 def compile_rules(lines: list[str], defaults: bool = True) -> list[tuple[str, str, bool, bool]]:
