@@ -24,8 +24,10 @@ BUCKET = 4096
 _CHUNK = 1 << 16
 #: MinHashes of a text in :func:`marked`, and of a band of them; MinHashes by which groups are compared.
 MINHASHES, BAND, WIDE = 48, 3, 512
-#: Nodes of a cell that are compared at a time.
-CHUNK = 512
+#: Nodes, and shingles of nodes, that a chunk of a cell has at most, about; two chunks are compared at a time.
+CHUNK, CHUNK_SHINGLES = 512, 1 << 20
+#: Columns of links.
+LINK = {"a": "long", "b": "long"}
 #: Ids of candidates that are broadcast at most (about 30 bytes each); beyond that their texts are found by shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -345,15 +347,15 @@ def minhashes(h: np.ndarray, n: int = MINHASHES) -> np.ndarray:
 
 
 def wide_signs(hashed: DataFrame) -> DataFrame:
-    """``node, sign``: a byte of each of ``WIDE`` MinHashes of the shingle hashes ``h``."""
+    """``node, sign, size``: a byte of each of ``WIDE`` MinHashes of the shingle hashes ``h``, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = (x.values.to_numpy(zero_copy_only=False).astype("<i8").view(np.uint64) for x in b.column(1))
+            hashes = [x.values.to_numpy(zero_copy_only=False).astype("<i8").view(np.uint64) for x in b.column(1)]
             signs = pa.array([minhashes(h, WIDE).astype(np.uint8).tobytes() for h in hashes], pa.binary())
-            yield pa.record_batch([b.column(0), signs], names=["node", "sign"])
+            yield pa.record_batch([b.column(0), signs, pa.array([len(h) for h in hashes], pa.int32())], names=["node", "sign", "size"])
 
-    return hashed.select("node", "h").mapInArrow(run, "node long, sign binary")
+    return hashed.select("node", "h").mapInArrow(run, "node long, sign binary, size int")
 
 
 def marked(docs: DataFrame, bands: int, shingle: int) -> DataFrame:
@@ -400,44 +402,93 @@ def spanning_pairs(ids: np.ndarray, signs: np.ndarray, least: int) -> list[tuple
     return out
 
 
-def crossing_pairs(ids: np.ndarray, signs: np.ndarray, least: int, group: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of different groups that agree in ``least`` MinHashes or more."""
-    out = []
-    for i in range(len(ids) - 1):
-        near = (group[i + 1 :] != group[i]) & ((signs[i + 1 :] == signs[i]).sum(axis=1) >= least)
-        out += [(int(ids[i]), int(ids[i + 1 + j])) for j in np.flatnonzero(near)]
+def agreeing(signs: np.ndarray, least: int, group: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row with the later rows of other groups that agree with it in ``least`` MinHashes or more.
+
+    Where there are two ``part`` values, only rows of different parts are compared.
+    """
+    two = part.min() != part.max()
+    for i in range(len(signs) - 1):
+        other = group[i + 1 :] != group[i]
+        if two:
+            other &= part[i + 1 :] != part[i]
+        later = i + 1 + np.flatnonzero(other)
+        near = later[(signs[later] == signs[i]).sum(axis=1) >= least]
+        if len(near):
+            yield i, near
+
+
+def linking_pairs(ids: list[int], hashes: list[np.ndarray], signs: np.ndarray, least: int, group: list[int], part: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of Jaccard ``similarity`` or more among those :func:`agreeing`, less those whose groups earlier ones have joined."""
+    root = {g: g for g in group}
+
+    def top(g: int) -> int:
+        while root[g] != g:
+            root[g] = g = root[root[g]]
+        return g
+
+    place = np.split(np.unique(np.concatenate(hashes), return_inverse=True)[1], np.cumsum([len(h) for h in hashes])[:-1])
+    mark, out = np.zeros(1 + max(int(x.max()) for x in place), dtype=bool), []
+    for i, near in agreeing(signs, least, np.array(group), part):
+        mark[place[i]] = True
+        for j in near.tolist():
+            x, y = top(group[i]), top(group[j])
+            if x != y:
+                both = int(np.count_nonzero(mark[place[j]]))
+                if both >= similarity * (len(place[i]) + len(place[j]) - both):
+                    out.append((ids[i], ids[j]))
+                    root[x] = y
+        mark[place[i]] = False
     return out
 
 
-def _pairs(blocks: DataFrame, find: Callable[..., list[tuple[int, int]]]) -> DataFrame:
-    """``a, b`` (a > b) that ``find(ids, signs, groups)`` gives for each block (``cell, i, j``) of ``node, sign, comp``; few rows each."""
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The first three columns of each run of rows in which these are equal, and the other columns of its rows."""
+    key, rows = None, []
+    for b in batches:
+        cols = [[x.values.to_numpy(zero_copy_only=False) for x in c] if pa.types.is_list(c.type) else c.to_pylist() for c in b.columns]
+        for row in zip(*cols, strict=True):
+            if row[:3] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:3], []
+            rows.append(row[3:])
+    if rows:
+        yield key, rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, signs, groups = None, [], [], []
 
-        def found() -> list[tuple[int, int]]:
-            if len(ids) < 2:
-                return []
-            return find(np.array(ids), np.frombuffer(b"".join(signs), dtype=np.uint8).reshape(len(ids), -1), np.array(groups))
+def _by_block(blocks: DataFrame, columns: list[str], find: Callable[..., list[tuple]], out: dict[str, str]) -> DataFrame:
+    """What ``find(key, *columns)`` gives for each block (``cell, i, j``) of two rows or more, as columns ``out``; a block has few rows."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in out.items()])
 
-        def rows(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            cols = [pa.array([f(p) for p in pairs], pa.int64()) for f in (max, min)]
-            return pa.record_batch(cols, names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
 
-        for b in batches:
-            done: list[tuple[int, int]] = []
-            for *now, node, sign, comp in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if now != key:
-                    done += found()
-                    key, ids, signs, groups = now, [], [], []
-                ids.append(node)
-                signs.append(sign)
-                groups.append(comp)
-            yield rows(done)
-        yield rows(found())
+        def table() -> pa.RecordBatch:
+            columns = zip(*done, strict=True) if done else [()] * len(schema)
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        for key, rows in _each_block(batches):
+            if len(rows) > 1:
+                done += find(key, *zip(*rows, strict=True))
+            if len(done) >= CHUNK:
+                yield table()
+                done.clear()
+        yield table()
 
     dealt = blocks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "node")
-    return dealt.select("cell", "i", "j", "node", "sign", "comp").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("cell", "i", "j", *columns).mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in out.items()))
+
+
+def _matrix(signs: tuple[bytes, ...]) -> np.ndarray:
+    return np.frombuffer(b"".join(signs), dtype=np.uint8).reshape(len(signs), -1)
+
+
+def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` (``node, ...``) with a ``node`` of ``ids``; up to ``BROADCAST_IDS`` ids (counted) no row of ``df`` is shuffled."""
+    ids = materialize(ids.select("node").distinct(), "near-ids")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
 
 
 def similar_groups(docs: DataFrame, cells: DataFrame, signs: DataFrame, similarity: float, miss: float) -> DataFrame:
@@ -447,40 +498,55 @@ def similar_groups(docs: DataFrame, cells: DataFrame, signs: DataFrame, similari
     ``cells`` has distinct ``cell, node`` rows. Only pairs that agree in enough MinHashes are
     verified; a pair at ``similarity`` does with probability ``1 - miss`` at least. In a first round
     trees of the most alike of each cell are verified, which makes one group of most that belong
-    together; then pairs of different groups are, if they agree in enough of ``WIDE`` MinHashes,
-    which leaves few but the pairs close to ``similarity``. Cells are compared in chunks of about
-    ``CHUNK`` nodes, so no task gets a large one; what is sent on are pairs that agree, not all pairs.
+    together. Then pairs of different groups are, if they agree in enough of ``WIDE`` MinHashes:
+    the nodes that have such a pair are sent with their shingles to where their chunks are compared,
+    and only links come out, at most one less than the groups of a block. Cells are compared in
+    chunks of about ``CHUNK`` nodes and ``CHUNK_SHINGLES`` shingles, two at a time, so no task gets
+    a large one, and pairs are never rows of a table.
     """
-    least = least_agreement(similarity, miss)
+    least, agree = least_agreement(similarity, miss), least_agreement(similarity, miss, WIDE)
     several = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"), "cells")
     members = materialize(join_per_key(cells, several, "cell").join(signs, "node"), "near-members")
-    named = materialize(members.select(F.col("node").alias("__node")).distinct(), "near-ids")
-    named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
-    text = shingled(docs.join(named, F.col("doc_id") == F.col("__node"), "left_semi"), "doc_id")
-    text = materialize(text.select(F.col("doc_id").cast("long").alias("node"), F.array_distinct("h").alias("h")), "near-shingles")
+    texts = _only(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), members)
+    text = materialize(shingled(texts, "node").select("node", F.array_distinct("h").alias("h")), "near-shingles")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(text.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(text.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
+        some = _only(text, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        sides = pairs.join(some.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(some.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
         both = F.size(F.array_intersect("ha", "hb"))
         return materialize(sides.where(both >= similarity * (F.size("ha") + F.size("hb") - both)).select("a", "b"), "near-links")
 
+    def trees(_: tuple, ids: tuple, s: tuple) -> list[tuple]:
+        return [(max(p), min(p)) for p in spanning_pairs(np.array(ids), _matrix(s), least)]
+
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
-    chunk = F.pmod(F.xxhash64("node", F.lit(SEED)), parts).cast("int")
-    dealt = members.select("cell", chunk.alias("i"), F.lit(0).alias("j"), "node", "sign", F.lit(0).cast("long").alias("comp"))
-    heads = members.where(F.col("n") > CHUNK).groupBy("cell", chunk.alias("i")).agg(F.min("node").alias("a"), F.min("lead").alias("b")).where("a > b").select("a", "b")
-    first = materialize(_pairs(dealt, lambda ids, s, _: spanning_pairs(ids, s, least)).unionByName(heads).distinct(), "near-pairs")
+    chunk = lambda parts: F.pmod(F.xxhash64("node", F.lit(SEED)), parts).cast("int")
+    dealt = members.select("cell", chunk(parts).alias("i"), F.lit(0).alias("j"), "node", "sign")
+    heads = members.where(F.col("n") > CHUNK).groupBy("cell", chunk(parts).alias("i")).agg(F.min("node").alias("a"), F.min("lead").alias("b")).where("a > b").select("a", "b")
+    first = materialize(_by_block(dealt, ["node", "sign"], trees, LINK).unionByName(heads).distinct(), "near-pairs")
     roots = materialize(components(alike(first)), "near-roots")
-    grouped = members.join(roots, "node", "left").select("cell", "n", "node", F.coalesce("root", "node").alias("comp"))
+
+    grouped = members.join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("comp"))
     grouped = materialize(grouped, "near-members")
     open_ = grouped.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("cell", "n")
-    rest = join_per_key(grouped.drop("n"), materialize(open_, "cells"), "cell")
-    signs = wide_signs(text.join(rest.select("node").distinct(), "node", "left_semi"))
-    rest = rest.join(signs, "node").withColumn("c", chunk)
-    rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
-    blocks = rest.select("cell", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "sign", "comp")
-    agree = least_agreement(similarity, miss, WIDE)
-    second = _pairs(blocks, lambda ids, s, g: crossing_pairs(ids, s, agree, g)).join(first, ["a", "b"], "left_anti")
-    more = alike(materialize(second, "near-pairs"))
+    rest = join_per_key(grouped, materialize(open_, "cells"), "cell").drop("n")
+    rest = materialize(rest.join(wide_signs(_only(text, rest)), "node"), "near-members")
+    sizes = materialize(rest.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")), "cells")
+    parts = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int")
+    rest = join_per_key(rest, sizes, "cell").withColumn("c", chunk(parts)).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
+    blocks = rest.select("cell", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "comp", "sign")
+
+    def near(key: tuple, c: tuple, ids: tuple, comp: tuple, s: tuple) -> list[tuple]:
+        found = {x for i, late in agreeing(_matrix(s), agree, np.array(comp), np.array(c)) for x in (i, *late.tolist())}
+        return [(*key, c[x], ids[x], comp[x], s[x]) for x in sorted(found)]
+
+    def links(_: tuple, c: tuple, ids: tuple, comp: tuple, s: tuple, h: tuple) -> list[tuple]:
+        return [(max(p), min(p)) for p in linking_pairs(ids, h, _matrix(s), agree, comp, np.array(c), similarity)]
+
+    close = _by_block(blocks, ["c", "node", "comp", "sign"], near, {"cell": "long", "i": "int", "j": "int", "c": "int", "node": "long", "comp": "long", "sign": "binary"})
+    close = materialize(close, "near-blocks")
+    more = _by_block(close.join(_only(text, close), "node"), ["c", "node", "comp", "sign", "h"], links, LINK)
+    more = materialize(more, "near-links")
     if more.isEmpty():
         return roots
     at = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))

@@ -298,10 +298,11 @@ def kept_by_brute_force(texts):
     return {d for d in texts if find(d) == d}
 
 
-@pytest.mark.parametrize("chunk", [1024, 4])
-def test_kept_are_those_of_brute_force(spark, monkeypatch, chunk):
-    """Near copies beyond any radius that is searched, and groups of more nodes than are compared at a time."""
+@pytest.mark.parametrize(("chunk", "shingles"), [(1024, 1 << 20), (4, 1 << 20), (1024, 2000)])
+def test_kept_are_those_of_brute_force(spark, monkeypatch, chunk, shingles):
+    """Near copies beyond any radius that is searched, and groups of more nodes or text than are compared at a time."""
     monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "CHUNK_SHINGLES", shingles)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rnd = random.Random(12)
     base = [" ".join(f"w{rnd.randint(0, 5000)}" for _ in range(300)) for _ in range(40)]
@@ -329,7 +330,35 @@ def test_trees_join_all_that_agree():
     assert len(got) == 16 and all(a // 5 == b // 5 for a, b in got)
     group = np.arange(20) % 2
     want = {(i, j) for i in range(20) for j in range(i + 1, 20) if group[i] != group[j] and (signs[i] == signs[j]).sum() >= 29}
-    assert set(simhash.crossing_pairs(np.arange(20), signs, 29, group)) == want
+    pairs = lambda part: {(i, j) for i, near in simhash.agreeing(signs, 29, group, part) for j in near.tolist()}
+    assert pairs(np.zeros(20)) == want
+    assert pairs(np.arange(20) // 10) == {(i, j) for i, j in want if i // 10 != j // 10}
+
+
+def test_links_in_a_block_join_what_all_pairs_join():
+    """Sets of one base with some members exchanged: near the similarity, on both sides of it."""
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 1 << 63, size=200)
+    sets = []
+    for i in range(60):
+        own = base.copy()
+        at = rnd.choice(200, size=rnd.integers(5, 40), replace=False)
+        own[at] = rnd.integers(0, 1 << 63, size=len(at))
+        sets.append(np.unique(own))
+    alike = lambda i, j: len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 0.8 * len(set(sets[i].tolist()) | set(sets[j].tolist()))
+    group, signs = list(range(60)), np.zeros((60, 4), dtype=np.uint8)
+    got = simhash.linking_pairs(list(range(60)), sets, signs, 4, group, np.zeros(60), 0.8)
+
+    def roots(pairs):
+        root = list(range(60))
+        for i, j in pairs:
+            old, new = root[i], root[j]
+            root = [new if r == old else r for r in root]
+        return {tuple(i for i in range(60) if root[i] == r) for r in root}
+
+    every = [(i, j) for i in range(60) for j in range(i) if alike(i, j)]
+    assert 0 < len(every) < 60 * 59 / 2
+    assert all(alike(i, j) for i, j in got) and len(got) == 60 - len(roots(every)) and roots(got) == roots(every)
 
 
 def test_hot_keys_are_joined_apart(spark):
