@@ -502,7 +502,7 @@ def similar_groups(docs: DataFrame, cells: DataFrame, signs: DataFrame, similari
     the nodes that have such a pair are sent with their shingles to where their chunks are compared,
     and only links come out, at most one less than the groups of a block. Cells are compared in
     chunks of about ``CHUNK`` nodes and ``CHUNK_SHINGLES`` shingles, two at a time, so no task gets
-    a large one, and pairs are never rows of a table.
+    a large one; a table has rows for tree pairs and links alone.
     """
     least, agree = least_agreement(similarity, miss), least_agreement(similarity, miss, WIDE)
     several = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"), "cells")
