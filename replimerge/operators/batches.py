@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.entries import is_metadata_only
 from ..schema import BATCH_BYTES, BATCH_ENTRIES, CAP_S, ENTRY_OVERHEAD, QUIET_S
+from .ordered import running_sum
 
 
 def batch_windows(changes: DataFrame, quiet_us: int = QUIET_S * 1_000_000, cap_us: int = CAP_S * 1_000_000) -> DataFrame:
@@ -69,20 +70,18 @@ def batch_summary(entries: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def split_batches(records: DataFrame, most: int = BATCH_ENTRIES, room: int = BATCH_BYTES) -> DataFrame:
-    """Adds ``batch_no`` (from 0): greedily by ``seq`` within folder and source, ``most`` entries and ``room`` estimated bytes at most, one at least.
+    """Adds ``batch_no`` (from 0): greedily by ``seq``, then path, within folder and source, ``most`` entries and ``room`` estimated bytes at most, one at least.
 
-    Cutting every ``most`` rows is the greedy split wherever no such piece is too large; only the
-    other folders are folded row by row, as a stream.
+    Rows are numbered in pieces of a large folder's order. Cutting every ``most`` rows is the greedy
+    split wherever no such batch is too large; of the other folders numbers and costs alone, no
+    rows, are folded as a stream, and joined back by number.
     """
-    own = Window.partitionBy("folder", "source")
-    cost = F.octet_length("path") + ENTRY_OVERHEAD
-    sized = records.withColumn("__cost", cost).withColumn("__n", F.row_number().over(own.orderBy("seq")) - 1)
-    sized = sized.withColumn("batch_no", F.floor(F.col("__n") / most).cast("long"))
-    piece = F.sum("__cost").over(Window.partitionBy("folder", "source", "batch_no"))
-    sized = sized.withColumn("__piece", piece).withColumn("__slow", F.max("__piece").over(own) > room)
-    fast = sized.where(~F.col("__slow")).drop("__cost", "__n", "__piece", "__slow")
-    slow = sized.where("__slow").drop("__n", "__piece", "__slow", "batch_no").repartition("folder", "source").sortWithinPartitions("folder", "source", "seq")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fast.schema.fields)
+    keys = ["folder", "source"]
+    numbered = running_sum(records, keys, ["seq", "path"], F.col("seq"), F.lit(1), "__n")
+    costs = numbered.select(*keys, "__n", (F.octet_length("path") + ENTRY_OVERHEAD).alias("__cost"))
+    sizes = costs.groupBy(*keys, F.floor(F.col("__n") / most).alias("__b")).agg(F.sum("__cost").alias("__size"))
+    large = sizes.where(F.col("__size") > room).select(*keys).distinct()
+    slow = costs.join(large, keys, "left_semi").repartition(*keys).sortWithinPartitions(*keys, "__n")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, no, n, used = None, 0, 0, 0
@@ -95,9 +94,12 @@ def split_batches(records: DataFrame, most: int = BATCH_ENTRIES, room: int = BAT
                     no, n, used = no + 1, 0, 0
                 n, used = n + 1, used + c
                 out.append(no)
-            yield b.drop(columns="__cost").assign(batch_no=out)
+            yield b.drop(columns="__cost").assign(__no=out)
 
-    return fast.unionByName(slow.mapInPandas(fold, schema))
+    types = {f.name: f.dataType.simpleString() for f in costs.schema.fields}
+    folded = slow.mapInPandas(fold, f"folder {types['folder']}, source {types['source']}, __n {types['__n']}, __no long")
+    number = F.coalesce("__no", F.floor(F.col("__n") / most)).cast("long")
+    return numbered.join(folded, [*keys, "__n"], "left").select(*records.columns, number.alias("batch_no"))
 
 
 def batch_chain(batches: DataFrame) -> DataFrame:

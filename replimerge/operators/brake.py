@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from ..functions.paths import ancestors
 from ..functions.vectors import vv_dominates_or_equals, vv_key
 from ..schema import BRAKE_BYTES, BRAKE_COUNT, BRAKE_PERCENT
 from .merge import classify_batch
+from .ordered import row_number
 
 
 def receiver_summary(classified: DataFrame, keys: list[str]) -> DataFrame:
@@ -192,8 +194,13 @@ def revert_plan(pending: DataFrame, entries: DataFrame) -> DataFrame:
 def return_denied(held_items: DataFrame) -> DataFrame:
     """Denied items come back behind the others, in the order of their denial: ``arrival`` anew."""
     back = F.col("state") == "denied"
-    order = Window.partitionBy("folder").orderBy(back, F.when(back, F.col("denied_at")), "arrival", "batch")
-    return held_items.withColumn("arrival", F.row_number().over(order)).withColumn("state", F.lit("held"))
+    order = [back, F.when(back, F.col("denied_at")), "arrival", "batch"]
+    # denials lie beyond every arrival, undated ones first
+    denied = F.coalesce(F.col("denied_at"), F.lit(-(2**63))).cast("decimal(38,0)") + F.lit(Decimal(2**65))
+    lead = F.when(back, denied).otherwise(F.col("arrival").cast("decimal(38,0)"))
+    # the new number has another name than the old one, which is part of the order
+    numbered = row_number(held_items, ["folder"], order, lead, "__arrival")
+    return numbered.withColumn("arrival", F.col("__arrival")).withColumn("state", F.lit("held")).drop("__arrival")
 
 
 def rules_recheck(summaries: DataFrame, rules: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions.entries import is_live, is_tracked, next_stamp, normalise_obser
 from ..functions.paths import ancestors
 from ..functions.vectors import vv_increment
 from ..schema import EMPTY
+from .ordered import row_number
 
 KEY = ["folder", "node", "path"]
 
@@ -161,11 +162,11 @@ def announced_hash(entries: DataFrame, pending: DataFrame) -> DataFrame:
 def assign_seq(changes: DataFrame, last: DataFrame) -> DataFrame:
     """V7: adds ``seq``, dense for each folder and node by time, then path, beyond ``last_seq``.
 
-    The order is the folder's own and so is its sort; pass narrow rows.
+    A large folder is numbered in pieces of its order, by ``at``, a number.
     """
-    w = Window.partitionBy("folder", "node").orderBy("at", "path")
     l_ = last.select("folder", "node", "last_seq")
-    return changes.withColumn("__n", F.row_number().over(w)).join(l_, ["folder", "node"], "left").withColumn("seq", F.col("__n") + F.coalesce("last_seq", F.lit(0))).drop("__n", "last_seq")
+    numbered = row_number(changes, ["folder", "node"], ["at", "path"], F.col("at"), "__n")
+    return numbered.join(l_, ["folder", "node"], "left").withColumn("seq", F.col("__n") + F.coalesce("last_seq", F.lit(0))).drop("__n", "last_seq")
 
 
 def two_looks(looks: DataFrame, gap_ns: int = 2_000_000_000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.entries import is_live, is_tracked
 from ..functions.paths import name_of, parent_of, tagged_name
 from ..schema import TRASH_BYTES, TRASH_DAYS
+from .ordered import running_sum
 
 _DAY_NS = 86_400_000_000_000
 
@@ -36,13 +37,11 @@ def trash_places(moves: DataFrame, taken: DataFrame | None = None) -> DataFrame:
 def prune_trash(trash: DataFrame, now_ns: Column, days: int = TRASH_DAYS, size: int = TRASH_BYTES) -> DataFrame:
     """Adds ``prune``: older than ``days``, or among the oldest that keep the folder's total above ``size``.
 
-    Old rows are a prefix of the order, so one running sum does for both rules.
+    Old rows are a prefix of the order, so one running sum does for both rules. A large folder is summed in pieces.
     """
-    w = Window.partitionBy("folder").orderBy("trashed_at_ns", "trashed_path")
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.sum("size").over(Window.partitionBy("folder")) - before
+    summed = running_sum(trash, ["folder"], ["trashed_at_ns", "trashed_path"], F.col("trashed_at_ns"), F.col("size"), "__before", "__total")
     old = now_ns - F.col("trashed_at_ns") > days * _DAY_NS
-    return trash.withColumn("prune", old | (left > size))
+    return summed.withColumn("prune", old | (F.col("__total") - F.col("__before") > size)).drop("__before", "__total")
 
 
 def reconcile_trash(rows: DataFrame, listing: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from replimerge.functions import paths, vectors
-from replimerge.operators import audit, batches, brake, diff, ignore, merge, peers, retention, transfer
+from replimerge.operators import audit, batches, brake, diff, ignore, merge, ordered, peers, retention, transfer
 from replimerge.plans.fixtures import fixture, with_version
 from replimerge.schema import EMPTY
 from replimerge.sources import inventory
@@ -117,6 +117,45 @@ def test_split_against_a_loop(spark):
         assert {r.seq: r.batch_no for r in batches.split_batches(df, most, room).collect()} == want
 
 
+def test_split_of_a_folder_in_pieces(spark):
+    """The batches of a folder that is cut into pieces are those of one loop over it."""
+    rows = [("big", "n", "p" * (i % 61), i) for i in range(4000)] + [(f"f{i}", "n", "p", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "folder string, source string, path string, seq long").repartition(7)
+    got = {(r.folder, r.seq): r.batch_no for r in batches.split_batches(df, 9, 2_600).collect()}
+    no = n = used = 0
+    for _, _, p, seq in rows[:4000]:
+        c = len(p) + 256
+        if n and (n == 9 or used + c > 2_600):
+            no, n, used = no + 1, 0, 0
+        n, used = n + 1, used + c
+        assert got["big", seq] == no
+    assert len(got) == len(rows) and all(v == 0 for (f, _), v in got.items() if f != "big")
+
+
+def test_running_sums_in_pieces(spark):
+    """One folder with nearly all rows, ties, nulls and a far outlier: the sums of one window over the folder."""
+    rnd = random.Random(7)
+    rows = [("big" if i % 50 else f"f{i % 7}", rnd.choice([None, 10**15, rnd.randint(0, 300)]), i, rnd.choice([None, 1, 5])) for i in range(5000)]
+    df = spark.createDataFrame(rows, "folder string, at long, path long, size long").repartition(5)
+    got = ordered.running_sum(df, ["folder"], ["at", "path"], F.col("at"), F.col("size"), "before", "total", pieces=16).collect()
+    want = {}
+    for f in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == f), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        total, before = sum(r[3] or 0 for r in own), 0
+        for r in own:
+            want[r[2]] = (before, total)
+            before += r[3] or 0
+    assert {r.path: (r.before, r.total) for r in got} == want
+    assert ordered.row_number(df.limit(0), ["folder"], ["at", "path"], F.col("at"), "n").count() == 0
+
+
+def test_denied_come_last_undated_ones_first(spark):
+    rows = [("f", "b0", 4, "held", None), ("f", "b1", 1, "denied", -5), ("f", "b2", 2, "denied", None), ("f", "b3", None, "held", None), ("f", "b4", 3, "denied", 2**62)]
+    df = spark.createDataFrame(rows, "folder string, batch string, arrival long, state string, denied_at long")
+    got = brake.return_denied(df).orderBy("arrival").collect()
+    assert [r.batch for r in got] == ["b3", "b0", "b2", "b1", "b4"] and {r.state for r in got} == {"held"}
+
+
 def test_watermark_waits_for_a_gap(spark):
     df = spark.createDataFrame([("f", "n", "p", 0, 3), ("f", "n", "p", 5, 9), ("f", "n", "p", 2, 4), ("f", "n", "q", 1, 2)], "folder string, node string, peer string, seq_low long, seq_high long")
     assert {r.peer: (r.watermark, r.has_gap) for r in batches.contiguous_watermark(df).collect()} == {"p": (4, True), "q": (0, True)}
