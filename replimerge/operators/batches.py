@@ -10,21 +10,25 @@ from pyspark.sql import functions as F
 
 from ..functions.entries import is_metadata_only
 from ..schema import BATCH_BYTES, BATCH_ENTRIES, CAP_S, ENTRY_OVERHEAD, QUIET_S
-from .ordered import running_sum
+from .ordered import running
 
 
 def batch_windows(changes: DataFrame, quiet_us: int = QUIET_S * 1_000_000, cap_us: int = CAP_S * 1_000_000) -> DataFrame:
     """B1: ``folder, node, opened_us, due_us, n`` of the windows over ``folder, node, at_us``.
 
     A window opens at the first change and closes at the earlier of ``cap_us`` after it and
-    ``quiet_us`` after the last; a change at that moment opens the next. Quiet gaps split the input
-    into stretches that are dealt apart; the cap is folded along each in a stream, with two numbers
-    of state, so no stretch is gathered.
+    ``quiet_us`` after the last; a change at that moment opens the next. Changes of one moment are
+    counted first. Quiet gaps, found in pieces of a large folder's order, split the input into
+    stretches, named by their start and dealt apart; the cap is folded along each in a stream, with
+    two numbers of state, so no stretch is gathered. A stretch without a gap is one stream, as each
+    of its windows begins where the one before ended.
     """
-    own = Window.partitionBy("folder", "node").orderBy("at_us")
-    gap = F.coalesce(F.col("at_us") - F.lag("at_us").over(own) >= quiet_us, F.lit(True))
-    run = F.sum(F.when(gap, 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    dealt = changes.select("folder", "node", "at_us").withColumn("run", run)
+    keys, at = ["folder", "node"], F.col("at_us")
+    moments = changes.groupBy(*keys, "at_us").agg(F.count(F.lit(1)).alias("n"))
+    after = running(moments, keys, ["at_us"], at, at, "last", fold="max")
+    opens = F.when(F.coalesce(at - F.col("last") >= quiet_us, F.lit(True)), at)
+    dealt = running(after.withColumn("opens", opens), keys, ["at_us"], at, F.col("opens"), "run", fold="max")
+    dealt = dealt.select(*keys, "at_us", "n", F.coalesce("opens", "run").alias("run"))
     sorted_ = dealt.repartition("folder", "node", "run").sortWithinPartitions("folder", "node", "run", "at_us")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,12 +37,12 @@ def batch_windows(changes: DataFrame, quiet_us: int = QUIET_S * 1_000_000, cap_u
         columns = ["folder", "node", "opened_us", "due_us", "n"]
         for b in batches:
             out = []
-            for folder, node, at, r in zip(b["folder"], b["node"], b["at_us"], b["run"], strict=True):
+            for folder, node, at, r, more in zip(b["folder"], b["node"], b["at_us"], b["run"], b["n"], strict=True):
                 if key != (folder, node, r) or at >= min(first + cap_us, last + quiet_us):
                     if key is not None:
                         out.append(row())
                     key, first, n = (folder, node, r), at, 0
-                last, n = at, n + 1
+                last, n = at, n + more
             yield pd.DataFrame(out, columns=columns)
         if key is not None:
             yield pd.DataFrame([row()], columns=columns)
@@ -77,7 +81,7 @@ def split_batches(records: DataFrame, most: int = BATCH_ENTRIES, room: int = BAT
     rows, are folded as a stream, and joined back by number.
     """
     keys = ["folder", "source"]
-    numbered = running_sum(records, keys, ["seq", "path"], F.col("seq"), F.lit(1), "__n")
+    numbered = running(records, keys, ["seq", "path"], F.col("seq"), F.lit(1), "__n")
     costs = numbered.select(*keys, "__n", (F.octet_length("path") + ENTRY_OVERHEAD).alias("__cost"))
     sizes = costs.groupBy(*keys, F.floor(F.col("__n") / most).alias("__b")).agg(F.sum("__cost").alias("__size"))
     large = sizes.where(F.col("__size") > room).select(*keys).distinct()

@@ -1,4 +1,4 @@
-"""Running sums in a group's own order, where one group may hold most rows."""
+"""Running sums and maxima in a group's own order, where one group may hold most rows."""
 
 from __future__ import annotations
 
@@ -6,15 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[Column | str], lead: Column, value: Column, before: str, total: str | None = None, pieces: int = 256) -> DataFrame:
+def running(
+    df: DataFrame, keys: list[str], order: list[Column | str], lead: Column, value: Column, before: str, total: str | None = None, fold: str = "sum", pieces: int = 256
+) -> DataFrame:
     """Adds ``before``, the sum of ``value`` over the rows ahead in the group's ``order``, and ``total``, that of the group.
 
+    With ``fold="max"`` the greatest value instead, null if there is none ahead; a sum of none is 0.
+
     ``lead`` is a number that never falls along ``order``; null comes first. Groups of more than a
     thousandth of all rows are fewer than a thousand: they are cut at quantiles of ``lead``, each
-    piece is summed apart, and the sums of the pieces ahead are added. The cuts are collected, as
+    piece is folded apart, and what the pieces ahead have is added. The cuts are collected, as
     sketches merged in another order would give other ones; where they lie decides how even the
     pieces are and no result. Rows that tie in ``lead`` share a piece. The other groups are one piece each.
     """
+    agg = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "max": F.max}[fold]
+    over = {"sum": lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)), "max": lambda c, w: F.max(c).over(w)}[fold]
+    both = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "max": F.greatest}[fold]
     shares = [i / pieces for i in range(1, pieces)]
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), F.percentile_approx(lead, shares, F.lit(10_000)).alias("__cuts"))
     all_rows = df.select(F.count(F.lit(1)).alias("__rows")).scalar()
@@ -23,17 +30,16 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column | str], lead:
 
     piece = F.size(F.filter(F.coalesce("__cuts", F.array()), lambda c: c < lead))
     cut = df.join(F.broadcast(cuts), keys, "left").withColumn("__piece", piece)
-    sums = cut.where(F.col("__cuts").isNotNull()).groupBy(*keys, "__piece").agg(F.coalesce(F.sum(value), F.lit(0)).alias("__sum"))
+    sums = cut.where(F.col("__cuts").isNotNull()).groupBy(*keys, "__piece").agg(agg(value).alias("__value"))
     group = Window.partitionBy(*keys)
-    ahead = F.sum("__sum").over(group.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1))
-    known = sums.select(*keys, "__piece", F.coalesce(ahead, F.lit(0)).alias("__ahead"), F.sum("__sum").over(group).alias("__all"))
+    ahead = over("__value", group.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1))
+    known = sums.select(*keys, "__piece", ahead.alias("__ahead"), over("__value", group).alias("__all"))
 
     own = Window.partitionBy(*keys, "__piece")
-    inside = F.coalesce(F.sum(value).over(own.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = cut.withColumn(before, inside)
+    out = cut.withColumn(before, over(value, own.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
     if total:
-        out = out.withColumn(total, F.coalesce(F.sum(value).over(own), F.lit(0)))
-    out = out.join(F.broadcast(known), [*keys, "__piece"], "left").withColumn(before, F.col(before) + F.coalesce("__ahead", F.lit(0)))
+        out = out.withColumn(total, over(value, own))
+    out = out.join(F.broadcast(known), [*keys, "__piece"], "left").withColumn(before, both(F.col(before), F.col("__ahead")))
     if total:
         out = out.withColumn(total, F.coalesce("__all", total))
     return out.select(*df.columns, before, *([total] if total else []))
@@ -41,4 +47,4 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column | str], lead:
 
 def row_number(df: DataFrame, keys: list[str], order: list[Column | str], lead: Column, out: str) -> DataFrame:
     """Adds ``out``, the row's number from 1 in its group's ``order``."""
-    return running_sum(df, keys, order, lead, F.lit(1), out).withColumn(out, F.col(out) + 1)
+    return running(df, keys, order, lead, F.lit(1), out).withColumn(out, F.col(out) + 1)

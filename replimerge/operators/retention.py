@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.entries import is_live, is_tracked
 from ..functions.paths import name_of, parent_of, tagged_name
 from ..schema import TRASH_BYTES, TRASH_DAYS
-from .ordered import running_sum
+from .ordered import running
 
 _DAY_NS = 86_400_000_000_000
 
@@ -39,7 +39,7 @@ def prune_trash(trash: DataFrame, now_ns: Column, days: int = TRASH_DAYS, size:
 
     Old rows are a prefix of the order, so one running sum does for both rules. A large folder is summed in pieces.
     """
-    summed = running_sum(trash, ["folder"], ["trashed_at_ns", "trashed_path"], F.col("trashed_at_ns"), F.col("size"), "__before", "__total")
+    summed = running(trash, ["folder"], ["trashed_at_ns", "trashed_path"], F.col("trashed_at_ns"), F.col("size"), "__before", "__total")
     old = now_ns - F.col("trashed_at_ns") > days * _DAY_NS
     return summed.withColumn("prune", old | (F.col("__total") - F.col("__before") > size)).drop("__before", "__total")
 

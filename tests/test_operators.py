@@ -137,7 +137,7 @@ def test_running_sums_in_pieces(spark):
     rnd = random.Random(7)
     rows = [("big" if i % 50 else f"f{i % 7}", rnd.choice([None, 10**15, rnd.randint(0, 300)]), i, rnd.choice([None, 1, 5])) for i in range(5000)]
     df = spark.createDataFrame(rows, "folder string, at long, path long, size long").repartition(5)
-    got = ordered.running_sum(df, ["folder"], ["at", "path"], F.col("at"), F.col("size"), "before", "total", pieces=16).collect()
+    got = ordered.running(df, ["folder"], ["at", "path"], F.col("at"), F.col("size"), "before", "total", pieces=16).collect()
     want = {}
     for f in {r[0] for r in rows}:
         own = sorted((r for r in rows if r[0] == f), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
@@ -146,6 +146,11 @@ def test_running_sums_in_pieces(spark):
             want[r[2]] = (before, total)
             before += r[3] or 0
     assert {r.path: (r.before, r.total) for r in got} == want
+    most = ordered.running(df, ["folder"], ["at", "path"], F.col("at"), F.col("size"), "most", fold="max", pieces=16)
+    seen = {}
+    for r in sorted(most.collect(), key=lambda r: (r.folder, r.at is not None, r.at or 0, r.path)):
+        assert r.most == seen.get(r.folder)
+        seen[r.folder] = max((x for x in (seen.get(r.folder), r.size) if x is not None), default=None)
     assert ordered.row_number(df.limit(0), ["folder"], ["at", "path"], F.col("at"), "n").count() == 0
 
 
