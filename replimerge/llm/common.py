@@ -36,9 +36,11 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, n: str = "n", ho
     """``rows`` joined with ``per_key``, which has one row a ``key`` and ``n``, the number of ``rows`` of that key.
 
     Fewer than ``share`` keys can have more than a ``share``-th of all rows each. These are broadcast,
-    so that no task gets the rows of a hot key; the others are joined by shuffle. Both tables are
-    read twice then. ``total``: the number of ``rows``, if it is known.
+    so that no task gets the rows of a hot key; the others are joined by shuffle. ``rows`` is read
+    twice then; ``per_key`` is written first, so it is worked out once. ``total``: the number of
+    ``rows``, if it is known.
     """
+    per_key = materialize(per_key, "per-key")
     total = (per_key.agg(F.sum(n)).first()[0] or 0) if total is None else total
     hot = per_key.where(F.col(n) > total / share)
     if hot.isEmpty():

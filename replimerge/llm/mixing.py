@@ -50,7 +50,7 @@ def with_source(rows: DataFrame, per_source: DataFrame, source: str, n: str, bro
         return rows.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col(source))).drop(source, n)
     key = fresh(rows, "__of")
     named = lambda c: F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c), F.lit("")))
-    kept = materialize(per_source.withColumn(key, named(source)).drop(source), "mix-sources")
+    kept = per_source.withColumn(key, named(source)).drop(source)
     return join_per_key(rows.withColumn(key, named("source")), kept, key, n).drop(key, n)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licenses, mixing, pii, quality_model, quality_rules, secrets, simhash, tokens
+from . import chat, decontamination, infill, licenses, mixing, phrases, pii, quality_model, quality_rules, secrets, simhash, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": tokens.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontamination.query,
     "op9_mixing": mixing.query,
     "op10_chat_formatting": chat.query,
+    "op11_fill_in_middle": infill.query,
+    "op12_warc_archive": warc.query,
+    "op13_phrase_collocations": phrases.query,
 }
 ORACLES: dict[str, str] = {
     "op2_license_scans": licenses.SQL,
@@ -26,4 +29,7 @@ ORACLES: dict[str, str] = {
     "op8_decontamination": decontamination.SQL,
     "op9_mixing": mixing.SQL,
     "op10_chat_formatting": chat.SQL,
+    "op11_fill_in_middle": infill.SQL,
+    "op12_warc_archive": warc.SQL,
+    "op13_phrase_collocations": phrases.SQL,
 }

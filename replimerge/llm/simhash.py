@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, bucket:
     rooted = values.join(roots, values["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.col("n").alias("rows"), F.coalesce("root", "fingerprint").alias("root"))
     rooted = materialize(rooted, "fingerprint-roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    labels = materialize(join_per_key(rooted, ids, "root").select("fingerprint", "component_id", F.col("rows").alias("n")), "fingerprint-labels")
+    labels = join_per_key(rooted, ids, "root").select("fingerprint", "component_id", F.col("rows").alias("n"))
     return join_per_key(rows, labels, "fingerprint").select("doc_id", hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
@@ -505,7 +505,7 @@ def similar_groups(docs: DataFrame, cells: DataFrame, signs: DataFrame, similari
     a large one; a table has rows for tree pairs and links alone.
     """
     least, agree = least_agreement(similarity, miss), least_agreement(similarity, miss, WIDE)
-    several = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"), "cells")
+    several = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
     members = materialize(join_per_key(cells, several, "cell").join(signs, "node"), "near-members")
     texts = _only(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), members)
     text = materialize(shingled(texts, "node").select("node", F.array_distinct("h").alias("h")), "near-shingles")
@@ -529,9 +529,9 @@ def similar_groups(docs: DataFrame, cells: DataFrame, signs: DataFrame, similari
     grouped = members.join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("comp"))
     grouped = materialize(grouped, "near-members")
     open_ = grouped.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("cell", "n")
-    rest = join_per_key(grouped, materialize(open_, "cells"), "cell").drop("n")
+    rest = join_per_key(grouped, open_, "cell").drop("n")
     rest = materialize(rest.join(wide_signs(_only(text, rest)), "node"), "near-members")
-    sizes = materialize(rest.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")), "cells")
+    sizes = rest.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     parts = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int")
     rest = join_per_key(rest, sizes, "cell").withColumn("c", chunk(parts)).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
     blocks = rest.select("cell", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "comp", "sign")
