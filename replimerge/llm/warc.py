@@ -85,21 +85,25 @@ def archive_pages(pages: DataFrame, directory: str, least: int = 0) -> None:
     write_archive(page_records(pages, least), pages.select(F.coalesce("html", F.lit("")).cast("binary").alias("payload")), directory)
 
 
-def read_records(spark: SparkSession, directory: str) -> DataFrame:
+def read_records(spark: SparkSession, directory: str, of: dict[str, Column] | None = None) -> DataFrame:
     """``head, payload``: the archived records, rebuilt by joining headers with payloads; null payload where a record has none.
 
-    A payload is verified against its digest. A header whose payload is missing, or that of another
-    content, is an error, never a row less. Records with equal payloads of their own come from
-    archives of more than one crawl only; their join is on the digest and may be skewed, which
-    adaptive execution splits.
+    ``of`` names what is wanted of a payload, as columns over ``payload``: these are worked out before
+    the join then, and no payload is shuffled. Every payload is verified against its digest. A
+    header whose payload is missing, or that of another content, is an error, never a row less.
+    Records with equal payloads of their own come from archives of more than one crawl only; their
+    join is on the digest and may be skewed, which adaptive execution splits.
     """
+    of = of or {"payload": F.col("payload")}
     headers = spark.read.schema("head binary, digest string").parquet(f"{directory}/headers")
-    stored = spark.read.schema("digest string, payload binary").parquet(f"{directory}/payloads").withColumnRenamed("digest", "stored")
+    stored = spark.read.schema("digest string, payload binary").parquet(f"{directory}/payloads")
+    failed = lambda c: F.raise_error(F.concat(F.lit("no sound payload for digest "), c))
+    verified = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("digest")).otherwise(failed(F.col("digest")))
+    stored = stored.select(verified.alias("stored"), *[c.alias(k) for k, c in of.items()])
     joined = headers.where("digest is not null").join(stored, F.col("digest") == F.col("stored"), "left")
-    sound = F.coalesce(F.sha2("payload", 256) == F.col("digest"), F.lit(False))
-    failed = F.raise_error(F.concat(F.lit("no sound payload for digest "), "digest")).cast("binary")
-    full = joined.select("head", F.when(sound, F.col("payload")).otherwise(failed).alias("payload"))
-    return full.unionByName(headers.where("digest is null").select("head", F.lit(None).cast("binary").alias("payload")))
+    present = lambda k: F.when(F.col("stored").isNotNull(), F.col(k)).otherwise(failed(F.col("digest")).cast(stored.schema[k].dataType))
+    full = joined.select("head", *[present(k).alias(k) for k in of])
+    return full.unionByName(headers.where("digest is null").select("head", *[F.lit(None).cast(stored.schema[k].dataType).alias(k) for k in of]))
 
 
 def field(head: Column, name: str) -> Column:
@@ -124,13 +128,12 @@ def read_pages(spark: SparkSession, directory: str) -> DataFrame:
     A revisit's are those of the response that it refers to. Where a header tells another digest or
     length than its payload has, that is an error.
     """
-    records = read_records(spark, directory)
     head = F.col("head")
+    of = {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))}
     http = F.length(F.substring_index(head.cast("string"), BLANK, -2))
-    measured = records.where("payload is not null").select(
-        _page_id(field(head, "WARC-Record-ID")).alias("page_id"), field(head, "WARC-Payload-Digest").alias("told"), (field(head, "Content-Length").cast("long") - http).alias("long"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"),
-    )
+    measured = read_records(spark, directory, of).where("payload_bytes is not null").select(
+        _page_id(field(head, "WARC-Record-ID")).alias("page_id"), field(head, "WARC-Payload-Digest").alias("told"), (field(head, "Content-Length").cast("long") - http).alias("long"), *of
+    )
     told = (F.col("told") == F.concat(F.lit("sha1:"), "payload_digest")) & (F.col("long") == F.col("payload_bytes"))
     checked = F.when(told, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("a header does not fit its payload: "), "told")))
     responses = materialize(measured.select("page_id", "payload_bytes", checked.alias("payload_digest")), "warc-responses")
