@@ -122,7 +122,7 @@ def _fit(names: pd.DataFrame) -> pd.Series:
 
 def tagged_name(name: Column, tag: Column, whole: Column) -> Column:
     """``tag`` before the last extension (after the whole name if ``whole``, or for a dotfile), cut to 255 bytes."""
-    has_ext = ~whole & (F.instr(F.substring(name, 2, 1 << 20), ".") > 0)
+    has_ext = ~whole & (F.instr(F.substr(name, F.lit(2)), ".") > 0)
     stem = F.when(has_ext, F.regexp_replace(name, r"\.[^.]*\z", "")).otherwise(name)
     ext = F.when(has_ext, F.regexp_extract(name, r"\.[^.]*\z", 0)).otherwise("")
     plain = F.concat(stem, tag, ext)

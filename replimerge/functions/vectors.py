@@ -72,14 +72,26 @@ def vv_merge_agg(df: DataFrame, keys: list[str], version: str = "version") -> Da
     return counters.groupBy(*keys).agg(F.map_from_entries(F.sort_array(pairs)).alias(version))
 
 
-def frontier(df: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
+def frontier(df: DataFrame, keys: list[str], version: str = "version", parts: int = 64) -> DataFrame:
     """V9: rows whose version no other version of the same ``keys`` dominates.
 
-    Copies of a version are compared once, so rows that repeat it cost nothing more.
+    Copies of a version count once. The versions of a key are dealt to ``parts`` by hash, each part
+    is reduced to what nothing in it dominates, and these are reduced again together: domination
+    is transitive, so what a part drops could drop nothing more. A task holds one key's part, then
+    one key's survivors: their frontier and no more than ``parts`` of each chain; a node's own
+    versions of a path follow each other, so a frontier is no wider than the nodes that wrote it.
     """
     own = df.withColumn("__vk", vv_key(F.col(version)))
     kinds = own.groupBy(*keys, "__vk").agg(F.first(version).alias("__v"))
-    other = kinds.select(*[F.col(k).alias(f"__o_{k}") for k in keys], F.col("__v").alias("__w"))
-    same = [F.col(k).eqNullSafe(F.col(f"__o_{k}")) for k in keys]
-    below = kinds.join(other, [*same, vv_dominates(F.col("__w"), F.col("__v"))], "left_semi").select(*keys, "__vk")
-    return own.join(below, [*keys, "__vk"], "left_anti").drop("__vk")
+
+    def reduced(rows: DataFrame, by: list) -> DataFrame:
+        held = rows.groupBy(*by).agg(F.collect_list(F.struct("__vk", "__v")).alias("__l"))
+        top = F.filter("__l", lambda x: ~F.exists("__l", lambda y: vv_dominates(y["__v"], x["__v"])))
+        return held.select(*keys, F.explode(top).alias("__x")).select(*keys, "__x.*")
+
+    some = reduced(kinds.withColumn("__part", F.pmod(F.xxhash64("__vk"), F.lit(parts))), [*keys, "__part"])
+    top = reduced(some, keys).select(*[F.col(k).alias(f"__o_{k}") for k in keys], F.col("__vk").alias("__o"))
+    same = F.col("__vk") == F.col("__o")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__o_{k}"))
+    return own.join(top, same, "left_semi").drop("__vk")

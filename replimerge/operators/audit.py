@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.entries import is_live, same_content, winner_key
 from ..functions.paths import ancestors, conflict_copy_name, name_of
-from ..functions.vectors import vv_compare, vv_dominates_or_equals, vv_key
+from ..functions.vectors import vv_compare, vv_dominates_or_equals, vv_key, vv_merge_agg
 from ..schema import EMPTY
+from .ordered import running
 
 
 def convergence(entries: DataFrame, n_members: int, listing: DataFrame | None = None, held_dirs: DataFrame | None = None) -> DataFrame:
@@ -30,10 +31,19 @@ def convergence(entries: DataFrame, n_members: int, listing: DataFrame | None =
     return g.join(off, ["folder", "path"], "full_outer").fillna(0)
 
 
-def lost_content(adopted: DataFrame, files: DataFrame, trash: DataFrame) -> DataFrame:
-    """A2: adopted hashes (``folder, node, hash``) found neither in the node's files nor in its trash."""
+def lost_content(adopted: DataFrame, files: DataFrame, trash: DataFrame, edits: DataFrame | None = None) -> DataFrame:
+    """A2: adopted hashes (``folder, node, hash``) found neither in the node's files nor in its trash.
+
+    With ``edits`` (``folder, node, path, edited_ns``), ``adopted`` has ``path`` and ``adopted_ns`` too:
+    what the node's own user changed at the path after the adoption is no loss.
+    """
     have = files.select("folder", "node", "hash").unionByName(trash.select("folder", "node", "hash")).distinct()
-    return adopted.where(F.col("hash") != EMPTY).select("folder", "node", "hash").distinct().join(have, ["folder", "node", "hash"], "left_anti")
+    asked = adopted.where(F.col("hash") != EMPTY)
+    if edits is not None:
+        keys = ["folder", "node", "path"]
+        last = edits.groupBy(*keys).agg(F.max("edited_ns").alias("edited_ns"))
+        asked = asked.select(*keys, "hash", "adopted_ns").join(last, keys, "left").where(F.col("edited_ns").isNull() | (F.col("edited_ns") <= F.col("adopted_ns")))
+    return asked.select("folder", "node", "hash").distinct().join(have, ["folder", "node", "hash"], "left_anti")
 
 
 def _versions(entries: DataFrame) -> DataFrame:
@@ -42,16 +52,21 @@ def _versions(entries: DataFrame) -> DataFrame:
     return e.groupBy("folder", "path", "__vk").agg(F.min_by(F.struct("version", "stamp"), "node").alias("z")).select("folder", "path", "z.*")
 
 
-def resurrections(entries: DataFrame, held_dirs: DataFrame | None = None) -> DataFrame:
+def resurrections(entries: DataFrame, held_dirs: DataFrame | None = None, discarded: DataFrame | None = None) -> DataFrame:
     """A3: paths live on a node although a tombstone of theirs was never contradicted: no other version dominates it or is concurrent with it.
 
-    Directories that a node keeps for ignored files (``held_dirs``: ``folder, node, path``) are not live there.
+    Such a tombstone reaches every version of its path, so its vector is that of all of them merged:
+    two sums with partial aggregation, whatever the number of versions. ``discarded`` (``folder, path,
+    vv_key``): versions that their author took back by a revert before anyone saw them; they delete
+    nothing and contradict nothing. Directories that a node keeps for ignored files (``held_dirs``:
+    ``folder, node, path``) are not live there.
     """
     v = entries.select("folder", "path", "version", "deleted").withColumn("k", vv_key(F.col("version")))
-    v = v.groupBy("folder", "path", "k").agg(F.first("version").alias("version"), F.bool_or("deleted").alias("deleted"))
-    dead = v.where("deleted").select("folder", "path", F.col("k").alias("dk"), F.col("version").alias("d"))
-    against = v.join(dead, ["folder", "path"]).where((F.col("k") != F.col("dk")) & ~vv_dominates_or_equals(F.col("d"), F.col("version"))).select("folder", "path", "dk").distinct()
-    gone = dead.join(against, ["folder", "path", "dk"], "left_anti").select("folder", "path").distinct()
+    if discarded is not None:
+        v = v.join(discarded.select("folder", "path", F.col("vv_key").alias("k")).distinct(), ["folder", "path", "k"], "left_anti")
+    dead = v.where("deleted").select("folder", "path", "k").distinct()
+    merged = vv_merge_agg(v.join(dead.select("folder", "path").distinct(), ["folder", "path"], "left_semi"), ["folder", "path"])
+    gone = dead.join(merged.select("folder", "path", vv_key(F.col("version")).alias("k")), ["folder", "path", "k"]).select("folder", "path")
     keys = ["folder", "node", "path"]
     alive = entries.where(is_live()).select(*keys)
     alive = alive if held_dirs is None else alive.join(held_dirs.select(*keys), keys, "left_anti")
@@ -146,8 +161,8 @@ def non_monotone_changes(entries: DataFrame) -> DataFrame:
 
 def broken_sequence(entries: DataFrame) -> DataFrame:
     """A10: records whose ``seq`` is not one above the one before on their folder and node."""
-    w = Window.partitionBy("folder", "node").orderBy("seq")
-    return entries.withColumn("before", F.lag("seq").over(w)).where("before is not null and seq <> before + 1")
+    after = running(entries, ["folder", "node"], ["seq"], F.col("seq"), "before", fold="max")  # along seq the greatest ahead is the last
+    return after.where("before is not null and seq <> before + 1")
 
 
 def frozen_sends(batch_entries: DataFrame, pending: DataFrame, paused: DataFrame) -> DataFrame:
@@ -158,8 +173,7 @@ def frozen_sends(batch_entries: DataFrame, pending: DataFrame, paused: DataFrame
 
 def broken_chain(batches: DataFrame, batch_entries: DataFrame | None = None) -> DataFrame:
     """Batches whose ``seq_low`` is not the ``seq_high`` before, that are empty ranges, or of whose entries (``folder, source, batch_no, seq``) ``outside`` lie beyond the range."""
-    w = Window.partitionBy("folder", "source").orderBy("seq_high")
-    linked = batches.withColumn("expected_low", F.lag("seq_high", 1, 0).over(w))
+    linked = running(batches, ["folder", "source"], ["seq_high"], F.col("seq_high"), "expected_low", fold="max").fillna(0, ["expected_low"])
     if batch_entries is None:
         return linked.where("seq_low <> expected_low or seq_low >= seq_high")
     keys = ["folder", "source", "batch_no"]

@@ -4,32 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.entries import is_metadata_only
 from ..schema import BATCH_BYTES, BATCH_ENTRIES, CAP_S, ENTRY_OVERHEAD, QUIET_S
-from .ordered import running
+from ..sources.shared import written
+from .ordered import greedy_cuts, running
 
 
-def batch_windows(changes: DataFrame, quiet_us: int = QUIET_S * 1_000_000, cap_us: int = CAP_S * 1_000_000) -> DataFrame:
+def batch_windows(changes: DataFrame, quiet_us: int = QUIET_S * 1_000_000, cap_us: int = CAP_S * 1_000_000, span_us: int = 3_600_000_000) -> DataFrame:
     """B1: ``folder, node, opened_us, due_us, n`` of the windows over ``folder, node, at_us``.
 
     A window opens at the first change and closes at the earlier of ``cap_us`` after it and
     ``quiet_us`` after the last; a change at that moment opens the next. Changes of one moment are
-    counted first. Quiet gaps, found in pieces of a large folder's order, split the input into
-    stretches, named by their start and dealt apart; the cap is folded along each in a stream, with
-    two numbers of state, so no stretch is gathered. A stretch without a gap is one stream, as each
-    of its windows begins where the one before ended.
+    counted first. Quiet gaps split the input into stretches, named by their start and dealt apart;
+    along a stretch only the cap closes windows. Stretches of up to ``span_us`` are folded as streams
+    with two numbers of state. A longer one is cut into spans, whose windows are found apart
+    (:func:`.ordered.greedy_cuts`), so no task follows it from end to end.
     """
     keys, at = ["folder", "node"], F.col("at_us")
     moments = changes.groupBy(*keys, "at_us").agg(F.count(F.lit(1)).alias("n"))
-    after = running(moments, keys, ["at_us"], at, at, "last", fold="max")
+    after = running(moments, keys, ["at_us"], at, "last", fold="max")
     opens = F.when(F.coalesce(at - F.col("last") >= quiet_us, F.lit(True)), at)
-    dealt = running(after.withColumn("opens", opens), keys, ["at_us"], at, F.col("opens"), "run", fold="max")
+    dealt = running(after.withColumn("opens", opens), keys, ["at_us"], F.col("opens"), "run", fold="max")
     dealt = dealt.select(*keys, "at_us", "n", F.coalesce("opens", "run").alias("run"))
-    sorted_ = dealt.repartition("folder", "node", "run").sortWithinPartitions("folder", "node", "run", "at_us")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, first, last, n = None, 0, 0, 0
@@ -47,7 +48,22 @@ def batch_windows(changes: DataFrame, quiet_us: int = QUIET_S * 1_000_000, cap_u
         if key is not None:
             yield pd.DataFrame([row()], columns=columns)
 
-    return sorted_.mapInPandas(fold, "folder string, node string, opened_us long, due_us long, n long")
+    folded = "folder string, node string, opened_us long, due_us long, n long"
+    endless = dealt.groupBy(*keys, "run").agg(F.max("at_us").alias("end")).where(F.col("end") - F.col("run") >= span_us).select(*keys, "run")
+    if endless.isEmpty():
+        return dealt.repartition(*keys, "run").sortWithinPartitions(*keys, "run", "at_us").mapInPandas(fold, folded)
+    stretch = [*keys, "run"]
+    endless = written(endless, "windows-endless")
+    short = dealt.join(endless, stretch, "left_anti").repartition(*stretch).sortWithinPartitions(*stretch, "at_us").mapInPandas(fold, folded)
+    long_ = written(dealt.join(endless, stretch, "left_semi").withColumn("since", F.col("at_us") - F.col("run")), "windows-long")
+
+    def capped(p: np.ndarray, _: np.ndarray) -> np.ndarray:
+        return np.searchsorted(p, p + cap_us)
+
+    cuts = greedy_cuts(long_, stretch, "since", "n", capped, max(span_us, 2 * (cap_us + quiet_us)), cap_us + quiet_us)
+    rows = long_.join(cuts, [*stretch, "since"]).groupBy(*stretch, "cut_at").agg(F.max("at_us").alias("last"), F.sum("n").alias("n"))
+    opened = F.col("run") + F.col("cut_at")
+    return short.unionByName(rows.select(*keys, opened.alias("opened_us"), F.least(opened + cap_us, F.col("last") + quiet_us).alias("due_us"), "n"))
 
 
 def coalesce_changes(changes: DataFrame) -> DataFrame:
@@ -73,56 +89,55 @@ def batch_summary(entries: DataFrame, keys: list[str]) -> DataFrame:
     return entries.groupBy(*keys).agg(F.count_if(add).alias("adds"), F.count_if(mod).alias("mods"), F.count_if(dele).alias("dels"), size.alias("bytes"))
 
 
-def split_batches(records: DataFrame, most: int = BATCH_ENTRIES, room: int = BATCH_BYTES) -> DataFrame:
+def split_batches(records: DataFrame, most: int = BATCH_ENTRIES, room: int = BATCH_BYTES, span: int = 1_000_000) -> DataFrame:
     """Adds ``batch_no`` (from 0): greedily by ``seq``, then path, within folder and source, ``most`` entries and ``room`` estimated bytes at most, one at least.
 
-    Rows are numbered in pieces of a large folder's order. Cutting every ``most`` rows is the greedy
-    split wherever no such batch is too large; of the other folders numbers and costs alone, no
-    rows, are folded as a stream, and joined back by number.
+    Rows are numbered in ranges of a large folder's order. Cutting every ``most`` rows is the greedy
+    split wherever no such batch is too large; of the other folders the numbers and costs alone, no
+    rows, are cut in spans of ``span`` rows apart (:func:`.ordered.greedy_cuts`) and joined back by number.
     """
     keys = ["folder", "source"]
-    numbered = running(records, keys, ["seq", "path"], F.col("seq"), F.lit(1), "__n")
+    numbered = running(records, keys, ["seq", "path"], F.lit(1), "__n")
     costs = numbered.select(*keys, "__n", (F.octet_length("path") + ENTRY_OVERHEAD).alias("__cost"))
     sizes = costs.groupBy(*keys, F.floor(F.col("__n") / most).alias("__b")).agg(F.sum("__cost").alias("__size"))
     large = sizes.where(F.col("__size") > room).select(*keys).distinct()
-    slow = costs.join(large, keys, "left_semi").repartition(*keys).sortWithinPartitions(*keys, "__n")
+    plain = F.floor(F.col("__n") / most).cast("long")
+    if large.isEmpty():
+        return numbered.select(*records.columns, plain.alias("batch_no"))
+    numbered = written(numbered, "split-numbered")
+    slow = numbered.select(*keys, "__n", (F.octet_length("path") + ENTRY_OVERHEAD).alias("__cost")).join(written(large, "split-large"), keys, "left_semi")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, no, n, used = None, 0, 0, 0
-        for b in batches:
-            out = []
-            for folder, source, c in zip(b["folder"], b["source"], b["__cost"], strict=True):
-                if key != (folder, source):
-                    key, no, n, used = (folder, source), 0, 0, 0
-                elif n == most or used + c > room:
-                    no, n, used = no + 1, 0, 0
-                n, used = n + 1, used + c
-                out.append(no)
-            yield b.drop(columns="__cost").assign(__no=out)
+    def full(p: np.ndarray, costs: np.ndarray) -> np.ndarray:
+        at, used = np.arange(len(p)), np.append(0, np.cumsum(costs))
+        by_room = np.searchsorted(used, used[:-1] + room, "right") - 1
+        return np.minimum(np.maximum(at + 1, np.minimum(at + most, by_room)), len(p))
 
-    types = {f.name: f.dataType.simpleString() for f in costs.schema.fields}
-    folded = slow.mapInPandas(fold, f"folder {types['folder']}, source {types['source']}, __n {types['__n']}, __no long")
-    number = F.coalesce("__no", F.floor(F.col("__n") / most)).cast("long")
-    return numbered.join(folded, [*keys, "__n"], "left").select(*records.columns, number.alias("batch_no"))
+    cuts = greedy_cuts(slow, keys, "__n", "__cost", full, max(span, 2 * most), most).select(*keys, "__n", "cut_no")
+    return numbered.join(cuts, [*keys, "__n"], "left").select(*records.columns, F.coalesce("cut_no", plain).alias("batch_no"))
 
 
 def batch_chain(batches: DataFrame) -> DataFrame:
     """Adds ``seq_low``, the ``seq_high`` of the batch before, 0 for the first."""
-    w = Window.partitionBy("folder", "source").orderBy("seq_high")
-    return batches.withColumn("seq_low", F.lag("seq_high", 1, 0).over(w))
+    chained = running(batches, ["folder", "source"], ["seq_high"], F.col("seq_high"), "seq_low", fold="max")  # along seq_high the greatest ahead is the last
+    return chained.fillna(0, ["seq_low"])
 
 
 def unannounced(entries: DataFrame, pending: DataFrame, announced: DataFrame) -> DataFrame:
-    """Records written since the last batch; own changes with their ``step``, adopted ones with null."""
+    """Records written since the last batch; own changes with their ``step``, adopted ones with null.
+
+    A folder that was never announced (no row, or null) has everything to send.
+    """
     p = pending.select("folder", "node", "path", "step")
     last = announced.select("folder", "node", "announced_seq")
-    return entries.join(last, ["folder", "node"]).where("seq > announced_seq").join(p, ["folder", "node", "path"], "left").drop("announced_seq")
+    return entries.join(last, ["folder", "node"], "left").where(F.col("seq") > F.coalesce("announced_seq", F.lit(0))).join(p, ["folder", "node", "path"], "left").drop("announced_seq")
 
 
-def catch_up(entries: DataFrame, pending: DataFrame, acks: DataFrame, announced: DataFrame) -> DataFrame:
+def catch_up(entries: DataFrame, pending: DataFrame, acks: DataFrame, announced: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """What each peer of each folder still has to get: ``folder, node, peer, path, seq, hash``.
 
-    Announced records above its ack; a pending path gives the record that peers last saw, if it was announced.
+    Announced records above its ack; a pending path gives the record that peers last saw, if it was
+    announced. Peers are those of ``acks`` and, of each folder, the other ``members`` (``folder, node``);
+    one that never sent an ack has everything to get.
     """
     last = announced.select("folder", "node", "announced_seq")
     p = pending.select("folder", "node", "path", F.lit(True).alias("__p"), F.col("announced_seq_of").alias("__s"), F.col("announced_hash").alias("__h"))
@@ -130,14 +145,19 @@ def catch_up(entries: DataFrame, pending: DataFrame, acks: DataFrame, announced:
     seq, hash_ = F.when(F.col("__p"), F.col("__s")).otherwise(F.col("seq")), F.when(F.col("__p"), F.col("__h")).otherwise(F.col("hash"))
     shown = e.select("folder", "node", "path", seq.alias("seq"), hash_.alias("hash")).where("seq is not null")
     known = shown.join(last, ["folder", "node"]).where("seq <= announced_seq").drop("announced_seq")
-    return known.join(acks.select("folder", "node", "peer", "ack"), ["folder", "node"]).where("seq > ack").select("folder", "node", "peer", "path", "seq", "hash")
+    peers = acks.groupBy("folder", "node", "peer").agg(F.coalesce(F.max("ack"), F.lit(0)).alias("ack"))
+    if members is not None:
+        m = members.select("folder", "node").distinct()
+        pairs = m.join(m.select("folder", F.col("node").alias("peer")), "folder").where("node <> peer")
+        peers = pairs.join(peers, ["folder", "node", "peer"], "full_outer").fillna(0, ["ack"])
+    return known.join(peers, ["folder", "node"]).where("seq > ack").select("folder", "node", "peer", "path", "seq", "hash")
 
 
 def replace_ack(reports: DataFrame, announced: DataFrame) -> DataFrame:
-    """The latest report of each peer, lower or not; ``resend`` where it is below what was announced."""
+    """The latest report of each peer, lower or not; ``resend`` where it is below what was announced (0 for a folder that never was)."""
     last = reports.groupBy("folder", "node", "peer").agg(F.max(F.struct("arrival", "watermark")).alias("z"))
-    j = last.join(announced.select("folder", "node", "announced_seq"), ["folder", "node"])
-    return j.select("folder", "node", "peer", F.col("z.watermark").alias("ack"), (F.col("z.watermark") < F.col("announced_seq")).alias("resend"))
+    j = last.join(announced.select("folder", "node", "announced_seq"), ["folder", "node"], "left")
+    return j.select("folder", "node", "peer", F.col("z.watermark").alias("ack"), (F.col("z.watermark") < F.coalesce("announced_seq", F.lit(0))).alias("resend"))
 
 
 def contiguous_watermark(ranges: DataFrame, keys: tuple[str, ...] = ("folder", "node", "peer")) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -44,9 +43,9 @@ def evaluate_brake(summary: DataFrame, count: Column | int = BRAKE_COUNT, percen
 
 
 def sender_precheck(summary: DataFrame, announced: DataFrame) -> DataFrame:
-    """K3: the brake on what would be sent, against the tracked count as of the last announcement."""
+    """K3: the brake on what would be sent, against the tracked count as of the last announcement, 0 if there was none."""
     last = announced.select("folder", "node", F.col("announced_tracked").alias("tracked"))
-    return evaluate_brake(summary.join(last, ["folder", "node"]))
+    return evaluate_brake(summary.join(last, ["folder", "node"], "left").fillna(0, ["tracked"]))
 
 
 def pause_or_send(prechecked: DataFrame, paused: DataFrame) -> DataFrame:
@@ -80,11 +79,12 @@ def _stored(versions: DataFrame, keys: list[str]) -> DataFrame:
         for b in batches:
             out = []
             for *now, v, n in zip(*(b[c] for c in (*keys, "version", "arrival")), strict=True):
+                counters = {} if v is None else dict(v)
                 if now != key:
                     out += [] if key is None else [(*key, arrival)]
-                    key, vector, arrival = now, dict(v), n
-                elif all(dict(v).get(k, 0) >= c for k, c in vector.items()):
-                    vector, arrival = dict(v), n
+                    key, vector, arrival = now, counters, n
+                elif all(counters.get(k, 0) >= c for k, c in vector.items()):
+                    vector, arrival = counters, n
             yield pd.DataFrame(out, columns=columns)
         if key is not None:
             yield pd.DataFrame([(*key, arrival)], columns=columns)
@@ -98,12 +98,13 @@ def hold(held_versions: DataFrame, joining: DataFrame) -> DataFrame:
 
     Tables with a ``node`` are of many machines, each of which has its own numbers. Every version
     stays; ``stored`` marks the one of each batch and path that is its entry: the first, replaced by
-    each later one that dominates or equals the one stored so far.
+    each later one that dominates or equals the one stored so far. A null version is the empty
+    vector, which every other reaches; an empty side adds nothing. Those that join a large folder
+    are numbered in ranges.
     """
     owner = _owner(held_versions, joining)
     top = held_versions.groupBy(*owner).agg(F.max("arrival").alias("__top"))
-    order = Window.partitionBy(*owner).orderBy("at", "batch", "path")
-    late = joining.withColumn("__n", F.row_number().over(order)).join(top, owner, "left")
+    late = row_number(joining, owner, ["at", "batch", "path"], "__n").join(top, owner, "left")
     late = late.withColumn("arrival", F.coalesce("__top", F.lit(0)) + F.col("__n"))
     keys = [*owner, "batch", "path"]
     cols = [*keys, "version", "stamp", "arrival"]
@@ -161,53 +162,59 @@ def freeze(incoming: DataFrame, pending: DataFrame, paused: DataFrame) -> DataFr
 
 
 def unfreeze(frozen: DataFrame, entries: DataFrame) -> DataFrame:
-    """All waiting entries classified together: the last to arrive of each path and source stands for it."""
-    last = frozen.withColumn("__n", F.row_number().over(Window.partitionBy("folder", "path", "source").orderBy(F.desc("arrival")))).where("__n = 1").drop("__n")
-    return classify_batch(last, entries)
+    """All waiting entries classified together: the last to arrive of each path and source (and node, where both tables have it) stands for it."""
+    keys = [*_owner(frozen, entries), "path"]
+    last = frozen.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "source").orderBy(F.desc("arrival")))).where("__n = 1").drop("__n")
+    return classify_batch(last, entries, tuple(keys))
 
 
 def revert_plan(pending: DataFrame, entries: DataFrame) -> DataFrame:
-    """What undoing the pending changes does at each path: ``folder, path, action, refetch``.
+    """What undoing the pending changes does at each path: ``folder, path, action, refetch``, and ``node`` where both tables have it.
 
     ``pending`` has ``announced_kind, announced_hash, announced_mtime_ns, announced_exec, announced_deleted``
     (nulls where nothing was announced). Content that did not change is kept (its metadata reset); a
     new directory stays while something live is restored beneath it; other content goes to the
     trash; what was announced and live is fetched again.
     """
-    own = entries.select("folder", "path", "kind", "hash", "mtime_ns", "exec", "deleted")
-    j = pending.join(own, ["folder", "path"], "left")
+    owner = _owner(pending, entries)
+    keys = [*owner, "path"]
+    own = entries.select(*keys, "kind", "hash", "mtime_ns", "exec", "deleted")
+    j = pending.join(own, keys, "left")
     now = F.coalesce(~F.col("deleted"), F.lit(False))
     then = F.coalesce(~F.col("announced_deleted"), F.lit(False))
     after_live = F.when(F.col("announced_deleted").isNotNull(), then)
-    touched = pending.select("folder", "path", F.coalesce(~F.col("announced_deleted"), F.lit(False)).alias("__then"))
-    kept = entries.where(is_live()).join(touched.select("folder", "path"), ["folder", "path"], "left_anti").select("folder", "path")
-    alive = kept.unionByName(touched.where("__then").select("folder", "path"))
-    above = alive.select("folder", F.explode(ancestors(F.col("path"))).alias("path")).distinct().withColumn("__child", F.lit(True))
-    j = j.join(above, ["folder", "path"], "left")
+    touched = pending.select(*keys, F.coalesce(~F.col("announced_deleted"), F.lit(False)).alias("__then"))
+    kept = entries.where(is_live()).join(touched.select(*keys), keys, "left_anti").select(*keys)
+    alive = kept.unionByName(touched.where("__then").select(*keys))
+    above = alive.select(*owner, F.explode(ancestors(F.col("path"))).alias("path")).distinct().withColumn("__child", F.lit(True))
+    j = j.join(above, keys, "left")
     same = now & then & (F.col("kind") == F.col("announced_kind")) & (F.col("hash") == F.col("announced_hash"))
     meta = (F.col("mtime_ns") != F.col("announced_mtime_ns")) | (F.col("exec") != F.col("announced_exec"))
     dir_stays = now & (F.col("kind") == "dir") & ~(F.coalesce(after_live, F.lit(False)) & (F.col("announced_kind") == "dir")) & F.coalesce("__child", F.lit(False))
     action = F.when(same & (F.col("kind") == "file") & meta, "reset metadata").when(same, "keep").when(dir_stays, "keep directory").when(now, "trash").when(then, "fetch").otherwise("nothing")
-    return j.select("folder", "path", action.alias("action"), (~F.coalesce(same, F.lit(False)) & ~dir_stays & then).alias("refetch"))
+    return j.select(*keys, action.alias("action"), (~F.coalesce(same, F.lit(False)) & ~dir_stays & then).alias("refetch"))
 
 
 def return_denied(held_items: DataFrame) -> DataFrame:
     """Denied items come back behind the others, in the order of their denial: ``arrival`` anew."""
     back = F.col("state") == "denied"
     order = [back, F.when(back, F.col("denied_at")), "arrival", "batch"]
-    # denials lie beyond every arrival, undated ones first
-    denied = F.coalesce(F.col("denied_at"), F.lit(-(2**63))).cast("decimal(38,0)") + F.lit(Decimal(2**65))
-    lead = F.when(back, denied).otherwise(F.col("arrival").cast("decimal(38,0)"))
     # the new number has another name than the old one, which is part of the order
-    numbered = row_number(held_items, ["folder"], order, lead, "__arrival")
+    numbered = row_number(held_items, ["folder"], order, "__arrival")
     return numbered.withColumn("arrival", F.col("__arrival")).withColumn("state", F.lit("held")).drop("__arrival")
 
 
-def rules_recheck(summaries: DataFrame, rules: DataFrame) -> DataFrame:
-    """Would a held batch pass under new rules (``folder, hold_count, hold_pct, hold_size``)? Releases nothing."""
-    j = summaries.join(rules, "folder")
-    out = evaluate_brake(j, F.col("hold_count").cast("long"), F.col("hold_pct").cast("long"), F.col("hold_size").cast("long"))
-    return out.withColumn("would_pass", ~F.col("held"))
+def rules_recheck(summaries: DataFrame, rules: DataFrame, paused: DataFrame | None = None) -> DataFrame:
+    """Would a held batch pass under new rules (``folder, hold_count, hold_pct, hold_size``)? Releases nothing.
+
+    Folders without rules, and null limits, have the default ones. ``paused``: the same columns as
+    ``summaries`` of the batches that paused folders keep back, with what is unannounced against the
+    tracked count as of the last announcement (as :func:`sender_precheck` judges them).
+    """
+    limits = {"hold_count": BRAKE_COUNT, "hold_pct": BRAKE_PERCENT, "hold_size": BRAKE_BYTES}
+    every = summaries if paused is None else summaries.unionByName(paused)
+    j = every.join(rules.select("folder", *limits), "folder", "left").withColumns({c: F.coalesce(F.col(c).cast("long"), F.lit(v).cast("long")) for c, v in limits.items()})
+    return evaluate_brake(j, *(F.col(c) for c in limits)).withColumn("would_pass", ~F.col("held"))
 
 
 def route_batch(incoming: DataFrame, entries: DataFrame, held_versions: DataFrame, wants: DataFrame, pending: DataFrame, paused: DataFrame) -> DataFrame:
@@ -215,15 +222,17 @@ def route_batch(incoming: DataFrame, entries: DataFrame, held_versions: DataFram
 
     ``incoming`` has ``folder, batch, path, position`` and the entry; of a path that a batch repeats
     the last counts. ``route``: ignored (equal or older); already wanted (``wants`` has that version
-    or a newer one); joined (equals or exceeds a version in quarantine: joins that item, the
+    or a newer one, and is no move to the trash, ``to_trash``, which outranks nothing); joined (equals or exceeds a version in quarantine: joins that item, the
     earliest if several); frozen (pending in a paused folder); kept: what the brake judges.
     """
     keys = ["folder", "batch", "path"]
     rest = [c for c in incoming.columns if c not in keys]
     last = incoming.groupBy(*keys).agg(F.max_by(F.struct(*rest), "position").alias("z"), (F.count(F.lit(1)) - 1).alias("repeats")).select(*keys, "z.*", "repeats")
     c = classify_batch(last, entries)
-    w = wants.select("folder", "path", F.col("version").alias("wanted"))
-    c = c.join(w, ["folder", "path"], "left").withColumn("wanted", F.coalesce(vv_dominates_or_equals(F.col("wanted"), F.col("in_version")), F.lit(False)))
+    w = wants.where(~F.coalesce("to_trash", F.lit(False))) if "to_trash" in wants.columns else wants
+    w = w.select("folder", "path", F.col("version").alias("v"))
+    reached = c.select(*keys, "in_version").join(w, ["folder", "path"]).where(vv_dominates_or_equals(F.col("v"), F.col("in_version"))).select(*keys).distinct()
+    c = c.join(reached.withColumn("wanted", F.lit(True)), keys, "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
     h = held_versions.withColumn("k", vv_key(F.col("version"))).groupBy("folder", "path", "k").agg(F.first("version").alias("v"), F.min(F.struct("arrival", "batch")).alias("first"))
     near = c.select(*keys, "in_version").join(h, ["folder", "path"]).where(vv_dominates_or_equals(F.col("in_version"), F.col("v")))
     c = c.join(near.groupBy(*keys).agg(F.min("first").alias("first")), keys, "left").withColumn("held_batch", F.col("first.batch")).drop("first")

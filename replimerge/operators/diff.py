@@ -124,11 +124,12 @@ def apply_mtime_shim(observations: DataFrame, shim: DataFrame) -> DataFrame:
 
 
 def shim_delta(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``folder, path, action``: keep, move (other times), add or remove."""
-    a = before.select("folder", "path", F.struct("requested_ns", "stored_ns").alias("a"))
-    b = after.select("folder", "path", F.struct("requested_ns", "stored_ns").alias("b"))
+    """``folder, path, action``, and ``node`` where both tables have it: keep, move (other times), add or remove."""
+    keys = [k for k in KEY if k in before.columns and k in after.columns]
+    a = before.select(*keys, F.struct("requested_ns", "stored_ns").alias("a"))
+    b = after.select(*keys, F.struct("requested_ns", "stored_ns").alias("b"))
     action = F.when(F.col("b").isNull(), "remove").when(F.col("a").isNull(), "add").when(F.col("a") == F.col("b"), "keep").otherwise("move")
-    return a.join(b, ["folder", "path"], "full_outer").select("folder", "path", action.alias("action"))
+    return a.join(b, keys, "full_outer").select(*keys, action.alias("action"))
 
 
 def scan_report(observations: DataFrame) -> DataFrame:
@@ -162,16 +163,16 @@ def announced_hash(entries: DataFrame, pending: DataFrame) -> DataFrame:
 def assign_seq(changes: DataFrame, last: DataFrame) -> DataFrame:
     """V7: adds ``seq``, dense for each folder and node by time, then path, beyond ``last_seq``.
 
-    A large folder is numbered in pieces of its order, by ``at``, a number.
+    A large folder is numbered in ranges of its order.
     """
     l_ = last.select("folder", "node", "last_seq")
-    numbered = row_number(changes, ["folder", "node"], ["at", "path"], F.col("at"), "__n")
+    numbered = row_number(changes, ["folder", "node"], ["at", "path"], "__n")
     return numbered.join(l_, ["folder", "node"], "left").withColumn("seq", F.col("__n") + F.coalesce("last_seq", F.lit(0))).drop("__n", "last_seq")
 
 
 def two_looks(looks: DataFrame, gap_ns: int = 2_000_000_000) -> DataFrame:
-    """Adds ``settled`` for paths whose ctime is in the future: the look before, two seconds or more earlier, saw the same ctime."""
-    w = Window.partitionBy("folder", "path").orderBy("looked_ns")
+    """Adds ``settled`` for paths whose ctime is in the future: the look before on the same machine, two seconds or more earlier, saw the same ctime."""
+    w = Window.partitionBy(*[k for k in KEY if k in looks.columns]).orderBy("looked_ns")
     same = (F.lag("ctime_ns").over(w) == F.col("ctime_ns")) & (F.col("looked_ns") - F.lag("looked_ns").over(w) >= gap_ns)
     aged = F.col("looked_ns") - F.col("ctime_ns") >= gap_ns
     return looks.withColumn("settled", aged | F.coalesce(same, F.lit(False)))

@@ -21,20 +21,29 @@ class Malformed(ValueError):
 
 
 def _class(line: str, i: int) -> tuple[str, int]:
-    """Regex of the character class that opens at ``i``, and the place after it. A ``]`` that comes first stands for itself."""
+    """Regex of the character class that opens at ``i``, and the place after it. A ``]`` that comes first, and what a backslash precedes, stand for themselves."""
     start = i + 2 if line[i + 1 : i + 2] in ("!", "^") else i + 1
-    end = line.find("]", start + 1)
-    if end < 0:
+    members, k = [], start  # a character, or "-" unescaped for a range
+    while k < len(line) and (line[k] != "]" or k == start):
+        escaped = line[k] == "\\" and k + 1 < len(line)
+        members.append((line[k + escaped], escaped))
+        k += 1 + escaped
+    if k >= len(line):
         raise Malformed("open character class")
-    out, k = "", start
-    while k < end:
-        low, ranged = line[k], k + 2 < end and line[k + 1] == "-"
-        high = line[k + 2] if ranged else low
+    out, m = "", 0
+    while m < len(members):
+        low, ranged = members[m][0], m + 2 < len(members) and members[m + 1] == ("-", False)
+        high = members[m + 2][0] if ranged else low
         if low > high:
             raise Malformed(f"range {low}-{high} is reversed")
         out += _literal(low) + (f"-{_literal(high)}" if ranged else "")
-        k += 3 if ranged else 1
-    return (f"[^/{out}]" if start == i + 2 else f"[{out}&&[^/]]"), end + 1
+        m += 3 if ranged else 1
+    return (f"[^/{out}]" if start == i + 2 else f"[{out}&&[^/]]"), k + 1
+
+
+def rule_line(line: str, first: bool) -> str:
+    """A line of a rule file as the parser takes it: without the byte-order mark that the first may have, and the CR of its end."""
+    return (line.removeprefix("\ufeff") if first else line).removesuffix("\r")
 
 
 def _literal(c: str) -> str:
@@ -87,11 +96,11 @@ def rule_regex(rule: str) -> tuple[str, bool, bool] | None:
 
 def compile_rules(lines: list[str], defaults: bool = True) -> list[tuple[str, str, bool, bool]]:
     """``(source, pattern, negated, dirs_only)`` in order: the defaults, then the given lines. Lines that are no rule are left out (see :func:`invalid_rules`)."""
-    every = [("default", r) for r in DEFAULT_RULES if defaults] + [(f"line {n}", r) for n, r in enumerate(lines, 1)]
+    every = [("default", r) for r in DEFAULT_RULES if defaults] + [(f"line {n}", rule_line(r, n == 1)) for n, r in enumerate(lines, 1)]
     out = []
     for source, rule in every:
         try:
-            got = rule_regex(rule.removesuffix("\r"))
+            got = rule_regex(rule)
         except Malformed:
             continue
         out += [(source, *got)] if got else []
@@ -105,7 +114,7 @@ def rule_fault(raw: bytes, first: bool) -> str | None:
     except UnicodeDecodeError:
         return "not UTF-8"
     try:
-        rule_regex((line.lstrip("\ufeff") if first else line).removesuffix("\r"))
+        rule_regex(rule_line(line, first))
     except Malformed:
         return "malformed"
     return None

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.entries import is_live, is_tracked
 from ..functions.paths import name_of, parent_of, tagged_name
 from ..schema import TRASH_BYTES, TRASH_DAYS
-from .ordered import running
+from .ordered import row_number, running
 
 _DAY_NS = 86_400_000_000_000
 
@@ -37,9 +37,9 @@ def trash_places(moves: DataFrame, taken: DataFrame | None = None) -> DataFrame:
 def prune_trash(trash: DataFrame, now_ns: Column, days: int = TRASH_DAYS, size: int = TRASH_BYTES) -> DataFrame:
     """Adds ``prune``: older than ``days``, or among the oldest that keep the folder's total above ``size``.
 
-    Old rows are a prefix of the order, so one running sum does for both rules. A large folder is summed in pieces.
+    Old rows are a prefix of the order, so one running sum does for both rules. A large folder is summed in ranges.
     """
-    summed = running(trash, ["folder"], ["trashed_at_ns", "trashed_path"], F.col("trashed_at_ns"), F.col("size"), "__before", "__total")
+    summed = running(trash, ["folder"], ["trashed_at_ns", "trashed_path"], F.col("size"), "__before", "__total")
     old = now_ns - F.col("trashed_at_ns") > days * _DAY_NS
     return summed.withColumn("prune", old | (F.col("__total") - F.col("__before") > size)).drop("__before", "__total")
 
@@ -62,8 +62,8 @@ def restore_candidates(trash: DataFrame, day: str | None = None) -> DataFrame:
 
 
 def batch_history(batches: DataFrame) -> DataFrame:
-    """Batches in recorded order, with ``nth`` within their folder."""
-    return batches.withColumn("nth", F.row_number().over(Window.partitionBy("folder").orderBy("recorded_at", "batch")))
+    """Batches in recorded order, with ``nth`` within their folder. A large folder is numbered in ranges."""
+    return row_number(batches, ["folder"], ["recorded_at", "batch"], "nth")
 
 
 def path_history(batch_entries: DataFrame, path: str | None = None) -> DataFrame:
@@ -76,6 +76,7 @@ def path_history(batch_entries: DataFrame, path: str | None = None) -> DataFrame
 def folder_status(entries: DataFrame, pending: DataFrame, held: DataFrame, paused: DataFrame, deferred: DataFrame, skipped: DataFrame) -> DataFrame:
     """``folder, node, files, bytes, tombstones, pending, held, paused, deferred, deferred_reasons, skipped``.
 
+    A row for every folder and node that any of the tables names: one without an entry has 0 files.
     ``deferred`` has ``folder, node, reason``; its reasons are listed as ``reason:n``, by name.
     """
     keys = ["folder", "node"]
@@ -92,8 +93,8 @@ def folder_status(entries: DataFrame, pending: DataFrame, held: DataFrame, pause
         skipped.groupBy(*keys).agg(F.count(F.lit(1)).alias("skipped")),
     ]
     for p in parts:
-        e = e.join(p, keys, "left")
-    return e.fillna(0, ["pending", "held", "deferred", "skipped"]).fillna(False, ["paused"]).fillna("", ["deferred_reasons"])
+        e = e.join(p, keys, "full_outer")
+    return e.fillna(0, ["files", "bytes", "tombstones", "pending", "held", "deferred", "skipped"]).fillna(False, ["paused"]).fillna("", ["deferred_reasons"])
 
 
 def change_rollup(history: DataFrame) -> DataFrame:

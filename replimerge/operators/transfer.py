@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.entries import least_tier, size_allowed, tier_rank
 from ..functions.paths import ancestors, depth
 from ..schema import BACKOFF_FIRST_S, BACKOFF_MAX_S, EMPTY, SLOTS_PER_FOLDER, SLOTS_PER_PEER
+from ..sources.shared import written
+from .ordered import row_number
 
 
 def want_sources(wants: DataFrame, entries: DataFrame) -> DataFrame:
@@ -60,7 +62,14 @@ def plan_fetches(choices: DataFrame, running: DataFrame | None = None, per_peer:
 
     Wants go by (tier, node) of their best source, then path; a full peer falls through to the next
     source. Wants with the same list of sources are interchangeable, so only the first ``per_folder``
-    of each list are looked at: the loop sees a bounded number of rows however many wait.
+    of each list are looked at.
+
+    A round takes of each folder the first ``per_folder`` wants, in order, that have a source with a
+    free slot. Slots are only taken, so a want that finds none can never be served later. If a round
+    does not fill the folder, either it saw all such wants, or one of them found its sources full
+    that were not before: it filled a peer. A folder has room for ``per_folder / per_peer`` full peers,
+    so that many rounds and one more are enough, and a task gets ``per_folder`` rows of a folder,
+    whatever the number of wants, peers and lists.
     """
     listed = (
         choices.where("allowed")
@@ -68,22 +77,32 @@ def plan_fetches(choices: DataFrame, running: DataFrame | None = None, per_peer:
         .agg(F.sort_array(F.collect_list(F.struct(tier_rank(F.col("tier")).alias("r"), F.col("source").alias("s")))).alias("l"))
         .select("folder", "path", F.col("l")[0].alias("best"), F.transform("l", lambda x: x["s"]).alias("allowed"))
     )
-    first = Window.partitionBy("folder", "allowed").orderBy("best", "path")
-    few = listed.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_folder).select("folder", "path", "best.r", "best.s", F.array_join("allowed", ",").alias("allowed"))
-    if running is not None:
-        r = running.groupBy("folder").agg(F.array_join(F.transform(F.collect_list(F.struct("source", "n")), lambda x: F.concat_ws("=", x["source"], x["n"])), ",").alias("running"))
-        few = few.join(r, "folder", "left")
-    else:
-        few = few.withColumn("running", F.lit(None).cast("string"))
+    alike = Window.partitionBy("folder", "allowed").orderBy("best", "path")
+    few = written(listed.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= per_folder).drop("n"), "fetch-wants")
+    none = few.select("folder", F.lit("").alias("source"), F.lit(0).cast("long").alias("n")).limit(0)
+    taken = none if running is None else running.select("folder", "source", F.col("n").cast("long").alias("n"))
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["r", "s", "path"])
-        now = pdf["running"].iloc[0]
-        busy = {k: int(v) for k, v in (x.split("=") for x in now.split(","))} if isinstance(now, str) and now else {}
-        got = greedy_slots([(p, a.split(",")) for p, a in zip(pdf["path"], pdf["allowed"], strict=True)], per_peer, per_folder, busy)
+        pdf = pdf.sort_values("nth")
+        used = pdf["used"].iloc[0]
+        busy = {} if used is None else {k: int(v) for k, v in dict(used).items()}
+        got = greedy_slots([(p, list(a)) for p, a in zip(pdf["path"], pdf["allowed"], strict=True)], per_peer, per_folder, busy)
         return pd.DataFrame([(pdf["folder"].iloc[0], p, s) for p, s in got], columns=["folder", "path", "source"])
 
-    return few.groupBy("folder").applyInPandas(plan, "folder string, path string, source string")
+    out = None
+    for _ in range(-(-per_folder // per_peer) + 1):
+        by_peer = taken.groupBy("folder", "source").agg(F.sum("n").alias("n"))
+        state = by_peer.groupBy("folder").agg(F.sum("n").alias("busy"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("used"))
+        free = lambda s: F.coalesce(F.try_element_at("used", s), F.lit(0)) < per_peer
+        open_ = few.join(state, "folder", "left").where((F.coalesce("busy", F.lit(0)) < per_folder) & F.exists("allowed", free))
+        open_ = open_ if out is None else open_.join(out, ["folder", "path"], "left_anti")
+        first = open_.withColumn("nth", F.row_number().over(Window.partitionBy("folder").orderBy("best", "path"))).where(F.col("nth") <= per_folder)
+        got = written(first.select("folder", "path", "allowed", "used", "nth").groupBy("folder").applyInPandas(plan, "folder string, path string, source string"), "fetch-plan")
+        if got.isEmpty():
+            break
+        out = got if out is None else out.unionByName(got)
+        taken = taken.unionByName(got.select("folder", "source", F.lit(1).cast("long").alias("n")))
+    return got if out is None else out
 
 
 def gated(wants: DataFrame) -> DataFrame:
@@ -99,10 +118,10 @@ def gated(wants: DataFrame) -> DataFrame:
 
 
 def order_commits(wants: DataFrame) -> DataFrame:
-    """Ready wants (nothing left to fetch, not gated) with ``turn``: creates by path, so parents first, then deletions by path backwards."""
+    """Ready wants (nothing left to fetch, not gated) with ``turn``: creates by path, so parents first, then deletions by path backwards. A large folder is numbered in ranges."""
     ready = gated(wants).where(F.col("ready") & ~F.col("gated"))
-    w = Window.partitionBy("folder").orderBy("deleted", F.when(~F.col("deleted"), F.col("path")), F.desc(F.when(F.col("deleted"), F.col("path"))))
-    return ready.withColumn("turn", F.row_number().over(w))
+    order = ["deleted", F.when(~F.col("deleted"), F.col("path")), F.desc(F.when(F.col("deleted"), F.col("path")))]
+    return row_number(ready, ["folder"], order, "turn")
 
 
 def waiting_for(wants: DataFrame) -> DataFrame:

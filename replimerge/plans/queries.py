@@ -460,6 +460,34 @@ def _(spark, sf):
     return batches.catch_up(b, p, acks, last)
 
 
+_FIRST = "folder <> 'f0'"
+
+
+@query("unannounced_first", _LAST + f" SELECT b.folder, b.node, path, seq, CASE WHEN k % 2 = 0 THEN step END AS step FROM fx_batch_entries b LEFT JOIN (SELECT * FROM last WHERE {_FIRST}) l USING (folder, node) WHERE seq > coalesce(announced_seq, 0)")
+def _(spark, sf):
+    """A folder that was never announced has everything to send."""
+    b = fixture(spark, sf, "batch_entries")
+    return batches.unannounced(b.drop("step"), b.where("k % 2 = 0").select("folder", "node", "path", "step"), _announced(b).where(_FIRST)).select("folder", "node", "path", "seq", "step")
+
+
+@query(
+    "catch_up_first",
+    _LAST
+    + ", m AS (SELECT DISTINCT folder, node FROM fx_batch_entries UNION SELECT DISTINCT folder, 'p8' FROM fx_batch_entries), a AS (SELECT folder, node, 'p' || i AS peer, CAST(floor(announced_seq * i / 3) AS BIGINT) AS ack FROM last, range(1, 3) AS r(i)),"
+    " pe AS (SELECT folder, node, peer, ack FROM a UNION ALL SELECT x.folder, x.node, y.node, 0 FROM m x JOIN m y ON x.folder = y.folder AND x.node <> y.node)"
+    f" SELECT b.folder, b.node, peer, path, seq, hash FROM fx_batch_entries b JOIN last l ON l.folder = b.folder AND l.node = b.node JOIN pe ON pe.folder = b.folder AND pe.node = b.node WHERE b.{_FIRST} AND seq <= announced_seq AND seq > ack",
+)
+def _(spark, sf):
+    """Members that never sent an ack get everything that was announced."""
+    b = fixture(spark, sf, "batch_entries")
+    last = _announced(b)
+    i = F.explode(F.array(*[F.lit(x) for x in range(1, 3)]))
+    acks = last.withColumn("i", i).select("folder", "node", F.concat(F.lit("p"), "i").alias("peer"), F.floor(F.col("announced_seq") * F.col("i") / 3).alias("ack"))
+    pending = b.limit(0).select("folder", "node", "path", F.col("seq").alias("announced_seq_of"), F.col("hash").alias("announced_hash"))
+    members = b.select("folder", "node").unionByName(b.select("folder", F.lit("p8").alias("node"))).distinct()
+    return batches.catch_up(b, pending, acks, last.where(_FIRST), members)
+
+
 @query("replace_ack", _LAST + ", a AS (SELECT folder, node, 'p' || k % 3 AS peer, arg_max(seq, (k * 31) % 1009 * 1000000 + k) AS ack FROM fx_batch_entries GROUP BY ALL) SELECT folder, node, peer, ack, ack < announced_seq AS resend FROM a JOIN last USING (folder, node)")
 def _(spark, sf):
     b = fixture(spark, sf, "batch_entries")
@@ -510,6 +538,13 @@ def _(spark, sf):
     return brake.pause_or_send(pre, b.where("folder = 'f3'").select("folder", "node")).select("folder", "node", "held", "reason", "action", "would_pass")
 
 
+@query("precheck_first", _LAST + f", s0 AS (SELECT a.*, coalesce(announced_tracked, 0) AS tracked FROM (SELECT folder, node, {_SUM} FROM fx_batch_entries GROUP BY ALL) a LEFT JOIN (SELECT * FROM last WHERE {_FIRST}) l USING (folder, node)), s1 AS ({_EVAL} SELECT folder, node, tracked, held, reason FROM s")
+def _(spark, sf):
+    """A first announcement is judged too, with nothing tracked before it."""
+    b = fixture(spark, sf, "batch_entries")
+    return brake.sender_precheck(batches.batch_summary(b, ["folder", "node"]), _announced(b).where(_FIRST)).select("folder", "node", "tracked", "held", "reason")
+
+
 def _held(r: DataFrame) -> DataFrame:
     h = r.where("node = 'n2' and k % 20 = 0")
     return h.select("folder", "path", "version", "stamp", "size", "deleted", "k", F.concat(F.lit("h"), F.col("k") % 7).alias("batch"), F.col("k").alias("arrival"))
@@ -623,6 +658,15 @@ def _(spark, sf):
     return brake.rules_recheck(s, rules).select("batch", "would_pass")
 
 
+@query("rules_recheck_defaults", f"SELECT batch, NOT (CASE WHEN folder < 'f4' THEN (mods + dels >= 10 AND (mods + dels) * 100 >= 30 * 90) OR bytes > 9000000 ELSE (mods + dels >= 50 AND (mods + dels) * 100 >= 25 * 90) OR bytes > 21474836480 END) AS would_pass FROM (SELECT folder, batch, {_SUM} FROM fx_batch_entries GROUP BY ALL) s")
+def _(spark, sf):
+    """Folders without rules of their own have the default ones; paused batches are rechecked too."""
+    s = batches.batch_summary(fixture(spark, sf, "batch_entries"), ["folder", "batch"]).withColumn("tracked", F.lit(90))
+    rules = s.where("folder < 'f4'").select("folder").distinct().select("folder", F.lit(10).alias("hold_count"), F.lit(30).alias("hold_pct"), F.lit(9000000).alias("hold_size"))
+    paused = F.substring_index("batch", "-", -1).cast("long") % 2 == 1
+    return brake.rules_recheck(s.where(~paused), rules, s.where(paused)).select("batch", "would_pass")
+
+
 _GE_H = " AND ".join(f"m.c_{n} >= h.c_{n}" for n in C)
 _LE_H = " AND ".join(f"m.c_{n} <= h.c_{n}" for n in C)
 _ROUTE = f", h AS (SELECT * FROM fx_replicas WHERE node = 'n2'), t AS (SELECT m.*, 'b' || m.k % 9 AS batch, CASE WHEN decision = 'ignore' THEN 'ignored' WHEN m.k % 6 = 0 AND coalesce({_LE_H}, FALSE) THEN 'already wanted' WHEN m.k % 20 = 0 AND coalesce({_GE_H}, FALSE) THEN 'joined' WHEN m.folder = 'f1' AND m.k % 10 = 9 THEN 'frozen' ELSE 'kept' END AS route FROM m LEFT JOIN h ON h.folder = m.folder AND h.path = m.path)"
@@ -793,6 +837,18 @@ def _(spark, sf):
     return retention.folder_status(r, r.where("k % 9 = 0"), held, r.where("folder = 'f1'"), deferred, r.where("k % 30 = 1"))
 
 
+@query(
+    "folder_status_partial",
+    "SELECT folder, node, count(*) FILTER (folder <> 'f2' AND NOT deleted AND kind <> 'dir') AS files, count(*) FILTER (k % 9 = 0) AS pending, count(DISTINCT CASE WHEN k % 20 = 0 THEN k % 7 END) AS held, bool_or(folder = 'f1') AS paused, count(*) FILTER (k % 8 = 3) AS deferred, count(*) FILTER (k % 30 = 1) AS skipped"
+    " FROM fx_replicas GROUP BY folder, node",
+)
+def _(spark, sf):
+    """Machines that have something pending, held or deferred, but no entry yet, have a row too."""
+    r = _replicas(spark, sf)
+    s = retention.folder_status(r.where("folder <> 'f2'"), r.where("k % 9 = 0"), r.where("k % 20 = 0").withColumn("batch", F.col("k") % 7), r.where("folder = 'f1'"), r.where("k % 8 = 3").withColumn("reason", F.lit("frozen")), r.where("k % 30 = 1"))
+    return s.select("folder", "node", "files", "pending", "held", "paused", "deferred", "skipped")
+
+
 @query("change_rollup", "SELECT folder, source, day, count(*) FILTER (step = 'add') AS adds, count(*) FILTER (step = 'modify') AS mods, count(*) FILTER (step = 'delete') AS dels, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT folder, source, substr(day, 1, 7) AS day, step, size FROM fx_batch_entries) b GROUP BY ROLLUP (folder, source, day)")
 def _(spark, sf):
     return retention.change_rollup(fixture(spark, sf, "batch_entries").withColumn("day", F.substring("day", 1, 7)))

@@ -10,20 +10,39 @@ from ..schema import ENTRIES
 from ..sources import inventory
 from ..sources.shared import shared_dir
 from ..streaming import events
-from ..streaming.run import brake_stream, drain, read_stream, schema_of, staged
+from ..streaming.run import brake_stream, drain, gate_state, read_stream, schema_of, staged
 from .fixtures import fixture
 from .queries import _CLASS, _DOES, _EVAL, _RS, _WINDOWS, C, _replicas, _sessions, query
 
 _BOTH = _CLASS.replace("a.node = 'n1'", "a.node IN ('n1', 'n2') AND a.k % 2 = 0")
-_REACHED = " AND ".join(f"y.c_{n} >= x.c_{n}" for n in C)
-_BRAKE = (
-    _BOTH + _DOES + ", tr AS (SELECT folder, count(*) FILTER (NOT deleted AND kind <> 'dir') AS tracked FROM fx_replicas WHERE node = 'n0' GROUP BY folder),"
-    f" one AS (SELECT * FROM (SELECT folder, 'b1' AS batch, {_RS}, CAST(0 AS BIGINT) AS joined FROM q WHERE node = 'n1' GROUP BY folder) a JOIN tr USING (folder)),"
-    " held AS (SELECT folder FROM one WHERE (mods + dels >= 50 AND tracked > 0 AND (mods + dels) * 100 >= 25 * tracked) OR bytes > 21474836480),"
-    f" z AS (SELECT y.*, y.decision <> 'ignore' AND x.path IS NOT NULL AS joins FROM q y LEFT JOIN (SELECT * FROM q JOIN held USING (folder) WHERE node = 'n1' AND decision <> 'ignore') x ON x.folder = y.folder AND x.path = y.path AND {_REACHED} WHERE y.node = 'n2'),"
-    f" two AS (SELECT * FROM (SELECT folder, 'b2' AS batch, {_RS.replace('does', 'does AND NOT joins')}, count(*) FILTER (joins) AS joined FROM z GROUP BY folder) a JOIN tr USING (folder)),"
-    f" s0 AS (SELECT * FROM one UNION ALL SELECT * FROM two), s1 AS ({_EVAL} SELECT folder, batch, adds, mods, dels, bytes, tracked, joined, held, reason FROM s"
-)
+_TRACKED = ", tr AS (SELECT folder, count(*) FILTER (NOT deleted AND kind <> 'dir') AS tracked FROM fx_replicas WHERE node = 'n0' GROUP BY folder)"
+_TRIPS = "(mods + dels >= 50 AND tracked > 0 AND (mods + dels) * 100 >= 25 * tracked) OR bytes > 21474836480"
+_AT = "{x}.folder = {y}.folder AND {x}.path = {y}.path"
+_REACHES = " AND ".join("{x}.c_%s >= {y}.c_%s" % (n, n) for n in C)
+_OVER = f"{_AT} AND {_REACHES}"
+
+
+def _gate(frozen: str) -> str:
+    """What the gate makes of ``b1`` (n1's entries) and then of ``b2`` (n2's): s1, y2 (with wanted, joins), k2, h1, h2."""
+    return (
+        _BOTH + _DOES + _TRACKED + f", f AS (SELECT *, decision <> 'ignore' AND {frozen} AS frozen FROM q), k1 AS (SELECT *, does AND NOT frozen AS counts FROM f WHERE node = 'n1'),"
+        f" one AS (SELECT * FROM (SELECT folder, 'b1' AS batch, {_RS.replace('does', 'counts')}, CAST(0 AS BIGINT) AS joined FROM k1 GROUP BY folder) a JOIN tr USING (folder)), h1 AS (SELECT folder FROM one WHERE {_TRIPS}),"
+        " s1 AS (SELECT k1.*, CASE WHEN h1.folder IS NULL THEN 'want' ELSE 'held' END AS part FROM k1 LEFT JOIN h1 ON h1.folder = k1.folder WHERE decision <> 'ignore' AND NOT frozen),"
+        f" y2 AS (SELECT y.*, y.decision <> 'ignore' AND w.path IS NOT NULL AS wanted, y.decision <> 'ignore' AND w.path IS NULL AND x.path IS NOT NULL AS joins FROM f y LEFT JOIN s1 w ON w.part = 'want' AND {_OVER.format(x='w', y='y')} LEFT JOIN s1 x ON x.part = 'held' AND {_OVER.format(x='y', y='x')} WHERE y.node = 'n2'),"
+        f" two AS (SELECT * FROM (SELECT folder, 'b2' AS batch, {_RS.replace('does', 'does AND NOT joins AND NOT wanted AND NOT frozen')}, count(*) FILTER (joins) AS joined FROM y2 GROUP BY folder) a JOIN tr USING (folder)),"
+        f" h2 AS (SELECT folder FROM two WHERE {_TRIPS}), k2 AS (SELECT * FROM y2 WHERE decision <> 'ignore' AND NOT wanted AND NOT joins AND NOT frozen)"
+    )
+
+
+_BRAKE = _gate("FALSE") + f", s0 AS (SELECT * FROM one UNION ALL SELECT * FROM two), s1b AS ({_EVAL.replace('s1)', 's1b)')} SELECT folder, batch, adds, mods, dels, bytes, tracked, joined, held, reason FROM s"
+_GATE_STATE = _gate("folder = 'f1' AND k % 10 = 8") + """
+SELECT part, folder, 'b1' AS batch, path, CAST(1 AS BIGINT) AS ordinal FROM s1
+UNION ALL SELECT 'deferred', folder, 'b1', path, 1 FROM f WHERE node = 'n1' AND frozen
+UNION ALL SELECT 'held', folder, 'b1', path, 2 FROM y2 WHERE joins
+UNION ALL SELECT 'deferred', folder, 'b2', path, 2 FROM y2 WHERE NOT wanted AND NOT joins AND frozen
+UNION ALL SELECT CASE WHEN h2.folder IS NULL THEN 'want' ELSE 'held' END, k2.folder, 'b2', path, 2 FROM k2 LEFT JOIN h2 ON h2.folder = k2.folder
+UNION ALL SELECT 'held', folder, 'b1', path, 3 FROM s1 WHERE part = 'held'
+UNION ALL SELECT 'deferred', folder, 'b3', path, 3 FROM f WHERE node = 'n1' AND frozen"""
 
 
 @query("stream_stale_filter", ", s AS (SELECT *, max(at_us) FILTER (size % 4 <> 0) OVER o AS seen, max(at_us) FILTER (size % 4 = 0) OVER o AS report FROM fx_changes WINDOW o AS (PARTITION BY folder, path ORDER BY (arrival * 7919) % 10007, arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT folder, path, at_us AS at_ns, coalesce(at_us < seen, FALSE) OR coalesce(at_us < report, FALSE) OR (size % 2 = 0 AND coalesce(at_us < report + 50000000, FALSE)) AS stale FROM s WHERE size % 4 <> 0")
@@ -59,7 +78,20 @@ def _(spark, sf):
     a = a.withColumn("ordinal", F.when(F.col("node") == "n1", 1).otherwise(2)).withColumn("batch", F.concat(F.lit("b"), "ordinal")).withColumn("position", F.col("k"))
     out = f"{shared_dir(spark)}/gate-{uuid.uuid4().hex}"
     brake_stream(read_stream(spark, a), b, out, b.limit(0), b.limit(0), b.limit(0))
-    return spark.read.parquet(f"{out}/verdicts").select("folder", "batch", "adds", "mods", "dels", "bytes", "tracked", "joined", "held", "reason")
+    return gate_state(spark, out, "verdict").select("folder", "batch", "adds", "mods", "dels", "bytes", "tracked", "joined", "held", "reason")
+
+
+@query("stream_gate_state", _GATE_STATE)
+def _(spark, sf):
+    """The same entries offered a third time: what was accepted is wanted already, what is held joins, what is frozen waits."""
+    r = _replicas(spark, sf)
+    own = r.where("node = 'n0'")
+    at = lambda node, n: r.where((F.col("node") == node) & (F.col("k") % 2 == 0)).withColumns({"ordinal": F.lit(n), "batch": F.lit(f"b{n}"), "position": F.col("k")})
+    out = f"{shared_dir(spark)}/gate-{uuid.uuid4().hex}"
+    pending, paused = r.where("folder = 'f1' and k % 10 = 8").select("folder", "path"), r.where("folder = 'f1'").select("folder")
+    brake_stream(read_stream(spark, at("n1", 1).unionByName(at("n2", 2)).unionByName(at("n1", 3))), own, out, own.limit(0), pending, paused)
+    parts = [gate_state(spark, out, p).select(F.lit(p).alias("part"), "folder", "batch", "path", "ordinal") for p in ("held", "want", "deferred")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("stream_upsert", "SELECT folder, path, CASE WHEN k % 5 = 1 THEN 'new' ELSE hash END AS hash FROM fx_files WHERE k % 5 <> 0")

@@ -60,9 +60,14 @@ def split_valid(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("__ok").drop("__ok"), marked.where("not __ok").drop("__ok")
 
 
+def _record_key(batches: DataFrame) -> Column:
+    """Digest of all of a batch's row, its entries included, nulls and separators told apart."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in batches.columns]), {"ignoreNullFields": "false"}), 256)
+
+
 def history_rows(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A row for each recorded batch (ids may repeat, ``record`` does not) and its entries by ``position``."""
-    rows = batches.withColumn("record", F.sha2(F.concat_ws("|", "folder", "source", "batch", F.col("recorded_at").cast("string")), 256))
+    """A row for each recorded batch (ids may repeat; ``record``, the digest of the whole row, only with the row) and its entries by ``position``."""
+    rows = batches.withColumn("record", _record_key(batches))
     entries = rows.select("record", "folder", "source", "batch", F.posexplode("entries").alias("position", "e")).select("record", "folder", "source", "batch", "position", "e.*")
     return rows.drop("entries"), entries
 
@@ -75,9 +80,10 @@ def append_history(batches: DataFrame, directory: str) -> None:
 
 
 def last_changes(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last change of each key."""
+    """The last change of each key by ``order``; of changes that tie, the one whose row has the greatest hash, so reruns agree."""
     rest = [c for c in changes.columns if c not in keys]
-    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("z")).select(*keys, "z.*")
+    at = F.struct(F.col(order), F.xxhash64(*[F.to_json(F.struct(*[F.col(c).alias(c) for c in rest]))]))
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("z")).select(*keys, "z.*")
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: str = "at") -> DataFrame:

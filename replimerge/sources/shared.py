@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 _inner: list[str] = []
@@ -32,11 +32,70 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: its lineage ends there, and a lost executor costs only the tasks it ran."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores in front until no column of ``df`` has it (case-insensitive)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    """A path of whatever file system, and that file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, fs = _place(spark, path)
+    return fs.exists(place)
+
+
 def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder from whatever file system it is on."""
+    """Remove a file or folder."""
+    place, fs = _place(spark, path)
+    fs.delete(place, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder; nothing if it is not there."""
+    place, fs = _place(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    place, fs = _place(spark, path)
+    stream = fs.open(place)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in one step: it is there whole or not at all, and an error if it is there already."""
     jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    place, fs = _place(spark, path)
+    own, _ = _place(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(own, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(own, place, options)
+    except Exception:
+        fs.delete(own, False)
+        raise
 
 
 @contextmanager

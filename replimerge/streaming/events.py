@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..schema import CAP_S, LIVENESS_S, QUIET_S
 
 #: Event kinds that say nothing about content.
 READ_ONLY = ("open", "close", "read")
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How long staleness of a path is remembered.
 KEEP_S = 30 * 86_400
 
@@ -42,47 +44,72 @@ def debounce_paths(events: DataFrame, gap_s: int = QUIET_S, late: str = "1 minut
     return g.select("folder", "path", F.col("w.start").alias("first_ts"), "last_ts", "n")
 
 
+class _Windows(StatefulProcessor):
+    """Windows of one folder and node: how many changes each moment had that no window which has gone out holds, and a timer for the first that is due."""
+
+    def __init__(self, quiet: int, cap: int) -> None:
+        self.quiet, self.cap = quiet, cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.moments = handle, handle.getMapState("moments", "at_us long", "n long")
+
+    def _folded(self) -> list[tuple[int, int, int, list[int]]]:
+        """``opened, due, n`` and the moments of each window, in order."""
+        out, first, last, n, held = [], None, 0, 0, []
+        for at, count in sorted((k[0], v[0]) for k, v in self.moments.iterator()):
+            if first is not None and at >= min(first + self.cap, last + self.quiet):
+                out.append((first, min(first + self.cap, last + self.quiet), n, held))
+                first, n, held = None, 0, []
+            first = at if first is None else first
+            last, n = at, n + count
+            held.append(at)
+        return out if first is None else [*out, (first, min(first + self.cap, last + self.quiet), n, held)]
+
+    def _wait(self, due: int | None) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if due is not None:
+            self.handle.registerTimer(due // 1000 + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        for frame in rows:
+            for at, n in frame["at_us"].value_counts().items():
+                had = self.moments.getValue((int(at),)) if self.moments.containsKey((int(at),)) else (0,)
+                self.moments.updateValue((int(at),), (int(had[0]) + int(n),))
+        yield from self._due(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        yield from self._due(key, timerValues)
+
+    def _due(self, key, timer_values: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        mark, rows, due = timer_values.getCurrentWatermarkInMs() * 1000, [], None
+        for opened, until, n, held in self._folded():
+            if until > mark:
+                due = until
+                break
+            rows.append((key[0], key[1], opened, until, n))
+            for at in held:
+                self.moments.removeKey((at,))
+        self._wait(due)
+        if rows:
+            yield pd.DataFrame(rows, columns=["folder", "node", "opened_us", "due_us", "n"])
+
+    def close(self) -> None:
+        pass
+
+
 def batch_window_stream(changes: DataFrame, quiet_s: int = QUIET_S, cap_s: int = CAP_S, late: str = "10 seconds") -> DataFrame:
     """R2: the windows of ``batch_windows`` live, over ``folder, node, ts, at_us``: 2 s quiet or 10 s after the first.
 
-    State is the times of a folder and node that the watermark has not passed: a window goes out once
-    it has passed its end, so that late changes within the watermark still join it. Set the source's
-    files a trigger, as a trigger's times of one folder and node are sorted together.
+    A window goes out once the watermark has passed its end, so that late changes within the watermark
+    still join it. State is a count for each moment that the watermark has not passed, however many
+    changes a moment has, and an event-time timer for the window that is due first. The state store
+    must be RocksDB's, which keeps map states and timers; it is set in the session here.
     """
-    quiet, cap = quiet_s * 1_000_000, cap_s * 1_000_000
+    changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     out = "folder string, node string, opened_us long, due_us long, n long"
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        for f in frames:
-            times += f["at_us"].tolist()
-        times.sort()
-        mark, done, first, last, n, used = state.getCurrentWatermarkMs() * 1000, [], None, 0, 0, 0
-        for i, t in enumerate(times):
-            if first is not None and t >= min(first + cap, last + quiet):
-                done.append((first, min(first + cap, last + quiet), n, i))
-                first, n = None, 0
-            first = t if first is None else first
-            last, n = t, n + 1
-        if first is not None:
-            done.append((first, min(first + cap, last + quiet), n, len(times)))
-        rows = []
-        for opened, due, count, upto in done:
-            if due > mark:
-                break
-            rows.append((key[0], key[1], opened, due, count))
-            used = upto
-        left = times[used:]
-        if left:
-            state.update((left,))
-            due = next(d for o, d, _, _ in done if o == left[0])
-            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(rows, columns=["folder", "node", "opened_us", "due_us", "n"])
-
-    grouped = changes.withWatermark("ts", late).groupBy("folder", "node")
-    return grouped.applyInPandasWithState(step, out, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    grouped = changes.withWatermark("ts", late).select("folder", "node", "ts", "at_us").groupBy("folder", "node")
+    return grouped.transformWithStateInPandas(_Windows(quiet_s * 1_000_000, cap_s * 1_000_000), out, "append", "EventTime")
 
 
 def stale_filter_stream(observations: DataFrame, keep_s: int = KEEP_S) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from replimerge.functions import paths, vectors
@@ -91,6 +92,7 @@ def test_windows_against_a_loop(spark):
         want.append((f, "n", opened, min(opened + 10_000_000, last + 2_000_000), n))
     df = spark.createDataFrame(rows, "folder string, node string, at_us long")
     assert sorted(map(tuple, batches.batch_windows(df).collect())) == sorted(want)
+    assert sorted(map(tuple, batches.batch_windows(df, span_us=25_000_000).collect())) == sorted(want)
 
 
 def test_window_stream_gives_the_closed_windows(spark, sf):
@@ -114,14 +116,15 @@ def test_split_against_a_loop(spark):
                     no, n, used = no + 1, 0, 0
                 n, used = n + 1, used + c
                 want[seq] = no
-        assert {r.seq: r.batch_no for r in batches.split_batches(df, most, room).collect()} == want
+        for span in (40, 1_000_000):
+            assert {r.seq: r.batch_no for r in batches.split_batches(df, most, room, span).collect()} == want
 
 
 def test_split_of_a_folder_in_pieces(spark):
     """The batches of a folder that is cut into pieces are those of one loop over it."""
     rows = [("big", "n", "p" * (i % 61), i) for i in range(4000)] + [(f"f{i}", "n", "p", i) for i in range(50)]
     df = spark.createDataFrame(rows, "folder string, source string, path string, seq long").repartition(7)
-    got = {(r.folder, r.seq): r.batch_no for r in batches.split_batches(df, 9, 2_600).collect()}
+    got = {(r.folder, r.seq): r.batch_no for r in batches.split_batches(df, 9, 2_600, 64).collect()}
     no = n = used = 0
     for _, _, p, seq in rows[:4000]:
         c = len(p) + 256
@@ -132,12 +135,13 @@ def test_split_of_a_folder_in_pieces(spark):
     assert len(got) == len(rows) and all(v == 0 for (f, _), v in got.items() if f != "big")
 
 
-def test_running_sums_in_pieces(spark):
+@pytest.mark.parametrize("most_rows", [100, ordered.ROWS])
+def test_running_sums_in_ranges(spark, most_rows):
     """One folder with nearly all rows, ties, nulls and a far outlier: the sums of one window over the folder."""
     rnd = random.Random(7)
     rows = [("big" if i % 50 else f"f{i % 7}", rnd.choice([None, 10**15, rnd.randint(0, 300)]), i, rnd.choice([None, 1, 5])) for i in range(5000)]
     df = spark.createDataFrame(rows, "folder string, at long, path long, size long").repartition(5)
-    got = ordered.running(df, ["folder"], ["at", "path"], F.col("at"), F.col("size"), "before", "total", pieces=16).collect()
+    got = ordered.running(df, ["folder"], ["at", "path"], F.col("size"), "before", "total", most=most_rows).collect()
     want = {}
     for f in {r[0] for r in rows}:
         own = sorted((r for r in rows if r[0] == f), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
@@ -146,12 +150,12 @@ def test_running_sums_in_pieces(spark):
             want[r[2]] = (before, total)
             before += r[3] or 0
     assert {r.path: (r.before, r.total) for r in got} == want
-    most = ordered.running(df, ["folder"], ["at", "path"], F.col("at"), F.col("size"), "most", fold="max", pieces=16)
+    most = ordered.running(df, ["folder"], ["at", "path"], F.col("size"), "most", fold="max", most=most_rows)
     seen = {}
     for r in sorted(most.collect(), key=lambda r: (r.folder, r.at is not None, r.at or 0, r.path)):
         assert r.most == seen.get(r.folder)
         seen[r.folder] = max((x for x in (seen.get(r.folder), r.size) if x is not None), default=None)
-    assert ordered.row_number(df.limit(0), ["folder"], ["at", "path"], F.col("at"), "n").count() == 0
+    assert ordered.row_number(df.limit(0), ["folder"], ["at", "path"], "n").count() == 0
 
 
 def test_denied_come_last_undated_ones_first(spark):
