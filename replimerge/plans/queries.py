@@ -254,7 +254,7 @@ def _(spark, sf):
 def _(spark, sf):
     p = fixture(spark, sf, "parts_index").withColumn("requested_ns", F.col("k")).withColumn("stored_ns", F.col("mtime_ns"))
     after = p.where("k % 5 <> 0").withColumn("stored_ns", F.col("mtime_ns") + F.when(F.col("k") % 5 == 2, 1).otherwise(0))
-    return diff.shim_delta(p.where("k % 5 <> 1"), after)
+    return diff.shim_delta(p.where("k % 5 <> 1"), after).select("folder", "path", "action")
 
 
 @query("scan_report", "SELECT folder, state, skip_reason, count(*) AS n FROM fx_parts_scan GROUP BY ALL")
@@ -618,7 +618,7 @@ def _(spark, sf):
 @query("unfreeze", _CLASS + " SELECT folder, path, decision FROM m WHERE k % 10 = 9")
 def _(spark, sf):
     a, b = _two(spark, sf)
-    waiting = a.where("k % 10 = 9").withColumn("source", F.lit("n1")).withColumn("arrival", F.lit(2))
+    waiting = a.where("k % 10 = 9").drop("node").withColumn("source", F.lit("n1")).withColumn("arrival", F.lit(2))
     old = waiting.withColumn("arrival", F.lit(1)).withColumn("hash", F.lit("x"))
     return brake.unfreeze(waiting.unionByName(old), b).select("folder", "path", "decision")
 
