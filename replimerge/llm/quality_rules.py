@@ -11,11 +11,14 @@ from .common import join_per_key, materialize, shingle_hashes, table, words
 #: Metric -> (lower quantile, upper quantile, spreads beyond them, whether low values fail too).
 #: Metrics are whole numbers per mille; all else about a fence comes from the sketches.
 METRICS = {
-    "m_symbols": (0.25, 0.75, 20, False),
+    "m_symbols": (0.75, 0.99, 1, False),
     "m_dup_lines": (0.5, 0.99, 1, False),
     "m_capitals": (0.05, 0.95, 3, False),
     "m_word_length": (0.25, 0.75, 6, True),
 }
+#: Metrics that are zero in most texts: where the values beyond the lower quantile leave a gap of this
+#: factor or more, the fence stands in the widest such gap, at its geometric middle.
+GAPS = {"m_symbols": 4.0}
 _LEVELS = sorted({q for low, high, _, _ in METRICS.values() for q in (low, high)})
 #: Groups whose fences are broadcast at most (about 100 bytes each); more are joined by shuffle.
 BROADCAST_GROUPS = 100_000
@@ -119,13 +122,29 @@ def merge_sketches(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "cell").agg(F.sum("n").alias("n"))
 
 
-def sketch_quantiles(sketch: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """``keys, metric, rows`` and a column for each quantile: the first cell to reach that share of rows."""
+def sketch_quantiles(sketch: DataFrame, keys: list[str], quantiles: dict[str, float], gap_above: dict[str, float] | None = None) -> DataFrame:
+    """``keys, metric, rows`` and a column for each quantile: the first cell to reach that share of rows.
+
+    With ``gap_above`` (metric to quantile) also ``gap``: of the gaps between occupied cells from that
+    quantile on the one of the greatest ``ratio`` (one more than the values at its ends, so that 0
+    counts), the lower on ties, and its ``middle``; null if there is none.
+    """
     w = Window.partitionBy(*keys, "metric")
     up_to = F.sum("n").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
     at = sketch.withColumn("rows", F.sum("n").over(w)).withColumn("up_to", up_to)
+    gap = []
+    if gap_above is not None:
+        level = F.lit(None).cast("double")
+        for m, q in gap_above.items():
+            level = F.when(F.col("metric") == m, F.lit(q)).otherwise(level)
+        at = at.withColumn("next", F.lead("cell").over(w.orderBy("cell")))
+        top = F.col("cell") + cell_width(F.col("cell"))
+        middle = F.floor(F.sqrt((top * (F.col("next") + 1)).cast("double"))).cast("long") - 1
+        one = F.struct(((F.col("next") + 1) / top).alias("ratio"), (-F.col("cell")).alias("at"), middle.alias("middle"))
+        gap = [F.max(F.when((F.col("up_to") >= F.col("rows") * level) & F.col("next").isNotNull(), one)).alias("gap")]
     return at.groupBy(*keys, "metric").agg(
         F.max("rows").alias("rows"),
+        *gap,
         *[F.min(F.when(F.col("up_to") >= F.col("rows") * F.lit(q), F.col("cell"))).alias(c) for c, q in quantiles.items()],
     )
 
@@ -136,7 +155,9 @@ def adaptive_fences(stats: DataFrame, min_rows: int = 100) -> DataFrame:
     A fence lies some spreads beyond a quantile of the rows of that language and source
     (``METRICS``); the spread is the distance of the upper from the lower quantile. A sketch tells
     values no closer than a cell apart, so the spread is that of the upper quantile's cell at least:
-    this is the rule for groups of which most rows have one value. Groups of under ``min_rows`` rows
+    this is the rule for groups of which most rows have one value. Of a metric in ``GAPS`` the upper
+    fence is that of the widest gap of the tail, if it is wide enough: quantiles of such a metric are
+    0 far up, so their distance says nothing of the tail. Groups of under ``min_rows`` rows
     take the fences of their language, those of a small language the fences of all rows; both are
     merged from the same sketch.
     """
@@ -151,10 +172,14 @@ def adaptive_fences(stats: DataFrame, min_rows: int = 100) -> DataFrame:
         return out
 
     def fences(df: DataFrame, keys: list[str]) -> DataFrame:
-        q = sketch_quantiles(df, keys, {level(x): x for x in _LEVELS})
-        q = q.select(*keys, "metric", "rows", chosen(0).alias("a"), chosen(1).alias("b"), chosen(2).alias("spreads"))
+        q = sketch_quantiles(df, keys, {level(x): x for x in _LEVELS}, {m: METRICS[m][0] for m in GAPS})
+        wide = F.lit(None).cast("double")
+        for m, factor in GAPS.items():
+            wide = F.when(F.col("metric") == m, F.lit(factor)).otherwise(wide)
+        q = q.select(*keys, "metric", "rows", "gap", wide.alias("wide"), chosen(0).alias("a"), chosen(1).alias("b"), chosen(2).alias("spreads"))
         reach = F.col("spreads") * F.greatest(F.col("b") - F.col("a"), cell_width(F.col("b")))
-        q = q.withColumn("fence", F.struct((F.col("a") - reach).alias("low"), (F.col("b") + reach).alias("high")))
+        high = F.when(F.col("gap.ratio") >= F.col("wide"), F.col("gap.middle")).otherwise(F.col("b") + reach)
+        q = q.withColumn("fence", F.struct((F.col("a") - reach).alias("low"), high.alias("high")))
         of = lambda m: F.max(F.when(F.col("metric") == m, F.col("fence")))
         return q.groupBy(*keys).agg(F.struct(F.max("rows").alias("rows"), *[of(m).alias(m) for m in names]).alias("f"))
 
@@ -173,11 +198,13 @@ def adaptive_fences(stats: DataFrame, min_rows: int = 100) -> DataFrame:
 def apply_quality_rules(docs: DataFrame, min_rows: int = 100) -> DataFrame:
     """Statistics, ``base_failed`` and ``kept`` for each row of ``docs`` (``doc_id, lang, source, text``).
 
+    Texts of any length are measured whole. Values that lie on a fence pass, equal ones alike.
+
     ``base_failed``: under 10 words, or over a fifth of the words in repeated five-word windows.
     Other rows fail if a metric lies outside the fences of their language and source (see
     :func:`adaptive_fences`, computed over all rows that pass the base rules). Null text has no
     words and fails; null language or source is a group of its own; repeated rows are judged each;
-    an empty table gives an empty result. Columns other than those named are not carried.
+    an empty table gives an empty result. Columns other than those named are not read, whatever their names.
     """
     stats = text_statistics(docs.select("doc_id", "lang", "source", "text"), ["doc_id", "lang", "source"])
     stats = materialize(stats.withColumns({"base_failed": base_failed(), **_metrics()}), "quality-stats")
@@ -256,15 +283,17 @@ grouped AS (
   UNION ALL SELECT 2, lang, NULL, metric, cell, count(*) FROM cells GROUP BY ALL
   UNION ALL SELECT 3, NULL, NULL, metric, cell, count(*) FROM cells GROUP BY ALL),
 ranked AS (
-  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total,
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total, cell + CAST(pow(2, greatest(length(bin(cell)) - 6, 0)) AS BIGINT) AS top,
+         lead(cell) OVER (PARTITION BY level, lang, source, metric ORDER BY cell) AS next,
          sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY cell) AS up_to FROM grouped),
 levels AS (
-  SELECT * FROM (VALUES ('m_symbols', 0.25, 0.75, 20), ('m_dup_lines', 0.5, 0.99, 1), ('m_capitals', 0.05, 0.95, 3), ('m_word_length', 0.25, 0.75, 6)) AS v(metric, p, q, spreads)),
+  SELECT * FROM (VALUES ('m_symbols', 0.75, 0.99, 1), ('m_dup_lines', 0.5, 0.99, 1), ('m_capitals', 0.05, 0.95, 3), ('m_word_length', 0.25, 0.75, 6)) AS v(metric, p, q, spreads)),
 quantiles AS (
-  SELECT level, lang, source, r.metric, max(total) AS total, min(cell) FILTER (up_to >= p * total) AS a, min(cell) FILTER (up_to >= q * total) AS b, max(spreads) AS spreads
+  SELECT level, lang, source, r.metric, max(total) AS total, min(cell) FILTER (up_to >= p * total) AS a, min(cell) FILTER (up_to >= q * total) AS b, max(spreads) AS spreads,
+         max(row((next + 1) / top, -cell, CAST(floor(sqrt(CAST(top * (next + 1) AS DOUBLE))) AS BIGINT) - 1)) FILTER (r.metric = 'm_symbols' AND up_to >= p * total AND next IS NOT NULL) AS gap
   FROM ranked r JOIN levels l ON l.metric = r.metric GROUP BY level, lang, source, r.metric),
 fences AS (
-  SELECT level, lang, source, metric, total, b + spreads * greatest(b - a, CAST(pow(2, greatest(length(bin(b)) - 6, 0)) AS BIGINT)) AS high,
+  SELECT level, lang, source, metric, total, CASE WHEN gap[1] >= 4 THEN gap[3] ELSE b + spreads * greatest(b - a, CAST(pow(2, greatest(length(bin(b)) - 6, 0)) AS BIGINT)) END AS high,
          CASE WHEN metric = 'm_word_length' THEN a - spreads * greatest(b - a, CAST(pow(2, greatest(length(bin(b)) - 6, 0)) AS BIGINT)) ELSE -1 END AS low FROM quantiles),
 chosen AS (
   SELECT a.lang, a.source, a.metric,
