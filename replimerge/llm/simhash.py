@@ -9,7 +9,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import delete
@@ -26,6 +26,8 @@ _CHUNK = 1 << 16
 MINHASHES, BAND, WIDE = 48, 3, 512
 #: Nodes, and shingles of nodes, that a chunk of a cell has at most, about; two chunks are compared at a time.
 CHUNK, CHUNK_SHINGLES = 512, 1 << 20
+#: Chunks of a cell beyond which it is cut by bands of this many of its wide MinHashes.
+SPLIT, ROWS = 64, 8
 #: Columns of links.
 LINK = {"a": "long", "b": "long"}
 #: Ids of candidates that are broadcast at most (about 30 bytes each); beyond that their texts are found by shuffle.
@@ -491,6 +493,28 @@ def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
 
 
+def _cut_large(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (``cell, node, comp, sign, size``) with cells of more than ``SPLIT`` chunks cut into smaller ones.
+
+    The chunks of a cell are compared two by two, so a node is sent to each of them. Beyond ``SPLIT`` it
+    is cheaper to cut the cell: a node goes to a cell for each band of ``ROWS`` of its ``WIDE`` MinHashes,
+    ``WIDE / ROWS`` at most, and cells of one group are left out. Texts of similarity 0.8 have no
+    band in common with a probability of (1 - 0.8 ** 8) ** 64, under one in a hundred thousand.
+    """
+    n = nodes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT * CHUNK)
+    n = materialize(n, "near-large")
+    if n.isEmpty():
+        return nodes
+    few = F.broadcast(n) if n.count() <= BROADCAST_IDS else n
+    large = nodes.join(few, "cell").drop("n")
+    band = F.explode(F.sequence(F.lit(0), F.lit(WIDE // ROWS - 1)))
+    cut = large.withColumn("band", band).withColumn("cell", F.xxhash64("cell", "band", F.substring("sign", F.col("band") * ROWS + 1, F.lit(ROWS)))).drop("band")
+    cut = materialize(cut, "near-cut")
+    mixed = cut.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("cell", "n")
+    kept = join_per_key(cut, mixed, "cell").drop("n")
+    return materialize(nodes.join(few.select("cell"), "cell", "left_anti").unionByName(kept.select(*nodes.columns)), "near-members")
+
+
 def similar_groups(docs: DataFrame, cells: DataFrame, signs: DataFrame, similarity: float, miss: float) -> DataFrame:
     """``node, root``: each doc_id that is linked to others, and the least one that its links reach.
 
@@ -531,6 +555,7 @@ def similar_groups(docs: DataFrame, cells: DataFrame, signs: DataFrame, similari
     open_ = grouped.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("cell", "n")
     rest = join_per_key(grouped, open_, "cell").drop("n")
     rest = materialize(rest.join(wide_signs(_only(text, rest)), "node"), "near-members")
+    rest = _cut_large(rest)
     sizes = rest.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     parts = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int")
     rest = join_per_key(rest, sizes, "cell").withColumn("c", chunk(parts)).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -573,10 +598,15 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, similarity: flo
     shingle and are copies only if equal. Of rows that share a doc_id one counts, the one of the
     least text hash; rows without doc_id stay; an empty table gives an empty result.
     """
-    d, n = fresh(docs, "__gone"), fresh(docs, "__nth")
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        twice = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
-        docs = docs.withColumn(n, F.row_number().over(twice)).where((F.col(n) == 1) | F.col("doc_id").isNull()).drop(n)
+    d, n, again = fresh(docs, "__gone"), fresh(docs, "__nth"), fresh(docs, "__again")
+    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(again)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
+    twice = materialize(twice.select(again), "near-repeated")
+    if not twice.isEmpty():  # one row of each of these; the others, and their texts, stay where they are
+        few = F.broadcast(twice) if twice.count() <= BROADCAST_IDS else twice
+        rest = [c for c in docs.columns if c != "doc_id"]
+        least = F.struct(F.xxhash64("text"), F.xxhash64(*rest))
+        one = docs.join(few, F.col("doc_id") == F.col(again), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*rest), least).alias(n)).select("doc_id", f"{n}.*")
+        docs = docs.join(few, F.col("doc_id") == F.col(again), "left_anti").unionByName(one.select(*docs.columns))
     own = docs.where("doc_id is not null").select("doc_id", "text")
     bands = bands_needed(similarity, miss, BAND)
     rows = materialize(marked(own, bands, shingle), "near-marks")

@@ -298,11 +298,12 @@ def kept_by_brute_force(texts):
     return {d for d in texts if find(d) == d}
 
 
-@pytest.mark.parametrize(("chunk", "shingles"), [(1024, 1 << 20), (4, 1 << 20), (1024, 2000)])
-def test_kept_are_those_of_brute_force(spark, monkeypatch, chunk, shingles):
+@pytest.mark.parametrize(("chunk", "shingles", "split"), [(1024, 1 << 20, 64), (4, 1 << 20, 64), (1024, 2000, 64), (4, 1 << 20, 2)])
+def test_kept_are_those_of_brute_force(spark, monkeypatch, chunk, shingles, split):
     """Near copies beyond any radius that is searched, and groups of more nodes or text than are compared at a time."""
     monkeypatch.setattr(simhash, "CHUNK", chunk)
     monkeypatch.setattr(simhash, "CHUNK_SHINGLES", shingles)
+    monkeypatch.setattr(simhash, "SPLIT", split)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rnd = random.Random(12)
     base = [" ".join(f"w{rnd.randint(0, 5000)}" for _ in range(300)) for _ in range(40)]
@@ -315,6 +316,22 @@ def test_kept_are_those_of_brute_force(spark, monkeypatch, chunk, shingles):
     assert kept == kept_by_brute_force({r.doc_id: r.text for r in more.collect()})
 
 
+def test_one_row_of_a_repeated_id(spark):
+    """Null and repeated ids: of rows that share an id one counts, always the same; rows without id stay; other columns are its own."""
+    rnd = random.Random(30)
+    texts = {i: " ".join(f"w{rnd.randint(0, 5000)}" for _ in range(40)) for i in range(6)}
+    rows = [(0, texts[0], "a"), (0, texts[1], "b"), (0, texts[0], "c"), (1, texts[2], "d"), (None, texts[2], "e"), (None, texts[3], "f"), (None, None, "g"), (2, texts[4], "h")]
+    kept = set()
+    for seed in range(3):
+        mixed = rows[:]
+        random.Random(seed).shuffle(mixed)
+        df = clashing(spark.createDataFrame(mixed, "doc_id long, text string, tag string").repartition(3))
+        kept.add(tuple(sorted(((r.doc_id, r.text, r.tag) for r in simhash.keep_one(df).collect()), key=str)))
+    assert len(kept) == 1
+    ids = [r[0] for r in kept.pop()]
+    assert sorted(ids, key=str) == sorted([0, 1, 2, None, None, None], key=str)
+
+
 def test_agreement_of_pairs_at_the_similarity():
     m = simhash.least_agreement(0.8, 0.001)
     below = lambda k: sum(math.comb(48, i) * 0.8**i * 0.2 ** (48 - i) for i in range(k))
@@ -452,16 +469,22 @@ def test_secrets_against_python(spark, documents):
         assert set(filter(None, want.split(","))) <= set(got[r.doc_id].spans.split(","))
 
 
-def slow_secrets(t, model, least=16, bar=16.0):
+def slow_ratio(token, model):
+    n, at = len(secrets.ALPHABET), {c: i for i, c in enumerate(secrets.ALPHABET)}
+    pairs = [at[a] * n + at[b] for a, b in zip(token, token[1:], strict=False)]
+    size = next((size for pattern, size in secrets.ALPHABETS if re.fullmatch(f"{pattern}*", token)), n)
+    return max(sum(model.trained[i] for i in pairs), sum(model.plain[i] for i in pairs) - math.log(size) * len(pairs))
+
+
+def slow_secrets(t, model, least=16):
     """All spans: the base ones, and runs of what they leave by likelihood ratio."""
     base = [x.split(":") for x in base_secrets(t).split(",") if x]
     rest = list(t)
     for _, s, e in base:
         rest[int(s) : int(e)] = " " * (int(e) - int(s))
-    n, at = len(secrets.ALPHABET), {c: i for i, c in enumerate(secrets.ALPHABET)}
     out = [(int(s), secrets.KINDS and list(secrets.KINDS).index(k), k, int(e)) for k, s, e in base]
     for m in re.finditer(secrets.RUN + "{%d,}" % least, "".join(rest)):
-        if sum(model[at[a] * n + at[b]] for a, b in zip(m[0], m[0][1:], strict=False)) >= bar:
+        if slow_ratio(m[0], model) >= model.min_llr:
             out.append((m.start(), 3, "random", m.end()))
     return [(k, s, e) for s, _, k, e in sorted(out)]
 
@@ -514,10 +537,24 @@ def test_models_tell_random_strings_from_identifiers(spark, documents):
     train = spark.createDataFrame([(k, 1) for k in keys[:100]] + [(n, 0) for n in names[:100]] + [(w, 0) for w in words], "token string, label int")
     model = secrets.train_markov(train)
     df = spark.createDataFrame([(k, 1) for k in keys[100:]] + [(n, 0) for n in names[100:]], "token string, label int")
-    got = df.select("label", (secrets.likelihood_ratio(F.col("token"), model) >= 16).alias("found")).collect()
+    got = df.select("label", (secrets.likelihood_ratio(F.col("token"), model) >= model.min_llr).alias("found")).collect()
     assert sum(r.found for r in got if r.label) >= 97 and sum(r.found for r in got if not r.label) <= 2
 
 
+def test_random_strings_of_every_alphabet(spark, documents):
+    """Planted in documents, nine of ten strings of twenty characters are found whatever their alphabet; hardly any ordinary run is."""
+    rnd = random.Random(13)
+    model = secrets.train_markov(secrets.labelled_samples(documents))
+    sets = ["0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", secrets.ALPHABET[:62], secrets.ALPHABET[:64] + "="]
+    rows = [(k, 200 * k + i, f"see {''.join(rnd.choices(s, k=20))} there") for k, s in enumerate(sets) for i in range(200)]
+    docs = spark.createDataFrame(rows, "kind int, doc_id long, text string")
+    found = secrets.digest(secrets.scan_secrets(docs, model, ["kind", "doc_id"]), ["kind", "doc_id"]).groupBy("kind").agg(F.count_if(F.col("n_random") == 1).alias("n"))
+    assert {r.kind: r.n >= 180 for r in found.collect()} == dict.fromkeys(range(len(sets)), True)
+    camel = ["ordinaryNameOfThings", "another_name_of_things", "path/to/some/ordinary/file.txt", "https.example.com/index.html", "2024-01-01-some-report", "internationalization"]
+    plain = spark.createDataFrame([(i, x) for i, x in enumerate(camel)], "doc_id long, text string")
+    assert secrets.scan_secrets(plain.unionByName(documents.select("doc_id", "text")), model, ["doc_id"]).where("size(random) > 0").count() <= 1
+
+
 def test_secrets_odd_and_redaction(spark):
     docs = clashing(odd_docs(spark))
     model = secrets.train_markov(secrets.labelled_samples(docs))
@@ -668,6 +705,27 @@ def test_fences_follow_the_groups(spark):
     assert high["wide"] > high["tight"] + 2000
 
 
+def test_own_fences_of_small_groups_against_sql(spark, sf, con=None):
+    """With a lower bound on rows the groups' own fences decide, and are those of the SQL."""
+    sql = quality_rules.SQL.replace("total >= 100", "total >= 5")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = quality_rules.apply_quality_rules(docs, 5).select("doc_id", *quality_rules.BASE_COLUMNS, "base_failed", "kept")
+    assert sql != quality_rules.SQL
+    compare(connect(sf), got, sql)
+
+
+def test_fence_of_a_metric_that_is_mostly_zero(spark):
+    """The gap of the tail says where the fence is: groups with other tails have other fences, and rare small values stay."""
+    rows = [(i, "low", 0 if i % 10 else 3 + i % 3) for i in range(500)] + [(i, "high", 0 if i % 10 else 200 + i % 90) for i in range(500)]
+    rows += [(i, "both", 0 if i % 5 else (2 + i % 2 if i % 10 else 300)) for i in range(500)] + [(i, "none", 0) for i in range(500)] + [(i, "dense", i % 60) for i in range(500)]
+    stats = spark.createDataFrame([("x", s, m) for _, s, m in rows], "lang string, source string, m_symbols long")
+    for m in list(quality_rules.METRICS)[1:]:
+        stats = stats.withColumn(m, F.lit(5).cast("long"))
+    high = {r.source: r.fences.m_symbols.high for r in quality_rules.adaptive_fences(stats).collect()}
+    assert 0 <= high["low"] < 3 and 5 < high["high"] < 200 and 3 < high["both"] < 300 and high["low"] != high["high"] != high["both"]
+    assert high["dense"] > 59 and high["none"] <= 1
+
+
 def test_verdicts_by_shuffle_are_the_same(spark, documents):
     stats = quality_rules.text_statistics(documents, ["doc_id", "lang", "source"]).withColumns({"base_failed": quality_rules.base_failed(), **quality_rules._metrics()})
     stats = common.materialize(stats, "t")
