@@ -176,9 +176,9 @@ def _(spark, sf):
     return merge.case_collisions(f.unionByName(copies))
 
 
-@query("winner_fallbacks", _CLASS.replace("FROM fx_replicas a LEFT JOIN fx_replicas b", "FROM late a LEFT JOIN late b").replace(", p AS", ", late AS (SELECT * REPLACE (CASE WHEN k % 3 = 0 THEN 'nx' ELSE modified_by END AS modified_by, CASE WHEN k % 3 = 0 THEN k ELSE mtime_ns END AS mtime_ns, CASE WHEN k % 3 = 0 THEN k ELSE stamp END AS stamp) FROM fx_replicas), p AS", 1) + " SELECT folder, path FROM m WHERE decision = 'conflict' AND stamp = b_stamp AND deleted = b_deleted AND (hash <> prev_hash) = (b_hash <> b_prev_hash) AND mtime_ns = b_mtime_ns AND modified_by = b_modified_by")
+@query("winner_fallbacks", _CLASS.replace("FROM fx_replicas a LEFT JOIN fx_replicas b", "FROM late a LEFT JOIN late b").replace(", p AS", ", late AS (SELECT * REPLACE (CASE WHEN k % 4 = 0 THEN 'nx' ELSE modified_by END AS modified_by, CASE WHEN k % 4 = 0 THEN k ELSE mtime_ns END AS mtime_ns, CASE WHEN k % 4 = 0 THEN k ELSE stamp END AS stamp) FROM fx_replicas), p AS", 1) + " SELECT folder, path FROM m WHERE decision = 'conflict' AND stamp = b_stamp AND deleted = b_deleted AND (hash <> prev_hash) = (b_hash <> b_prev_hash) AND mtime_ns = b_mtime_ns AND modified_by = b_modified_by")
 def _(spark, sf):
-    late = F.col("k") % 3 == 0
+    late = F.col("k") % 4 == 0
     a, b = (x.withColumns({"modified_by": F.when(late, "nx").otherwise(F.col("modified_by")), "mtime_ns": F.when(late, F.col("k")).otherwise(F.col("mtime_ns")), "stamp": F.when(late, F.col("k")).otherwise(F.col("stamp"))}) for x in _two(spark, sf))
     return merge.winner_fallbacks(merge.classify_batch(a, b)).select("folder", "path")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..schema import ENTRIES
-from ..sources import inventory
+from ..sources import inventory, tables
 from ..sources.shared import shared_dir
 from ..streaming import events
 from ..streaming.run import brake_stream, drain, gate_state, read_stream, schema_of, staged
@@ -115,3 +115,37 @@ def _(spark, sf):
     good, bad = inventory.split_valid(table)
     both = good.withColumn("sound", F.lit(True)).unionByName(bad.withColumn("sound", F.lit(False)))
     return both.select("folder", "path", "hash", "seq", "sound")
+
+
+_RAW = """, rb AS (
+  SELECT batch AS record, batch, folder, source, CASE WHEN batch_no % 5 = 0 THEN 'lost' ELSE 'sent' END AS role, min(k) AS created_at, CASE WHEN batch_no % 7 = 3 THEN max(seq) + 1 ELSE min(seq) - 1 END AS seq_low, max(seq) AS seq_high,
+         count(*) AS adds, CAST(0 AS BIGINT) AS mods, CAST(0 AS BIGINT) AS dels, CAST(1 AS BIGINT) AS bytes, CASE batch_no % 3 WHEN 0 THEN 'held' WHEN 1 THEN 'accepted' END AS decision, CASE WHEN batch_no % 3 = 0 AND batch_no % 4 <> 0 THEN 'many' END AS held_reason, max(k) AS recorded_at, batch_no AS b
+  FROM fx_batch_entries GROUP BY batch, folder, source, batch_no),
+rr AS (
+  SELECT folder, node, peer, CASE WHEN seq_low % 4 = 2 THEN -1 - seq_low ELSE seq_low END AS seq_low, CASE WHEN seq_low % 3 = 0 THEN seq_low ELSE seq_high END AS seq_high, seq_low AS was FROM fx_ranges),
+rt AS (
+  SELECT folder, CASE WHEN arrival % 9 = 5 THEN 'same/' || CAST(arrival % 70 AS STRING) ELSE trashed_path END AS trashed_path, CASE WHEN arrival % 4 = 0 THEN 'a//b' ELSE original_path END AS original_path, CASE WHEN arrival % 6 = 1 THEN upper(hash) ELSE hash END AS hash, trashed_at_ns, CASE WHEN arrival % 10 = 3 THEN NULL ELSE size END AS size, arrival AS k FROM fx_trash),
+rp AS (
+  SELECT folder, node, path, CASE WHEN k % 3 = 0 THEN k END AS announced_seq, CASE WHEN k % 3 = 0 AND k % 5 <> 0 THEN hash END AS announced_hash, CASE WHEN k % 8 = 3 THEN NULL ELSE exempt END AS exempt, k FROM fx_batch_entries)"""
+_FAULTS = _RAW + """,
+told AS (
+  SELECT 'batches' AS name, record AS id, CASE WHEN b % 5 = 0 THEN 'role: not sent|received|paused' WHEN b % 7 = 3 THEN 'an empty range' WHEN b % 12 = 0 THEN 'a decision and reason that do not fit' END AS fault FROM rb
+  UNION ALL SELECT 'received_ranges', concat_ws('|', folder, node, peer, seq_low, seq_high), CASE WHEN was % 4 = 2 THEN 'seq_low: not count' WHEN was % 3 = 0 THEN 'an empty range' END FROM rr
+  UNION ALL SELECT 'trash', concat_ws('|', folder, trashed_path), CASE WHEN k % 4 = 0 THEN 'original_path: not path' WHEN k % 6 = 1 AND lower(hash) <> hash THEN 'hash: not hash' WHEN k % 10 = 3 THEN 'size: null' END FROM rt
+  UNION ALL SELECT 'pending', concat_ws('|', folder, node, path), CASE WHEN k % 8 = 3 THEN 'exempt: null' WHEN k % 15 = 0 THEN 'a half announced record' END FROM rp)
+SELECT name, id, CASE WHEN fault IS NULL AND count(*) FILTER (fault IS NULL) OVER (PARTITION BY name, id) > 1 THEN 'a repeated key' ELSE fault END AS fault FROM told"""
+
+
+@query("state_tables", _FAULTS)
+def _(spark, sf):
+    """State tables with corrupt rows, loaded by their rules: every row is there, with what is wrong with it."""
+    for f in ("batch_entries", "ranges", "trash"):
+        fixture(spark, sf, f).createOrReplaceTempView(f"fx_{f}")
+    out = None
+    for part, name in (("rb", "batches"), ("rr", "received_ranges"), ("rt", "trash"), ("rp", "pending")):
+        raw = spark.sql(f"WITH {_RAW.lstrip(', ')} SELECT * FROM {part}")
+        sound, corrupt = tables.load_state(spark, staged(raw), name)
+        rows = sound.withColumn("fault", F.lit(None).cast("string")).unionByName(corrupt)
+        rows = rows.select(F.lit(name).alias("name"), F.concat_ws("|", *tables.TABLES[name].key).alias("id"), "fault")
+        out = rows if out is None else out.unionByName(rows)
+    return out
