@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh as fresh
 from ..sources.shared import shared_dir
 
 #: White space is these six code points; a word is a run of anything else.
@@ -50,14 +51,6 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, n: str = "n", ho
     return rows.join(few, key).unionByName(cold)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, or with underscores in front until no column of ``df`` has it (case-insensitive)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def words(text: Column) -> Column:
     """Array of the words of ``text``; empty for null and for text without a word."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

@@ -113,6 +113,8 @@ def find_contained(
     shuffle, and only documents with a hit are read and hashed again for verification. Texts of under five words
     have no shingle: such items are not looked for and such documents contain nothing. Null texts
     are empty; rows of equal id count as one, null being an id like others; an empty side gives an empty result.
+    Texts of any length are searched whole, a window at a time; of spans that tie the first counts. Of
+    either table only the id and ``text`` are read, whatever other columns are called.
     """
     by_size = sorted(classes, key=lambda c: c.least)
     width = F.lit(None).cast("int")

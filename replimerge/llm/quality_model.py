@@ -129,7 +129,7 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """Statistics and label of labelled documents that are not held out: at most ``max_rows``, least hash of doc_id first."""
+    """Statistics and label of labelled documents that are not held out: ``max_rows`` labels at most, least hash of doc_id first, and every row of ``docs`` that has such a doc_id."""
     pick = labels.where(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     pick = thinned(pick, ["doc_id"], 2.0 * max_rows).orderBy(F.xxhash64("doc_id"), "quality").limit(max_rows)
     return statistics(docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id"), ["quality"])
@@ -141,8 +141,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, th
     The model is fitted on ``max_rows`` labelled rows at most (a bound on the fit alone; every row is
     scored, over its whole text). ``score`` is the model's probability of ``quality`` 1; ``predicted``
     is 1 at ``threshold`` or more. Null and empty texts are scored as texts without a word; rows
-    without doc_id are not held out; repeated rows get equal scores; labels of unknown documents are
-    unused; empty tables give an empty result, no labels a score of one half.
+    without doc_id are not held out; repeated rows get equal scores, and a score of just ``threshold``
+    counts as 1; labels of unknown documents are unused; empty tables give an empty result, no labels
+    a score of one half. Texts of any length are measured whole; other columns are not read.
     """
     model = fit_rules(materialize(training_rows(docs, labels, max_rows), "quality-training"))
     scored = statistics(docs, ["doc_id"]).withColumn("score", score_column(model))

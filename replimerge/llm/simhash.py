@@ -309,7 +309,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, bucket:
     ``component_id`` is the least doc_id reachable. Copies share a fingerprint and are searched once,
     whatever their number. Null, empty and wordless texts have fingerprint 0 and link like others;
     repeated rows are rows of one component; rows without doc_id get their component's least doc_id,
-    or null if it has none; an empty table gives an empty result.
+    or null if it has none; an empty table gives an empty result. A bit that just half of the shingles
+    have is not set. Texts of any length count whole; other columns are not read.
     """
     rows = materialize(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), shingle=shingle), "fingerprints")
     values = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-values")
