@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -17,12 +17,14 @@ from .common import join_per_key, materialize, table
 #: Words of a phrase at most, its least count, rows returned of a language.
 WORDS, LEAST, TOP = 5, 100, 2000
 #: One document in so many proposes, and the share of the count expected there from which a phrase is proposed.
-SAMPLE, LOWERED = 8, 0.4
+SAMPLE, LOWERED = 8, 0.8
 #: Bytes of text whose phrases are counted before they are sent on; a longer piece is counted whole.
-PORTION = 8_000_000
+PORTION = 2_000_000
 #: Bits of the filter of proposed phrases: so many a phrase, a power of two, this many at most (32 MB).
 BITS_EACH, FEWEST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 PROBES = 4
+#: Keys are the upper 40 bits of a phrase's hash.
+KEY_SHIFT = np.uint64(24)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -43,7 +45,7 @@ class Filter:
     bits: np.ndarray
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        low, step, last = keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(32) | np.uint64(1), np.uint64(len(self.bits) * 64 - 1)
+        low, step, last = keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(8) | np.uint64(1), np.uint64(len(self.bits) * 64 - 1)
         found = np.ones(len(keys), bool)
         for j in range(PROBES):
             at = low + np.uint64(j) * step & last
@@ -51,24 +53,31 @@ class Filter:
         return found
 
 
-def _with(keys: DataFrame, bits: np.ndarray) -> Filter:
-    """The filter of ``bits`` and of ``key`` in ``keys``: set bits are gathered by word of 64, so the driver gets no more than the filter's size."""
-    last = len(bits) * 64 - 1
-    low, step = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("key", 32).bitwiseOR(F.lit(1))
-    at = F.explode(F.array(*[(low + F.lit(j) * step).bitwiseAND(F.lit(last)) for j in range(PROBES)])).alias("at")
+def empty_filter(n: int) -> Filter:
+    """A filter with room for ``n`` keys."""
+    bits = FEWEST_BITS
+    while bits < min(n * BITS_EACH, MOST_BITS):
+        bits *= 2
+    return Filter(np.zeros(bits // 64, np.uint64))
+
+
+def filter_of(keys: DataFrame, more_than: Filter) -> Filter:
+    """The filter that has ``key`` of ``keys`` and all that ``more_than`` has.
+
+    Set bits are gathered by word of 64, so the driver gets no more than the filter's size. A small
+    filter is repeated to the size of a larger one: a probe's place is taken modulo the size.
+    """
+    have = len(more_than.bits)
+    used = int(np.bitwise_count(more_than.bits).sum()) // PROBES
+    out = empty_filter(keys.count() + used).bits
+    out = np.zeros(max(len(out), have), np.uint64) | np.tile(more_than.bits, max(len(out), have) // have)
+    low, step = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("key", 8).bitwiseOR(F.lit(1))
+    at = F.explode(F.array(*[(low + F.lit(j) * step).bitwiseAND(F.lit(len(out) * 64 - 1)) for j in range(PROBES)])).alias("at")
     words = keys.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
-    out = bits.copy()
     out[words["word"].to_numpy()] |= words["set"].to_numpy().view(np.uint64)
     return Filter(out)
 
 
-def filter_of(keys: DataFrame) -> Filter:
-    wanted, n = keys.count() * BITS_EACH, FEWEST_BITS
-    while n < min(wanted, MOST_BITS):
-        n *= 2
-    return _with(keys, np.zeros(n // 64, np.uint64))
-
-
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * np.uint64(0x9E3779B97F4A7C15) + b
     x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
@@ -107,13 +116,35 @@ def _codes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, unique, first
 
 
-def count_portion(langs: pa.Array, data: np.ndarray, starts: np.ndarray, of_text: np.ndarray, admitted: Filter | None, before: Filter | None, most: int) -> Iterator[tuple]:
-    """``lang, phrase, words, key, known, n`` (arrays) of a portion of texts, which begin at ``starts`` in ``data``.
+@dataclass
+class Pass:
+    """What a pass over texts counts.
+
+    Phrases that ``wanted`` has are counted by name. With ``border`` so are, under their keys, all other
+    phrases of which both parts of one word less are in ``grow`` (of single words: all), but for those
+    of which ``before`` has both: an earlier pass has counted them. What is counted by name counts as
+    being in ``grow`` for longer phrases (``wanted`` may have it by chance), with ``onward`` also
+    what is counted under a key. ``lengths``: the numbers of words.
+    """
+
+    wanted: Filter | None = None
+    grow: Filter | None = None
+    before: Filter | None = None
+    border: bool = True
+    onward: bool = False
+    lengths: tuple[int, int] = (1, WORDS)
+
+
+def _named(lang: pa.Array, phrase: pa.Array) -> pa.Array:
+    """Language and phrase as one string: a row that only has a key should be small."""
+    return pc.binary_join_element_wise(pc.cast(pc.utf8_length(lang), pa.string()), pc.binary_join_element_wise(lang, phrase, ""), ":")
+
 
-    A phrase is counted if both phrases of one word less in it are admitted (single words always are
-    counted), and not if ``before`` admits both, as an earlier pass has then counted it. Without
-    ``admitted`` all are. A phrase of no words stands for the number of words of a language. Phrases
-    are told apart by numbers that are exact within the portion, never by a hash.
+def count_portion(langs: pa.Array, data: np.ndarray, starts: np.ndarray, of_text: np.ndarray, what: Pass) -> Iterator[tuple]:
+    """``name, key, n`` (arrays; name, see :func:`_named`, null where only the key counts) of texts that begin at ``starts`` in ``data``.
+
+    A phrase of no words stands for the number of words of a language. Within the portion phrases are
+    told apart by numbers that are exact, never by a hash.
     """
     data = _LOWER[data]
     kind = _KIND[data]
@@ -131,18 +162,19 @@ def count_portion(langs: pa.Array, data: np.ndarray, starts: np.ndarray, of_text
     encoded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data[word])]).dictionary_encode()
     ids, vocabulary = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
     text = np.searchsorted(starts, begin, "right") - 1
-    piece = np.cumsum(kind == 2, dtype=np.int64)[begin] + text
+    piece = np.cumsum(kind == 2, dtype=np.int32)[begin] + text
     joined = piece[1:] == piece[:-1]
     size, by_word, by_lang, lang = len(vocabulary), _hashes(vocabulary), _hashes(langs), of_text[text]
+    del data, kind, word, behind, ahead, finish, encoded, piece
+    least, most = what.lengths
 
-    held = np.bincount(lang, minlength=len(langs))
-    some = np.flatnonzero(held)
-    if before is None:
-        yield langs.take(pa.array(some)), pa.array([""] * len(some), pa.string()), 0, np.zeros(len(some), np.int64), np.zeros(len(some), bool), held[some]
+    if what.wanted and what.before is None:
+        held = np.bincount(lang, minlength=len(langs))
+        some = np.flatnonzero(held)
+        yield _named(langs.take(pa.array(some)), pa.array([""] * len(some), pa.string())), np.zeros(len(some), np.uint64), held[some]
 
     codes, unique, first = _codes(lang * size + ids)
-    keys, begins = _mixed(by_lang[unique // size], by_word[unique % size]), np.arange(n)
-    whole = np.ones(n, bool)
+    keys, begins, whole = _mixed(by_lang[unique // size], by_word[unique % size]), np.arange(n), np.ones(n, bool)
     for m in range(1, most + 1):
         if m > 1:
             whole = whole[:-1] & joined[m - 2 :]
@@ -151,31 +183,41 @@ def count_portion(langs: pa.Array, data: np.ndarray, starts: np.ndarray, of_text
                 return
             codes, unique, first = _codes(code[begins] * size + ids[begins + m - 1])
             keys = _mixed(keys[unique // size], by_word[unique % size])
-        here = begins[first]
-        known = admitted.has(keys) if admitted else np.ones(len(keys), bool)
-        new = np.ones(len(keys), bool) if before is None else np.zeros(len(keys), bool) if m == 1 else ~(old[code[here]] & old[code[here + 1]])
-        if new.any():
-            at = here[new]
+        here, times = begins[first], np.bincount(codes, minlength=len(keys))
+        short = keys >> KEY_SHIFT
+        named = what.wanted.has(short) if what.wanted else np.zeros(len(keys), bool)
+        seen = np.zeros(len(keys), bool)
+        if what.before:
+            seen = old[code[here]] & old[code[here + 1]] if m > 1 else ~seen
+            old = what.before.has(short)
+        keyed = ~named & ~seen & what.border
+        if m >= least and named.any():
+            at = here[named]
             parts = [vocabulary.take(pa.array(ids[at + j])) for j in range(m)]
             phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())).cast(pa.string())
-            yield langs.take(pa.array(lang[at])), phrase, m, keys[new].view(np.int64), known[new], np.bincount(codes, minlength=len(keys))[new]
-        code, ok = np.full(n, -1, np.int64), np.zeros(n, bool)
-        code[begins], ok[begins] = codes, known[codes] if before is None or m == 1 else (known | new)[codes]
-        old = before.has(keys) if before else None
-
-
-def count_phrases(docs: DataFrame, admitted: Filter | None = None, before: Filter | None = None, most: int = WORDS, portion: int = PORTION) -> DataFrame:
-    """``lang, phrase, words, key, known, n``: exact counts over ``docs`` of the phrases that :func:`count_portion` says; ``known``: admitted.
-
-    Phrases are counted a portion of text at a time before they are shuffled, so a frequent one is a
-    row a portion.
+            yield _named(langs.take(pa.array(lang[at])), phrase), short[named], times[named]
+        if m >= least and keyed.any():
+            yield pa.nulls(int(keyed.sum()), pa.string()), short[keyed], times[keyed]
+        if m < most:
+            grown = what.grow.has(short) if what.grow else np.ones(len(keys), bool)
+            grown = grown | named | keyed if what.onward else grown | named
+            code, ok = np.full(n, -1, np.int64), np.zeros(n, bool)
+            code[begins], ok[begins] = codes, grown[codes]
+
+
+def count_phrases(docs: DataFrame, what: Pass, portion: int = PORTION) -> DataFrame:
+    """``lang, phrase, words, key, n`` over ``docs`` (``lang, text``) of what the pass counts; lang, phrase and words are null where only the key counts.
+
+    Phrases are counted a portion of text at a time, then a task at a time, before they are shuffled, so
+    a frequent one is a row a task. Counts by name are exact; one under a key is that of all phrases with this key,
+    hence never too low.
     """
-    context = docs.sparkSession.sparkContext
-    admitted_, before_ = (context.broadcast(f.bits) if f else None for f in (admitted, before))
-    schema = "lang string, phrase string, words int, key long, known boolean, n long"
+    parts = ("wanted", "grow", "before")
+    sent = {k: docs.sparkSession.sparkContext.broadcast(getattr(what, k).bits) for k in parts if getattr(what, k)}
+    plain = replace(what, **dict.fromkeys(parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = [Filter(b.value) if b else None for b in (admitted_, before_)]
+        here = replace(plain, **{k: Filter(b.value) for k, b in sent.items()})
         for batch in batches:
             coded = batch.column(0).dictionary_encode()
             of_text, text = coded.indices.to_numpy(), batch.column(1)
@@ -186,36 +228,49 @@ def count_phrases(docs: DataFrame, admitted: Filter | None = None, before: Filte
             for low, high in _cuts(data, ends, portion):
                 a, b = np.searchsorted(ends[:-1], low, "right") - 1, np.searchsorted(ends[:-1], high, "left")
                 starts = np.maximum(ends[a:b] - low, 0)
-                for lang, phrase, m, keys, known, n in count_portion(coded.dictionary, data[low:high], starts, of_text[a:b], *have, most):
-                    cols = [lang, phrase, pa.array(np.full(len(n), m, np.int32)), pa.array(keys), pa.array(known), pa.array(n.astype(np.int64))]
-                    yield pa.record_batch(cols, names=["lang", "phrase", "words", "key", "known", "n"])
+                for name, keys, n in count_portion(coded.dictionary, data[low:high], starts, of_text[a:b], here):
+                    yield pa.record_batch([name, pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["name", "key", "n"])
 
-    text = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.make_valid_utf8(F.coalesce("text", F.lit(""))).alias("text"))
-    return text.mapInArrow(run, schema).groupBy("lang", "phrase", "words", "key", "known").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(run, "name string, key long, n long").groupBy("name", "key").agg(F.sum("n").alias("n"))
+    colon = F.instr("name", ":")
+    long_ = F.substr("name", F.lit(1), colon - 1).cast("int")
+    told = counted.select(F.substr("name", colon + 1, long_).alias("lang"), F.substr("name", colon + 1 + long_).alias("phrase"), "key", "n")
+    return told.withColumn("words", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).cast("int")).withColumn("words", F.when(F.col("phrase").isNotNull(), F.col("words")))
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, most: int = WORDS, sample: int = SAMPLE, lowered: float = LOWERED) -> DataFrame:
+def frequent_phrases(docs: DataFrame, least: int = LEAST, most: int = WORDS, sample: int = SAMPLE, lowered: float = LOWERED, portion: int = PORTION) -> DataFrame:
     """``lang, phrase, words, n`` of every phrase of ``most`` words at most with ``n >= least`` contiguous occurrences, and of the empty one (all words).
 
-    Toivonen's way: phrases frequent enough in one document of ``sample`` are proposed; a full pass
-    counts them and their negative border, the phrases not proposed whose parts of one word less
-    are. If some of the border are frequent after all, they are proposed too, and an expansion pass
-    counts what that adds, along each text up to ``most`` words at once. Then nothing frequent is
-    missing, whatever the sample was: both parts of a frequent phrase are frequent, so, shorter
-    ones first, each was proposed, or failed at the border and is proposed now, or is counted by the
-    expansion itself, and in each case the phrase is counted.
+    Toivonen's way. One document of ``sample`` proposes the phrases frequent enough there, length by
+    length. A full pass counts them, and their negative border: the phrases not proposed whose parts
+    of one word less are. If some of the border are frequent after all, they are proposed too, and
+    an expansion pass counts them and what that adds to the border, along each text up to ``most``
+    words at once; what is frequent there is counted by a last pass.
+
+    The border is counted under 40-bit keys, as no more bytes should be shuffled than needed: a shared key can only propose a phrase in vain, and every
+    result is counted by name. Nothing frequent is missing, whatever the sample was: both parts of a
+    frequent phrase are frequent, so, shorter ones first, each was proposed by the sample, or failed
+    at the border, or was found by the expansion, and so the phrase was counted there or then.
     """
-    rows = docs.select("lang", "text")
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.make_valid_utf8(F.coalesce("text", F.lit(""))).alias("text"))
     share = F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]), F.lit(sample)) == 0
-    proposed = count_phrases(docs.where(share), most=most).where((F.col("words") > 0) & (F.col("n") >= max(1, round(least * lowered / sample))))
-    admitted = filter_of(materialize(proposed.select("key"), "phrases-proposed"))
-    enough = (F.col("n") >= least) | (F.col("words") == 0)
-    found = materialize(count_phrases(rows, admitted, None, most).where(enough), "phrases")
-    failed = found.where(~F.col("known") & (F.col("words") > 0) & (F.col("words") < most)).select("key")
-    if not failed.isEmpty():
-        more = count_phrases(rows, _with(failed, admitted.bits), admitted, most).where(enough)
-        found = found.unionByName(materialize(more, "phrases"))
-    return found.select("lang", "phrase", "words", "n")
+    some = materialize(docs.where(share).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.make_valid_utf8(F.coalesce("text", F.lit(""))).alias("text")), "phrases-sample")
+    proposed = empty_filter(0)
+    for m in range(1, most + 1):
+        keys = count_phrases(some, Pass(grow=proposed, lengths=(m, m)), portion).where(F.col("n") >= max(1, round(least * lowered / sample)))
+        proposed = filter_of(materialize(keys.select("key"), "phrases-proposed"), proposed)
+
+    def counted(what: Pass) -> tuple[DataFrame, DataFrame]:
+        enough = materialize(count_phrases(rows, replace(what, lengths=(1, most)), portion).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
+        return enough.where("phrase is not null"), enough.where("phrase is null").select("key")
+
+    found, failed = counted(Pass(wanted=proposed, grow=proposed))
+    onward = True
+    while not failed.isEmpty():  # at most twice
+        wanted, wider = filter_of(failed, empty_filter(0)), filter_of(failed, proposed)
+        more, failed = counted(Pass(wanted=wanted, grow=wider, before=proposed, border=onward, onward=onward))
+        found, proposed, onward = found.unionByName(more), wider, False
+    return found.groupBy("lang", "phrase", "words").agg(F.max("n").alias("n"))  # a filter may have a phrase by chance: counted twice, alike
 
 
 def _part(start: Column | int, length: Column | int) -> Column:
