@@ -36,46 +36,41 @@ _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 
 @dataclass
 class Filter:
-    """A Bloom filter of phrase keys, of a fixed size whatever their number.
+    """Bloom filters of phrase keys, of a bounded size whatever their number; it has what one of its ``parts`` has.
 
     It defines which phrases count as proposed: one that it admits by chance is counted too, which
-    costs a little and changes no count.
+    costs a little and changes no count. Filters are united part by part, so that what one of them
+    admits its unions do.
     """
 
-    bits: np.ndarray
+    parts: tuple[np.ndarray, ...]
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        low, step, last = keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(8) | np.uint64(1), np.uint64(len(self.bits) * 64 - 1)
-        found = np.ones(len(keys), bool)
-        for j in range(PROBES):
-            at = low + np.uint64(j) * step & last
-            found &= self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) != 0
-        return found
-
-
-def empty_filter(n: int) -> Filter:
-    """A filter with room for ``n`` keys."""
-    bits = FEWEST_BITS
-    while bits < min(n * BITS_EACH, MOST_BITS):
-        bits *= 2
-    return Filter(np.zeros(bits // 64, np.uint64))
-
-
-def filter_of(keys: DataFrame, more_than: Filter) -> Filter:
-    """The filter that has ``key`` of ``keys`` and all that ``more_than`` has.
-
-    Set bits are gathered by word of 64, so the driver gets no more than the filter's size. A small
-    filter is repeated to the size of a larger one: a probe's place is taken modulo the size.
-    """
-    have = len(more_than.bits)
-    used = int(np.bitwise_count(more_than.bits).sum()) // PROBES
-    out = empty_filter(keys.count() + used).bits
-    out = np.zeros(max(len(out), have), np.uint64) | np.tile(more_than.bits, max(len(out), have) // have)
+        low, step = keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(8) | np.uint64(1)
+        any_ = np.zeros(len(keys), bool)
+        for bits in self.parts:
+            found, last = np.ones(len(keys), bool), np.uint64(len(bits) * 64 - 1)
+            for j in range(PROBES):
+                at = low + np.uint64(j) * step & last
+                found &= bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) != 0
+            any_ |= found
+        return any_
+
+    def __or__(self, other: Filter) -> Filter:
+        return Filter(self.parts + other.parts)
+
+
+def filter_of(keys: DataFrame) -> Filter:
+    """The filter that has ``key`` of ``keys``. Set bits are gathered by word of 64, so the driver gets no more than the filter's size."""
+    wanted, n = keys.count() * BITS_EACH, FEWEST_BITS
+    while n < min(wanted, MOST_BITS):
+        n *= 2
+    out = np.zeros(n // 64, np.uint64)
     low, step = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("key", 8).bitwiseOR(F.lit(1))
-    at = F.explode(F.array(*[(low + F.lit(j) * step).bitwiseAND(F.lit(len(out) * 64 - 1)) for j in range(PROBES)])).alias("at")
+    at = F.explode(F.array(*[(low + F.lit(j) * step).bitwiseAND(F.lit(n - 1)) for j in range(PROBES)])).alias("at")
     words = keys.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
     out[words["word"].to_numpy()] |= words["set"].to_numpy().view(np.uint64)
-    return Filter(out)
+    return Filter((out,))
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -189,7 +184,7 @@ def count_portion(langs: pa.Array, data: np.ndarray, starts: np.ndarray, of_text
         seen = np.zeros(len(keys), bool)
         if what.before:
             seen = old[code[here]] & old[code[here + 1]] if m > 1 else ~seen
-            old = what.before.has(short)
+            old = what.before.has(short) & seen  # the earlier pass came as far as this phrase, and went on from it
         keyed = ~named & ~seen & what.border
         if m >= least and named.any():
             at = here[named]
@@ -213,7 +208,7 @@ def count_phrases(docs: DataFrame, what: Pass, portion: int = PORTION) -> DataFr
     hence never too low.
     """
     parts = ("wanted", "grow", "before")
-    sent = {k: docs.sparkSession.sparkContext.broadcast(getattr(what, k).bits) for k in parts if getattr(what, k)}
+    sent = {k: docs.sparkSession.sparkContext.broadcast(getattr(what, k).parts) for k in parts if getattr(what, k)}
     plain = replace(what, **dict.fromkeys(parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,15 +245,16 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most: int = WORDS, sam
     The border is counted under 40-bit keys, as no more bytes should be shuffled than needed: a shared key can only propose a phrase in vain, and every
     result is counted by name. Nothing frequent is missing, whatever the sample was: both parts of a
     frequent phrase are frequent, so, shorter ones first, each was proposed by the sample, or failed
-    at the border, or was found by the expansion, and so the phrase was counted there or then.
+    at the border, or was found by the expansion, and so the phrase was counted there or then. What a
+    pass counts by name is in the filter that the next ones grow by, be it there by chance.
     """
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.make_valid_utf8(F.coalesce("text", F.lit(""))).alias("text"))
     share = F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]), F.lit(sample)) == 0
     some = materialize(docs.where(share).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.make_valid_utf8(F.coalesce("text", F.lit(""))).alias("text")), "phrases-sample")
-    proposed = empty_filter(0)
+    proposed = Filter(())
     for m in range(1, most + 1):
         keys = count_phrases(some, Pass(grow=proposed, lengths=(m, m)), portion).where(F.col("n") >= max(1, round(least * lowered / sample)))
-        proposed = filter_of(materialize(keys.select("key"), "phrases-proposed"), proposed)
+        proposed |= filter_of(materialize(keys.select("key"), "phrases-proposed"))
 
     def counted(what: Pass) -> tuple[DataFrame, DataFrame]:
         enough = materialize(count_phrases(rows, replace(what, lengths=(1, most)), portion).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
@@ -267,7 +263,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most: int = WORDS, sam
     found, failed = counted(Pass(wanted=proposed, grow=proposed))
     onward = True
     while not failed.isEmpty():  # at most twice
-        wanted, wider = filter_of(failed, empty_filter(0)), filter_of(failed, proposed)
+        wanted = filter_of(failed)
+        wider = proposed | wanted
         more, failed = counted(Pass(wanted=wanted, grow=wider, before=proposed, border=onward, onward=onward))
         found, proposed, onward = found.unionByName(more), wider, False
     return found.groupBy("lang", "phrase", "words").agg(F.max("n").alias("n"))  # a filter may have a phrase by chance: counted twice, alike
