@@ -8,7 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, thinned
+from ..sources.shared import scratch
+from .common import let, materialize, percentile_of_counts, table
 
 #: The base patterns, in the order in which kinds sort.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -114,14 +115,13 @@ def _codes(token: Column) -> Column:
     return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.get(at, F.ascii(c)))
 
 
-def labelled_samples(docs: DataFrame, max_docs: int = 20_000, least: int = 8) -> DataFrame:
+def labelled_samples(docs: DataFrame, least: int = 8) -> DataFrame:
     """``token, label``: values that the base patterns find (1), and runs of ``least`` or more in the rest of the texts (0).
 
-    From the whole texts of about ``max_docs`` documents, by hash: the bound of the fit. Every text is
-    scanned with what is learnt.
+    From the whole text of every row; of ``docs``, ``text`` alone is read.
     """
     none = F.array().cast("array<string>")
-    base = with_rest(with_base_spans(thinned(docs, [c for c in ("doc_id", "text") if c in docs.columns], max_docs), []))
+    base = with_rest(with_base_spans(docs, []))
     value = F.transform("assign", lambda x: F.regexp_extract(x["m"], ASSIGN, 2))
     secret = F.concat(value, F.transform("access", lambda x: x["m"]), F.transform("hex", lambda x: x["m"]))
     other = F.regexp_extract_all("__rest", F.lit(run_of(least)), F.lit(0))
@@ -155,8 +155,9 @@ def train_markov(samples: DataFrame, uniform: float = 0.5, smoothing: float = 0.
     driver. Secrets are few and of few kinds, so their model is mixed with the uniform one by the share
     ``uniform``; counts of ordinary runs get ``smoothing``. An ordinary run reaches a ratio of
     ``-log(false_alarms)`` with that probability at most if its model is right; where it is not, the
-    threshold is what that share of the sample's ordinary runs of ``least`` characters or more exceeds.
-    Null tokens count for nothing; without samples of a label its model is uniform.
+    threshold is what that share of all ordinary runs of ``least`` characters or more exceeds, exactly:
+    runs are counted by ratio, those below the threshold of the model together, and no task gets them whole.
+    Null tokens count for nothing; without samples of a label its model is uniform. ``samples`` is read twice.
     """
     n = len(ALPHABET)
     pairs = lambda c: F.transform(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda x, i: F.get(c, i) * n + x)
@@ -178,8 +179,10 @@ def train_markov(samples: DataFrame, uniform: float = 0.5, smoothing: float = 0.
             plain.append(round(-math.log(of_plain), 4))
     model = Markov(trained, plain, -math.log(false_alarms))
     runs = samples.where((F.col("label") == 0) & (F.length("token") >= least)).select(likelihood_ratio(F.col("token"), model).alias("llr"))
-    reached = runs.agg(F.percentile("llr", F.lit(1 - false_alarms))).first()[0]
-    return replace(model, min_llr=max(model.min_llr, reached or 0.0))
+    ratios = runs.select(F.greatest("llr", F.lit(model.min_llr)).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    with scratch(samples.sparkSession):
+        reached = percentile_of_counts(materialize(ratios, "ratios"), 1 - false_alarms)
+    return model if reached is None else replace(model, min_llr=reached)
 
 
 def alphabet_size(token: Column) -> Column:

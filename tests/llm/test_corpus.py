@@ -555,6 +555,37 @@ def test_random_strings_of_every_alphabet(spark, documents):
     assert secrets.scan_secrets(plain.unionByName(documents.select("doc_id", "text")), model, ["doc_id"]).where("size(random) > 0").count() <= 1
 
 
+def test_secrets_are_learnt_from_every_text(spark):
+    """The models count the pairs of all texts and the threshold all runs, however many there are."""
+    rows, n = 30_000, len(secrets.ALPHABET)
+    chance = F.translate(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 24), "0123456789abcdef", "ghijklmnopqrstuv")
+    text = F.concat(F.lit("token=abcdefgh the-quick-brown-fox-jumps-over-the-lazy-dog "), F.when(F.col("id") % 300 == 7, chance).otherwise(""))
+    docs = spark.range(rows).select(F.col("id").alias("doc_id"), text.alias("text"))
+    samples = secrets.labelled_samples(docs)
+    assert {r.label: r.n for r in samples.groupBy("label").agg(F.count("token").alias("n")).collect()} == {0: rows + 100, 1: rows}
+    runs = [w for r in docs.select("text").collect() for w in r.text.split()[1:]]
+    pairs = Counter(p for w in runs for p in zip(w, w[1:], strict=False))
+    of_plain = (pairs["t", "h"] + 0.1) / (sum(k for (a, _), k in pairs.items() if a == "t") + 0.1 * n)
+    for false_alarms in (1e-4, 1e-3, 0.03):
+        model = secrets.train_markov(samples, false_alarms=false_alarms)
+        assert model.plain[secrets.ALPHABET.index("t") * n + secrets.ALPHABET.index("h")] == round(-math.log(of_plain), 4)
+        least = np.percentile([slow_ratio(w, model) for w in runs], 100 * (1 - false_alarms))
+        assert model.min_llr == pytest.approx(max(least, -math.log(false_alarms)), abs=1e-6)
+        assert (least > 50) == (false_alarms < 0.03)
+
+
+def test_percentile_of_counts(spark):
+    rnd = random.Random(5)
+    lists = [[3.0], [2.0] * 9, [rnd.random() for _ in range(500)], [round(rnd.gauss(0, 3), 1) for _ in range(2000)], [math.exp(rnd.uniform(-300, 300)) for _ in range(300)]]
+    for values in lists:
+        df = spark.createDataFrame([(v,) for v in values], "value double")
+        counts = df.groupBy("value").agg(F.count("*").alias("n"))
+        for p in (0.0, 0.5, 0.9931, 1.0):
+            want = df.agg(F.percentile("value", F.lit(p))).first()[0]
+            assert common.percentile_of_counts(counts, p, 10) == pytest.approx(want, rel=1e-12)
+    assert common.percentile_of_counts(counts.limit(0), 0.5) is None
+
+
 def test_secrets_odd_and_redaction(spark):
     docs = clashing(odd_docs(spark))
     model = secrets.train_markov(secrets.labelled_samples(docs))
