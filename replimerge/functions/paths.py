@@ -108,27 +108,36 @@ def utc_stamp(ns: Column) -> Column:
     return F.date_format(F.timestamp_seconds(F.floor(ns / F.lit(1_000_000_000))), "yyyyMMdd-HHmmss")
 
 
-@F.pandas_udf(T.StringType())
-def _fit(names: pd.DataFrame) -> pd.Series:
-    """Stem cut at a character boundary so that stem + tag + extension has 255 bytes at most; then the extension."""
+def _cut(text: Column, room: Column) -> Column:
+    """As many whole characters of ``text`` as have ``room`` bytes at most."""
+    fits = F.filter(F.sequence(F.lit(0), F.greatest(room, F.lit(0))), lambda n: F.octet_length(F.substr(text, F.lit(1), n)) <= room)
+    return F.substr(text, F.lit(1), F.coalesce(F.array_max(fits), F.lit(0)))
 
-    def one(stem: str, tag: str, ext: str) -> str:
-        room = MAX_NAME_BYTES - len(tag.encode())
-        ext = ext.encode()[: max(room, 0)].decode(errors="ignore")
-        return stem.encode()[: max(room - len(ext.encode()), 0)].decode(errors="ignore") + tag + ext
 
-    return pd.Series([one(*r) if r[0] is not None else None for r in names.itertuples(index=False)])
+def _fit(stem: Column, tag: Column, ext: Column) -> Column:
+    """Stem cut at a character boundary so that stem + tag + extension has 255 bytes at most; then the extension."""
+    room = F.lit(MAX_NAME_BYTES) - F.octet_length(tag)
+    end = _cut(ext, room)
+    return F.concat(_cut(stem, room - F.octet_length(end)), tag, end)
 
 
 def tagged_name(name: Column, tag: Column, whole: Column) -> Column:
-    """``tag`` before the last extension (after the whole name if ``whole``, or for a dotfile), cut to 255 bytes."""
-    has_ext = ~whole & (F.instr(F.substr(name, F.lit(2)), ".") > 0)
-    stem = F.when(has_ext, F.regexp_replace(name, r"\.[^.]*\z", "")).otherwise(name)
-    ext = F.when(has_ext, F.regexp_extract(name, r"\.[^.]*\z", 0)).otherwise("")
-    plain = F.concat(stem, tag, ext)
-    long_ = F.octet_length(plain) > MAX_NAME_BYTES
-    parts = F.struct(F.when(long_, stem).alias("stem"), tag.alias("tag"), ext.alias("ext"))
-    return F.coalesce(_fit(parts), plain)
+    """``tag`` before the last extension (after the whole name if ``whole``, or for a dotfile), cut to 255 bytes.
+
+    The two functions bind what they name several times, so that the plan has each argument once.
+    """
+
+    def parts(x: Column) -> Column:
+        has_ext = ~x["whole"] & (F.instr(F.substr(x["name"], F.lit(2)), ".") > 0)
+        stem = F.when(has_ext, F.regexp_replace(x["name"], r"\.[^.]*\z", "")).otherwise(x["name"])
+        return F.struct(stem.alias("stem"), x["tag"].alias("tag"), F.when(has_ext, F.regexp_extract(x["name"], r"\.[^.]*\z", 0)).otherwise("").alias("ext"))
+
+    def joined(p: Column) -> Column:
+        plain = F.concat(p["stem"], p["tag"], p["ext"])
+        return F.when(F.octet_length(plain) > MAX_NAME_BYTES, _fit(p["stem"], p["tag"], p["ext"])).otherwise(plain)
+
+    named = F.transform(F.array(F.struct(name.alias("name"), tag.alias("tag"), whole.alias("whole"))), parts)
+    return F.get(F.transform(named, joined), 0)
 
 
 def conflict_copy_name(path: Column, kind: Column, mtime_ns: Column, host: Column, node: Column) -> Column:

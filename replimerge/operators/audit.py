@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.entries import is_live, same_content, winner_key
-from ..functions.paths import ancestors, conflict_copy_name, name_of
+from ..functions.entries import is_live, packed, same_content, unpacked, winner_key
+from ..functions.paths import ancestors, conflict_copy_name, name_of, parent_of
 from ..functions.vectors import vv_compare, vv_dominates_or_equals, vv_key, vv_merge_agg
-from ..schema import EMPTY
+from ..schema import EMPTY, KIND_RANK
 from .ordered import running
 
 
@@ -73,47 +73,81 @@ def resurrections(entries: DataFrame, held_dirs: DataFrame | None = None, discar
     return alive.select("folder", "path").join(gone, ["folder", "path"], "left_semi").distinct()
 
 
-def places_made(copies: DataFrame, displaced: DataFrame) -> DataFrame:
+def _displacements(copies: DataFrame) -> int:
+    """How many directories above a copy may have been displaced, at most: their names are those of copies."""
+    return copies.agg(F.max(F.size(F.split(parent_of(F.col("path")), r"\.conflict-")) - 1)).first()[0] or 0
+
+
+def places_made(copies: DataFrame, displaced: DataFrame, steps: int | None = None) -> DataFrame:
     """``folder, path, place``: every place at which a conflict copy may have been made: where it is, and back along directories that were displaced with it.
 
     ``displaced`` (``folder, copy, path``): names that displaced directories got. Each step maps the
-    deepest such directory above the place back, so there are no more steps than the deepest copy has tags.
+    deepest such directory above the place back, so there are no more ``steps`` (counted if not given) than
+    the directories above the deepest copy have tags. Only directories with a tag are looked up.
     """
     at = copies.select("folder", "path", F.col("path").alias("place"))
     every = at
-    tags = copies.agg(F.max(F.size(F.split("path", r"\.conflict-")) - 1)).first()[0] or 0
-    for _ in range(tags):
-        up = at.withColumn("copy", F.explode(ancestors(F.col("place"))))
+    for _ in range(_displacements(copies) if steps is None else steps):
+        up = at.withColumn("copy", F.explode(F.filter(ancestors(F.col("place")), lambda d: F.contains(d, F.lit(".conflict-")))))
         deepest = up.join(displaced.select("folder", "copy", F.col("path").alias("was")), ["folder", "copy"]).groupBy("folder", "path", "place").agg(F.max_by(F.struct("copy", "was"), F.length("copy")).alias("z"))
         at = deepest.select("folder", "path", F.concat("z.was", F.substr("place", F.length("z.copy") + 1, F.length("place"))).alias("place"))
         every = every.unionByName(at)
     return every.distinct()
 
 
+def _losers(entries: DataFrame) -> DataFrame:
+    """``folder, path, copy, kind, hash, exec``: the versions that lost, and the name of the copy that each was to get; ``hash`` is packed.
+
+    All versions are shuffled once, by path, with no more than the comparison needs. Of versions of
+    other content, one of them live, the winner rule decides by the exec bit at the latest if their kinds are
+    known, so the size and the hash before, which rank behind it, are there only for other kinds.
+    Both sides of the comparison must read one shuffle. So the columns come out of the sum over copies of a
+    version, and the condition is one over both sides: a filter on one side alone would go ahead of its shuffle.
+    """
+    odd = ~F.coalesce(F.col("kind").isin(*KIND_RANK), F.lit(False))
+    e = entries.select(
+        "folder", "path", "version", "stamp", "deleted", "mtime_ns", "modified_by", "kind", "exec", "author_host", packed(F.col("hash")).alias("hash"), (F.col("hash") != F.col("prev_hash")).alias("edited"),
+        F.when(odd, F.col("size")).alias("size"), F.when(odd, F.col("prev_hash")).alias("prev_hash"),
+    )
+    rest = [c for c in e.columns if c not in ("folder", "path", "version")]
+    dealt = e.repartition("folder", "path").withColumn("k", vv_key(F.col("version")))
+    v = dealt.groupBy("folder", "path", "k", *rest).agg(F.first(F.struct("version", *rest)).alias("z")).select("folder", "path", "k", "z.*")
+    side = lambda p: v.select([F.col(c).alias(f"{p}{c}") for c in v.columns])
+    key = lambda p: winner_key(p, F.col(f"{p}edited"))
+    at = (F.col("a_folder") == F.col("b_folder")) & (F.col("a_path") == F.col("b_path"))
+    beaten = F.when(~F.col("a_deleted") & (F.col("a_k") != F.col("b_k")) & ~same_content("a_", "b_") & (vv_compare(F.col("a_version"), F.col("b_version")) == "concurrent"), key("a_") < key("b_"))
+    lost = side("a_").join(side("b_"), at & beaten, "left_semi")
+    name = conflict_copy_name(F.col("a_path"), F.col("a_kind"), F.col("a_mtime_ns"), F.col("a_author_host"), F.col("a_modified_by"))
+    return lost.select(F.col("a_folder").alias("folder"), F.col("a_path").alias("path"), name.alias("copy"), F.col("a_kind").alias("kind"), F.col("a_hash").alias("hash"), F.col("a_exec").alias("exec"))
+
+
 def unexplained_conflicts(entries: DataFrame, edited: DataFrame | None = None) -> DataFrame:
     """A4: live ``.conflict-`` entries that are no copy of a losing version, at any place they may have been made (:func:`places_made`).
 
     A version lost if it is live and ranks below a concurrent one of other content. A copy must have
     its name and (kind, hash, exec), unless a user edited it since (``edited``: ``folder, path``).
+    Copies that are explained where they are go no further; only others are mapped back, and only if
+    a directory above some copy may have been displaced.
     """
-    tag = F.col("path").contains(".conflict-")
-    e = entries.where(~name_of(F.col("path")).contains(".conflict-")).withColumn("k", vv_key(F.col("version")))
-    rest = [c for c in e.columns if c not in ("folder", "path", "k")]
-    v = e.groupBy("folder", "path", "k").agg(F.min_by(F.struct(*rest), "node").alias("z")).select("folder", "path", "k", "z.*")
-    side = lambda p: v.select("folder", "path", *[F.col(c).alias(f"{p}{c}") for c in v.columns if c not in ("folder", "path")])
-    pairs = side("a_").join(side("b_"), ["folder", "path"]).where((F.col("a_k") != F.col("b_k")) & (vv_compare(F.col("a_version"), F.col("b_version")) == "concurrent"))
-    lost = pairs.where(~same_content("a_", "b_") & (winner_key("a_") < winner_key("b_")) & ~F.col("a_deleted"))
-    name = conflict_copy_name(F.col("path"), F.col("a_kind"), F.col("a_mtime_ns"), F.col("a_author_host"), F.col("a_modified_by"))
-    losers = lost.select("folder", "path", name.alias("copy"), F.col("a_kind").alias("kind"), F.col("a_hash").alias("hash"), F.col("a_exec").alias("exec")).distinct()
-    copies = entries.where(is_live() & tag & name_of(F.col("path")).contains(".conflict-")).select("folder", "path", "kind", "hash", "exec").distinct()
-    places = places_made(copies, losers.where("kind = 'dir'").select("folder", "copy", "path"))
-    named = places.join(losers.select("folder", F.col("copy").alias("place"), *[F.col(c).alias(f"l_{c}") for c in ("kind", "hash", "exec")]), ["folder", "place"])
+    tagged = name_of(F.col("path")).contains(".conflict-")
+    losers = _losers(entries.where(~tagged))
+    made = entries.where(is_live() & tagged)
+    copies = made.select("folder", "path", "kind", packed(F.col("hash")).alias("hash"), "exec")
+    there = losers.select(F.col("folder").alias("l_folder"), F.col("copy").alias("place"), *[F.col(c).alias(f"l_{c}") for c in ("kind", "hash", "exec")])
     same = (F.col("kind") == F.col("l_kind")) & (F.col("hash") == F.col("l_hash")) & ((F.col("kind") != "file") | (F.col("exec") == F.col("l_exec")))
-    good = copies.join(named, ["folder", "path"]).where(same).select("folder", "path", "kind", "hash", "exec")
-    if edited is not None:
-        own = named.join(places.join(edited.select("folder", F.col("path").alias("place")).distinct(), ["folder", "place"], "left_semi").select("folder", "path").distinct(), ["folder", "path"], "left_semi")
-        good = good.unionByName(copies.join(own.select("folder", "path").distinct(), ["folder", "path"], "left_semi"))
-    return copies.join(good.distinct(), ["folder", "path", "kind", "hash", "exec"], "left_anti").select("folder", "path", "hash")
+    # An anti join would go into the branches of a union, each with all losers.
+    met = copies.join(there.withColumn("met", F.lit(True)), (F.col("folder") == F.col("l_folder")) & (F.col("path") == F.col("place")) & same, "left")
+    left = met.where("met is null").select(*copies.columns).distinct()
+    steps = _displacements(made)
+    if steps or edited is not None:
+        places = places_made(left, losers.where("kind = 'dir'").select("folder", "copy", "path").distinct(), steps)
+        named = places.join(there.withColumnRenamed("l_folder", "folder"), ["folder", "place"])
+        good = left.join(named, ["folder", "path"]).where(same).select("folder", "path", "kind", "hash", "exec")
+        if edited is not None:
+            own = named.join(places.join(edited.select("folder", F.col("path").alias("place")).distinct(), ["folder", "place"], "left_semi").select("folder", "path").distinct(), ["folder", "path"], "left_semi")
+            good = good.unionByName(left.join(own.select("folder", "path").distinct(), ["folder", "path"], "left_semi"))
+        left = left.join(good.distinct(), ["folder", "path", "kind", "hash", "exec"], "left_anti")
+    return left.select("folder", "path", unpacked(F.col("hash")).alias("hash"))
 
 
 def held_commits(commits: DataFrame, held: DataFrame, approved: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Folders and machines of which little is known, what the gate remembers, ties, and groups that one task could not hold."""
 
 import random
+import re
 from itertools import product
 
 import numpy as np
@@ -392,3 +393,32 @@ def test_listing_has_all_kinds(spark, tmp_path):
     assert {r.path for r in listing.list_tree(spark, f"file://{root}/a").collect()} == {"b", "b/c", ".hidden", "b/_x", "b/c/run"}
     with pytest.raises(Exception, match="nowhere"):
         listing.list_tree(spark, str(tmp_path / "nowhere"))
+
+
+def versions(spark, rows):
+    """``rows``: folder, node, entry."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ENTRY.fields)
+    return spark.createDataFrame([(f, n, *e) for f, n, e in rows], f"folder string, node string, {fields}")
+
+
+def test_copies_audit_shuffles_each_version_once(spark):
+    """Copies where they were made, in a displaced directory, with a text that is no digest, and edited ones; all versions go through one shuffle, and the losers are made once though the entries are a union."""
+    own = lambda path, node, stamp, text, kind="file": ("f", node, (path, kind, 1, 0, stamp, False, text, EMPTY, {node: 1}, False, node, node))
+    copy = lambda path, text: ("f", "n3", (path, "file", 1, 0, 9, False, text, EMPTY, {"n3": 1}, False, "n3", "n3"))
+    tag, a, b = ".conflict-19700101-000000-n1", "a" * 64, "b" * 64
+    real = [own("d", "n1", 1, EMPTY, "dir"), own("d", "n2", 2, b), own("d/x", "n1", 1, a), own("d/x", "n2", 2, b), own("y", "n1", 1, "no digest"), own("y", "n2", 2, b), own("z", "n1", 1, a), own("z", "n2", 2, a)]
+    copies = [copy(f"d{tag}/x{tag}", a), copy(f"y{tag}", "no digest"), copy(f"z{tag}", a), copy(f"d/x{tag}", b)]
+    entries = versions(spark, real).unionByName(versions(spark, copies))
+    audited = lambda *x: sorted((r.path, r.hash) for r in audit.unexplained_conflicts(entries, *x).collect())
+    assert audited() == [(f"d/x{tag}", b), (f"z{tag}", a)]
+    edited = spark.createDataFrame([("f", f"d/x{tag}"), ("f", f"z{tag}")], "folder string, path string")
+    assert audited(edited) == [(f"z{tag}", a)]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = audit.unexplained_conflicts(versions(spark, real).unionByName(versions(spark, copies[1:])))
+        assert len(found.collect()) == 2
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert len([x for x in plan.splitlines() if re.search(r"[-+] Exchange hashpartitioning", x)]) == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
