@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from itertools import product
 
 import numpy as np
@@ -422,3 +423,31 @@ def test_copies_audit_shuffles_each_version_once(spark):
         assert len([x for x in plan.splitlines() if re.search(r"[-+] Exchange hashpartitioning", x)]) == 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_gate_shuffles_a_row_once_and_keeps_no_shuffle(spark, tmp_path):
+    """A row with its entry is shuffled once whatever is held and wanted; equal paths of two batches keep their own answers; no shuffle file outlives the run."""
+    rows = [("f", b, 1, "n1", entry(p, {"a": v}, stamp=v)) for b, p, v in (("b1", "p", 1), ("b2", "p", 3), ("b1", "q", 1), ("b1", "r", 2), ("b2", "s", 1))]
+    offered, none = incoming(spark, rows), nothing(spark)
+    vectors = lambda rows: spark.createDataFrame(rows, "folder string, path string, version map<string,bigint>")
+    held = vectors([("f", "p", {"a": 2}), ("f", "r", {"a": 2}), ("f", "r", {"a": 1})]).withColumns({"arrival": F.coalesce(F.element_at("version", "a"), F.lit(0)), "batch": F.concat(F.lit("h"), F.element_at("version", "a"))})
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        routed = brake.route_batch(offered.drop("ordinal"), none, held, vectors([("f", "q", {"a": 1}), ("f", "s", {"b": 1})]), none.limit(0), none.limit(0))
+        assert {(r.batch, r.path): (r.route, r.held_batch) for r in routed.collect()} == {("b1", "p"): ("kept", None), ("b2", "p"): ("joined", "h2"), ("b1", "q"): ("already wanted", None), ("b1", "r"): ("joined", "h1"), ("b2", "s"): ("kept", None)}
+        plan = routed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        exchanges = [x for x in plan.splitlines() if re.search(r"[-+] Exchange hashpartitioning", x)]
+        assert len(exchanges) <= 5  # rows, entries, vectors, what is wanted, what is held
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {b for b in str(blocks.getAllBlocks().mkString(",")).split(",") if "shuffle" in b}
+    stream, before = read_stream(spark, offered), files()
+    brake_stream(stream, none, f"{tmp_path}/g", none, none, none)
+    for _ in range(40):
+        if not files() - before:
+            break
+        time.sleep(0.25)
+    assert not files() - before
+    assert gate_state(spark, f"{tmp_path}/g", "want").count() == 5
